@@ -41,6 +41,88 @@ paths AS (
 SQL: dict[str, str] = {}
 
 
+def R(e: str, d: int = 6) -> str:
+    """Rounded; ``+ 0.0`` turns -0.0 into 0.0 as in the Spark queries."""
+    return f"(round({e}, {d}) + 0.0)"
+
+
+def RPHI(e: str, d: int = 5, full: int = 180) -> str:
+    r = R(e, d)
+    return f"(CASE WHEN {r} = -{full} THEN {full} ELSE {r} END)"
+
+
+class X:
+    """Tiny SQL expression so the rotation matrix is built by the same code
+    (and in the same operation order) as the Spark expression."""
+
+    def __init__(self, s: str):
+        self.s = s
+
+    def __mul__(self, o):
+        return X(f"({self.s} * {_s(o)})")
+
+    def __rmul__(self, o):
+        return X(f"({_s(o)} * {self.s})")
+
+    def __add__(self, o):
+        return X(f"({self.s} + {_s(o)})")
+
+    def __radd__(self, o):
+        return X(f"({_s(o)} + {self.s})")
+
+    def __sub__(self, o):
+        return X(f"({self.s} - {_s(o)})")
+
+    def __neg__(self):
+        return X(f"(- {self.s})")
+
+
+def _s(o) -> str:
+    return o.s if isinstance(o, X) else repr(float(o))
+
+
+def sph(x: str, y: str, z: str):
+    """SQL of cart_to_sph: (r, phi_deg, theta_deg) with the zero-vector guard."""
+    r = f"sqrt(({x}) * ({x}) + ({y}) * ({y}) + ({z}) * ({z}))"
+    phi = f"(CASE WHEN {r} < 1e-12 THEN 0 ELSE degrees(atan2({y}, {x})) END)"
+    theta = f"(CASE WHEN {r} < 1e-12 THEN 0 ELSE degrees(acos(greatest(-1, least(1, ({z}) / {r})))) END)"
+    return f"(CASE WHEN {r} < 1e-12 THEN 0 ELSE {r} END)", phi, theta
+
+
+def cart(r: str, p: str, t: str):
+    """SQL of sph_to_cart."""
+    st = f"sin(radians({t}))"
+    return (f"(({r}) * cos(radians({p})) * {st})", f"(({r}) * sin(radians({p})) * {st})",
+            f"(({r}) * cos(radians({t})))")
+
+
+def terms(p: str, t: str):
+    return tuple(X(f"{f}(radians({a}))") for f, a in (("cos", p), ("sin", p), ("cos", t), ("sin", t)))
+
+
+def rotate(p0: str, t0: str, tm, inverse: bool):
+    """SQL of geo.rotate; the matrix comes from the same builder."""
+    from ..functions.geo import _add, _mul, rotation_matrix
+    st0 = X(f"sin(radians({p0 if False else t0}))")
+    u = [st0 * X(f"cos(radians({p0}))"), st0 * X(f"sin(radians({p0}))"), X(f"cos(radians({t0}))")]
+    m = rotation_matrix(tm, inverse)
+    out = []
+    for i in range(3):
+        acc = 0
+        for j in range(3):
+            acc = _add(acc, _mul(m[i][j], u[j]))
+        out.append(acc)
+    x, y, z = (o.s for o in out)
+    return f"degrees(atan2({y}, {x}))", f"degrees(acos(greatest(-1, least(1, {z}))))"
+
+
+def los_terms_sql() -> str:
+    """Per observation: cos/sin of the LOS arrival (-dvec) and departure (dvec)."""
+    _, ap, at = sph("-x", "-y", "-z")
+    _, dp, dt = sph("x", "y", "z")
+    return f"""los AS (SELECT obs_id, {ap} AS aoa_p, {at} AS aoa_t, {dp} AS aod_p, {dt} AS aod_t FROM obs)"""
+
+
 def register(name: str, sql: str, fixture: bool = True) -> None:
     SQL[name] = (FIXTURE + sql) if fixture else sql
 
@@ -61,3 +143,51 @@ SELECT o.rx_type, o.link_state, CAST(count(*) AS BIGINT) AS n_obs,
 FROM lk o JOIN per ON per.obs_id = o.obs_id
 GROUP BY o.rx_type, o.link_state
 """)
+
+
+_r, _ap, _at = sph("-x", "-y", "-z")
+_r, _dp, _dt = sph("x", "y", "z")
+register("cart2sph", f"""
+SELECT obs_id, {R(_r)} AS r, {RPHI(_ap, 6)} AS aoa_phi, {R(_at)} AS aoa_theta,
+       {RPHI(_dp, 6)} AS aod_phi, {R(_dt)} AS aod_theta
+FROM obs
+""")
+
+_x, _y, _z = cart("pl", "aoa_phi", "aoa_theta")
+register("sph2cart", f"""
+SELECT obs_id, k, {R(_x)} AS x, {R(_y)} AS y, {R(_z)} AS z FROM paths
+""")
+
+_x2, _y2, _z2 = cart(_r, _dp, _dt)
+_pr, _pp, _pt = sph(*cart("pl", "aoa_phi", "aoa_theta"))
+register("sph_roundtrip", f"""
+, c AS (SELECT CAST(count(*) AS BIGINT) AS n_cart, max(abs({_x2} - x)) AS dx, max(abs({_y2} - y)) AS dy,
+               max(abs({_z2} - z)) AS dz FROM obs),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_sph, max(abs({_pr} - pl)) AS dr,
+             max(CASE WHEN sin(radians(aoa_theta)) > 1e-6
+                      THEN abs((({_pp} - aoa_phi + 540) - 360 * floor(({_pp} - aoa_phi + 540) / 360)) - 180) END) AS dphi,
+             max(abs({_pt} - aoa_theta)) AS dtheta FROM paths)
+SELECT n_cart, n_sph, {R("dx")} AS max_dx, {R("dy")} AS max_dy, {R("dz")} AS max_dz,
+       {R("dr")} AS max_dr, {R("dphi")} AS max_dphi, {R("dtheta")} AS max_dtheta FROM c, s
+""")
+
+register("norms_wavelength", f"""
+SELECT obs_id, {R("d3d")} AS d3d, {R("sqrt(x * x + y * y)")} AS d2d,
+       {R(f"d3d / {C} * 1e9")} AS los_delay_ns, {R(f"{C} / CAST(28e9 AS DOUBLE) * 1000")} AS wavelength_mm
+FROM obs
+""")
+
+
+def _rotated_sql(inverse: bool) -> str:
+    a = rotate("p.aoa_phi", "p.aoa_theta", terms("l.aoa_p", "l.aoa_t"), inverse)
+    d = rotate("p.aod_phi", "p.aod_theta", terms("l.aod_p", "l.aod_t"), inverse)
+    return f"""
+, {los_terms_sql()}
+SELECT p.obs_id, p.k, {RPHI(a[0])} AS aoa_phi, {R(a[1], 5)} AS aoa_theta,
+       {RPHI(d[0])} AS aod_phi, {R(d[1], 5)} AS aod_theta
+FROM paths p JOIN los l ON l.obs_id = p.obs_id
+"""
+
+
+register("sub_angles", _rotated_sql(True))
+register("add_angles", _rotated_sql(False))

@@ -15,7 +15,7 @@ from ..functions import geo
 from ..functions.arrays import array_sum
 from ..operators import features as fe
 from ..operators import sampling as sa
-from ..schema import LIGHT_SPEED
+from ..schema import ANGLE_NAMES, DEFAULT_FREQUENCY, LIGHT_SPEED
 from .fixture import observations, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,24 @@ def query(fn):
 
 
 def r6(c: Column, d: int = 6) -> Column:
-    return F.round(c, d)
+    """Round for cross-engine comparison; ``+ 0.0`` turns -0.0 into 0.0."""
+    return F.round(c, d) + F.lit(0.0)
+
+
+def rphi(c: Column, d: int = 5, full: float = 180.0) -> Column:
+    """Rounded azimuth with the branch cut -full mapped to +full."""
+    return geo.canon_phi(r6(c, d), full)
+
+
+def path_rows(obs: DataFrame, *keep: str) -> DataFrame:
+    """One row per (observation, path slot ``k``): pl, the four angles, dly."""
+    z = F.arrays_zip(F.col("nlos_pl").alias("pl"), F.col("nlos_ang").alias("ang"),
+                     F.col("nlos_dly").alias("dly"))
+    e = obs.select("obs_id", *keep, F.posexplode(z).alias("k", "p"))
+    return e.select("obs_id", *keep, F.col("k").cast("bigint").alias("k"),
+                    F.col("p.pl").alias("pl"),
+                    *[F.col("p.ang")[i].alias(n) for i, n in enumerate(ANGLE_NAMES)],
+                    F.col("p.dly").alias("dly"))
 
 
 @query
@@ -49,3 +66,77 @@ def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6(F.sum("s_exc") / F.sum("n_exc") * F.lit(1e9)).alias("mean_excess_delay_ns"),
         r6(F.sum("s_pl") / F.sum("n_pl")).alias("mean_path_loss"),
     )
+
+
+# ---------------------------------------------------------------- geometry
+@query
+def cart2sph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOS arrival (from -dvec) and departure (from dvec) directions."""
+    obs = observations(spark, sf_dir)
+    x, y, z = geo.vec_elems(F.col("dvec"))
+    r, aod_p, aod_t = geo.cart_to_sph(x, y, z)
+    _, aoa_p, aoa_t = geo.cart_to_sph(-x, -y, -z)
+    return obs.select("obs_id", r6(r).alias("r"), rphi(aoa_p, 6).alias("aoa_phi"), r6(aoa_t).alias("aoa_theta"),
+                      rphi(aod_p, 6).alias("aod_phi"), r6(aod_t).alias("aod_theta"))
+
+
+@query
+def sph2cart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path's arrival direction with its loss as radius -> x, y, z."""
+    p = path_rows(observations(spark, sf_dir))
+    x, y, z = geo.sph_to_cart(F.col("pl"), F.col("aoa_phi"), F.col("aoa_theta"))
+    return p.select("obs_id", "k", r6(x).alias("x"), r6(y).alias("y"), r6(z).alias("z"))
+
+
+@query
+def sph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest residual of cart->sph->cart (observations) and of
+    sph->cart->sph (paths); phi compared modulo 360 away from the poles."""
+    obs = observations(spark, sf_dir)
+    x, y, z = geo.vec_elems(F.col("dvec"))
+    r, p, t = geo.cart_to_sph(x, y, z)
+    x2, y2, z2 = geo.sph_to_cart(r, p, t)
+    cart = obs.agg(F.count(F.lit(1)).alias("n_cart"), F.max(F.abs(x2 - x)).alias("dx"),
+                   F.max(F.abs(y2 - y)).alias("dy"), F.max(F.abs(z2 - z)).alias("dz"))
+    pr = path_rows(obs)
+    a, b, c = geo.sph_to_cart(F.col("pl"), F.col("aoa_phi"), F.col("aoa_theta"))
+    r3, p3, t3 = geo.cart_to_sph(a, b, c)
+    dphi = F.abs(F.pmod(p3 - F.col("aoa_phi") + F.lit(540.0), F.lit(360.0)) - F.lit(180.0))
+    away = F.sin(F.radians(F.col("aoa_theta"))) > F.lit(1e-6)
+    sph = pr.agg(F.count(F.lit(1)).alias("n_sph"), F.max(F.abs(r3 - F.col("pl"))).alias("dr"),
+                 F.max(F.when(away, dphi)).alias("dphi"), F.max(F.abs(t3 - F.col("aoa_theta"))).alias("dtheta"))
+    return cart.crossJoin(sph).select(
+        "n_cart", "n_sph", *[r6(F.col(c)).alias(f"max_{c}") for c in ("dx", "dy", "dz", "dr", "dphi", "dtheta")])
+
+
+@query
+def norms_wavelength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-D and horizontal norm, LOS delay, wavelength at 28 GHz."""
+    obs = observations(spark, sf_dir)
+    x, y, z = geo.vec_elems(F.col("dvec"))
+    d3d = geo.norm3(x, y, z)
+    return obs.select("obs_id", r6(d3d).alias("d3d"), r6(geo.hnorm(x, y)).alias("d2d"),
+                      r6(geo.los_delay(d3d) * F.lit(1e9)).alias("los_delay_ns"),
+                      r6(geo.wavelength(F.lit(DEFAULT_FREQUENCY)) * F.lit(1000.0)).alias("wavelength_mm"))
+
+
+def _rotated_paths(spark, sf_dir, inverse: bool) -> DataFrame:
+    obs = fe.with_los_terms(observations(spark, sf_dir))
+    p = path_rows(obs, *fe._TERMS)
+    aoa, aod = fe._los_terms()
+    p1, t1 = geo.rotate(F.col("aoa_phi"), F.col("aoa_theta"), aoa, inverse=inverse)
+    p2, t2 = geo.rotate(F.col("aod_phi"), F.col("aod_theta"), aod, inverse=inverse)
+    return p.select("obs_id", "k", rphi(p1).alias("aoa_phi"), r6(t1, 5).alias("aoa_theta"),
+                    rphi(p2).alias("aod_phi"), r6(t2, 5).alias("aod_theta"))
+
+
+@query
+def sub_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path direction relative to its row's LOS direction."""
+    return _rotated_paths(spark, sf_dir, inverse=True)
+
+
+@query
+def add_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path direction rotated forward by its row's LOS direction."""
+    return _rotated_paths(spark, sf_dir, inverse=False)

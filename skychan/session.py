@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "skychan") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SKYCHAN_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
