@@ -217,8 +217,9 @@ def angles_transform(df: DataFrame, nlos_ang: str = "nlos_ang", dvec: str = "dve
     """Relative angles / 180 laid out as four blocks of n."""
     d = with_los_terms(df, dvec).withColumn(
         "_rel", relative_angles(F.slice(F.col(nlos_ang), 1, n_max_paths)))
-    blocks = [F.transform(F.col("_rel"), lambda s, f=f: s[f] / F.lit(ANGLE_SCALE))
-              for f in ("aoa_phi", "aoa_theta", "aod_phi", "aod_theta")]
+    def block(f):
+        return F.transform(F.col("_rel"), lambda s: s[f] / F.lit(ANGLE_SCALE))
+    blocks = [block(f) for f in ("aoa_phi", "aoa_theta", "aod_phi", "aod_theta")]
     return d.withColumn(out, F.flatten(F.array(*blocks))).drop("_rel", *_TERMS)
 
 
@@ -294,13 +295,14 @@ def fit_path_preproc(df: DataFrame, max_path_loss: float = DEFAULT_MAX_PATH_LOSS
                        max_path_loss, n_max_paths)
 
 
-def data_vector(df: DataFrame, pp: PathPreproc, out: str = "x") -> DataFrame:
-    """``[path loss n | angles 4n | delays n]`` as float array."""
+def data_vector(df: DataFrame, pp: PathPreproc, out: str = "x", dtype: str = "float") -> DataFrame:
+    """``[path loss n | angles 4n | delays n]`` as float array.
+    ``dtype='double'`` keeps full precision (exact inverse)."""
     n = pp.n_max_paths
     d = angles_transform(df, n_max_paths=n, out="_ang_x")
     pl = path_loss_transform(F.col("nlos_pl"), pp.path_loss, pp.max_path_loss, n)
     dl = delays_transform(F.slice(F.col("nlos_dly"), 1, n), F.col("dvec"), pp.delay_scale)
-    return d.withColumn(out, F.concat(pl, F.col("_ang_x"), dl).cast("array<float>")).drop("_ang_x")
+    return d.withColumn(out, F.concat(pl, F.col("_ang_x"), dl).cast(f"array<{dtype}>")).drop("_ang_x")
 
 
 def data_vector_inverse(df: DataFrame, pp: PathPreproc, x: str = "x", sort: bool = True) -> DataFrame:
@@ -323,12 +325,13 @@ def conditions(df: DataFrame, pp: PathPreproc, scaled: bool = True, out: str = "
     return d.withColumn(out, c.cast("array<float>")).drop("_cond_raw")
 
 
-def train_frame(df: DataFrame, pp: PathPreproc) -> DataFrame:
-    """Linked rows -> (obs_id, cond, x): generator input."""
+def train_frame(df: DataFrame, pp: PathPreproc, keep=()) -> DataFrame:
+    """Linked rows -> (obs_id, *keep, cond, x): generator input (F19). Both
+    parts are columns of the same row, so their row counts agree (T11)."""
     from .sampling import keep_linked
     d = keep_linked(df)
     d = conditions(d, pp)
-    return data_vector(d, pp).select("obs_id", "cond", "x")
+    return data_vector(d, pp).select("obs_id", *keep, "cond", "x")
 
 
 def head_sorted(df: DataFrame, col: str, k: int, descending: bool = True, out: str | None = None) -> DataFrame:

@@ -191,3 +191,221 @@ FROM paths p JOIN los l ON l.obs_id = p.obs_id
 
 register("sub_angles", _rotated_sql(True))
 register("add_angles", _rotated_sql(False))
+
+
+# ---------------------------------------------------------------- splits, augmentation
+def U(*parts: str) -> str:
+    """SQL of hash_uniform: parts are SQL string expressions joined by ':'."""
+    s = " || ':' || ".join(parts)
+    return f"(CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+
+
+def UO(*parts: str) -> str:
+    """SQL of hash_uniform_open."""
+    s = " || ':' || ".join(parts)
+    return f"((CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE))"
+
+
+def ID(c: str = "obs_id") -> str:
+    return f"CAST({c} AS VARCHAR)"
+
+
+def split_ctes(src: str, val: float, test: float, seed: int, name: str = "sp") -> str:
+    c1 = f"floor(n * (CAST(1 AS DOUBLE) - CAST({val} AS DOUBLE) - CAST({test} AS DOUBLE)))"
+    c2 = f"floor(n * (CAST(1 AS DOUBLE) - CAST({test} AS DOUBLE)))" if test > 0 else "n"
+    return f"""{name}_r AS (
+  SELECT obs_id, row_number() OVER (ORDER BY md5('{seed}:' || {ID()}), obs_id) - 1 AS rnk,
+         count(*) OVER () AS n FROM {src}),
+{name} AS (SELECT obs_id, CASE WHEN rnk < {c1} THEN 'train' WHEN rnk < {c2} THEN 'val' ELSE 'test' END AS split
+       FROM {name}_r)"""
+
+
+register("split_exact", f"""
+, {split_ctes("obs", 0.2, 0.0, 42)}
+SELECT obs_id, split FROM sp
+""")
+
+register("split_three_way", f"""
+, {split_ctes("obs", 0.2, 0.1, 7)}
+SELECT obs_id, split FROM sp
+""")
+
+register("augment_los_zero", f"""
+, rk AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || {ID()}), obs_id) - 1 AS rnk FROM obs),
+nn AS (SELECT count(*) AS n, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) AS n_add FROM obs),
+js AS (SELECT unnest(range(n_add)) AS j, n FROM nn),
+dr AS (SELECT j, CAST(floor({U("'42'", "'aug'", "CAST(j AS VARCHAR)")} * n) AS BIGINT) AS rnk FROM js)
+SELECT obs_id, CAST(NULL AS BIGINT) AS aug_index, {R("x")} AS x, {R("y")} AS y, {R("z")} AS z, rx_type, link_state
+FROM obs
+UNION ALL
+SELECT rk.obs_id, dr.j AS aug_index, 0.0 AS x, 0.0 AS y, {R("greatest(rk.z, 0)")} AS z, rk.rx_type, rk.link_state
+FROM dr JOIN rk ON rk.rnk = dr.rnk
+""")
+
+
+# ---------------------------------------------------------------- features
+def explode(src: str, keys: str, exprs, digits: int = 6, idx: str = "idx", where: str = "",
+            start: int = 0) -> str:
+    parts = [f"SELECT {keys}, CAST({i + start} AS BIGINT) AS {idx}, {R(e, digits)} AS value FROM {src} {where}"
+             for i, e in enumerate(exprs)]
+    return "\nUNION ALL ".join(parts)
+
+
+OH_T = "(CASE WHEN rx_type = 0 THEN 1.0 ELSE 0.0 END)"
+OH_A = "(CASE WHEN rx_type = 1 THEN 1.0 ELSE 0.0 END)"
+LF = [f"{OH_T} * d3d", f"{OH_A} * d3d", f"{OH_T} * z", f"{OH_A} * z"]
+LF_CTE = f"lf AS (SELECT obs_id, {', '.join(f'{e} AS f{i}' for i, e in enumerate(LF))} FROM obs)"
+
+register("link_onehot", f"""
+SELECT obs_id, {OH_T} AS oh_terrestrial, {OH_A} AS oh_aerial FROM obs
+""")
+
+register("link_features", f"""
+, {LF_CTE}
+{explode("lf", "obs_id", [f"f{i}" for i in range(4)])}
+""")
+
+
+def scaled(i: int) -> str:
+    return f"(f{i} - m{i}) / (CASE WHEN v{i} > 0 THEN sqrt(v{i}) ELSE 1 END)"
+
+
+_LFS = f"""
+, {LF_CTE},
+{split_ctes("obs", 0.2, 0.0, 42)},
+st AS (SELECT {', '.join(f'avg(f{i}) AS m{i}, var_pop(f{i}) AS v{i}' for i in range(4))}
+       FROM lf JOIN sp ON sp.obs_id = lf.obs_id WHERE sp.split = 'train'),
+lfs AS (SELECT * FROM lf, st)
+{explode("lfs", "obs_id", [scaled(i) for i in range(4)])}
+"""
+register("link_features_scaled", _LFS)
+register("state_roundtrip", _LFS)
+
+_D1 = "greatest(d3d, 1)"
+COND = [_D1, f"log10({_D1})", "z", "(CASE WHEN link_state = 2 THEN 1.0 ELSE 0.0 END)", OH_T]
+register("conditions", f"""
+, cr AS (SELECT obs_id, {', '.join(f'{e} AS f{i}' for i, e in enumerate(COND))} FROM obs WHERE link_state <> 0),
+st AS (SELECT {', '.join(f'avg(f{i}) AS m{i}, var_pop(f{i}) AS v{i}' for i in range(5))} FROM cr),
+crs AS (SELECT * FROM cr, st)
+{explode("crs", "obs_id", [scaled(i) for i in range(5)])}
+""")
+
+_PL = """
+, lp AS (SELECT obs_id, k, 200.0 - pl AS v FROM paths WHERE link_state <> 0),
+mm AS (SELECT k, min(v) AS lo, max(v) AS hi FROM lp GROUP BY k)"""
+register("pathloss_scaled", f"""{_PL}
+SELECT lp.obs_id, lp.k, {R("(lp.v - mm.lo) / (CASE WHEN mm.hi - mm.lo <> 0 THEN mm.hi - mm.lo ELSE 1 END)")} AS value
+FROM lp JOIN mm ON mm.k = lp.k
+""")
+
+register("pathloss_inverse", f"""
+SELECT obs_id, row_number() OVER (PARTITION BY obs_id ORDER BY pl) - 1 AS k, {R("pl")} AS value
+FROM paths WHERE link_state <> 0
+""")
+
+
+def rel_angles_sql(inverse: bool = True):
+    a = rotate("p.aoa_phi", "p.aoa_theta", terms("l.aoa_p", "l.aoa_t"), inverse)
+    d = rotate("p.aod_phi", "p.aod_theta", terms("l.aod_p", "l.aod_t"), inverse)
+    return a, d
+
+
+_a, _d = rel_angles_sql()
+register("angles_rel", f"""
+, {los_terms_sql()}
+SELECT p.obs_id, p.k, {RPHI(f"{_a[0]} / 180", 7, 1)} AS aoa_phi, {R(f"{_a[1]} / 180", 7)} AS aoa_theta,
+       {RPHI(f"{_d[0]} / 180", 7, 1)} AS aod_phi, {R(f"{_d[1]} / 180", 7)} AS aod_theta
+FROM paths p JOIN los l ON l.obs_id = p.obs_id WHERE p.link_state <> 0
+""")
+
+
+def pole_phi(phi: str, theta: str) -> str:
+    return f"(CASE WHEN abs(sin(radians({theta}))) < 1e-9 THEN NULL ELSE {RPHI(phi)} END)"
+
+
+register("angles_inverse", f"""
+SELECT obs_id, k, {pole_phi("aoa_phi", "aoa_theta")} AS aoa_phi, {R("aoa_theta", 5)} AS aoa_theta,
+       {pole_phi("aod_phi", "aod_theta")} AS aod_phi, {R("aod_theta", 5)} AS aod_theta
+FROM paths WHERE link_state <> 0
+""")
+
+_EX = f"""
+, ex AS (SELECT obs_id, k, dly, d3d, greatest(0, dly - d3d / {C}) AS e FROM paths WHERE link_state <> 0),
+sc AS (SELECT CASE WHEN coalesce(sum(e), 0) = 0 THEN 1 ELSE sum(e) / count(e) END AS s FROM ex)"""
+register("delays_rel", f"""{_EX}
+SELECT obs_id, k, {R("e / s")} AS value FROM ex, sc
+""")
+register("delays_inverse", f"""
+SELECT obs_id, k, {R(f"greatest(dly, d3d / {C}) * 1e9")} AS value FROM paths WHERE link_state <> 0
+""")
+
+
+def data_vector_sql(src_filter: str, fit_filter: str) -> str:
+    """CTE chain ending in ``dv(obs_id, idx, v)``: the float data vector of the
+    rows in ``src_filter``, with transforms fitted on ``fit_filter``."""
+    a, d = rel_angles_sql()
+    return f"""
+, {los_terms_sql()},
+lp AS (SELECT p.obs_id, p.k, 200.0 - p.pl AS v FROM paths p WHERE {src_filter}),
+mm AS (SELECT lp.k, min(lp.v) AS lo, max(lp.v) AS hi FROM lp JOIN obs p ON p.obs_id = lp.obs_id
+       WHERE {fit_filter} GROUP BY lp.k),
+ex AS (SELECT p.obs_id, p.k, greatest(0, p.dly - p.d3d / {C}) AS e FROM paths p WHERE {src_filter}),
+sc AS (SELECT CASE WHEN coalesce(sum(ex.e), 0) = 0 THEN 1 ELSE sum(ex.e) / count(ex.e) END AS s
+       FROM ex JOIN obs p ON p.obs_id = ex.obs_id WHERE {fit_filter}),
+ang AS (SELECT p.obs_id, p.k, {a[0]} / 180 AS a0, {a[1]} / 180 AS a1, {d[0]} / 180 AS a2, {d[1]} / 180 AS a3
+        FROM paths p JOIN los l ON l.obs_id = p.obs_id WHERE {src_filter}),
+dv AS (
+  SELECT lp.obs_id, lp.k AS idx,
+         CAST(CAST((lp.v - mm.lo) / (CASE WHEN mm.hi - mm.lo <> 0 THEN mm.hi - mm.lo ELSE 1 END) AS FLOAT) AS DOUBLE) AS v
+  FROM lp JOIN mm ON mm.k = lp.k
+  UNION ALL SELECT obs_id, 20 + k, CAST(CAST(a0 AS FLOAT) AS DOUBLE) FROM ang
+  UNION ALL SELECT obs_id, 40 + k, CAST(CAST(a1 AS FLOAT) AS DOUBLE) FROM ang
+  UNION ALL SELECT obs_id, 60 + k, CAST(CAST(a2 AS FLOAT) AS DOUBLE) FROM ang
+  UNION ALL SELECT obs_id, 80 + k, CAST(CAST(a3 AS FLOAT) AS DOUBLE) FROM ang
+  UNION ALL SELECT obs_id, 100 + k, CAST(CAST(e / s AS FLOAT) AS DOUBLE) FROM ex, sc)"""
+
+
+PHI_BLOCK = "((idx >= 20 AND idx < 40) OR (idx >= 60 AND idx < 80))"
+register("data_vector", f"""{data_vector_sql("p.link_state <> 0", "p.link_state <> 0")}
+SELECT obs_id, CAST(idx AS BIGINT) AS idx,
+       CASE WHEN {PHI_BLOCK} THEN {RPHI("v", 5, 1)} ELSE {R("v", 5)} END AS value
+FROM dv
+""")
+
+register("data_vector_inverse", f"""
+, srt AS (SELECT obs_id, row_number() OVER (PARTITION BY obs_id ORDER BY pl) - 1 AS k, pl
+          FROM paths WHERE link_state <> 0)
+SELECT p.obs_id, p.k, {R("s.pl")} AS pl,
+       {pole_phi("p.aoa_phi", "p.aoa_theta")} AS aoa_phi, {R("p.aoa_theta", 5)} AS aoa_theta,
+       {pole_phi("p.aod_phi", "p.aod_theta")} AS aod_phi, {R("p.aod_theta", 5)} AS aod_theta,
+       {R(f"greatest(p.dly, p.d3d / {C}) * 1e9", 5)} AS dly_ns
+FROM paths p JOIN srt s ON s.obs_id = p.obs_id AND s.k = p.k
+WHERE p.link_state <> 0
+""")
+
+register("head_sort", f"""
+, hs AS (SELECT obs_id, pl, row_number() OVER (PARTITION BY obs_id ORDER BY pl DESC) - 1 AS k
+         FROM paths WHERE k < 5)
+SELECT obs_id, k, {R("pl")} AS value FROM hs
+UNION ALL SELECT obs_id, k, {R("pl")} AS value FROM paths WHERE k >= 5
+""")
+
+_TCOND = [_D1, f"log10({_D1})", "z", "(CASE WHEN link_state = 2 THEN 1.0 ELSE 0.0 END)", OH_T]
+register("train_frame", f"""
+, lk AS (SELECT * FROM obs WHERE link_state <> 0),
+{split_ctes("lk", 0.2, 0.0, 42)}{data_vector_sql(
+    "p.link_state <> 0",
+    "p.link_state <> 0 AND p.obs_id IN (SELECT obs_id FROM sp WHERE split = 'train')")},
+cr AS (SELECT obs_id, {', '.join(f'{e} AS f{i}' for i, e in enumerate(_TCOND))} FROM lk),
+st AS (SELECT {', '.join(f'avg(f{i}) AS m{i}, var_pop(f{i}) AS v{i}' for i in range(5))}
+       FROM cr WHERE obs_id IN (SELECT obs_id FROM sp WHERE split = 'train')),
+crs AS (SELECT * FROM cr, st),
+cv AS ({" UNION ALL ".join(f"SELECT obs_id, {i} AS idx, CAST(CAST({scaled(i)} AS FLOAT) AS DOUBLE) AS v FROM crs" for i in range(5))}),
+allv AS (SELECT obs_id, 'cond' AS part, idx, {R("v", 5)} AS v FROM cv
+         UNION ALL SELECT obs_id, 'x' AS part, idx,
+                          CASE WHEN {PHI_BLOCK} THEN {RPHI("v", 5, 1)} ELSE {R("v", 5)} END AS v FROM dv)
+SELECT sp.split, allv.part, CAST(allv.idx AS BIGINT) AS idx, CAST(count(*) AS BIGINT) AS n,
+       {R("avg(allv.v)", 5)} AS mean_value
+FROM allv JOIN sp ON sp.obs_id = allv.obs_id
+GROUP BY sp.split, allv.part, allv.idx
+""")

@@ -20,6 +20,12 @@ from .fixture import observations, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Arrays are exploded with ``posexplode_outer``: for plain ``posexplode`` the
+# optimizer infers ``size(arr) > 0`` and pushes it below the projections that
+# build ``arr``, inlining the whole array expression into the scan filter (a
+# 700k-character plan for the data vector). The arrays here are never NULL or
+# empty, so both give the same rows.
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -40,7 +46,7 @@ def path_rows(obs: DataFrame, *keep: str) -> DataFrame:
     """One row per (observation, path slot ``k``): pl, the four angles, dly."""
     z = F.arrays_zip(F.col("nlos_pl").alias("pl"), F.col("nlos_ang").alias("ang"),
                      F.col("nlos_dly").alias("dly"))
-    e = obs.select("obs_id", *keep, F.posexplode(z).alias("k", "p"))
+    e = obs.select("obs_id", *keep, F.posexplode_outer(z).alias("k", "p"))
     return e.select("obs_id", *keep, F.col("k").cast("bigint").alias("k"),
                     F.col("p.pl").alias("pl"),
                     *[F.col("p.ang")[i].alias(n) for i, n in enumerate(ANGLE_NAMES)],
@@ -140,3 +146,204 @@ def sub_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def add_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every path direction rotated forward by its row's LOS direction."""
     return _rotated_paths(spark, sf_dir, inverse=False)
+
+
+# ---------------------------------------------------------------- splits, augmentation
+@query
+def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded exact 80/20 split of all observations."""
+    return sa.exact_split(observations(spark, sf_dir).select("obs_id"), val_ratio=0.2, seed=42)
+
+
+@query
+def split_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded exact 70/20/10 split (cut points from Python floats)."""
+    return sa.exact_split(observations(spark, sf_dir).select("obs_id"), val_ratio=0.2, test_ratio=0.1, seed=7)
+
+
+@query
+def augment_los_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10 % zero-distance LOS rows drawn with replacement and appended."""
+    obs = observations(spark, sf_dir).select("obs_id", "dvec", "rx_type", "link_state")
+    a = sa.augment_los_zero(obs, frac=0.1, seed=42)
+    x, y, z = geo.vec_elems(F.col("dvec"))
+    return a.select("obs_id", "aug_index", r6(x).alias("x"), r6(y).alias("y"), r6(z).alias("z"),
+                    "rx_type", "link_state")
+
+
+# ---------------------------------------------------------------- features
+def _explode(df: DataFrame, arr: Column, keys=("obs_id",), digits: int = 6, idx: str = "idx") -> DataFrame:
+    e = df.select(*keys, F.posexplode_outer(arr).alias("_i", "_v"))
+    return e.select(*keys, F.col("_i").cast("bigint").alias(idx), r6(F.col("_v").cast("double"), digits).alias("value"))
+
+
+@query
+def link_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fixed-category one-hot of the receiver type (Terrestrial, Aerial)."""
+    obs = observations(spark, sf_dir)
+    oh = fe.one_hot(fe.rx_name(F.col("rx_type")), ("Terrestrial", "Aerial"))
+    return obs.select("obs_id", oh[0].alias("oh_terrestrial"), oh[1].alias("oh_aerial"))
+
+
+@query
+def link_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[onehot * |dvec|, onehot * dz], exploded by slot."""
+    d = fe.link_features(observations(spark, sf_dir))
+    return _explode(d, F.col("features"))
+
+
+@query
+def link_features_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 F5 (+R3): standard scaler fitted on the train part, applied to all rows."""
+    d = fe.link_features(observations(spark, sf_dir))
+    train = sa.split_frames(d, val_ratio=0.2, seed=42)[0]
+    st = fe.fit_standard(train, "features", 4)
+    return _explode(d, fe.standard_transform(F.col("features"), st))
+
+
+@query
+def state_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fitted scaler written as JSON, read back, applied: same as link_features_scaled."""
+    from ..session import work_path
+    d = fe.link_features(observations(spark, sf_dir))
+    train = sa.split_frames(d, val_ratio=0.2, seed=42)[0]
+    path = work_path(spark, "states")
+    fe.save_states(spark, {"link_scaler": fe.fit_standard(train, "features", 4)}, path)
+    st = fe.load_states(spark, path)["link_scaler"]
+    return _explode(d, fe.standard_transform(F.col("features"), st))
+
+
+@query
+def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Condition vector of linked rows, learned one-hot (drop last), scaled."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    enc = fe.fit_one_hot(lk, "rx_type", drop_last=True)
+    raw = fe.with_conditions(lk, enc, out="cond_raw")
+    st = fe.fit_standard(raw, "cond_raw")
+    return _explode(raw, fe.standard_transform(F.col("cond_raw"), st))
+
+
+@query
+def pathloss_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """max_loss - pl[:20], min-max scaled per slot (linked rows)."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    st = fe.fit_path_loss(lk)
+    return _explode(lk, fe.path_loss_transform(F.col("nlos_pl"), st), idx="k")
+
+
+@query
+def pathloss_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inverse of the scaled losses: ascending losses (strongest path first)."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    st = fe.fit_path_loss(lk)
+    inv = fe.path_loss_inverse(fe.path_loss_transform(F.col("nlos_pl"), st), st)
+    return _explode(lk, inv, idx="k")
+
+
+def _angle_rows(df: DataFrame, arr: Column, scale: float, digits: int) -> DataFrame:
+    """Explode an array of 4-angle structs/arrays into per-path rows."""
+    e = df.select("obs_id", F.posexplode_outer(arr).alias("k", "a"))
+    full = 180.0 / scale
+    return e.select("obs_id", F.col("k").cast("bigint").alias("k"),
+                    rphi(F.col("a")[0] / F.lit(scale), digits, full).alias("aoa_phi"),
+                    r6(F.col("a")[1] / F.lit(scale), digits).alias("aoa_theta"),
+                    rphi(F.col("a")[2] / F.lit(scale), digits, full).alias("aod_phi"),
+                    r6(F.col("a")[3] / F.lit(scale), digits).alias("aod_theta"))
+
+
+@query
+def angles_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path angles relative to the LOS directions, / 180 (linked rows)."""
+    lk = fe.with_los_terms(sa.keep_linked(observations(spark, sf_dir)))
+    rel = fe.relative_angles(F.col("nlos_ang"))
+    arr = F.transform(rel, lambda s: F.array(s["aoa_phi"], s["aoa_theta"], s["aod_phi"], s["aod_theta"]))
+    return _angle_rows(lk, arr, 180.0, 7)
+
+
+@query
+def angles_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relative angles added back to the LOS directions = input angles;
+    azimuths are NULL where the input polar angle is 0 or 180 (undefined)."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    d = fe.angles_inverse(fe.angles_transform(lk), "ang_x")
+    z = F.arrays_zip(F.col("nlos_ang").alias("o"), F.col("nlos_ang_hat").alias("h"))
+    e = d.select("obs_id", F.posexplode_outer(z).alias("k", "p"))
+    pole_a = F.abs(F.sin(F.radians(F.col("p.o")[1]))) < F.lit(1e-9)
+    pole_d = F.abs(F.sin(F.radians(F.col("p.o")[3]))) < F.lit(1e-9)
+    return e.select("obs_id", F.col("k").cast("bigint").alias("k"),
+                    F.when(~pole_a, rphi(F.col("p.h")[0])).alias("aoa_phi"), r6(F.col("p.h")[1], 5).alias("aoa_theta"),
+                    F.when(~pole_d, rphi(F.col("p.h")[2])).alias("aod_phi"), r6(F.col("p.h")[3], 5).alias("aod_theta"))
+
+
+@query
+def delays_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """excess delays over the LOS delay divided by their global mean."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    scale = fe.fit_delay_scale(lk)
+    return _explode(lk, fe.delays_transform(F.col("nlos_dly"), F.col("dvec"), scale), idx="k")
+
+
+@query
+def delays_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inverse of the relative delays, in ns (= max(delay, LOS delay))."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    scale = fe.fit_delay_scale(lk)
+    inv = fe.delays_inverse(fe.delays_transform(F.col("nlos_dly"), F.col("dvec"), scale), F.col("dvec"), scale)
+    return _explode(lk, F.transform(inv, lambda v: v * F.lit(1e9)), idx="k")
+
+
+@query
+def data_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[path loss 20 | angles 80 | delays 20] as float32, exploded."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    pp = fe.fit_path_preproc(lk)
+    d = fe.data_vector(lk, pp)
+    e = d.select("obs_id", F.posexplode_outer("x").alias("idx", "v"))
+    v = F.col("v").cast("double")
+    phi_block = ((F.col("idx") >= 20) & (F.col("idx") < 40)) | ((F.col("idx") >= 60) & (F.col("idx") < 80))
+    out = F.when(phi_block, geo.canon_phi(r6(v, 5), 1.0)).otherwise(r6(v, 5))
+    return e.select("obs_id", F.col("idx").cast("bigint").alias("idx"), out.alias("value"))
+
+
+@query
+def data_vector_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16 (+F9/F11/F13): data vector split and inverted; losses come back
+    sorted ascending, angles and delays in slot order (P11 parity)."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    pp = fe.fit_path_preproc(lk)
+    d = fe.data_vector_inverse(fe.data_vector(lk, pp, dtype="double"), pp)
+    z = F.arrays_zip(F.col("nlos_pl_hat").alias("pl"), F.col("nlos_ang").alias("o"),
+                     F.col("nlos_ang_hat").alias("h"), F.col("nlos_dly_hat").alias("dly"))
+    e = d.select("obs_id", F.posexplode_outer(z).alias("k", "p"))
+    pole_a = F.abs(F.sin(F.radians(F.col("p.o")[1]))) < F.lit(1e-9)
+    pole_d = F.abs(F.sin(F.radians(F.col("p.o")[3]))) < F.lit(1e-9)
+    return e.select("obs_id", F.col("k").cast("bigint").alias("k"), r6(F.col("p.pl")).alias("pl"),
+                    F.when(~pole_a, rphi(F.col("p.h")[0])).alias("aoa_phi"), r6(F.col("p.h")[1], 5).alias("aoa_theta"),
+                    F.when(~pole_d, rphi(F.col("p.h")[2])).alias("aod_phi"), r6(F.col("p.h")[3], 5).alias("aod_theta"),
+                    r6(F.col("p.dly") * F.lit(1e9), 5).alias("dly_ns"))
+
+
+@query
+def head_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the first 5 path losses sorted descending, the tail kept in place."""
+    d = fe.head_sorted(observations(spark, sf_dir), "nlos_pl", 5, descending=True, out="hs")
+    return _explode(d, F.col("hs"), idx="k")
+
+
+@query
+def train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F19 T11 (+R1 R2 R3): fit on the linked train part, transform train and
+    val; mean of every condition / data slot per part."""
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    sp = sa.exact_split(lk, val_ratio=0.2, seed=42)
+    pp = fe.fit_path_preproc(sp.filter(F.col("split") == "train"))
+    tf = fe.train_frame(sp, pp, keep=("split",))
+    parts = [tf.select("split", F.lit("cond").alias("part"), F.posexplode_outer("cond").alias("idx", "v")),
+             tf.select("split", F.lit("x").alias("part"), F.posexplode_outer("x").alias("idx", "v"))]
+    u = parts[0].unionByName(parts[1])
+    i = F.col("idx")
+    phi_block = (F.col("part") == "x") & (((i >= 20) & (i < 40)) | ((i >= 60) & (i < 80)))
+    v = r6(F.col("v").cast("double"), 5)
+    u = u.withColumn("v", F.when(phi_block, geo.canon_phi(v, 1.0)).otherwise(v))
+    return u.groupBy("split", "part", i.cast("bigint").alias("idx")).agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("v"), 5).alias("mean_value"))
