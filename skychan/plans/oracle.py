@@ -409,3 +409,98 @@ SELECT sp.split, allv.part, CAST(allv.idx AS BIGINT) AS idx, CAST(count(*) AS BI
 FROM allv JOIN sp ON sp.obs_id = allv.obs_id
 GROUP BY sp.split, allv.part, allv.idx
 """)
+
+
+# ---------------------------------------------------------------- evaluation
+SCORED = f"""
+, lg AS (SELECT obs_id, rx_type, link_state AS label, pred_state AS prediction,
+                (d3d - 1100) / 200 AS l0, -abs(d3d - 850) / 200 AS l1, (600 - d3d) / 200 AS l2 FROM obs),
+ex AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1,
+              exp(l2 - greatest(l0, l1, l2)) AS e2 FROM lg),
+pr AS (SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM ex)"""
+
+register("confusion", f"""
+, lbl AS (SELECT CAST(range AS INTEGER) AS label FROM range(3)),
+cm AS (SELECT link_state AS label,
+              count(*) FILTER (WHERE pred_state = 0) AS c0, count(*) FILTER (WHERE pred_state = 1) AS c1,
+              count(*) FILTER (WHERE pred_state = 2) AS c2 FROM obs GROUP BY link_state)
+SELECT lbl.label, CAST(coalesce(c0, 0) AS BIGINT) AS pred_0, CAST(coalesce(c1, 0) AS BIGINT) AS pred_1,
+       CAST(coalesce(c2, 0) AS BIGINT) AS pred_2
+FROM lbl LEFT JOIN cm ON cm.label = lbl.label
+""")
+
+_CELLS = """
+, cells AS (SELECT count(*) AS n,
+  sum(CASE WHEN link_state = 0 AND pred_state = 0 THEN 1 ELSE 0 END) AS tp0,
+  sum(CASE WHEN link_state = 1 AND pred_state = 1 THEN 1 ELSE 0 END) AS tp1,
+  sum(CASE WHEN link_state = 2 AND pred_state = 2 THEN 1 ELSE 0 END) AS tp2,
+  sum(CASE WHEN link_state = 0 THEN 1 ELSE 0 END) AS sup0, sum(CASE WHEN link_state = 1 THEN 1 ELSE 0 END) AS sup1,
+  sum(CASE WHEN link_state = 2 THEN 1 ELSE 0 END) AS sup2,
+  sum(CASE WHEN pred_state = 0 THEN 1 ELSE 0 END) AS prd0, sum(CASE WHEN pred_state = 1 THEN 1 ELSE 0 END) AS prd1,
+  sum(CASE WHEN pred_state = 2 THEN 1 ELSE 0 END) AS prd2 FROM obs)"""
+
+
+def _ratio(a, b):
+    return f"(CASE WHEN {b} = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END)"
+
+
+_per = " UNION ALL ".join(
+    f"SELECT '{nm}' AS class, {_ratio(f'tp{c}', f'prd{c}')} AS p, {_ratio(f'tp{c}', f'sup{c}')} AS r, sup{c} AS s FROM cells"
+    for c, nm in enumerate(("No-Link", "NLOS", "LOS")))
+register("class_report", f"""{_CELLS},
+per AS (SELECT class, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2.0 * p * r / (p + r) END AS f, s FROM ({_per})),
+rep AS (
+  SELECT class, p, r, f, s FROM per
+  UNION ALL SELECT 'accuracy', NULL, NULL, {_ratio("tp0 + tp1 + tp2", "n")}, n FROM cells
+  UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(s) FROM per
+  UNION ALL SELECT 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) FROM per)
+SELECT class, {R("p")} AS precision, {R("r")} AS recall, {R("f")} AS f1_score, CAST(s AS BIGINT) AS support FROM rep
+""")
+
+register("class_accuracy", f"""{_CELLS}
+SELECT 0 AS label, {R("CASE WHEN sup0 > 0 THEN tp0 / sup0 END")} AS accuracy FROM cells
+UNION ALL SELECT 1, {R("CASE WHEN sup1 > 0 THEN tp1 / sup1 END")} FROM cells
+UNION ALL SELECT 2, {R("CASE WHEN sup2 > 0 THEN tp2 / sup2 END")} FROM cells
+""")
+
+register("overall_accuracy", f"""
+SELECT {R("avg(CASE WHEN pred_state = link_state THEN 1.0 ELSE 0.0 END)")} AS accuracy, CAST(count(*) AS BIGINT) AS n
+FROM obs
+""")
+
+_PL_ = "(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)"
+_AM = "(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)"
+register("cross_entropy", f"""{SCORED}
+SELECT rx_type, CAST(count(*) AS BIGINT) AS n,
+       {R(f"avg(-ln(greatest(CAST(1e-7 AS DOUBLE), least(1 - CAST(1e-7 AS DOUBLE), {_PL_}))))")} AS cross_entropy,
+       {R(f"avg(CASE WHEN {_AM} = label THEN 1.0 ELSE 0.0 END)")} AS argmax_accuracy
+FROM pr GROUP BY rx_type
+""")
+
+_u = U("'42'", "'state'", ID())
+register("sample_state", f"""{SCORED}
+SELECT obs_id, CAST(CASE WHEN {_u} <= p0 THEN 0 WHEN {_u} <= p0 + p1 THEN 1 WHEN {_u} <= p0 + p1 + p2 THEN 2
+                    ELSE 2 END AS INTEGER) AS sampled_state
+FROM pr
+""")
+
+register("timing_stats", f"""
+WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rk,
+                  count(*) OVER (PARTITION BY event_type) AS n
+           FROM events WHERE value IS NOT NULL AND NOT isnan(value))
+SELECT event_type, CAST(count(*) AS BIGINT) AS count, {R("avg(value)")} AS mean_ms,
+       {R("(max(CASE WHEN rk = floor((n - 1) / 2) THEN value END) + max(CASE WHEN rk = floor(n / 2) THEN value END)) / 2")} AS median_ms,
+       {R("min(value)")} AS min_ms, {R("max(value)")} AS max_ms,
+       {R("CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END")} AS stddev_ms, {R("sum(value)")} AS total_ms,
+       {R("max(CASE WHEN rk = (CASE WHEN n >= 20 THEN floor(CAST(0.95 AS DOUBLE) * n) ELSE n - 1 END) THEN value END)")} AS p95_ms,
+       {R("max(CASE WHEN rk = (CASE WHEN n >= 100 THEN floor(CAST(0.99 AS DOUBLE) * n) ELSE n - 1 END) THEN value END)")} AS p99_ms
+FROM s GROUP BY event_type
+""", fixture=False)
+
+register("throughput", f"""
+WITH b AS (SELECT event_type, arg_min(value, event_id) AS base FROM events GROUP BY event_type)
+SELECT e.event_type, e.event_id, {R("e.value")} AS time_ms,
+       {R("CASE WHEN e.value > 0 THEN 1000.0 / (e.value / 1000.0) ELSE 0 END")} AS rows_per_s,
+       {R("CASE WHEN e.value > 0 THEN b.base / e.value ELSE 0 END")} AS speedup
+FROM events e JOIN b ON b.event_type = e.event_type
+""", fixture=False)

@@ -347,3 +347,86 @@ def train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = u.withColumn("v", F.when(phi_block, geo.canon_phi(v, 1.0)).otherwise(v))
     return u.groupBy("split", "part", i.cast("bigint").alias("idx")).agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("v"), 5).alias("mean_value"))
+
+
+# ---------------------------------------------------------------- evaluation
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with truth, the fixed rule-based prediction, and softmax
+    class probabilities from distance-based logits (M3)."""
+    from ..functions.nn import softmax
+    obs = observations(spark, sf_dir)
+    x, y, z = geo.vec_elems(F.col("dvec"))
+    d3d = geo.norm3(x, y, z)
+    logits = F.array((d3d - 1100) / 200, -F.abs(d3d - 850) / 200, (600 - d3d) / 200)
+    return obs.select("obs_id", "rx_type", F.col("link_state").alias("label"),
+                      F.col("pred_state").alias("prediction"), softmax(logits).alias("probability"))
+
+
+@query
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion matrix of the rule-based prediction."""
+    from ..operators.metrics import confusion_matrix
+    return confusion_matrix(_scored(spark, sf_dir))
+
+
+@query
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision / recall / F1 / support, accuracy, macro and weighted avg."""
+    from ..operators.metrics import classification_report
+    r = classification_report(_scored(spark, sf_dir))
+    return r.select("class", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1_score")], "support")
+
+
+@query
+def class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class accuracy (diagonal / row sum)."""
+    from ..operators.metrics import per_class_accuracy
+    r = per_class_accuracy(_scored(spark, sf_dir))
+    return r.select("label", r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query
+def overall_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall accuracy."""
+    from ..operators.metrics import overall_accuracy as acc
+    r = acc(_scored(spark, sf_dir))
+    return r.select(r6(F.col("accuracy")).alias("accuracy"), "n")
+
+
+@query
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5 M3 M4: softmax probabilities, sparse cross-entropy and arg-max
+    accuracy per receiver type."""
+    from ..functions.nn import argmax, sparse_cross_entropy_row
+    s = _scored(spark, sf_dir)
+    ce = sparse_cross_entropy_row(F.col("probability"), F.col("label"))
+    hit = (argmax(F.col("probability")) == F.col("label")).cast("double")
+    return s.groupBy("rx_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(ce)).alias("cross_entropy"),
+                                    r6(F.avg(hit)).alias("argmax_accuracy"))
+
+
+@query
+def sample_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: link state drawn from the class probabilities by inverse CDF with a
+    seeded uniform per observation."""
+    from ..functions.nn import inverse_cdf_draw
+    from ..functions.uniform import hash_uniform
+    s = _scored(spark, sf_dir)
+    u = hash_uniform(42, "state", F.col("obs_id"))
+    return s.select("obs_id", inverse_cdf_draw(F.col("probability"), u).alias("sampled_state"))
+
+
+@query
+def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timing statistics of ``events.value`` per event type (exact p95/p99)."""
+    from ..operators.metrics import timing_stats as ts
+    r = ts(read_table(spark, sf_dir, "events"), ["event_type"], "value")
+    return r.select("event_type", "count", *[r6(F.col(c)).alias(c) for c in r.columns[2:]])
+
+
+@query
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows/s and speed-up against the first run of each event type."""
+    from ..operators.metrics import throughput as tp
+    r = tp(read_table(spark, sf_dir, "events"), "event_type", "event_id", "value", rows=1000)
+    return r.select("event_type", "event_id", *[r6(F.col(c)).alias(c) for c in ("time_ms", "rows_per_s", "speedup")])
