@@ -504,3 +504,156 @@ SELECT e.event_type, e.event_id, {R("e.value")} AS time_ms,
        {R("CASE WHEN e.value > 0 THEN b.base / e.value ELSE 0 END")} AS speedup
 FROM events e JOIN b ON b.event_type = e.event_type
 """, fixture=False)
+
+
+# ---------------------------------------------------------------- sources, decoding, validation
+def F32(e: str) -> str:
+    return f"CAST(CAST({e} AS FLOAT) AS DOUBLE)"
+
+
+_ROUNDTRIP = f"""
+, pa AS (SELECT obs_id, count(*) AS n, sum({F32("pl")}) AS spl,
+                sum({F32("aoa_phi")}) + sum({F32("aoa_theta")}) + sum({F32("aod_phi")}) + sum({F32("aod_theta")}) AS sang,
+                sum({F32("dly")}) AS sdly FROM paths GROUP BY obs_id)
+SELECT o.obs_id, {R(F32("o.x"))} AS x, {R(F32("o.y"))} AS y, {R(F32("o.z"))} AS z, o.rx_type, o.link_state,
+       {R(F32("o.los_pl"), 4)} AS los_pl, {R(F32("o.los_dly") + " * 1e9", 3)} AS los_dly_ns,
+       CAST(pa.n AS BIGINT) AS n_paths, {R("pa.spl", 3)} AS pl_sum, {R("pa.sang", 3)} AS ang_sum,
+       {R("pa.sdly * 1e9", 3)} AS dly_sum_ns
+FROM obs o JOIN pa ON pa.obs_id = o.obs_id
+"""
+register("decode_roundtrip", _ROUNDTRIP)
+register("ingest_stream", _ROUNDTRIP)
+
+
+def _sq(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+_TOKENS = "(" + ", ".join(_sq(t) for t in __import__("skychan.schema", fromlist=["x"]).NULL_TOKENS) + ")"
+
+
+def _cells_sql() -> str:
+    from .queries import CORRUPT
+    normal = {
+        "dvec": "CAST([x, y, z] AS VARCHAR)", "rx_type": "CAST(rx_type AS VARCHAR)",
+        "link_state": "CAST(link_state AS VARCHAR)", "los_pl": "CAST(los_pl AS VARCHAR)",
+        "los_ang": "'[0.0,0.0,0.0,0.0]'", "los_dly": "CAST(los_dly AS VARCHAR)",
+        "nlos_pl": "CAST(pl_l AS VARCHAR)", "nlos_ang": "CAST(ang_l AS VARCHAR)", "nlos_dly": "CAST(dly_l AS VARCHAR)",
+    }
+    cols = []
+    for c, e in normal.items():
+        if c in CORRUPT:
+            whens = " ".join(f"WHEN {k} THEN {_sq(v)}" for k, v in CORRUPT[c].items())
+            e = f"CASE obs_id % 50 {whens} ELSE {e} END"
+        cols.append(f"{e} AS {c}")
+    return f"""
+, pl AS (SELECT obs_id, list(pl ORDER BY k) AS pl_l, list([aoa_phi, aoa_theta, aod_phi, aod_theta] ORDER BY k) AS ang_l,
+                list(dly ORDER BY k) AS dly_l FROM paths GROUP BY obs_id),
+cells AS (SELECT obs_id, {', '.join(cols)} FROM obs JOIN pl USING (obs_id))"""
+
+
+def _dec(c: str):
+    """(is_null_after_decode, is_reject, is_wrong_size, decoded_size) SQL for a cell column."""
+    from ..schema import SPEC
+    tok = f"({c} IS NULL OR {c} IN {_TOKENS})"
+    elem, dims = SPEC[c]
+    if not dims:
+        if elem == "int":
+            ok = f"(TRY_CAST(trim({c}) AS INTEGER) BETWEEN 0 AND 255)"
+        else:
+            ok = f"(TRY_CAST(trim({c}) AS FLOAT) IS NOT NULL)"
+        null = f"({tok} OR NOT coalesce({ok}, false))"
+        return null, f"(NOT {tok} AND {null})", "false", "NULL"
+    typ = "FLOAT[]" if len(dims) == 1 else "FLOAT[][]"
+    arr = f"TRY_CAST({c} AS {typ})"
+    ok = (f"(json_valid({c}) AND (CASE WHEN json_valid({c}) THEN json_type({c}) END) = 'ARRAY' "
+          f"AND NOT regexp_matches({c}, '(?i)nan|inf') AND {arr} IS NOT NULL)")
+    null = f"({tok} OR NOT coalesce({ok}, false))"
+    wrong = f"len({arr}) <> {dims[0]}"
+    if len(dims) == 2:
+        wrong += f" OR len(list_filter({arr}, lambda a: a IS NULL OR len(a) <> {dims[1]})) > 0"
+    return null, f"(NOT {tok} AND {null})", f"(NOT {null} AND ({wrong}))", f"(CASE WHEN NOT {null} THEN len({arr}) END)"
+
+
+def _decode_rejects_sql() -> str:
+    from ..schema import SPEC
+    parts = []
+    for c in SPEC:
+        n, r, w, _ = _dec(c)
+        parts.append(f"SELECT '{c}' AS column, CAST(sum(CASE WHEN {n} THEN 1 ELSE 0 END) AS BIGINT) AS n_null, "
+                     f"CAST(sum(CASE WHEN {r} THEN 1 ELSE 0 END) AS BIGINT) AS n_rejects, "
+                     f"CAST(sum(CASE WHEN {w} THEN 1 ELSE 0 END) AS BIGINT) AS n_wrong_size FROM cells")
+    return _cells_sql() + "\n" + "\nUNION ALL ".join(parts)
+
+
+def _profile_sql() -> str:
+    from ..schema import SPEC
+    types = {"dvec": "array<float>", "rx_type": "int", "link_state": "int", "los_pl": "float",
+             "los_ang": "array<float>", "los_dly": "float", "nlos_pl": "array<float>",
+             "nlos_ang": "array<array<float>>", "nlos_dly": "array<float>"}
+    parts = ["SELECT 'obs_id' AS column, 'bigint' AS dtype, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_null, "
+             "CAST(NULL AS BIGINT) AS min_dim, CAST(NULL AS BIGINT) AS max_dim FROM cells"]
+    for c in SPEC:
+        n, _, _, size = _dec(c)
+        parts.append(f"SELECT '{c}', '{types[c]}', CAST(count(*) AS BIGINT), "
+                     f"CAST(sum(CASE WHEN {n} THEN 1 ELSE 0 END) AS BIGINT), "
+                     f"CAST(min({size}) AS BIGINT), CAST(max({size}) AS BIGINT) FROM cells")
+    return _cells_sql() + "\n" + "\nUNION ALL ".join(parts)
+
+
+def _validate_sql() -> str:
+    from ..schema import SPEC
+    nulls = " + ".join(f"(CASE WHEN {_dec(c)[0]} THEN 1 ELSE 0 END)" for c in SPEC)
+    wrong = " + ".join(f"(CASE WHEN {_dec(c)[2]} THEN 1 ELSE 0 END)" for c in SPEC if SPEC[c][1])
+    rx = "TRY_CAST(trim(rx_type) AS INTEGER)"
+    ls = "TRY_CAST(trim(link_state) AS INTEGER)"
+    bad = (f"(CASE WHEN NOT {_dec('link_state')[0]} AND {ls} NOT IN (0, 1, 2) THEN 1 ELSE 0 END) + "
+           f"(CASE WHEN NOT {_dec('rx_type')[0]} AND {rx} NOT IN (0, 1) THEN 1 ELSE 0 END)")
+    return _cells_sql() + f"""
+, v AS (SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum({nulls}) AS BIGINT) AS n_null_cells,
+               CAST(sum({wrong}) AS BIGINT) AS n_wrong_size, CAST(sum({bad}) AS BIGINT) AS n_bad_code FROM cells)
+SELECT n_rows, '' AS missing_columns, n_null_cells, n_wrong_size, n_bad_code,
+       (n_rows > 0 AND n_wrong_size = 0) AS is_valid FROM v"""
+
+
+register("decode_rejects", _decode_rejects_sql())
+register("profile", _profile_sql())
+register("validate", _validate_sql())
+
+_TOKLIST = "[" + ", ".join(_sq(t) for t in __import__("skychan.schema", fromlist=["x"]).NULL_TOKENS) + "]"
+register("null_tokens", f"""
+, rw AS (SELECT CASE WHEN obs_id % 4 = 0 THEN list_extract({_TOKLIST}, CAST(floor(obs_id / 4) AS BIGINT) % 17 + 1)
+                     ELSE CAST(los_pl AS VARCHAR) END AS raw FROM obs),
+dv AS (SELECT raw, CASE WHEN raw IS NULL OR raw IN {_TOKENS} THEN NULL ELSE TRY_CAST(trim(raw) AS FLOAT) END AS v FROM rw)
+SELECT CASE WHEN v IS NULL THEN raw ELSE '<value>' END AS cell, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null
+FROM dv GROUP BY 1
+""")
+
+register("load_union", f"""
+SELECT rx_type, link_state, CAST(count(*) AS BIGINT) AS n, {R(f"sum({F32('x')})", 2)} AS sum_x
+FROM obs WHERE obs_id % 3 <> 1 GROUP BY rx_type, link_state
+""")
+
+_NAME = "(CASE rx_type WHEN 0 THEN 'Terrestrial' WHEN 1 THEN 'Aerial' END)"
+register("rx_norm", f"""
+, rw AS (SELECT CASE obs_id % 5 WHEN 0 THEN CAST(rx_type AS VARCHAR) WHEN 1 THEN {_NAME}
+                 WHEN 2 THEN ' ' || CAST(rx_type AS VARCHAR) || ' ' WHEN 3 THEN lower({_NAME}) ELSE '2' END AS raw FROM obs)
+SELECT raw, CASE trim(raw) WHEN '0' THEN 'Terrestrial' WHEN '1' THEN 'Aerial' WHEN 'Terrestrial' THEN 'Terrestrial'
+                 WHEN 'Aerial' THEN 'Aerial' END AS rx_name, CAST(count(*) AS BIGINT) AS n
+FROM rw GROUP BY 1, 2
+""")
+
+register("state_labels", f"""
+, lb AS (SELECT obs_id, CASE link_state WHEN 0 THEN 'NO_LINK' WHEN 1 THEN 'NLOS' WHEN 2 THEN 'LOS' END AS state_label,
+                upper(list_extract(['aoa_phi', 'aoa_theta', 'aod_phi', 'aod_theta'], CAST(obs_id % 4 + 1 AS INTEGER))) AS angle_name
+         FROM obs),
+vr AS (SELECT *, CASE obs_id % 3 WHEN 0 THEN state_label WHEN 1 THEN lower(state_label)
+                 ELSE upper(substr(state_label, 1, 1)) || lower(substr(state_label, 2)) END AS variant FROM lb)
+SELECT obs_id, state_label, variant,
+       CAST(CASE lower(variant) WHEN 'no_link' THEN 0 WHEN 'nlos' THEN 1 WHEN 'los' THEN 2 END AS INTEGER) AS state_code,
+       angle_name,
+       CAST(CASE lower(angle_name) WHEN 'aoa_phi' THEN 0 WHEN 'aoa_theta' THEN 1 WHEN 'aod_phi' THEN 2
+            WHEN 'aod_theta' THEN 3 END AS INTEGER) AS angle_idx
+FROM vr
+""")

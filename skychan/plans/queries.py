@@ -430,3 +430,168 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.metrics import throughput as tp
     r = tp(read_table(spark, sf_dir, "events"), "event_type", "event_id", "value", rows=1000)
     return r.select("event_type", "event_id", *[r6(F.col(c)).alias(c) for c in ("time_ms", "rows_per_s", "speedup")])
+
+
+# ---------------------------------------------------------------- sources, decoding, validation
+from ..schema import NULL_TOKENS  # noqa: E402
+from ..sources import decode as dc  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+
+CANON = ["obs_id", "dvec", "rx_type", "link_state", "los_pl", "los_ang", "los_dly", "nlos_pl", "nlos_ang", "nlos_dly"]
+
+# Fixed corruption rule of the decode test table: obs_id % 50 -> raw cell.
+CORRUPT = {
+    "dvec": {1: "oops", 2: "[1,2", 3: "", 4: "5", 5: '{"a":1}', 6: "[NaN,1]", 7: "[1,2]", 8: "[1,null]", 9: "NA"},
+    "rx_type": {10: "300", 11: "abc", 12: "null", 17: " 1 "},
+    "los_pl": {13: "nan", 14: "x1", 18: "-1.#IND"},
+    "nlos_ang": {15: "[[1,2,3,4]]", 16: "[[1,2],[3"},
+    "nlos_pl": {19: "[1e5]", 20: "[Infinity]"},
+}
+
+
+def corrupted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV-style cells of the fixture with the CORRUPT rule applied."""
+    raw = sio.encode_cells(observations(spark, sf_dir).select(*CANON))
+    m = F.col("obs_id").cast("bigint") % 50
+    cols = []
+    for c in raw.columns:
+        if c in CORRUPT:
+            e = None
+            for k, v in CORRUPT[c].items():
+                e = (F.when(m == k, F.lit(v)) if e is None else e.when(m == k, F.lit(v)))
+            cols.append(e.otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(c))
+    return raw.select(*cols)
+
+
+def _roundtrip_out(d: DataFrame) -> DataFrame:
+    x, y, z = geo.vec_elems(F.col("dvec"))
+    dbl = lambda c: c.cast("double")
+    return d.select(
+        F.col("obs_id").cast("bigint").alias("obs_id"),
+        r6(dbl(x)).alias("x"), r6(dbl(y)).alias("y"), r6(dbl(z)).alias("z"), "rx_type", "link_state",
+        r6(dbl(F.col("los_pl")), 4).alias("los_pl"), r6(dbl(F.col("los_dly")) * F.lit(1e9), 3).alias("los_dly_ns"),
+        F.size("nlos_pl").cast("bigint").alias("n_paths"),
+        r6(array_sum(F.col("nlos_pl")), 3).alias("pl_sum"),
+        r6(array_sum(F.flatten(F.col("nlos_ang"))), 3).alias("ang_sum"),
+        r6(array_sum(F.col("nlos_dly")) * F.lit(1e9), 3).alias("dly_sum_ns"))
+
+
+@query
+def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture written as CSV with JSON cells, read back by
+    name and decoded to the declared float/int types."""
+    from ..session import work_path
+    path = work_path(spark, "observations") + ".csv"
+    sio.save_observations(observations(spark, sf_dir), path, columns=CANON)
+    return _roundtrip_out(sio.load_observations(spark, path))
+
+
+@query
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same CSV files ingested by a file stream (availableNow) into a
+    Parquet table with a checkpoint; equals the batch decode."""
+    from ..session import work_path
+    from ..streaming.ingest import ingest
+    src = work_path(spark, "stream-src")
+    sio.save_observations(observations(spark, sf_dir).repartition(4, "obs_id"), src, fmt="csv", columns=CANON)
+    out = work_path(spark, "stream-out")
+    ck = work_path(spark, "stream-ckpt")
+    return _roundtrip_out(ingest(spark, src, out, ck, max_files_per_trigger=2))
+
+
+@query
+def decode_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per declared column, NULL cells, rejected cells (present,
+    not a null token, not decodable) and arrays of the wrong shape."""
+    from ..operators.quality import wrong_size
+    d = dc.decode_observations(corrupted_cells(spark, sf_dir), with_rejects=True)
+    aggs = []
+    names = list(CANON[1:])
+    for c in names:
+        aggs += [F.sum(F.col(c).isNull().cast("bigint")).alias(f"{c}__n"),
+                 F.sum(F.col(f"{c}__reject").cast("bigint")).alias(f"{c}__r"),
+                 F.sum(wrong_size(c, F.col(c)).cast("bigint")).alias(f"{c}__w")]
+    s = d.agg(*aggs)
+    stack = ", ".join(f"'{c}', `{c}__n`, `{c}__r`, `{c}__w`" for c in names)
+    return s.selectExpr(f"stack({len(names)}, {stack}) as (column, n_null, n_rejects, n_wrong_size)")
+
+
+@query
+def null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NA-like strings become NULL; counts per raw cell value (other cells
+    are counted as '<value>')."""
+    obs = observations(spark, sf_dir).select("obs_id", "los_pl")
+    toks = F.array(*[F.lit(t) for t in NULL_TOKENS])
+    k = F.col("obs_id")
+    cell = F.when(k % 4 == 0, F.element_at(toks, ((k / 4).cast("bigint") % len(NULL_TOKENS) + 1).cast("int"))) \
+        .otherwise(F.col("los_pl").cast("string"))
+    d = obs.select(cell.alias("raw")).select("raw", dc.decode_scalar(F.col("raw"), "los_pl").alias("v"))
+    label = F.when(F.col("v").isNull(), F.col("raw")).otherwise(F.lit("<value>"))
+    return d.groupBy(label.alias("cell")).agg(F.count(F.lit(1)).alias("n"),
+                                              F.sum(F.col("v").isNull().cast("bigint")).alias("n_null"))
+
+
+@query
+def load_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files (all columns; one column missing -> skipped;
+    columns permuted) plus a missing path, unioned by name."""
+    from ..session import work_path
+    obs = observations(spark, sf_dir).select(*CANON)
+    k = F.col("obs_id") % 3
+    base = work_path(spark, "parts")
+    a, b, c = f"{base}/a.csv", f"{base}/b.csv", f"{base}/c.csv"
+    sio.save_observations(obs.filter(k == 0), a)
+    sio.save_observations(obs.filter(k == 1), b, columns=[x for x in CANON if x != "los_dly"])
+    sio.save_observations(obs.filter(k == 2), c, columns=list(reversed(CANON)))
+    d = sio.load_observations(spark, [a, b, "missing.csv", c], data_dir=base)
+    x = geo.vec_elems(F.col("dvec"))[0]
+    return d.groupBy("rx_type", "link_state").agg(F.count(F.lit(1)).alias("n"),
+                                                  r6(F.sum(x.cast("double")), 2).alias("sum_x"))
+
+
+@query
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dtype, count, NULL count, min/max outer size per decoded column."""
+    from ..operators.quality import profile as prof
+    d = dc.decode_observations(corrupted_cells(spark, sf_dir))
+    return prof(d)
+
+
+@query
+def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation report of the decoded corrupted table."""
+    from ..operators.quality import validate as val
+    return val(dc.decode_observations(corrupted_cells(spark, sf_dir)))
+
+
+@query
+def rx_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receiver spellings (code, name, padded code, lower-case name,
+    unknown code 2) -> name; unknown -> NULL."""
+    from ..schema import RX_TYPES
+    obs = observations(spark, sf_dir).select("obs_id", "rx_type")
+    names = F.array(*[F.lit(n) for n in RX_TYPES])
+    name = F.element_at(names, F.col("rx_type") + 1)
+    m = F.col("obs_id") % 5
+    raw = (F.when(m == 0, F.col("rx_type").cast("string")).when(m == 1, name)
+           .when(m == 2, F.concat(F.lit(" "), F.col("rx_type").cast("string"), F.lit(" ")))
+           .when(m == 3, F.lower(name)).otherwise(F.lit("2")))
+    d = obs.select(raw.alias("raw")).select("raw", dc.normalize_rx(F.col("raw"), on_unknown="null").alias("rx_name"))
+    return d.groupBy("raw", "rx_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def state_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link-state code <-> label and angle name -> slot, case-insensitive."""
+    from ..schema import ANGLE_NAMES as AN
+    obs = observations(spark, sf_dir).select("obs_id", "link_state")
+    lab = dc.link_state_label(F.col("link_state"))
+    m = F.col("obs_id") % 3
+    var = (F.when(m == 0, lab).when(m == 1, F.lower(lab))
+           .otherwise(F.concat(F.upper(F.substring(lab, 1, 1)), F.lower(F.substring(lab, 2, 100)))))
+    ang = F.upper(F.element_at(F.array(*[F.lit(a) for a in AN]), (F.col("obs_id") % 4 + 1).cast("int")))
+    return obs.select("obs_id", lab.alias("state_label"), var.alias("variant"),
+                      dc.link_state_code(var).alias("state_code"), ang.alias("angle_name"),
+                      dc.angle_index(ang).alias("angle_idx"))

@@ -103,7 +103,7 @@ def link_state_label(code: Column) -> Column:
 
 def _label_to_code(label: Column, names: Sequence[str]) -> Column:
     m = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n.lower()), F.lit(i))])
-    return F.try_element_at(m, F.lower(F.trim(label))).cast("int")
+    return F.try_element_at(m, F.lower(label)).cast("int")
 
 
 def link_state_code(label: Column) -> Column:
