@@ -657,3 +657,80 @@ SELECT obs_id, state_label, variant,
             WHEN 'aod_theta' THEN 3 END AS INTEGER) AS angle_idx
 FROM vr
 """)
+
+
+# ---------------------------------------------------------------- generative-model maths (embeddings)
+def NORMAL(*parts: str) -> str:
+    u1, u2 = UO(*parts, "'n1'"), UO(*parts, "'n2'")
+    return f"(sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2}))"
+
+
+EMB = """
+WITH ev AS (SELECT vec_id, label, i,
+                   CAST(embedding[1 + i] AS DOUBLE) AS x, CAST(embedding[21 + i] AS DOUBLE) AS mu,
+                   CAST(embedding[41 + i] AS DOUBLE) * 10.0 AS lv
+            FROM embeddings, range(20) t(i))"""
+register("reparam", f"""{EMB}
+SELECT vec_id, CAST(i AS BIGINT) AS idx,
+       {R(f"mu + {NORMAL(chr(39) + '42' + chr(39), 'CAST(vec_id AS VARCHAR)', 'CAST(i AS VARCHAR)')} * exp(lv * 0.5)")} AS value
+FROM ev
+""", fixture=False)
+
+_LV = "greatest(-10.0, least(10.0, lv))"
+register("recon_loss", f"""{EMB},
+rw AS (SELECT vec_id, label, 0.5 * sum(exp(-{_LV}) * (x - mu) * (x - mu) + {_LV}) AS l FROM ev GROUP BY vec_id, label)
+SELECT label, CAST(count(*) AS BIGINT) AS n, {R("avg(l)")} AS recon_loss FROM rw GROUP BY label
+""", fixture=False)
+
+register("kl_term", f"""{EMB},
+rw AS (SELECT vec_id, label, sum(1.0 + {_LV} - mu * mu - exp({_LV})) AS s FROM ev GROUP BY vec_id, label)
+SELECT label, CAST(count(*) AS BIGINT) AS n, {R("avg(1.0 * s)")} AS kl_raw, {R("avg(1.0 * (-0.5 * s))")} AS kl
+FROM rw GROUP BY label
+""", fixture=False)
+
+register("logvar_floor", f"""{EMB}
+SELECT vec_id, CAST(i AS BIGINT) AS idx,
+       {R("ln(CAST(1e-4 AS DOUBLE) + (greatest(lv, 0) + ln(1 + exp(-abs(lv)))))")} AS value
+FROM ev
+""", fixture=False)
+
+
+# ---------------------------------------------------------------- synthetic data
+def UB(lo: float, hi: float, *parts: str) -> str:
+    return f"({lo!r} + {hi - lo!r} * {U(*parts)})"
+
+
+def _synth_sql() -> str:
+    from ..operators.synth import (DVEC_RANGE, LOS_DLY_RANGE, LOS_PL_RANGE, NLOS_ANG_RANGES, NLOS_DLY_RANGE,
+                                   NLOS_PL_RANGE)
+    k = "CAST(o_orderkey AS VARCHAR)"
+    j = "CAST(j AS VARCHAR)"
+    ang = ", ".join(f"avg({UB(lo, hi, chr(39) + '42' + chr(39), chr(39) + f'a{a}' + chr(39), k, j)}) AS a{a}"
+                    for a, (lo, hi) in enumerate(NLOS_ANG_RANGES))
+    s42 = "'42'"
+    dv = [UB(*DVEC_RANGE, s42, "'dvec'", k, f"'{i}'") for i in range(3)]
+    return f"""
+WITH pp AS (SELECT o_orderkey, avg({UB(*NLOS_PL_RANGE, s42, "'pl'", k, j)}) AS pl, {ang},
+                   avg({UB(*NLOS_DLY_RANGE, s42, "'dly'", k, j)}) AS dly
+            FROM orders, range(20) t(j) GROUP BY o_orderkey)
+SELECT o.o_orderkey AS obs_id, {R(dv[0])} AS x, {R(dv[1])} AS y, {R(dv[2])} AS z,
+       CAST(floor({U(s42, "'rx'", "CAST(o.o_orderkey AS VARCHAR)")} * 3) AS INTEGER) AS rx_type,
+       CAST(floor({U(s42, "'ls'", "CAST(o.o_orderkey AS VARCHAR)")} * 3) AS INTEGER) AS link_state,
+       {R(UB(*LOS_PL_RANGE, s42, "'lpl'", "CAST(o.o_orderkey AS VARCHAR)"))} AS los_pl,
+       {R(UB(*LOS_DLY_RANGE, s42, "'ldly'", "CAST(o.o_orderkey AS VARCHAR)") + " * 1e9")} AS los_dly_ns,
+       {R("pp.pl")} AS pl_mean, {R("pp.a0")} AS a0_mean, {R("pp.a1")} AS a1_mean, {R("pp.a2")} AS a2_mean,
+       {R("pp.a3")} AS a3_mean, {R("pp.dly * 1e9")} AS dly_mean_ns
+FROM orders o JOIN pp ON pp.o_orderkey = o.o_orderkey
+""".replace("CAST(o_orderkey AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)")
+
+
+register("synth_obs", _synth_sql().replace("o.o_orderkey", "o_orderkey").replace(
+    "FROM orders o JOIN pp ON pp.o_orderkey = o_orderkey", "FROM orders JOIN pp USING (o_orderkey)"), fixture=False)
+
+_k = "CAST(o_orderkey AS VARCHAR)"
+register("synth_vectors", f"""
+SELECT o_orderkey AS obs_id, {R(NORMAL("'42'", "'cx'", _k))} AS cx, {R(NORMAL("'42'", "'cy'", _k))} AS cy,
+       {R(NORMAL("'42'", "'cz'", _k))} AS cz, {R(UB(0.1, 100.0, "'42'", "'r'", _k))} AS r,
+       {R(UB(-180.0, 180.0, "'42'", "'phi'", _k))} AS phi, {R(UB(0.0, 180.0, "'42'", "'theta'", _k))} AS theta
+FROM orders
+""", fixture=False)

@@ -595,3 +595,81 @@ def state_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.select("obs_id", lab.alias("state_label"), var.alias("variant"),
                       dc.link_state_code(var).alias("state_code"), ang.alias("angle_name"),
                       dc.angle_index(ang).alias("angle_idx"))
+
+
+# ---------------------------------------------------------------- generative-model maths (embeddings)
+def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x = elements 0-19, mu = 20-39, logvar = 10 x elements 40-59 of ``embedding``."""
+    e = read_table(spark, sf_dir, "embeddings")
+    emb = F.col("embedding")
+    dbl = lambda s, f=1.0: F.transform(s, lambda v: v.cast("double") * F.lit(f))
+    return e.select("vec_id", "label", dbl(F.slice(emb, 1, 20)).alias("x"), dbl(F.slice(emb, 21, 20)).alias("mu"),
+                    dbl(F.slice(emb, 41, 20), 10.0).alias("lv"))
+
+
+@query
+def reparam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: mu + eps * exp(logvar / 2) with seeded Box-Muller normals."""
+    from ..functions.nn import reparameterize
+    from ..functions.uniform import hash_normal
+    e = _emb(spark, sf_dir)
+    eps = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: hash_normal(42, F.col("vec_id"), i))
+    z = reparameterize(F.col("mu"), F.col("lv"), eps)
+    return _explode(e.select("vec_id", z.alias("z")), F.col("z"), keys=("vec_id",))
+
+
+@query
+def recon_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: Gaussian reconstruction loss, mean over rows, per label."""
+    from ..functions.nn import gaussian_nll_row
+    e = _emb(spark, sf_dir)
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                  r6(F.avg(gaussian_nll_row(F.col("x"), F.col("mu"), F.col("lv")))).alias("recon_loss"))
+
+
+@query
+def kl_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted KL term as written (raw) and with the -1/2 factor."""
+    from ..functions.nn import kl_row
+    e = _emb(spark, sf_dir)
+    w = F.lit(1.0)
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                  r6(F.avg(w * kl_row(F.col("mu"), F.col("lv"), "raw"))).alias("kl_raw"),
+                                  r6(F.avg(w * kl_row(F.col("mu"), F.col("lv"), "kl"))).alias("kl"))
+
+
+@query
+def logvar_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log(min_var + softplus(t)) elementwise, min_var = 1e-4."""
+    from ..functions.nn import logvar_floor as lf
+    e = _emb(spark, sf_dir)
+    return _explode(e.select("vec_id", lf(F.col("lv"), 1e-4).alias("v")), F.col("v"), keys=("vec_id",))
+
+
+# ---------------------------------------------------------------- synthetic data
+@query
+def synth_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One synthetic observation per order key (seeded), summarised per row."""
+    from ..operators.synth import synth_observations
+    keys = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"))
+    s = synth_observations(keys)
+    x, y, z = geo.vec_elems(F.col("dvec"))
+    n = F.size("nlos_pl")
+    def slot(i):
+        return F.transform("nlos_ang", lambda a: a[i])
+    ang = [slot(i) for i in range(4)]
+    return s.select("obs_id", r6(x).alias("x"), r6(y).alias("y"), r6(z).alias("z"), "rx_type", "link_state",
+                    r6(F.col("los_pl")).alias("los_pl"), r6(F.col("los_dly") * F.lit(1e9)).alias("los_dly_ns"),
+                    r6(array_sum(F.col("nlos_pl")) / n).alias("pl_mean"),
+                    *[r6(array_sum(a) / n).alias(f"a{i}_mean") for i, a in enumerate(ang)],
+                    r6(array_sum(F.col("nlos_dly")) / n * F.lit(1e9)).alias("dly_mean_ns"))
+
+
+@query
+def synth_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded N(0,1) Cartesian and uniform spherical vectors per order key."""
+    from ..operators.synth import cartesian_columns, spherical_columns
+    keys = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"))
+    k = F.col("obs_id")
+    cols = list(zip(("cx", "cy", "cz"), cartesian_columns(k))) + list(zip(("r", "phi", "theta"), spherical_columns(k)))
+    return keys.select("obs_id", *[r6(c).alias(n) for n, c in cols])
