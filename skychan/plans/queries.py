@@ -673,3 +673,63 @@ def synth_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("obs_id")
     cols = list(zip(("cx", "cy", "cz"), cartesian_columns(k))) + list(zip(("r", "phi", "theta"), spherical_columns(k)))
     return keys.select("obs_id", *[r6(c).alias(n) for n, c in cols])
+
+
+# ---------------------------------------------------------------- classifier (rows-only checks)
+def _fitted(spark: SparkSession, sf_dir: str, max_iter: int = 30):
+    from ..operators.model import LinkStateModel
+    obs = observations(spark, sf_dir)
+    train, val = sa.split_frames(obs, val_ratio=0.2, seed=42)
+    return LinkStateModel(max_iter=max_iter).fit(train), val
+
+
+@query
+def mlp_link_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 M2 M4 (+R3 R5 F3-F5): fit the MLP on the train part, predict the
+    validation part; counts per (label, prediction)."""
+    m, val = _fitted(spark, sf_dir)
+    p = m.predict_proba(val)
+    return p.groupBy(F.col("link_state").alias("label"), "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save model + scaler + config, load, predict again: the
+    predictions of both models agree row for row."""
+    from ..operators.model import LinkStateModel
+    from ..session import work_path
+    m, val = _fitted(spark, sf_dir, max_iter=10)
+    path = work_path(spark, "link-model")
+    m.save(spark, path)
+    m2 = LinkStateModel.load(spark, path)
+    a = m.predict_proba(val).select("obs_id", F.col("prediction").alias("p1"))
+    b = m2.predict_proba(val).select("obs_id", F.col("prediction").alias("p2"))
+    return a.join(b, "obs_id").agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum((F.col("p1") == F.col("p2")).cast("bigint")).alias("n_equal"))
+
+
+@query
+def channel_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 (+E2 F19): link model and path transforms fitted together on the
+    train part; validation report and generator-input row count."""
+    from ..operators.metrics import classification_report
+    from ..operators.model import ChannelModel
+    obs = observations(spark, sf_dir)
+    train, val = sa.split_frames(obs, val_ratio=0.2, seed=42)
+    cm = ChannelModel(max_iter=20).fit(train)
+    rep = classification_report(cm.link.predict_proba(val).withColumnRenamed("link_state", "label"))
+    n_path = cm.path_input(val).agg(F.count(F.lit(1)).alias("support"))
+    path_row = n_path.select(F.lit("path_input_rows").alias("class"), F.lit(None).cast("double").alias("precision"),
+                             F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1_score"),
+                             F.col("support").cast("bigint").alias("support"))
+    return rep.unionByName(path_row)
+
+
+@query
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training history (loss per iteration) and the best iteration."""
+    from ..operators.metrics import best_epoch, history_table
+    m, _ = _fitted(spark, sf_dir)
+    h = history_table(m.history_frame(spark))
+    best = best_epoch(h, "loss", mode="min").select(F.col("epoch").alias("best_epoch"))
+    return h.crossJoin(best)
