@@ -134,6 +134,17 @@ def rotation_matrix(terms, inverse: bool = False):
     return m
 
 
+def apply_matrix(m, u) -> list:
+    """``m @ u`` with the 0/1 entries folded away; sums in column order."""
+    out = []
+    for i in range(3):
+        acc = 0
+        for j in range(3):
+            acc = _add(acc, _mul(m[i][j], u[j]))
+        out.append(acc)
+    return out
+
+
 def rotate(phi0_deg, theta0_deg, terms, inverse: bool = False):
     """Rotate direction (phi0, theta0) by the frame of ``terms``.
 
@@ -142,14 +153,7 @@ def rotate(phi0_deg, theta0_deg, terms, inverse: bool = False):
     p0, t0 = F.radians(_c(phi0_deg)), F.radians(_c(theta0_deg))
     st0 = F.sin(t0)
     u = [st0 * F.cos(p0), st0 * F.sin(p0), F.cos(t0)]
-    m = rotation_matrix(terms, inverse)
-    out = []
-    for i in range(3):
-        acc = 0
-        for j in range(3):
-            acc = _add(acc, _mul(m[i][j], u[j]))
-        out.append(acc)
-    x, y, z = out
+    x, y, z = apply_matrix(rotation_matrix(terms, inverse), u)
     return F.degrees(F.atan2(y, x)), F.degrees(F.acos(clip_unit(z)))
 
 

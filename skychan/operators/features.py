@@ -201,15 +201,35 @@ def relative_angles(nlos_ang: Column, inverse: bool = False) -> Column:
     """Per path: AoA relative to the LOS arrival, AoD relative to the LOS
     departure (``inverse=False`` subtracts; ``True`` adds back). Needs
     ``with_los_terms``. Returns ``array<struct<aoa_phi,aoa_theta,aod_phi,aod_theta>>``
-    in degrees, phi canonical in (-180, 180] (F10/F11, P9, P10, P21)."""
+    in degrees, phi canonical in (-180, 180] (F10/F11, P9, P10, P21).
+
+    Lambdas are evaluated without common-subexpression elimination, so the
+    work is staged: sines/cosines once per path, then the rotation (plain
+    arithmetic on those), then atan2/acos. Same operations, same order as
+    ``geo.rotate``."""
     aoa, aod = _los_terms()
 
-    def per_path(a):
-        p1, t1 = geo.rotate(a[0], a[1], aoa, inverse=not inverse)
-        p2, t2 = geo.rotate(a[2], a[3], aod, inverse=not inverse)
-        return F.struct(geo.canon_phi(p1).alias("aoa_phi"), t1.alias("aoa_theta"),
-                        geo.canon_phi(p2).alias("aod_phi"), t2.alias("aod_theta"))
-    return F.transform(nlos_ang, per_path)
+    def trig(a):
+        r = [F.radians(a[i]) for i in range(4)]
+        return F.struct(F.sin(r[1]).alias("st0"), F.cos(r[0]).alias("cp0"), F.sin(r[0]).alias("sp0"),
+                        F.cos(r[1]).alias("ct0"), F.sin(r[3]).alias("st1"), F.cos(r[2]).alias("cp1"),
+                        F.sin(r[2]).alias("sp1"), F.cos(r[3]).alias("ct1"))
+
+    def rot(s):
+        ua = [s["st0"] * s["cp0"], s["st0"] * s["sp0"], s["ct0"]]
+        ud = [s["st1"] * s["cp1"], s["st1"] * s["sp1"], s["ct1"]]
+        va = geo.apply_matrix(geo.rotation_matrix(aoa, not inverse), ua)
+        vd = geo.apply_matrix(geo.rotation_matrix(aod, not inverse), ud)
+        return F.struct(*[c.alias(n) for c, n in zip(va + vd, ("ax", "ay", "az", "dx", "dy", "dz"))])
+
+    def angles(v):
+        return F.struct(
+            geo.canon_phi(F.degrees(F.atan2(v["ay"], v["ax"]))).alias("aoa_phi"),
+            F.degrees(F.acos(geo.clip_unit(v["az"]))).alias("aoa_theta"),
+            geo.canon_phi(F.degrees(F.atan2(v["dy"], v["dx"]))).alias("aod_phi"),
+            F.degrees(F.acos(geo.clip_unit(v["dz"]))).alias("aod_theta"))
+
+    return F.transform(F.transform(F.transform(nlos_ang, trig), rot), angles)
 
 
 def angles_transform(df: DataFrame, nlos_ang: str = "nlos_ang", dvec: str = "dvec",
@@ -286,13 +306,64 @@ class PathPreproc:
 
 
 def fit_path_preproc(df: DataFrame, max_path_loss: float = DEFAULT_MAX_PATH_LOSS,
-                     n_max_paths: int = DEFAULT_N_MAX_PATHS) -> PathPreproc:
-    """Fit the three path-model transforms on linked training rows."""
-    enc = fit_one_hot(df, "rx_type", drop_last=True)
-    cond = fit_standard(with_conditions(df, enc, out="_cond"), "_cond")
-    return PathPreproc(fit_path_loss(df, "nlos_pl", max_path_loss, n_max_paths),
-                       fit_delay_scale(df, n_max_paths=n_max_paths), cond, enc,
-                       max_path_loss, n_max_paths)
+                     n_max_paths: int = DEFAULT_N_MAX_PATHS, rx: str = "rx_type") -> PathPreproc:
+    """Fit the three path-model transforms on linked training rows in ONE pass.
+
+    One aggregate grouped by the receiver code (at most 256 groups: the code
+    range) yields, per group, the row count, mean / population variance of
+    the four base condition slots, min / max of every path-loss slot and the
+    excess-delay sum and count. The driver merges the (bounded) group rows:
+    Chan's formula for the variances, min/max, sums; the receiver categories
+    are the group keys, and a one-hot slot's mean/variance follow from its
+    category count."""
+    los = (F.col("link_state") == LOS).cast("double")
+    base = condition_base(F.col("dvec"), los)
+    plr = path_loss_raw(F.col("nlos_pl"), max_path_loss, n_max_paths)
+    exc = excess_delay(F.slice(F.col("nlos_dly"), 1, n_max_paths), F.col("dvec"))
+    d = df.select(F.col(rx).alias("_rx"), base.alias("_b"), plr.alias("_p"), exc.alias("_e"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in range(4):
+        v = _num(at(F.col("_b"), i))
+        aggs += [F.count(v).alias(f"bn{i}"), F.avg(v).alias(f"bm{i}"), F.var_pop(v).alias(f"bv{i}")]
+    for k in range(n_max_paths):
+        v = at(F.col("_p"), k)
+        aggs += [F.min(v).alias(f"lo{k}"), F.max(v).alias(f"hi{k}")]
+    aggs += [F.sum(array_sum(F.transform(F.col("_e"), lambda v: F.coalesce(v, F.lit(0.0))))).alias("es"),
+             F.sum(F.size(F.filter(F.col("_e"), lambda v: v.isNotNull()))).alias("en")]
+    groups = d.groupBy("_rx").agg(*aggs).collect()       # <= 257 rows (codes + NULL)
+    n_all = sum(g["n"] for g in groups)
+    # receiver categories, drop-last
+    cats = sorted(g["_rx"] for g in groups if g["_rx"] is not None)
+    enc = OneHotState(cats, len(cats) > 1)
+    used = cats[:-1] if enc.drop_last else cats
+    # base condition slots: merge group means/variances (Chan et al.)
+    mean, var = [], []
+    for i in range(4):
+        parts = [(g[f"bn{i}"], g[f"bm{i}"], g[f"bv{i}"]) for g in groups if g[f"bn{i}"]]
+        n = sum(p[0] for p in parts)
+        m = sum(p[0] * p[1] for p in parts) / n if n else 0.0
+        m2 = sum(p[0] * p[2] + p[0] * (p[1] - m) ** 2 for p in parts)
+        mean.append(m)
+        var.append(m2 / n if n else 0.0)
+    for c in used:
+        p = sum(g["n"] for g in groups if g["_rx"] == c) / n_all if n_all else 0.0
+        mean.append(p)
+        var.append(p * (1.0 - p))
+    scale = [math.sqrt(v) if v > 0 else 1.0 for v in var]
+    cond = StandardState(mean, var, scale, int(n_all))
+    # path-loss slots
+    lo, hi = [], []
+    for k in range(n_max_paths):
+        ls = [g[f"lo{k}"] for g in groups if g[f"lo{k}"] is not None]
+        hs = [g[f"hi{k}"] for g in groups if g[f"hi{k}"] is not None]
+        lo.append(min(ls) if ls else 0.0)
+        hi.append(max(hs) if hs else 0.0)
+    rng = [(h - l) if h - l != 0 else 1.0 for l, h in zip(lo, hi)]
+    pl = MinMaxState(lo, hi, rng, int(n_all))
+    es = sum(g["es"] or 0.0 for g in groups)
+    en = sum(g["en"] or 0 for g in groups)
+    delay_scale = float(es / en) if en and es else 1.0
+    return PathPreproc(pl, delay_scale, cond, enc, max_path_loss, n_max_paths)
 
 
 def data_vector(df: DataFrame, pp: PathPreproc, out: str = "x", dtype: str = "float") -> DataFrame:

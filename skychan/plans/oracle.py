@@ -734,3 +734,14 @@ SELECT o_orderkey AS obs_id, {R(NORMAL("'42'", "'cx'", _k))} AS cx, {R(NORMAL("'
        {R(UB(-180.0, 180.0, "'42'", "'phi'", _k))} AS phi, {R(UB(0.0, 180.0, "'42'", "'theta'", _k))} AS theta
 FROM orders
 """, fixture=False)
+
+register("row_alignment", """
+SELECT CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS only_a, CAST(count(*) AS BIGINT) AS n
+FROM obs WHERE link_state <> 0
+""")
+
+register("run_summary", f"""
+SELECT event_type, {R("avg(value)")} AS avg_ms, {R("min(value)")} AS min_ms, {R("max(value)")} AS max_ms,
+       CAST(count(value) AS BIGINT) AS runs
+FROM events GROUP BY event_type
+""", fixture=False)

@@ -97,22 +97,25 @@ def sph2cart(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest residual of cart->sph->cart (observations) and of
-    sph->cart->sph (paths); phi compared modulo 360 away from the poles."""
+    sph->cart->sph (paths); phi compared modulo 360 away from the poles.
+    One pass over the path rows: the observation residual rides along on
+    slot 0 of its row."""
     obs = observations(spark, sf_dir)
     x, y, z = geo.vec_elems(F.col("dvec"))
     r, p, t = geo.cart_to_sph(x, y, z)
     x2, y2, z2 = geo.sph_to_cart(r, p, t)
-    cart = obs.agg(F.count(F.lit(1)).alias("n_cart"), F.max(F.abs(x2 - x)).alias("dx"),
-                   F.max(F.abs(y2 - y)).alias("dy"), F.max(F.abs(z2 - z)).alias("dz"))
-    pr = path_rows(obs)
+    o = obs.select("*", F.abs(x2 - x).alias("dx"), F.abs(y2 - y).alias("dy"), F.abs(z2 - z).alias("dz"))
+    pr = path_rows(o, "dx", "dy", "dz")
     a, b, c = geo.sph_to_cart(F.col("pl"), F.col("aoa_phi"), F.col("aoa_theta"))
     r3, p3, t3 = geo.cart_to_sph(a, b, c)
     dphi = F.abs(F.pmod(p3 - F.col("aoa_phi") + F.lit(540.0), F.lit(360.0)) - F.lit(180.0))
     away = F.sin(F.radians(F.col("aoa_theta"))) > F.lit(1e-6)
-    sph = pr.agg(F.count(F.lit(1)).alias("n_sph"), F.max(F.abs(r3 - F.col("pl"))).alias("dr"),
-                 F.max(F.when(away, dphi)).alias("dphi"), F.max(F.abs(t3 - F.col("aoa_theta"))).alias("dtheta"))
-    return cart.crossJoin(sph).select(
-        "n_cart", "n_sph", *[r6(F.col(c)).alias(f"max_{c}") for c in ("dx", "dy", "dz", "dr", "dphi", "dtheta")])
+    first = F.col("k") == 0
+    agg = pr.agg(F.count(F.when(first, F.lit(1))).alias("n_cart"), F.count(F.lit(1)).alias("n_sph"),
+                 *[F.max(F.when(first, F.col(c))).alias(c) for c in ("dx", "dy", "dz")],
+                 F.max(F.abs(r3 - F.col("pl"))).alias("dr"), F.max(F.when(away, dphi)).alias("dphi"),
+                 F.max(F.abs(t3 - F.col("aoa_theta"))).alias("dtheta"))
+    return agg.select("n_cart", "n_sph", *[r6(F.col(c)).alias(f"max_{c}") for c in ("dx", "dy", "dz", "dr", "dphi", "dtheta")])
 
 
 @query
@@ -728,8 +731,29 @@ def channel_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training history (loss per iteration) and the best iteration."""
-    from ..operators.metrics import best_epoch, history_table
+    from ..operators.metrics import history_table
     m, _ = _fitted(spark, sf_dir)
     h = history_table(m.history_frame(spark))
-    best = best_epoch(h, "loss", mode="min").select(F.col("epoch").alias("best_epoch"))
-    return h.crossJoin(best)
+    # the history has one value per solver iteration (bounded by maxIter)
+    best = min(range(len(m.history)), key=lambda i: (m.history[i], i)) + 1 if m.history else None
+    return h.withColumn("is_best", F.col("epoch") == F.lit(best))
+
+
+@query
+def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Condition rows and data-vector rows built as separate frames
+    agree one to one (full outer join on the key; one-sided rows counted)."""
+    from ..operators.quality import check_aligned
+    lk = sa.keep_linked(observations(spark, sf_dir))
+    pp = fe.fit_path_preproc(lk)
+    a = fe.conditions(lk, pp).select("obs_id", "cond")
+    b = fe.data_vector(lk, pp).select("obs_id", "x")
+    return check_aligned(a, b, raise_on_mismatch=False)
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average / min / max time and run count per event type."""
+    from ..operators.metrics import run_summary as rs
+    r = rs(read_table(spark, sf_dir, "events"), "event_type", "value")
+    return r.select("event_type", *[r6(F.col(c)).alias(c) for c in ("avg_ms", "min_ms", "max_ms")], "runs")
