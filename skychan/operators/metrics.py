@@ -113,7 +113,8 @@ def cross_entropy(df: DataFrame, probs: str = "probability", label: str = "label
 
 # ---------------------------------------------------------------- E7: order statistics
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: Mapping[str, Column],
-                     bins: int = 1024, max_candidates: int = 20000, max_iter: int = 16) -> DataFrame:
+                     bins: int = 1024, max_candidates: int = 20000, max_iter: int = 16,
+                     stats: DataFrame | None = None) -> DataFrame:
     """Exact ``k``-th smallest values per group.
 
     ``targets`` maps an output name to a 0-based rank expression over ``_n``
@@ -123,12 +124,15 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: M
     bin holding the rank, with its exact min/max as the new range. When at
     most ``max_candidates`` values remain, they are ranked by a window whose
     partitions are bounded by that number. Bins are monotone in the value, so
-    the range ``[min, max]`` of a bin holds exactly that bin's values."""
+    the range ``[min, max]`` of a bin holds exactly that bin's values.
+    ``stats`` (group, ``_n``, ``_lo``, ``_hi``) may be passed when the caller
+    already aggregates the groups, saving a scan."""
     g = list(group)
     base = df.select(*g, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
-    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                                 F.max("_v").alias("_hi"))
+    if stats is None:
+        stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
+                                     F.max("_v").alias("_hi"))
     tg = F.array(*[F.struct(F.lit(k).alias("t"), e.cast("bigint").alias("r")) for k, e in targets.items()])
     state = stats.select(*g, "_lo", "_hi", "_n", F.explode(tg).alias("_t")).select(
         *g, F.col("_t.t").alias("_target"), F.col("_t.r").alias("_r"), "_lo", "_hi",
@@ -180,12 +184,14 @@ def timing_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         "p95_ms": F.when(n >= 20, F.floor(F.lit(0.95) * n)).otherwise(n - 1),
         "p99_ms": F.when(n >= 100, F.floor(F.lit(0.99) * n)).otherwise(n - 1),
     }
-    os_ = order_statistics(df, g, value, ranks)
     v = F.col(value).cast("double")
-    agg = df.where(v.isNotNull()).groupBy(*g).agg(
+    agg = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean_ms"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stddev_ms"), F.sum(v).alias("total_ms"))
     agg = agg.withColumn("stddev_ms", F.when(F.col("count") > 1, F.col("stddev_ms")).otherwise(F.lit(0.0)))
+    # the same aggregate seeds the order statistics (one scan fewer)
+    stats = agg.select(*g, F.col("count").alias("_n"), F.col("min_ms").alias("_lo"), F.col("max_ms").alias("_hi"))
+    os_ = order_statistics(df, g, value, ranks, stats=stats)
     out = agg.join(os_, g)          # one row per group on both sides
     return out.select(*g, "count", "mean_ms", ((F.col("_med_lo") + F.col("_med_hi")) / 2).alias("median_ms"),
                       "min_ms", "max_ms", "stddev_ms", "total_ms", "p95_ms", "p99_ms")

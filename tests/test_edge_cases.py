@@ -207,3 +207,16 @@ def test_config_checks():
     with pytest.raises(ValueError):
         ChannelConfig(add_zero_los_frac=1.5)
     assert ChannelConfig().wavelength == pytest.approx(2.99792458e8 / 28e9)
+
+
+@pytest.mark.parametrize("n,sizes", [(0, [0, 0]), (1, [0, 1]), (10, [8, 2]), (15000, [12000, 3000])])
+def test_split_sizes_two_way(spark, n, sizes):
+    df = spark.range(n).withColumnRenamed("id", "obs_id")
+    s = sa.exact_split(df, val_ratio=0.2, seed=42)
+    got = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
+    assert [got.get("train", 0), got.get("val", 0)] == sizes
+
+
+def test_timing_stats_empty(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert me.timing_stats(df, ["g"], "v").count() == 0
