@@ -228,6 +228,13 @@ def history_table(history: DataFrame) -> DataFrame:
     return e.select((F.col("_i") + 1).alias("epoch"), *[F.col(f"_m.{c}").alias(c) for c in metrics])
 
 
+def read_history(spark, path: str) -> DataFrame:
+    """Per-epoch table from a saved model configuration whose ``history`` field
+    maps metric names to arrays (one value per epoch) (E6)."""
+    raw = spark.read.option("multiLine", True).json(path)
+    return history_table(raw.select("history.*"))
+
+
 def best_epoch(hist: DataFrame, metric: str = "val_accuracy", mode: str = "max") -> DataFrame:
     """The epoch with the best metric (first on ties): a top-1 report."""
     o = F.col(metric).desc() if mode == "max" else F.col(metric).asc()

@@ -220,3 +220,15 @@ def test_split_sizes_two_way(spark, n, sizes):
 def test_timing_stats_empty(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert me.timing_stats(df, ["g"], "v").count() == 0
+
+
+def test_read_history_layout(spark, tmpdir_path):
+    import json
+    path = f"{tmpdir_path}/model_config.json"
+    with open(path, "w") as f:
+        json.dump({"config": {"seed": 42}, "history": {"accuracy": [0.6, 0.7, 0.69], "loss": [0.9, 0.7, 0.71],
+                                                        "val_accuracy": [0.65, 0.69, 0.68]}}, f, indent=2)
+    h = me.read_history(spark, path)
+    rows = h.orderBy("epoch").collect()
+    assert [r["epoch"] for r in rows] == [1, 2, 3] and rows[1]["val_accuracy"] == 0.69
+    assert me.best_epoch(h, "val_accuracy").first()["epoch"] == 2
