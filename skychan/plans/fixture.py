@@ -22,6 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over the cluster when the scan yields fewer input splits
+    than there are cores (a file with a single row group is one task), so the
+    heavy per-row work that follows runs in parallel. Inputs that already have
+    enough splits (any large table) are returned unchanged: no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def _div100(c: Column) -> Column:
     return c / F.lit(100.0)
 
@@ -43,8 +54,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``pred_state``, a fixed rule-based prediction for the metric operators."""
     key = F.col("obs_id")
     base = (
-        read_table(spark, sf_dir, "orders")
-        .select(F.col("o_orderkey").alias("obs_id"), F.col("o_custkey"))
+        spread(read_table(spark, sf_dir, "orders")
+               .select(F.col("o_orderkey").alias("obs_id"), F.col("o_custkey")))
         .select(
             "obs_id",
             (F.col("o_custkey") % 2).cast("int").alias("rx_type"),

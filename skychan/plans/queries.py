@@ -16,7 +16,7 @@ from ..functions.arrays import array_sum
 from ..operators import features as fe
 from ..operators import sampling as sa
 from ..schema import ANGLE_NAMES, DEFAULT_FREQUENCY, LIGHT_SPEED
-from .fixture import observations, read_table
+from .fixture import observations, read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -603,7 +603,7 @@ def state_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- generative-model maths (embeddings)
 def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """x = elements 0-19, mu = 20-39, logvar = 10 x elements 40-59 of ``embedding``."""
-    e = read_table(spark, sf_dir, "embeddings")
+    e = spread(read_table(spark, sf_dir, "embeddings"))
     emb = F.col("embedding")
     dbl = lambda s, f=1.0: F.transform(s, lambda v: v.cast("double") * F.lit(f))
     return e.select("vec_id", "label", dbl(F.slice(emb, 1, 20)).alias("x"), dbl(F.slice(emb, 21, 20)).alias("mu"),
@@ -654,7 +654,7 @@ def logvar_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synth_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic observation per order key (seeded), summarised per row."""
     from ..operators.synth import synth_observations
-    keys = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"))
+    keys = spread(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id")))
     s = synth_observations(keys)
     x, y, z = geo.vec_elems(F.col("dvec"))
     n = F.size("nlos_pl")
@@ -672,7 +672,7 @@ def synth_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synth_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded N(0,1) Cartesian and uniform spherical vectors per order key."""
     from ..operators.synth import cartesian_columns, spherical_columns
-    keys = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"))
+    keys = spread(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id")))
     k = F.col("obs_id")
     cols = list(zip(("cx", "cy", "cz"), cartesian_columns(k))) + list(zip(("r", "phi", "theta"), spherical_columns(k)))
     return keys.select("obs_id", *[r6(c).alias(n) for n, c in cols])
