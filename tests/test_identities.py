@@ -118,3 +118,40 @@ def test_classifier_beats_majority_and_reloads(spark, tmpdir_path):
     a = p.select("obs_id", "prediction")
     b = m2.predict_proba(val).select("obs_id", F.col("prediction").alias("p2"))
     assert a.join(b, "obs_id").where("prediction <> p2").count() == 0
+
+
+def test_hot_key_rank_and_split(spark, monkeypatch):
+    """A third of the rows share one key: the cell path ranks them in pieces,
+    ranks stay dense and exact, and split sizes stay exact."""
+    import hashlib
+    monkeypatch.setattr(sa, "HOT_MIN_ROWS", 100)
+    monkeypatch.setattr(sa, "HOT_FACTOR", 4)
+    rows = [(i, float(i)) for i in range(2000)] + [(7, float(-j)) for j in range(1000)]
+    df = spark.createDataFrame(rows, "obs_id bigint, v double").repartition(5)
+    keyed = sa._keyed(df, "obs_id", 9)
+    assert sa._hot_buckets(sa._bucket_counts(keyed))
+    r = sa.exact_rank(df, seed=9).collect()
+    assert sorted(x["rank"] for x in r) == list(range(3000))
+    # rows of other keys sit exactly where the (md5, id) order puts them
+    order = sorted(set(x[0] for x in rows), key=lambda i: (hashlib.md5(f"9:{i}".encode()).hexdigest(), i))
+    first = {}
+    pos = 0
+    for k in order:
+        first[k] = pos
+        pos += 1001 if k == 7 else 1
+    for x in r:
+        if x["obs_id"] != 7:
+            assert x["rank"] == first[x["obs_id"]]
+        else:
+            assert first[7] <= x["rank"] < first[7] + 1001
+    # put the cut inside the hot key's run of rows
+    cut = first[7] + 500
+    val = 1 - (cut + 0.5) / 3000
+    assert sa.split_cuts(3000, val)[0] == cut
+    s = sa.exact_split(df, val_ratio=val, seed=9)
+    got = {q["split"]: q["count"] for q in s.groupBy("split").count().collect()}
+    assert got == {"train": cut, "val": 3000 - cut}
+    lab = {(q["obs_id"], q["v"]): q["split"] for q in s.collect()}
+    for x in r:
+        if x["obs_id"] != 7:
+            assert lab[(x["obs_id"], x["v"])] == ("train" if x["rank"] < cut else "val")
