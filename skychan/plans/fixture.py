@@ -27,8 +27,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     than there are cores (a file with a single row group is one task), so the
     heavy per-row work that follows runs in parallel. Inputs that already have
     enough splits (any large table) are returned unchanged: no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD access (e.g. a Connect session): leave the plan as is
         return df
     return df.repartition(target)
 
