@@ -631,8 +631,9 @@ FROM dv GROUP BY 1
 """)
 
 register("load_union", f"""
-SELECT rx_type, link_state, CAST(count(*) AS BIGINT) AS n, {R(f"sum({F32('x')})", 2)} AS sum_x
-FROM obs WHERE obs_id % 3 <> 1 GROUP BY rx_type, link_state
+SELECT rx_type, link_state, CAST(2 * count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_obs,
+       {R(f"2 * sum({F32('x')})", 2)} AS sum_x
+FROM obs GROUP BY rx_type, link_state
 """)
 
 _NAME = "(CASE rx_type WHEN 0 THEN 'Terrestrial' WHEN 1 THEN 'Aerial' END)"

@@ -538,19 +538,20 @@ def null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def load_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three files (all columns; one column missing -> skipped;
-    columns permuted) plus a missing path, unioned by name."""
+    """The whole table written three times (all columns; without
+    ``los_dly`` -> skipped; columns permuted) plus a missing path, loaded and
+    unioned by name: every observation arrives twice."""
     from ..session import work_path
     obs = observations(spark, sf_dir).select(*CANON)
-    k = F.col("obs_id") % 3
     base = work_path(spark, "parts")
     a, b, c = f"{base}/a.csv", f"{base}/b.csv", f"{base}/c.csv"
-    sio.save_observations(obs.filter(k == 0), a)
-    sio.save_observations(obs.filter(k == 1), b, columns=[x for x in CANON if x != "los_dly"])
-    sio.save_observations(obs.filter(k == 2), c, columns=list(reversed(CANON)))
+    sio.save_observations(obs, a)
+    sio.save_observations(obs, b, columns=[x for x in CANON if x != "los_dly"])
+    sio.save_observations(obs, c, columns=list(reversed(CANON)))
     d = sio.load_observations(spark, [a, b, "missing.csv", c], data_dir=base)
     x = geo.vec_elems(F.col("dvec"))[0]
     return d.groupBy("rx_type", "link_state").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.countDistinct("obs_id").alias("n_obs"),
                                                   r6(F.sum(x.cast("double")), 2).alias("sum_x"))
 
 

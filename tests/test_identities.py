@@ -118,6 +118,18 @@ def test_classifier_beats_majority_and_reloads(spark, tmpdir_path):
     a = p.select("obs_id", "prediction")
     b = m2.predict_proba(val).select("obs_id", F.col("prediction").alias("p2"))
     assert a.join(b, "obs_id").where("prediction <> p2").count() == 0
+    drawn = m2.sample_link_state(val).select("sampled_state").distinct().collect()
+    assert {r[0] for r in drawn} <= {0, 1, 2}
+
+
+def test_check_aligned(spark):
+    from skychan.operators.quality import check_aligned
+    a = spark.range(5).withColumnRenamed("id", "obs_id")
+    b = spark.range(1, 6).withColumnRenamed("id", "obs_id")
+    r = check_aligned(a, b, raise_on_mismatch=False).first()
+    assert (r["only_a"], r["only_b"], r["n"]) == (1, 1, 6)
+    with pytest.raises(ValueError):
+        check_aligned(a, b)
 
 
 def test_hot_key_rank_and_split(spark, monkeypatch):
