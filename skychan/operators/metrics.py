@@ -52,50 +52,50 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
+def _rows_from(one_row: DataFrame, rows: list[dict]) -> DataFrame:
+    """Several output rows from ONE aggregate row: explode an array of structs
+    (one scan, one aggregation; no union of re-evaluated branches)."""
+    names = list(rows[0])
+    arr = F.array(*[F.struct(*[r[n].alias(n) for n in names]) for r in rows])
+    return one_row.select(F.explode(arr).alias("_r")).select(*[F.col(f"_r.{n}").alias(n) for n in names])
+
+
 def classification_report(df: DataFrame, label: str = "label", pred: str = "prediction",
                           names: Sequence[str] = LINK_STATE_REPORT_NAMES) -> DataFrame:
     """precision / recall / F1 / support per class, then accuracy, macro avg and
-    weighted avg rows (E2). One aggregate over the data; the rest is one row."""
+    weighted avg rows (E2). One aggregate over the data; the report rows are
+    derived from its single result row."""
     k = len(names)
     s = _cell_sums(df, label, pred, k)
-    rows = []
-    for c, name in enumerate(names):
-        pr = _ratio(F.col(f"tp{c}"), F.col(f"prd{c}"))
-        rc = _ratio(F.col(f"tp{c}"), F.col(f"sup{c}"))
-        f1 = F.when(pr + rc == 0, F.lit(0.0)).otherwise(F.lit(2.0) * pr * rc / (pr + rc))
-        rows.append(s.select(F.lit(name).alias("class"), pr.alias("precision"), rc.alias("recall"),
-                             f1.alias("f1_score"), F.col(f"sup{c}").cast("bigint").alias("support")))
-    per = rows[0]
-    for r in rows[1:]:
-        per = per.unionByName(r)
-    acc = s.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                   F.lit(None).cast("double").alias("recall"),
-                   _ratio(sum((F.col(f"tp{c}") for c in range(k)), F.lit(0)), F.col("n")).alias("f1_score"),
-                   F.col("n").cast("bigint").alias("support"))
-    summ = per.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("support").cast("bigint").alias("n"))
-    macro = summ.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"),
-                        F.col("mr").alias("recall"), F.col("mf").alias("f1_score"), F.col("n").alias("support"))
-    weighted = summ.select(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"),
-                           F.col("wr").alias("recall"), F.col("wf").alias("f1_score"), F.col("n").alias("support"))
-    return per.unionByName(acc).unionByName(macro).unionByName(weighted)
+    pr = [_ratio(F.col(f"tp{c}"), F.col(f"prd{c}")) for c in range(k)]
+    rc = [_ratio(F.col(f"tp{c}"), F.col(f"sup{c}")) for c in range(k)]
+    f1 = [F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r)) for p, r in zip(pr, rc)]
+    sup = [F.col(f"sup{c}").cast("bigint") for c in range(k)]
+    total = sum(sup[1:], sup[0])
+    none = F.lit(None).cast("double")
+
+    def wavg(v):
+        return F.when(total == 0, none).otherwise(sum((v[c] * sup[c] for c in range(1, k)), v[0] * sup[0]) / total)
+
+    rows = [{"class": F.lit(nm), "precision": pr[c], "recall": rc[c], "f1_score": f1[c], "support": sup[c]}
+            for c, nm in enumerate(names)]
+    rows.append({"class": F.lit("accuracy"), "precision": none, "recall": none,
+                 "f1_score": _ratio(sum((F.col(f"tp{c}") for c in range(k)), F.lit(0)), F.col("n")),
+                 "support": F.col("n").cast("bigint")})
+    rows.append({"class": F.lit("macro avg"), "precision": sum(pr[1:], pr[0]) / k, "recall": sum(rc[1:], rc[0]) / k,
+                 "f1_score": sum(f1[1:], f1[0]) / k, "support": total})
+    rows.append({"class": F.lit("weighted avg"), "precision": wavg(pr), "recall": wavg(rc), "f1_score": wavg(f1),
+                 "support": total})
+    return _rows_from(s, rows)
 
 
 def per_class_accuracy(df: DataFrame, label: str = "label", pred: str = "prediction",
                        n_classes: int = 3) -> DataFrame:
     """Diagonal / row sum per true class; a class absent from the truth -> NULL."""
     s = _cell_sums(df, label, pred, n_classes)
-    parts = [s.select(F.lit(c).alias("label"),
-                      F.when(F.col(f"sup{c}") > 0, F.col(f"tp{c}") / F.col(f"sup{c}")).alias("accuracy"))
-             for c in range(n_classes)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = [{"label": F.lit(c), "accuracy": F.when(F.col(f"sup{c}") > 0, F.col(f"tp{c}") / F.col(f"sup{c}"))}
+            for c in range(n_classes)]
+    return _rows_from(s, rows)
 
 
 def overall_accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:

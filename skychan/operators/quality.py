@@ -38,14 +38,11 @@ def profile(df: DataFrame) -> DataFrame:
             aggs += [F.lit(None).cast("int").alias(f"lo{i}"), F.lit(None).cast("int").alias(f"hi{i}")]
         rows.append((f.name, f.dataType.simpleString(), i))
     s = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
-    parts = [s.select(F.lit(n).alias("column"), F.lit(t).alias("dtype"), F.col("n"),
-                      F.coalesce(F.col(f"nn{i}"), F.lit(0)).cast("bigint").alias("n_null"),
-                      F.col(f"lo{i}").cast("bigint").alias("min_dim"), F.col(f"hi{i}").cast("bigint").alias("max_dim"))
-             for n, t, i in rows]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from .metrics import _rows_from
+    return _rows_from(s, [{"column": F.lit(n), "dtype": F.lit(t), "n": F.col("n"),
+                           "n_null": F.coalesce(F.col(f"nn{i}"), F.lit(0)).cast("bigint"),
+                           "min_dim": F.col(f"lo{i}").cast("bigint"), "max_dim": F.col(f"hi{i}").cast("bigint")}
+                          for n, t, i in rows])
 
 
 def validate(df: DataFrame, required: Iterable[str] = REQUIRED_COLUMNS) -> DataFrame:
