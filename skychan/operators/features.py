@@ -108,10 +108,16 @@ def min_max_transform(arr: Column, state: MinMaxState, inverse: bool = False) ->
     return affine(F.transform(arr, _num), state.data_min, state.data_range, inverse)
 
 
+MAX_CATEGORIES = 256      # codes are range-checked to 0-255 on decode
+
+
 def fit_one_hot(df: DataFrame, col: str, drop_last: bool = False) -> OneHotState:
     """Learned categories: distinct values, sorted (F2). The column holds codes
     (range-checked to 0-255 on decode), so the collected set is bounded."""
-    cats = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"`{col}` has more than {MAX_CATEGORIES} distinct values; one-hot needs codes")
+    cats = [r[0] for r in rows]
     return OneHotState(cats, drop_last and len(cats) > 1)
 
 
