@@ -138,7 +138,7 @@ def test_hot_key_rank_and_split(spark, monkeypatch):
     import hashlib
     monkeypatch.setattr(sa, "HOT_MIN_ROWS", 100)
     monkeypatch.setattr(sa, "HOT_FACTOR", 4)
-    rows = [(i, float(i)) for i in range(2000)] + [(7, float(-j)) for j in range(1000)]
+    rows = [(i, float(i)) for i in range(2000)] + [(7, float(-j)) for j in range(1, 1001)]
     df = spark.createDataFrame(rows, "obs_id bigint, v double").repartition(5)
     keyed = sa._keyed(df, "obs_id", 9)
     assert sa._hot_buckets(sa._bucket_counts(keyed))
