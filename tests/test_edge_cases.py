@@ -224,7 +224,7 @@ def test_timing_stats_empty(spark):
 
 def test_read_history_layout(spark, tmpdir_path):
     import json
-    path = f"{tmpdir_path}/model_config.json"
+    path = f"{tmpdir_path}/saved_history.json"
     with open(path, "w") as f:
         json.dump({"config": {"seed": 42}, "history": {"accuracy": [0.6, 0.7, 0.69], "loss": [0.9, 0.7, 0.71],
                                                         "val_accuracy": [0.65, 0.69, 0.68]}}, f, indent=2)
