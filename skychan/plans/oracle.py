@@ -251,8 +251,8 @@ def explode(src: str, keys: str, exprs, digits: int = 6, idx: str = "idx", where
     return "\nUNION ALL ".join(parts)
 
 
-OH_T = "(CASE WHEN rx_type = 0 THEN 1.0 ELSE 0.0 END)"
-OH_A = "(CASE WHEN rx_type = 1 THEN 1.0 ELSE 0.0 END)"
+OH_T = "(CASE WHEN rx_type = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+OH_A = "(CASE WHEN rx_type = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
 LF = [f"{OH_T} * d3d", f"{OH_A} * d3d", f"{OH_T} * z", f"{OH_A} * z"]
 LF_CTE = f"lf AS (SELECT obs_id, {', '.join(f'{e} AS f{i}' for i, e in enumerate(LF))} FROM obs)"
 

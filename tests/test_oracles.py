@@ -43,6 +43,8 @@ def test_entry_smoke(spark):
                           "mean_excess_delay_ns", "mean_path_loss"]
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "float": "FLOAT"}
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
              "FlatMapGroupsInPandas", "MapInPandas")
 
@@ -52,6 +54,10 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [op for op in FORBIDDEN if op in plan], f"{name}: Python/cross-product node in plan"
+    rel = duck.sql(ORACLES[name])
+    otypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    stypes = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == otypes
     sdf = df.toPandas()
     odf = duck.execute(ORACLES[name]).df()
     assert sorted(sdf.columns) == sorted(odf.columns)
