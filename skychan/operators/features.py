@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.arrays import affine, at, array_sum, clip_array, head_sort, lit_array, one_hot
+from ..functions.arrays import affine, at, array_sum, clip_array, head_sort, one_hot
 from ..schema import (ANGLE_SCALE, DEFAULT_MAX_PATH_LOSS, DEFAULT_N_MAX_PATHS, LOS, RX_TYPES)
 
 

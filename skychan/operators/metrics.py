@@ -17,10 +17,6 @@ from ..functions.nn import sparse_cross_entropy_row
 from ..schema import LINK_STATE_REPORT_NAMES
 
 
-def _i(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 # ---------------------------------------------------------------- E1-E5
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "prediction",
                      n_classes: int = 3) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nn import argmax, inverse_cdf_draw
 from ..functions.uniform import hash_uniform
-from ..schema import ChannelConfig, RX_TYPES
+from ..schema import ChannelConfig
 from ..sources.decode import normalize_rx
 from . import features as fe
 from .sampling import augment_los_zero

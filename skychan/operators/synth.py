@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.uniform import hash_normal, hash_uniform, uniform_between
-from ..functions.geo import sph_to_cart  # noqa: F401  (re-exported for users)
 
 # Ranges of the synthetic observation generator (fixed values).
 DVEC_RANGE = (-1000.0, 1000.0)

@@ -15,7 +15,7 @@ from ..functions import geo
 from ..functions.arrays import array_sum
 from ..operators import features as fe
 from ..operators import sampling as sa
-from ..schema import ANGLE_NAMES, DEFAULT_FREQUENCY, LIGHT_SPEED
+from ..schema import ANGLE_NAMES, DEFAULT_FREQUENCY
 from .fixture import observations, read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
