@@ -167,3 +167,20 @@ def test_hot_key_rank_and_split(spark, monkeypatch):
     for x in r:
         if x["obs_id"] != 7:
             assert lab[(x["obs_id"], x["v"])] == ("train" if x["rank"] < cut else "val")
+
+
+def test_hot_identical_rows(spark, monkeypatch):
+    """A third of the rows are identical copies: ranks stay dense and exact,
+    the copies are emitted in bounded chunks."""
+    monkeypatch.setattr(sa, "HOT_MIN_ROWS", 100)
+    monkeypatch.setattr(sa, "HOT_FACTOR", 4)
+    monkeypatch.setattr(sa, "CHUNK", 64)
+    rows = [(i, float(i)) for i in range(2000)] + [(7, 0.5)] * 1000
+    df = spark.createDataFrame(rows, "obs_id bigint, v double").repartition(5)
+    r = sa.exact_rank(df, seed=9).collect()
+    assert len(r) == 3000
+    assert sorted(x["rank"] for x in r) == list(range(3000))
+    assert sum(1 for x in r if x["obs_id"] == 7 and x["v"] == 0.5) == 1000
+    s = sa.exact_split(df, val_ratio=0.5, seed=9)
+    got = {q["split"]: q["count"] for q in s.groupBy("split").count().collect()}
+    assert got == {"train": 1500, "val": 1500}
