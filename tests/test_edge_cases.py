@@ -232,3 +232,25 @@ def test_read_history_layout(spark, tmpdir_path):
     rows = h.orderBy("epoch").collect()
     assert [r["epoch"] for r in rows] == [1, 2, 3] and rows[1]["val_accuracy"] == 0.69
     assert me.best_epoch(h, "val_accuracy").first()["epoch"] == 2
+
+
+def test_reads_index_column_layout(tmpdir_path, spark):
+    """CSV as a pandas writer leaves it: an unnamed leading index column, arrays
+    as JSON lists, an unknown receiver code 2 (kept; flagged by validate)."""
+    import csv
+    import json
+    path = f"{tmpdir_path}/obs.csv"
+    cols = list(ROW)
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow([""] + cols)
+        for i, rx in enumerate(("0", "1", "2")):
+            r = dict(ROW, rx_type=rx, nlos_pl=json.dumps([150.5] * 20))
+            w.writerow([i] + [r[c] for c in cols])
+    d = sio.load_observations(spark, path)
+    rows = d.orderBy("rx_type").collect()
+    assert [r["rx_type"] for r in rows] == [0, 1, 2]
+    assert rows[0]["nlos_pl"] == [150.5] * 20
+    from skychan.operators.quality import validate
+    rep = validate(d.drop("_source_file", "obs_id")).first()
+    assert rep["n_bad_code"] == 1
