@@ -45,7 +45,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
 
     def encode(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, last, sent = WordEncoder.of(vocabulary), TaskContext.get().partitionId(), object(), 0
-        for batch, texts in batches_of(it):
+        for batch, texts in batches_of(it, limit=6_000_000):
             flat, off = encoder.encode(texts)
             wide = len(flat) > 0 and int(flat.max()) > 0xFFFF
             kind = np.uint32 if wide or end_id > 0xFFFF else np.uint16

@@ -140,7 +140,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 4, strict=True)],
                                               ["part", "shard", "n_docs", "n_ids", "payload", "keys", "index", "bounds"])
 
-        for batch, texts in batches_of(it):
+        for batch, texts in batches_of(it, limit=6_000_000):
             flat, off = encoder.encode(texts)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 last, before = (doc_id, before + 1) if doc_id == last else (doc_id, 0)
