@@ -10,10 +10,15 @@ from skychan.llm.common import table
 from skychan.llm.curriculum import taken
 from skychan.llm.drr_pack import packed
 from skychan.llm.exact_dedup import exact_groups
+from skychan.llm.html_extract import main_text
 from skychan.llm.mph_index import indexed_ids
 from skychan.llm.segment_topk import top_k
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
@@ -36,7 +41,7 @@ def op10_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_packing, op4_topk, op8_mixing, op9_exact_dedup, op10_id_index)}
+    f.__name__: f for f in (op1_html, op3_packing, op4_topk, op8_mixing, op9_exact_dedup, op10_id_index)}
 
 SQL: dict[str, str] = {
     "op4_topk": """
