@@ -11,6 +11,7 @@ from skychan.llm.crf_secrets import secrets
 from skychan.llm.curriculum import taken
 from skychan.llm.drr_pack import packed
 from skychan.llm.exact_dedup import exact_groups
+from skychan.llm.gru_lm import scored
 from skychan.llm.html_extract import main_text
 from skychan.llm.mph_index import indexed_ids
 from skychan.llm.ri_classifier import quality
@@ -30,6 +31,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_digest")
 
@@ -51,7 +56,7 @@ def op10_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html, op3_packing, op4_topk, op6_quality, op7_secrets, op8_mixing, op9_exact_dedup, op10_id_index)}
+    f.__name__: f for f in (op1_html, op3_packing, op4_topk, op5_lm, op6_quality, op7_secrets, op8_mixing, op9_exact_dedup, op10_id_index)}
 
 SQL: dict[str, str] = {
     "op4_topk": """
