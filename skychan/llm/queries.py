@@ -17,11 +17,17 @@ from skychan.llm.mph_index import indexed_ids
 from skychan.llm.ri_classifier import quality
 from skychan.llm.segment_topk import top_k
 
+from skychan.llm.voronoi_join import linked
+
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(table(spark, sf_dir, "documents")).drop("_digest")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")
@@ -56,9 +62,23 @@ def op10_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html, op3_packing, op4_topk, op5_lm, op6_quality, op7_secrets, op8_mixing, op9_exact_dedup, op10_id_index)}
+    f.__name__: f for f in (op1_html, op2_jaccard, op3_packing, op4_topk, op5_lm, op6_quality, op7_secrets, op8_mixing, op9_exact_dedup, op10_id_index)}
 
 SQL: dict[str, str] = {
+    "op2_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        p AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM p a JOIN p b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.x = w.doc_id GROUP BY ALL""",
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
