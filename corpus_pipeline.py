@@ -8,10 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skychan.llm.common import ship, written
+from skychan.llm.common import ship, table, written
 from skychan.llm.curriculum import training_rows
 from skychan.llm.drr_pack import packed
 from skychan.llm.exact_dedup import keep_first
+from skychan.llm.ri_classifier import keep_good
+from skychan.llm.voronoi_join import keep_one
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go (operator 6)."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +27,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (operator 2)."""
+    ship(spark)
+    return keep_one(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mixture takes, in training order (operator 8)."""
     ship(spark)
@@ -32,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", good), ("exact dedup", exact), ("near duplicates", near), ("mixing", mixing), ("packing", packing)]
 
 #: The classifier and the packer have no SQL form.
 ORACLE_SQL = None

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skychan.llm.common import batches_of, text_digest, words_of, written
+from skychan.llm.common import batches_of, words_of
 
 DIM = 32
 WORD_BUCKETS, SHAPE_BUCKETS = 4096, 1024
@@ -177,37 +177,44 @@ def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5) == 0
 
 
-def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, _digest, x (the network's input) of every row, as a table."""
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN):
+    """Word vectors of the corpus and a network, as a function from texts to scores for the tasks."""
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs, text_col))  # a fixed size
 
     def pooled(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of(it):
-            x = pool(texts, vectors.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_digest"), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["doc_id", "_digest", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.astype("<f4").tobytes() for r in pool(texts, vectors.value)], pa.binary())], ["doc_id", "label", "x"])
 
-    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("text"))
-                   .mapInArrow(pooled, "doc_id long, _digest string, x binary"), "document-vectors")
-
-
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-            max_train: int = MAX_TRAIN, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted and the text's _digest for every row of ``docs``."""
-    table = document_vectors(docs, id_col, text_col)
     known = (labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col(label_col).cast("double").alias("label"))
              .filter("l_id IS NOT NULL AND label IS NOT NULL").filter(~held_out("l_id")).groupBy("l_id").agg(F.max("label").alias("label")))
-    # ids first: the sample is chosen among narrow rows, then its vectors are fetched; max_train rows at most reach the driver
-    ids = table.select("doc_id").join(known, F.col("doc_id") == F.col("l_id")).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = (table.join(ids.withColumnRenamed("doc_id", "s_id"), F.col("doc_id") == F.col("s_id")).groupBy("doc_id", "label").agg(F.min("x").alias("x"))
-              .orderBy("doc_id").limit(max_train).collect())
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # ids first: the sample is chosen among narrow rows, then its texts become vectors; max_train rows at most are broadcast and reach the driver
+    ids = known.join(d.select("doc_id"), F.col("l_id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("l_id"), "l_id").limit(max_train)
+    sample = (d.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "label", "text").mapInArrow(pooled, "doc_id long, label double, x binary")
+              .groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id").limit(max_train).collect())
     x = np.array([np.frombuffer(r.x, "<f4") for r in sample], np.float64).reshape(len(sample), -1)
     model = Network(x, np.array([float(r.label > 0) for r in sample]))
+    return lambda texts: model.scores(pool(texts, vectors.value).astype(np.float64))
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    score = fitted(docs, labels, id_col, text_col, **options)
+
+    def scores(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches_of(it):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(texts))], ["doc_id", "score"])
+
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scores, "doc_id long, score double")
+            .select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, **options) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, where they are: nothing is shuffled."""
+    score = fitted(docs, labels, id_col, text_col, **options)
 
-    def score(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), "<f4").reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_digest"), pa.array(model.scores(x.astype(np.float64)))], ["doc_id", "_digest", "score"])
+    def keep(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches_of(it, text_col):
+            yield batch.filter(pa.array(score(texts) >= cut))
 
-    return (table.mapInArrow(score, "doc_id long, _digest string, score double")
-            .select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "_digest"))
+    return docs.mapInArrow(keep, docs.schema)

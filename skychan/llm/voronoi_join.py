@@ -47,7 +47,7 @@ WORDS, NUM, DEN = 5, 75, 100
 #: An n-gram in the windows of so many points is frequent; the FREQUENT most frequent go last in the order (any order is exact).
 OFTEN, FREQUENT = 16, 200_000
 #: Regions up to this size are joined directly.
-LEAF = 64
+LEAF = 256
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -246,7 +246,7 @@ def join_large(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
             return links
         turn += 1
         h = F.xxhash64("x", F.lit(turn))
-        part = F.pmod(h, F.lit(min(4 ** (turn - 1), 4096)))
+        part = F.pmod(h, F.lit(min(16 ** (turn - 1), 4096)))
         pivots = written(work.groupBy("g", "cell", part.alias("b")).agg(F.min(F.struct(h.alias("h"), "x", "n")).alias("p")).select("g", "cell", F.col("p.x").alias("p"), F.col("p.n").alias("pn")), f"pivots-{turn}")
         met = work.join(pivots, ["g", "cell"]).filter("x != p")
         near = (F.col("n") * den >= F.col("pn") * num) & (F.col("pn") * den >= F.col("n") * num)
