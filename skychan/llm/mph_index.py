@@ -156,7 +156,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
                .withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie"))
-    ordered.mapInArrow(shards, SHARDS).write.mode("overwrite").option("compression", "none").parquet(path)
+    ordered.mapInArrow(shards, SHARDS).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
