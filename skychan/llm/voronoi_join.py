@@ -16,7 +16,8 @@ points replicated, and are joined recursively: points of the region become pivot
 of the members to them are taken, members within r link to the pivot, and by the triangle inequality a
 member needs no further look there if d(member, pivot) + r is below the distance of every
 member outside of the pivot's ball: whatever it links to is linked to the pivot, too. Pivots and these
-members go, the rest chooses new pivots, more of them each time, until none is left.
+members go, the rest chooses new pivots, more of them each time, until all points of the region are
+joined by links or gone. Points that are joined already need no distance.
 
 Pairs that meet in small regions are candidates only if what they share up to the last shared n-gram of
 their windows, and what is left behind it, can reach the needed overlap. All candidates' distances
@@ -96,14 +97,17 @@ def points(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
 
 def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, often: int, most: int) -> np.ndarray:
-    """The n-grams in the most windows, ``most`` at most; counted over all documents."""
+    """The n-grams of the most points, ``most`` at most, counted over all documents: those in windows, and those behind
+    that a slice of the table has twice (windows get longer as frequent ones go last). Any choice gives an exact join."""
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches_of(it, limit=8_000_000):
+        for _, texts in batches_of(it, limit=16_000_000):
             sets = {point_of(s): s for s in shingle_sets(texts, n) if len(s)}
             if sets:
-                g, c = np.unique(np.concatenate([s[:window_length(len(s), num, den)] for s in sets.values()]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["g", "c"])
+                near = [s[:window_length(len(s), num, den)] for s in sets.values()]
+                g, c = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+                some = (c > 1) | np.isin(g, np.concatenate(near))
+                yield pa.RecordBatch.from_arrays([pa.array(g[some].view(np.int64)), pa.array(c[some].astype(np.int64))], ["g", "c"])
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= often)
     rows = counts.orderBy(F.desc("c"), "g").limit(most).select("g").toPandas()  # most rows at most
@@ -233,37 +237,46 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return both.mapInArrow(compare, "x long, y long, common long, union long")
 
 
-def join_large(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> list[DataFrame]:
-    """Links of large regions, round by round: see the module's text. ``rows``: g, x, n."""
+def join_large(rows: DataFrame, links: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> list[DataFrame]:
+    """Links of large regions, round by round: see the module's text. ``rows``: g, x, n; ``links``: those known before. Points that known
+    links join already need no distance, and a region whose points are all joined is done."""
     r = 1 - num / den
     cell = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
     work = written(rows.select("g", "x", "n").distinct().select("g", F.explode(F.array(cell, cell + 1)).alias("cell"), "x", "n"), "large-0")
-    links, turn = [], 0
-    while True:
-        groups = work.groupBy("g", "cell").agg(F.count("*").alias("k")).filter("k > 1").select("g", "cell")
-        work = written(work.join(groups, ["g", "cell"], "left_semi"), f"large-{turn}-open")
+    found, turn = [], 0
+    while not work.isEmpty():
+        joined = components(links, None)
+        own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select("g", "cell", "x", "n", F.coalesce("label", "x").alias("label"))
+        groups = own.groupBy("g", "cell").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("g", "cell")
+        work = written(own.join(groups, ["g", "cell"], "left_semi"), f"large-{turn}-open")
         if work.isEmpty():
-            return links
+            break
         turn += 1
         h = F.xxhash64("x", F.lit(turn))
-        part = F.pmod(h, F.lit(min(16 ** (turn - 1), 4096)))
-        pivots = written(work.groupBy("g", "cell", part.alias("b")).agg(F.min(F.struct(h.alias("h"), "x", "n")).alias("p")).select("g", "cell", F.col("p.x").alias("p"), F.col("p.n").alias("pn")), f"pivots-{turn}")
-        met = work.join(pivots, ["g", "cell"]).filter("x != p")
+        part = F.pmod(h, F.lit(min(4 ** (turn - 1), 4096)))
+        # points of small components first: those of a large one then meet few others
+        size = work.groupBy("g", "cell", "label").agg(F.count("*").alias("k"))
+        chosen = work.join(size, ["g", "cell", "label"]).groupBy("g", "cell", part.alias("b")).agg(F.min(F.struct("k", h.alias("h"), "x", "n", "label")).alias("p"))
+        pivots = written(chosen.select("g", "cell", F.col("p.x").alias("p"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), f"pivots-{turn}")
+        met = work.join(pivots, ["g", "cell"]).filter("label != plabel")
         near = (F.col("n") * den >= F.col("pn") * num) & (F.col("pn") * den >= F.col("n") * num)
         asked = met.filter(near).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct()
         known = written(distances(asked, texts, n), f"distances-{turn}")
-        links.append(known.filter(F.col("common") * den >= F.col("union") * num).select("x", "y"))
+        more = known.filter(F.col("common") * den >= F.col("union") * num).select("x", "y")
+        found.append(more)
+        links = links.unionByName(more)
         k = known.select(F.col("x").alias("kx"), F.col("y").alias("ky"), (1 - F.col("common") / F.col("union")).alias("d"), (F.col("common") * den >= F.col("union") * num).alias("ball"))
         met = met.join(k, (F.least("x", "p") == F.col("kx")) & (F.greatest("x", "p") == F.col("ky")), "left").select("g", "cell", "x", "p", F.coalesce("ball", F.lit(False)).alias("ball"), F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("d"))
         met = written(met, f"met-{turn}")
         outer = met.filter(~F.col("ball")).groupBy("g", "cell", "p").agg(F.min("d").alias("nearest"))
         settled = (met.filter("ball").join(outer, ["g", "cell", "p"], "left").filter(F.col("nearest").isNull() | (F.col("d") + r + 1e-9 < F.col("nearest")))
                    .select("g", "cell", "x").unionByName(pivots.select("g", "cell", F.col("p").alias("x"))).distinct())
-        work = written(work.join(settled, ["g", "cell", "x"], "left_anti"), f"large-{turn}")
+        work = written(work.drop("label").join(settled, ["g", "cell", "x"], "left_anti"), f"large-{turn}")
+    return found
 
 
-def components(links: DataFrame, names: DataFrame) -> DataFrame:
-    """x, label: least name among the points reachable by links. ``names``: x, label. Labels spread along links and along themselves, so
+def components(links: DataFrame, names: DataFrame | None) -> DataFrame:
+    """x, label: least name among the points reachable by links. ``names``: x, label (None: the points themselves). Labels spread along links and along themselves, so
     chains take a logarithm of their length in rounds."""
     both = written(links.select("x", "y").distinct().select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b"), "links")
     state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0")
@@ -278,6 +291,8 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
         if state.filter("m != was").isEmpty():
             break
         state = state.select("x", "m")
+    if names is None:
+        return state.select("x", F.col("m").alias("label"))
     named = state.join(names, "x")
     return named.join(named.groupBy("m").agg(F.min("label").alias("least")), "m").select("x", F.col("least").alias("label"))
 
@@ -300,8 +315,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     needed = pairs.select("x").union(pairs.select("y")).union(wide.select("x")).distinct()
     first = rows.join(needed, "x", "left_semi").groupBy("x").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_digest")).alias("r")).select("x", F.col("r.doc_id").alias("_id"), F.col("r._digest").alias("_digest"))
     texts = written(rows_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), written(first, "first"), "doc_id", "text").select("x", "text"), "texts")
-    links = distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y")
-    for more in join_large(wide, texts, n, num, den):
+    links = written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links")
+    for more in join_large(wide, links, texts, n, num, den):
         links = links.unionByName(more)
     names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
     found = components(links, names)
