@@ -192,7 +192,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = known.join(d.select("doc_id"), F.col("l_id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("l_id"), "l_id").limit(max_train)
     sample = (d.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "label", "text").mapInArrow(pooled, "doc_id long, label double, x binary")
               .groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id").limit(max_train).collect())
-    x = np.array([np.frombuffer(r.x, "<f4") for r in sample], np.float64).reshape(len(sample), -1)
+    x = np.array([np.frombuffer(r.x, "<f4") for r in sample], np.float64).reshape(len(sample), 2 * DIM + EXTRA)
     model = Network(x, np.array([float(r.label > 0) for r in sample]))
     return lambda texts: model.scores(pool(texts, vectors.value).astype(np.float64))
 
