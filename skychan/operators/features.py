@@ -148,7 +148,8 @@ def link_features(df: DataFrame, dvec: str = "dvec", rx: str = "rx_type",
 def condition_base(dvec: Column, los: Column) -> Column:
     """``[d3d, log10 d3d, dh, los]`` with ``d3d = max(|dvec|, 1)``."""
     x, y, z = geo.vec_elems(dvec)
-    d3d = F.greatest(geo.norm3(x, y, z), F.lit(1.0))
+    r = geo.norm3(x, y, z)
+    d3d = F.when(r.isNotNull(), F.greatest(r, F.lit(1.0)))
     return F.array(d3d, F.log10(d3d), z.cast("double"), los.cast("double"))
 
 
@@ -267,7 +268,8 @@ def excess_delay(nlos_dly: Column, dvec: Column) -> Column:
     """``max(0, dly - |dvec| / c)`` per path (F12 numerator)."""
     x, y, z = geo.vec_elems(dvec)
     los = geo.los_delay(geo.norm3(x, y, z))
-    return F.transform(nlos_dly, lambda d: F.greatest(F.lit(0.0), _num(d) - los))
+    # greatest() skips NULL: a missing delay or position must stay missing
+    return F.transform(nlos_dly, lambda d: F.when(_num(d).isNotNull() & los.isNotNull(), F.greatest(F.lit(0.0), _num(d) - los)))
 
 
 def fit_delay_scale(df: DataFrame, nlos_dly: str = "nlos_dly", dvec: str = "dvec",

@@ -680,7 +680,7 @@ def synth_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- classifier (rows-only checks)
-def _fitted(spark: SparkSession, sf_dir: str, max_iter: int = 30):
+def _fitted(spark: SparkSession, sf_dir: str, max_iter: int = 50):
     from ..operators.model import LinkStateModel
     obs = observations(spark, sf_dir)
     train, val = sa.split_frames(obs, val_ratio=0.2, seed=42)
@@ -702,7 +702,7 @@ def model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions of both models agree row for row."""
     from ..operators.model import LinkStateModel
     from ..session import work_path
-    m, val = _fitted(spark, sf_dir, max_iter=10)
+    m, val = _fitted(spark, sf_dir)
     path = work_path(spark, "link-model")
     m.save(spark, path)
     m2 = LinkStateModel.load(spark, path)
@@ -720,7 +720,7 @@ def channel_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.model import ChannelModel
     obs = observations(spark, sf_dir)
     train, val = sa.split_frames(obs, val_ratio=0.2, seed=42)
-    cm = ChannelModel(max_iter=20).fit(train)
+    cm = ChannelModel().fit(train)
     rep = classification_report(cm.link.predict_proba(val).withColumnRenamed("link_state", "label"))
     n_path = cm.path_input(val).agg(F.count(F.lit(1)).alias("support"))
     path_row = n_path.select(F.lit("path_input_rows").alias("class"), F.lit(None).cast("double").alias("precision"),

@@ -25,7 +25,11 @@ def decode_scalar(c: Column, name: str, src_type: T.DataType | None = None) -> C
     Code columns (stored as uint8 by the reference) are range-checked to 0-255 (P16)."""
     target = spark_type(name)
     if src_type is None or isinstance(src_type, T.StringType):
-        v = F.trim(null_tokens(c)).try_cast(target)
+        cell = F.trim(null_tokens(c))
+        v = cell.try_cast(target)
+        if name in CODE_COLUMNS:  # a column of codes with gaps is often written as 1.0
+            d = cell.try_cast("double")
+            v = F.coalesce(v, F.when(d == F.floor(d), d.try_cast(target)))
     else:
         v = c.try_cast(target)
     if name in CODE_COLUMNS:
@@ -33,13 +37,18 @@ def decode_scalar(c: Column, name: str, src_type: T.DataType | None = None) -> C
     return v
 
 
+#: A whole array of depth 1 or 2: the JSON reader stops behind the first one and would accept what follows.
+ONE_ARRAY = r"^\s*\[([^\[\]]*|\s*\[[^\[\]]*\]\s*(,\s*(\[[^\[\]]*\]|null)\s*)*|\s*null\s*(,\s*(\[[^\[\]]*\]|null)\s*)*)\]\s*$"
+
+
 def decode_array(c: Column, name: str, src_type: T.DataType | None = None) -> Column:
     """JSON text -> typed array; malformed, truncated, scalar or object JSON and
     ``NaN`` tokens -> NULL (T2-T4). Already-decoded arrays are cast (T5)."""
     target = spark_type(name)
     if src_type is not None and isinstance(src_type, T.ArrayType):
         return c.try_cast(target)
-    return F.from_json(null_tokens(c), target, JSON_OPTS)
+    text = null_tokens(c)
+    return F.when(text.rlike(ONE_ARRAY), F.from_json(text, target, JSON_OPTS))
 
 
 def decode_column(c: Column, name: str, src_type: T.DataType | None = None) -> Column:
