@@ -10,18 +10,20 @@ replicating every point to the regions of its first n - ceil(0.75 n) + 1 n-grams
 brings every linked pair into a common region.
 
 Within a region sizes are a 1-Lipschitz bound of the distance (d >= 1 - smaller / larger), so points are
-sorted by size and a point meets only the window of sizes within r. Small regions are joined
-directly. Large regions (of frequent n-grams) are cut into cells of sizes, the neighbouring cell's
-points replicated, and are joined recursively: points of the region become pivots, exact distances
-of the members to them are taken, members within r link to the pivot, and by the triangle inequality a
-member needs no further look there if d(member, pivot) + r is below the distance of every
-member outside of the pivot's ball: whatever it links to is linked to the pivot, too. Pivots and these
-members go, the rest chooses new pivots, more of them each time, until all points of the region are
-joined by links or gone. Points that are joined already need no distance.
-
-Pairs that meet in small regions are candidates only if what they share up to the last shared n-gram of
-their windows, and what is left behind it, can reach the needed overlap. All candidates' distances
-are computed from the whole texts. No link is lost; components are those of all links.
+sorted by size and a point meets only the window of sizes within r. Small regions of rare n-grams are
+joined directly: pairs are candidates if what they share up to the last shared n-gram of their windows, and
+what is left behind it, can reach the needed overlap; their distances are computed from the whole texts.
+
+Points whose windows reach frequent n-grams hold all their rare ones in the window. Linked points among them
+share a rare one (and meet above) or link by frequent n-grams alone. For these only the ordered
+list of frequent n-grams is kept, and points of equal list and size are one. Such regions, and large
+ones of rare n-grams with whole sets, are joined recursively: in each round points of a region become
+pivots, the members' distances to them are taken, members within r link to the pivot, and the pivot goes. A
+pair is looked at only if it is not joined by links already, if what follows the region's n-gram in both lists can reach the needed
+overlap (true in the region of the first n-gram that they share), and, by the triangle inequality, if the
+members' distances to each former lead pivot differ by r at most. (Rare n-grams count as different there,
+which is a Jaccard distance too.) The rest chooses new pivots, more of them each time, until all
+points of the region are joined or gone. No link is lost; components are those of all links.
 
 N-grams are compared by 64-bit hashes (word hashes, mixed in order), equal sets by a 64-bit digest:
 two different n-grams of one pair of documents get the same hash with a chance of about 1e-13.
@@ -49,6 +51,10 @@ WORDS, NUM, DEN = 5, 75, 100
 OFTEN, FREQUENT = 16, 200_000
 #: Regions up to this size are joined directly.
 LEAF = 256
+#: A pivot's set goes to so many tasks.
+SALT = 16
+#: Pivots of a large region: so many times more in each round.
+GROWTH = 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -96,9 +102,10 @@ def points(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                    .mapInArrow(digest, "doc_id long, _digest string, x long, n long"), "points")
 
 
-def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, often: int, most: int) -> np.ndarray:
-    """The n-grams of the most points, ``most`` at most, counted over all documents: those in windows, and those behind
-    that a slice of the table has twice (windows get longer as frequent ones go last). Any choice gives an exact join."""
+def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, often: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the most points, ``most`` at most, by hash, and the place of each in the order of all (most frequent last).
+    Counted over all documents: those in windows, and those behind that a slice of the table has twice (windows get longer
+    as frequent ones go last). Any choice gives an exact join."""
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in batches_of(it, limit=16_000_000):
@@ -111,48 +118,83 @@ def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, o
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= often)
     rows = counts.orderBy(F.desc("c"), "g").limit(most).select("g").toPandas()  # most rows at most
-    return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
+    g = rows["g"].to_numpy(np.int64).view(np.uint64)
+    by_hash = np.argsort(g)
+    return g[by_hash], (len(g) - 1 - by_hash).astype(np.int32)
+
+
+def split_set(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rare n-grams of a set, and the indices in ``frequent`` of the others."""
+    if not len(frequent):
+        return s, np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    often = frequent[at] == s
+    return s[~often], at[often]
 
 
 def windows(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """A row for each point and n-gram of its window: g, x, n, pos (place in the point's order), nf (frequent ones in the window), hot (g is frequent)."""
+    """A row for each point and rare n-gram of its window: g, x, n, pos (place in the point's order)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # a fixed size at most
 
     def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
         done: set[int] = set()
         for _, texts in batches_of(it):
-            g, x, size, pos, nf, hot = [], [], [], [], [], []
+            g, x, size = [], [], []
             for s in shingle_sets(texts, n):
                 p = point_of(s)
                 if not len(s) or p in done:
                     continue
                 done.add(p)
-                at = np.searchsorted(last, s)
-                often = last[np.minimum(at, len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                k = window_length(len(s), num, den)
-                rare = s[~often][:k]
-                own = np.concatenate([rare, s[often][:k - len(rare)]])
-                g.append(own)
+                g.append(split_set(s, shared.value)[0][:window_length(len(s), num, den)])
                 x.append(p)
                 size.append(len(s))
-                nf.append(len(own) - len(rare))
-                pos.append(np.arange(len(own)))
-                hot.append(np.arange(len(own)) >= len(rare))
             if g:
                 each = np.fromiter(map(len, g), np.int64, len(g))
                 rep = lambda v, t, e=each: pa.array(np.repeat(np.array(v, t), e))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), rep(x, np.int64), rep(size, np.int32), pa.array(np.concatenate(pos).astype(np.int32)), rep(nf, np.int32), pa.array(np.concatenate(hot))], ["g", "x", "n", "pos", "nf", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), rep(x, np.int64), rep(size, np.int32),
+                                                  pa.array(repeat_ranges(np.zeros(len(g), np.int64), each).astype(np.int32))], ["g", "x", "n", "pos"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "g long, x long, n int, pos int")
+
+
+def frequent_sets(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
+    """Points whose windows reach frequent n-grams: x, n, s (places of all their frequent n-grams, in order), key (digest of n and s).
+    All rare n-grams of such a point are in its window."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, place))  # a fixed size at most
+
+    def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, order = shared.value
+        for _, texts in batches_of(it):
+            out = []
+            for s in shingle_sets(texts, n):
+                rare, at = split_set(s, last)
+                if len(s) and len(rare) < window_length(len(s), num, den):
+                    own = np.sort(order[at])
+                    out.append((point_of(s), len(s), own, xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(s)) - (1 << 63)))
+            if out:
+                x, size, own, key = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.list_(pa.int32())), pa.array(key, pa.int64())], ["x", "n", "s", "key"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "x long, n long, s array<int>, key long")
+
+
+def whole_sets(texts: DataFrame, n: int) -> DataFrame:
+    """x, n, s (all n-gram hashes) of points given by x, text."""
+
+    def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in batches_of(it):
+            sets = shingle_sets(part, n)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["x", "n", "s"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "g long, x long, n int, pos int, nf int, hot boolean")
+    return texts.select("x", "text").mapInArrow(emit, "x long, n long, s array<bigint>")
 
 
 def join_regions(rows: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
     """Small regions joined: pairs (x, y) whose sizes and places allow a link. Rows of larger regions come back with y null. Regions that only one point is in go."""
-    names = ["g", "x", "y", "nx", "ny", "px", "py", "fx", "fy"]
+    names = ["g", "x", "y", "nx", "ny", "px", "py"]
 
     def pairs(a: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g, x, n, pos, nf = (a[c] for c in ("g", "x", "n", "pos", "nf"))
+        g, x, n, pos = (a[c] for c in ("g", "x", "n", "pos"))
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         size = np.diff(np.r_[first, len(g)])
         of = np.repeat(size, size)
@@ -160,7 +202,7 @@ def join_regions(rows: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
         if len(large):
             k = len(large)
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(g[large]), pa.array(x[large]), none, pa.array(n[large]), none, pa.array(pos[large]), none, pa.array(nf[large]), none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(g[large]), pa.array(x[large]), none, pa.array(n[large]), none, pa.array(pos[large]), none], names)
         i = np.flatnonzero((of > 1) & (of <= leaf))
         step = 1
         while len(i):
@@ -175,11 +217,11 @@ def join_regions(rows: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
                 a_, b_ = i[fits], j[fits]
                 swap = x[a_] > x[b_]
                 a_, b_ = np.where(swap, b_, a_), np.where(swap, a_, b_)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g[a_], x[a_], x[b_], n[a_], n[b_], pos[a_], pos[b_], nf[a_], nf[b_])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g[a_], x[a_], x[b_], n[a_], n[b_], pos[a_], pos[b_])], names)
             step += 1
 
     def stream(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[np.ndarray]] = {c: [] for c in ("g", "x", "n", "pos", "nf")}
+        kept: dict[str, list[np.ndarray]] = {c: [] for c in ("g", "x", "n", "pos")}
         for batch in it:
             own = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in kept}
             if not len(own["g"]):
@@ -196,20 +238,20 @@ def join_regions(rows: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
         if kept["g"]:
             yield from pairs({c: np.concatenate(v) for c, v in kept.items()})
 
-    return (rows.select("g", "x", "n", "pos", "nf").repartition("g").sortWithinPartitions("g", "n", "x")
-            .mapInArrow(stream, "g long, x long, y long, nx long, ny long, px long, py long, fx long, fy long"))
+    return (rows.select("g", "x", "n", "pos").repartition("g").sortWithinPartitions("g", "n", "x")
+            .mapInArrow(stream, "g long, x long, y long, nx long, ny long, px long, py long"))
 
 
 def candidates(pairs: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
-    """x, y of pairs that can reach the needed overlap: what they share up to the last shared n-gram, what can follow it, and what large regions, which list no pairs, may hide."""
-    p = pairs.groupBy("x", "y").agg(F.count_distinct("g").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), *(F.first(c).alias(c) for c in ("nx", "ny", "fx", "fy")))
+    """x, y of pairs that can reach the needed overlap: what they share up to the last shared n-gram, what can follow it (all frequent ones do), and what large regions, which list no pairs, may hide."""
+    p = pairs.groupBy("x", "y").agg(F.count_distinct("g").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), *(F.first(c).alias(c) for c in ("nx", "ny")))
     if not large.isEmpty():
         more = written(large.groupBy("x").agg(F.count_distinct("g").alias("k")), "large-counts")
         for side in ("x", "y"):
             p = p.join(more.select(F.col("x").alias("m"), F.col("k").alias(f"k{side}")), F.col(side) == F.col("m"), "left").drop("m")
     else:
         p = p.withColumn("kx", F.lit(0)).withColumn("ky", F.lit(0))
-    hidden = F.least(F.col("fx") + F.coalesce("kx", F.lit(0)), F.col("fy") + F.coalesce("ky", F.lit(0)))
+    hidden = F.least(F.coalesce("kx", F.lit(0)), F.coalesce("ky", F.lit(0)))
     most = F.col("c") + hidden + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)
     return p.filter(most * (num + den) >= num * (F.col("nx") + F.col("ny"))).select("x", "y")
 
@@ -237,42 +279,60 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return both.mapInArrow(compare, "x long, y long, common long, union long")
 
 
-def join_large(rows: DataFrame, links: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> list[DataFrame]:
-    """Links of large regions, round by round: see the module's text. ``rows``: g, x, n; ``links``: those known before. Points that known
-    links join already need no distance, and a region whose points are all joined is done."""
+def cells(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Regions of sets by the n-grams of their windows: g, x, n, size (of s), pos (place of g in s)."""
+    wide = F.col("size") - F.ceil(F.col("n") * num / den).cast("int") + 1
+    return (sets.withColumn("size", F.size("s")).filter(wide > 0)
+            .select("x", "n", "size", F.posexplode(F.slice("s", F.lit(1), wide)).alias("pos", "g"))
+            .select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos"))
+
+
+def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, p, common, union of pairs of a point x and a pivot p. A pivot's set is dealt out SALT times: it meets many points."""
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int")
+    few = asked.select("p").distinct()
+    of_pivots = few.join(sets, F.col("p") == F.col("x")).select("p", F.col("n").alias("pn"), F.col("s").alias("ps"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    return (asked.join(sets, "x").withColumn("salt", salt("x")).join(of_pivots, ["p", "salt"])
+            .select("x", "p", "n", "pn", F.size(F.array_intersect("s", "ps")).cast("long").alias("common"))
+            .select("x", "p", "common", (F.col("n") + F.col("pn") - F.col("common")).alias("union")))
+
+
+def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, leaf: int, name: str) -> list[DataFrame]:
+    """Links of regions of any size, round by round: see the module's text. ``work``: g, x, n, size, pos; ``sets``: x, n, s; ``links``: those
+    known before. Points that links join already need no distance, and a region whose points are all joined is done."""
     r = 1 - num / den
-    cell = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
-    work = written(rows.select("g", "x", "n").distinct().select("g", F.explode(F.array(cell, cell + 1)).alias("cell"), "x", "n"), "large-0")
+    rest = ["g", "x", "n", "size", "pos", "rings"]
+    work = work.withColumn("rings", F.array().cast("array<double>"))
     found, turn = [], 0
-    while not work.isEmpty():
+    while True:
         joined = components(links, None)
-        own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select("g", "cell", "x", "n", F.coalesce("label", "x").alias("label"))
-        groups = own.groupBy("g", "cell").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("g", "cell")
-        work = written(own.join(groups, ["g", "cell"], "left_semi"), f"large-{turn}-open")
+        own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select(*rest, F.coalesce("label", "x").alias("label"))
+        groups = own.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).filter("a != b").select("g", "members")
+        work = written(own.join(groups, "g"), f"{name}-{turn}-open")
         if work.isEmpty():
-            break
+            return found
         turn += 1
         h = F.xxhash64("x", F.lit(turn))
-        part = F.pmod(h, F.lit(min(4 ** (turn - 1), 4096)))
-        # points of small components first: those of a large one then meet few others
-        size = work.groupBy("g", "cell", "label").agg(F.count("*").alias("k"))
-        chosen = work.join(size, ["g", "cell", "label"]).groupBy("g", "cell", part.alias("b")).agg(F.min(F.struct("k", h.alias("h"), "x", "n", "label")).alias("p"))
-        pivots = written(chosen.select("g", "cell", F.col("p.x").alias("p"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), f"pivots-{turn}")
-        met = work.join(pivots, ["g", "cell"]).filter("label != plabel")
-        near = (F.col("n") * den >= F.col("pn") * num) & (F.col("pn") * den >= F.col("n") * num)
-        asked = met.filter(near).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct()
-        known = written(distances(asked, texts, n), f"distances-{turn}")
-        more = known.filter(F.col("common") * den >= F.col("union") * num).select("x", "y")
+        part = F.pmod(h, F.lit(min(GROWTH ** (turn - 1), 4096)))
+        # points of small components first: those of a large one then meet few others; all points of a small region are pivots
+        size = work.groupBy("g", "label").agg(F.count("*").alias("k"))
+        of_large = (work.filter(F.col("members") > leaf).join(size, ["g", "label"]).groupBy("g", part.alias("b"))
+                    .agg(F.min(F.struct("k", h.alias("h"), "x")).alias("p")).select("g", F.col("p.x").alias("x"), (F.col("b") == 0).alias("lead")))
+        pivots = written(work.filter(F.col("members") <= leaf).select("g", "x", F.lit(False).alias("lead")).unionByName(of_large).join(work, ["g", "x"])
+                         .select("g", "lead", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "rings", "label"))), f"{name}-{turn}-pivots")
+        # of two pivots of a small region one asks; what follows the first shared n-gram must suffice; rings of width r around former pivots
+        fits = (((F.col("members") > leaf) | (F.col("px") < F.col("x"))) & (F.col("label") != F.col("plabel"))
+                & (F.least(F.col("size") - F.col("pos"), F.col("psize") - F.col("ppos")) * (num + den) >= (F.col("n") + F.col("pn")) * num)
+                & ~F.exists(F.zip_with("rings", "prings", lambda a, b: F.coalesce(F.abs(a - b) > r + 1e-9, F.lit(False))), lambda v: v))
+        met = work.join(pivots, "g").filter(fits).select("g", "x", F.col("px").alias("p"), "lead")
+        known = written(overlaps(met.select("x", "p").distinct(), sets), f"{name}-{turn}-overlaps")
+        more = known.filter(F.col("common") * den >= F.col("union") * num).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct()
         found.append(more)
         links = links.unionByName(more)
-        k = known.select(F.col("x").alias("kx"), F.col("y").alias("ky"), (1 - F.col("common") / F.col("union")).alias("d"), (F.col("common") * den >= F.col("union") * num).alias("ball"))
-        met = met.join(k, (F.least("x", "p") == F.col("kx")) & (F.greatest("x", "p") == F.col("ky")), "left").select("g", "cell", "x", "p", F.coalesce("ball", F.lit(False)).alias("ball"), F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("d"))
-        met = written(met, f"met-{turn}")
-        outer = met.filter(~F.col("ball")).groupBy("g", "cell", "p").agg(F.min("d").alias("nearest"))
-        settled = (met.filter("ball").join(outer, ["g", "cell", "p"], "left").filter(F.col("nearest").isNull() | (F.col("d") + r + 1e-9 < F.col("nearest")))
-                   .select("g", "cell", "x").unionByName(pivots.select("g", "cell", F.col("p").alias("x"))).distinct())
-        work = written(work.drop("label").join(settled, ["g", "cell", "x"], "left_anti"), f"large-{turn}")
-    return found
+        left = work.filter(F.col("members") > leaf).join(pivots.select("g", F.col("px").alias("x")), ["g", "x"], "left_anti")
+        first = pivots.filter("lead").select("g", F.col("px").alias("p"))
+        ring = known.select("x", "p", (1 - F.col("common") / F.col("union")).alias("d"))
+        work = written(left.join(first, "g", "left").join(ring, ["x", "p"], "left").withColumn("rings", F.concat("rings", F.array("d"))).select(*rest), f"{name}-{turn}")
 
 
 def components(links: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -297,27 +357,56 @@ def components(links: DataFrame, names: DataFrame | None) -> DataFrame:
     return named.join(named.groupBy("m").agg(F.min("label").alias("least")), "m").select("x", F.col("least").alias("label"))
 
 
+def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray, leaf: int) -> DataFrame:
+    """``links`` and those between points whose frequent n-grams alone make a link (others have a rare one in common).
+
+    Points of equal n and equal frequent n-grams are a class; one of them stands for all. A class is tight if its members link to one another."""
+    hot = written(frequent_sets(docs, text_col, n, num, den, frequent, place), "hot")
+    sets = written(hot.groupBy("key").agg(F.min("x").alias("x"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")
+    tight = F.size("s") * (num + den) >= 2 * F.col("n") * num
+    of = sets.select("key", F.col("x").alias("rep"), tight.alias("tight"))
+    others = written(hot.select("key", "x").distinct().join(of, "key").filter("x != rep").select("rep", "x", "tight"), "members")
+    links = links.unionByName(others.filter("tight").select(F.col("rep").alias("x"), F.col("x").alias("y")))
+    more = join_cells(cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, leaf, "frequent")
+    for found in more:
+        # members of a class that isn't tight link to the other class's point, too
+        both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        loose = others.filter("NOT tight").select(F.col("rep").alias("x"), F.col("x").alias("member")).join(both, "x").select(F.col("member").alias("x"), "y")
+        links = links.unionByName(found).unionByName(loose)
+    return written(links, "frequent-links")
+
+
+def open_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs that ``links`` don't join already."""
+    label = components(links, None)
+    for side in ("x", "y"):
+        pairs = pairs.join(label.select(F.col("x").alias("m"), F.col("label").alias(f"l{side}")), F.col(side) == F.col("m"), "left").drop("m")
+    return pairs.filter("lx IS NULL OR ly IS NULL OR lx != ly").select("x", "y")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, num: int = NUM, den: int = DEN,
            often: int = OFTEN, most: int = FREQUENT, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id and the text's _digest of every row. Points are linked if den * common >= num * union."""
     rows = points(docs, id_col, text_col, n)
-    frequent = frequent_grams(docs, text_col, n, num, den, often, most)
-    # all windows once: small regions give pairs, rows of large ones and of frequent n-grams come back
-    in_windows = windows(docs, text_col, n, num, den, frequent)
-    hot_rows = written(in_windows.filter("hot").select("g", "x", F.col("n").cast("long").alias("n")), "hot") if len(frequent) else None
-    met = written(join_regions(in_windows.filter("NOT hot"), num, den, leaf), "met")
-    large = met.filter("y IS NULL").select("g", "x", F.col("nx").alias("n"))
+    frequent, place = frequent_grams(docs, text_col, n, num, den, often, most)
+    # regions of rare n-grams: small ones give pairs, rows of large ones come back
+    met = written(join_regions(windows(docs, text_col, n, num, den, frequent), num, den, leaf), "met")
+    large = written(met.filter("y IS NULL").select("g", "x", F.col("nx").alias("n")), "large")
     pairs = written(candidates(met.filter("y IS NOT NULL"), large, num, den), "candidates")
-    wide = large if hot_rows is None else large.unionByName(hot_rows)
-    several = wide.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a != b").select("g")
-    wide = written(wide.join(several, "g", "left_semi"), "wide")
+    links = docs.sparkSession.createDataFrame([], "x long, y long")
+    if len(frequent):
+        links = join_frequent(docs, links, text_col, n, num, den, frequent, place, leaf)
+        pairs = written(open_pairs(pairs, links), "open-pairs")
     # the texts of the points that need distances, by one row of each
-    needed = pairs.select("x").union(pairs.select("y")).union(wide.select("x")).distinct()
+    needed = pairs.select("x").union(pairs.select("y")).union(large.select("x")).distinct()
     first = rows.join(needed, "x", "left_semi").groupBy("x").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_digest")).alias("r")).select("x", F.col("r.doc_id").alias("_id"), F.col("r._digest").alias("_digest"))
     texts = written(rows_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), written(first, "first"), "doc_id", "text").select("x", "text"), "texts")
-    links = written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links")
-    for more in join_large(wide, links, texts, n, num, den):
-        links = links.unionByName(more)
+    links = links.unionByName(written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links"))
+    if not large.isEmpty():
+        work = large.distinct().select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"))
+        sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets")
+        for more in join_cells(work, sets, links, num, den, leaf, "rare"):
+            links = links.unionByName(more)
     names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
     found = components(links, names)
     label = written(names.join(found.withColumnRenamed("label", "l"), "x", "left").select(F.col("x").alias("lx"), F.coalesce("l", "label").alias("label")), "labels")
