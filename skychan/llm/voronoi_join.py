@@ -305,7 +305,7 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
     work = work.withColumn("rings", F.array().cast("array<double>"))
     found, turn = [], 0
     while True:
-        joined = components(links, None)
+        joined = components(links, None, rounds=2)  # two join the points around a pivot; it only saves distances
         own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select(*rest, F.coalesce("label", "x").alias("label"))
         groups = own.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).filter("a != b").select("g", "members")
         work = written(own.join(groups, "g"), f"{name}-{turn}-open")
@@ -335,9 +335,9 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
         work = written(left.join(first, "g", "left").join(ring, ["x", "p"], "left").withColumn("rings", F.concat("rings", F.array("d"))).select(*rest), f"{name}-{turn}")
 
 
-def components(links: DataFrame, names: DataFrame | None) -> DataFrame:
+def components(links: DataFrame, names: DataFrame | None, rounds: int | None = None) -> DataFrame:
     """x, label: least name among the points reachable by links. ``names``: x, label (None: the points themselves). Labels spread along links and along themselves, so
-    chains take a logarithm of their length in rounds."""
+    chains take a logarithm of their length in rounds. After ``rounds`` equal labels still mean joined points, but joined points may have different ones."""
     both = written(links.select("x", "y").distinct().select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b"), "links")
     state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0")
     turn = 0
@@ -348,7 +348,7 @@ def components(links: DataFrame, names: DataFrame | None) -> DataFrame:
         new = written(new, f"heard-{turn}")
         jump = new.select(F.col("x").alias("m"), F.col("m").alias("j"))
         state = written(new.join(jump, "m", "left").select("x", F.least("m", "j").alias("m"), "was"), f"label-{turn}")
-        if state.filter("m != was").isEmpty():
+        if turn == rounds or state.filter("m != was").isEmpty():
             break
         state = state.select("x", "m")
     if names is None:
@@ -378,7 +378,7 @@ def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num:
 
 def open_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs that ``links`` don't join already."""
-    label = components(links, None)
+    label = components(links, None, rounds=2)
     for side in ("x", "y"):
         pairs = pairs.join(label.select(F.col("x").alias("m"), F.col("label").alias(f"l{side}")), F.col(side) == F.col("m"), "left").drop("m")
     return pairs.filter("lx IS NULL OR ly IS NULL OR lx != ly").select("x", "y")
