@@ -1,7 +1,7 @@
 """Seeded, partition-independent random numbers as column expressions.
 
 ``rand()`` changes with partitioning and cannot be reproduced by another
-engine; a hash of (seed, tag, key) can. The first 32 bits of md5 give a
+engine; a hash of (seed, tag, key) can. The first 52 bits of md5 give a
 uniform on [0, 1).
 """
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO32 = 4294967296.0
+TWO52 = 4503599627370496.0
 
 
 def _s(v) -> Column:
@@ -24,15 +24,15 @@ def hash_key(*parts) -> Column:
 
 
 def hash_uniform(*parts) -> Column:
-    """Uniform in [0, 1) from the first 8 hex digits of ``hash_key(parts)``."""
+    """Uniform in [0, 1) from the first 13 hex digits of ``hash_key(parts)``."""
     h = hash_key(*parts)
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(TWO32)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") / F.lit(TWO52)
 
 
 def hash_uniform_open(*parts) -> Column:
-    """Uniform in (0, 1): centre of the 2^-32 cell, safe for ``log``."""
+    """Uniform in (0, 1): centre of the 2^-52 cell, safe for ``log``."""
     h = hash_key(*parts)
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(TWO32)
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(TWO52)
 
 
 def hash_normal(*parts) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.joins import join_null_safe
 from ..functions.nn import sparse_cross_entropy_row
 from ..schema import LINK_STATE_REPORT_NAMES
 
@@ -109,7 +110,7 @@ def cross_entropy(df: DataFrame, probs: str = "probability", label: str = "label
 
 # ---------------------------------------------------------------- E7: order statistics
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: Mapping[str, Column],
-                     bins: int = 1024, max_candidates: int = 20000, max_iter: int = 16,
+                     bins: int = 1024, max_candidates: int = 20000,
                      stats: DataFrame | None = None) -> DataFrame:
     """Exact ``k``-th smallest values per group.
 
@@ -120,7 +121,9 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: M
     bin holding the rank, with its exact min/max as the new range. When at
     most ``max_candidates`` values remain, they are ranked by a window whose
     partitions are bounded by that number. Bins are monotone in the value, so
-    the range ``[min, max]`` of a bin holds exactly that bin's values.
+    the range ``[min, max]`` of a bin holds exactly that bin's values. Infinite
+    values have bins of their own, the smallest and the largest value never share one, so every pass
+    narrows. A NULL group is a group.
     ``stats`` (group, ``_n``, ``_lo``, ``_hi``) may be passed when the caller
     already aggregates the groups, saving a scan."""
     g = list(group)
@@ -134,23 +137,27 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: M
         *g, F.col("_t.t").alias("_target"), F.col("_t.r").alias("_r"), "_lo", "_hi",
         F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_cnt"))
     keys = g + ["_target"]
-    for _ in range(max_iter):
+    top = 1.7e308
+    def finite(c):
+        return F.least(F.greatest(c, F.lit(-top)), F.lit(top)) / 2
+    while True:
         open_ = F.col("_cnt") > max_candidates
         busy = state.where(open_ & (F.col("_lo") < F.col("_hi")))
         if busy.isEmpty():
             break
         from ..session import checkpoint_root
         checkpoint_root(df.sparkSession)
-        j = base.join(busy.select(*keys, "_lo", "_hi"), g).where(
+        j = join_null_safe(base, busy.select(*keys, "_lo", "_hi"), g).where(
             (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))),
-                    F.lit(bins - 1))
+        v, lo, hi = finite(F.col("_v")), finite(F.col("_lo")), finite(F.col("_hi"))
+        b = (F.when(F.col("_v") == F.col("_lo"), F.lit(-1)).when(F.col("_v") == F.col("_hi"), F.lit(bins))
+             .when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * F.lit(float(bins))), F.lit(bins - 1))).otherwise(F.lit(0)))
         h = j.groupBy(*keys, b.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
                                                   F.max("_v").alias("_bmax"))
         w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
         h = h.withColumn("_cum", F.sum("_c").over(w))    # <= bins rows per partition
         need = F.col("_r") - F.col("_below")
-        pick = h.join(busy.select(*keys, "_r", "_below"), keys).where(
+        pick = join_null_safe(h, busy.select(*keys, "_r", "_below"), keys).where(
             (F.col("_cum") - F.col("_c") <= need) & (need < F.col("_cum")))
         moved = pick.select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
                             (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
@@ -159,7 +166,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: M
         state = kept.unionByName(moved).checkpoint()     # cut lineage; tiny, on the shared dir
     const = state.where(F.col("_lo") == F.col("_hi")).select(*keys, F.col("_lo").alias("_val"))
     live = state.where(F.col("_lo") < F.col("_hi"))
-    cand = base.join(live.select(*keys, "_r", "_lo", "_hi", "_below"), g).where(
+    cand = join_null_safe(base, live.select(*keys, "_r", "_lo", "_hi", "_below"), g).where(
         (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     w = Window.partitionBy(*keys).orderBy("_v")          # <= max_candidates rows per partition
     sel = cand.withColumn("_rk", F.row_number().over(w) - 1 + F.col("_below")).where(
@@ -188,23 +195,23 @@ def timing_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     # the same aggregate seeds the order statistics (one scan fewer)
     stats = agg.select(*g, F.col("count").alias("_n"), F.col("min_ms").alias("_lo"), F.col("max_ms").alias("_hi"))
     os_ = order_statistics(df, g, value, ranks, stats=stats)
-    out = agg.join(os_, g)          # one row per group on both sides
+    out = join_null_safe(agg, os_, g)          # one row per group on both sides
     return out.select(*g, "count", "mean_ms", ((F.col("_med_lo") + F.col("_med_hi")) / 2).alias("median_ms"),
                       "min_ms", "max_ms", "stddev_ms", "total_ms", "p95_ms", "p99_ms")
 
 
 def throughput(df: DataFrame, group: str, run: str, time_ms: str, rows: int | str = 1000) -> DataFrame:
     """rows/s and speed-up ``baseline / time`` per run, baseline = the group's
-    first run; zero time -> 0 (E8). The baseline is a per-group aggregate
+    first run; zero time -> 0, NULL time -> NULL (E8). The baseline is a per-group aggregate
     (partial aggregation, no window over a whole group)."""
     t = F.col(time_ms).cast("double")
     base = df.groupBy(group).agg(F.min_by(t, F.col(run)).alias("_base_ms"))
     r = F.lit(float(rows)) if not isinstance(rows, str) else F.col(rows).cast("double")
-    out = df.join(base, group)      # AQE broadcasts the per-group side when it is small
+    out = join_null_safe(df, base, [group])      # AQE broadcasts the per-group side when it is small
     return out.select(
         group, run, t.alias("time_ms"),
-        F.when(t > 0, r / (t / F.lit(1000.0))).otherwise(F.lit(0.0)).alias("rows_per_s"),
-        F.when(t > 0, F.col("_base_ms") / t).otherwise(F.lit(0.0)).alias("speedup"))
+        F.when(t > 0, r / (t / F.lit(1000.0))).when(t.isNotNull(), F.lit(0.0)).alias("rows_per_s"),
+        F.when(t > 0, F.col("_base_ms") / t).when(t.isNotNull(), F.lit(0.0)).alias("speedup"))
 
 
 def run_summary(df: DataFrame, group: str, time_ms: str) -> DataFrame:

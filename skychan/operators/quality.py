@@ -67,15 +67,19 @@ def validate(df: DataFrame, required: Iterable[str] = REQUIRED_COLUMNS) -> DataF
 
 
 def check_aligned(a: DataFrame, b: DataFrame, key: str = "obs_id", raise_on_mismatch: bool = True) -> DataFrame:
-    """Row-count agreement of two derived frames (T11): full outer join on the
-    key, count one-sided rows; raise when any exist."""
-    j = a.select(F.col(key), F.lit(True).alias("_a")).join(
-        b.select(F.col(key), F.lit(True).alias("_b")), key, "full_outer")
-    r = j.agg(F.sum(F.col("_a").isNull().cast("bigint")).alias("only_b"),
-              F.sum(F.col("_b").isNull().cast("bigint")).alias("only_a"),
-              F.count(F.lit(1)).alias("n"))
+    """Row agreement of two derived frames (T11): rows per key are counted on each side first, then the
+    unique keys are joined null-safely and the counts compared. ``only_a`` / ``only_b``: rows that one side
+    has more; ``n``: rows of the larger side per key, summed. Raises when the sides differ."""
+    ca = a.groupBy(F.col(key).alias("_ka")).agg(F.count(F.lit(1)).alias("_a"))
+    cb = b.groupBy(F.col(key).alias("_kb")).agg(F.count(F.lit(1)).alias("_b"))
+    j = ca.join(cb, F.col("_ka").eqNullSafe(F.col("_kb")), "full_outer").select(
+        *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("_a", "_b")])
+    zero = F.lit(0).cast("bigint")
+    r = j.agg(*[F.coalesce(F.sum(v), zero).alias(n) for n, v in (
+        ("only_b", F.greatest(F.col("_b") - F.col("_a"), zero)), ("only_a", F.greatest(F.col("_a") - F.col("_b"), zero)),
+        ("n", F.greatest("_a", "_b")))])
     if raise_on_mismatch:
         row = r.first()
-        if (row["only_a"] or 0) or (row["only_b"] or 0):
-            raise ValueError(f"Conditional/Path sample mismatch: {row['only_a']} vs {row['only_b']} one-sided rows")
+        if row["only_a"] or row["only_b"]:
+            raise ValueError(f"rows of the two frames do not pair up: {row['only_a']} and {row['only_b']} without a partner")
     return r

@@ -197,13 +197,13 @@ register("add_angles", _rotated_sql(False))
 def U(*parts: str) -> str:
     """SQL of hash_uniform: parts are SQL string expressions joined by ':'."""
     s = " || ':' || ".join(parts)
-    return f"(CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+    return f"(CAST(('0x' || substr(md5({s}), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
 def UO(*parts: str) -> str:
     """SQL of hash_uniform_open."""
     s = " || ':' || ".join(parts)
-    return f"((CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE))"
+    return f"((CAST(('0x' || substr(md5({s}), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
 
 
 def ID(c: str = "obs_id") -> str:
@@ -668,9 +668,9 @@ def NORMAL(*parts: str) -> str:
 
 EMB = """
 WITH ev AS (SELECT vec_id, label, i,
-                   CAST(embedding[1 + i] AS DOUBLE) AS x, CAST(embedding[21 + i] AS DOUBLE) AS mu,
-                   CAST(embedding[41 + i] AS DOUBLE) * 10.0 AS lv
-            FROM embeddings, range(20) t(i))"""
+                   CAST(embedding[1 + i] AS DOUBLE) AS x, CAST(embedding[64 - i] AS DOUBLE) AS mu,
+                   CAST(embedding[1 + (i + 16) % 64] AS DOUBLE) * 10.0 AS lv, CAST(vec_id % 3 + 1 AS DOUBLE) AS w
+            FROM embeddings, range(64) t(i))"""
 register("reparam", f"""{EMB}
 SELECT vec_id, CAST(i AS BIGINT) AS idx,
        {R(f"mu + {NORMAL(chr(39) + '42' + chr(39), 'CAST(vec_id AS VARCHAR)', 'CAST(i AS VARCHAR)')} * exp(lv * 0.5)")} AS value
@@ -684,8 +684,8 @@ SELECT label, CAST(count(*) AS BIGINT) AS n, {R("avg(l)")} AS recon_loss FROM rw
 """, fixture=False)
 
 register("kl_term", f"""{EMB},
-rw AS (SELECT vec_id, label, sum(1.0 + {_LV} - mu * mu - exp({_LV})) AS s FROM ev GROUP BY vec_id, label)
-SELECT label, CAST(count(*) AS BIGINT) AS n, {R("avg(1.0 * s)")} AS kl_raw, {R("avg(1.0 * (-0.5 * s))")} AS kl
+rw AS (SELECT vec_id, label, w, sum(1.0 + {_LV} - mu * mu - exp({_LV})) AS s FROM ev GROUP BY vec_id, label, w)
+SELECT label, CAST(count(*) AS BIGINT) AS n, {R("avg(w * s)")} AS kl_raw, {R("avg(w * (-0.5 * s))")} AS kl
 FROM rw GROUP BY label
 """, fixture=False)
 

@@ -603,12 +603,12 @@ def state_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- generative-model maths (embeddings)
 def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x = elements 0-19, mu = 20-39, logvar = 10 x elements 40-59 of ``embedding``."""
+    """All elements of ``embedding``: x as it is, mu reversed, logvar rotated by 16 and times 10; a weight per row."""
     e = spread(read_table(spark, sf_dir, "embeddings"))
-    emb = F.col("embedding")
-    dbl = lambda s, f=1.0: F.transform(s, lambda v: v.cast("double") * F.lit(f))
-    return e.select("vec_id", "label", dbl(F.slice(emb, 1, 20)).alias("x"), dbl(F.slice(emb, 21, 20)).alias("mu"),
-                    dbl(F.slice(emb, 41, 20), 10.0).alias("lv"))
+    emb = F.transform("embedding", lambda v: v.cast("double"))
+    turned = F.concat(F.slice(emb, 17, F.greatest(F.size(emb), F.lit(1))), F.slice(emb, 1, 16))
+    return e.select("vec_id", "label", emb.alias("x"), F.reverse(emb).alias("mu"),
+                    F.transform(turned, lambda v: v * F.lit(10.0)).alias("lv"), (F.col("vec_id") % 3 + 1).cast("double").alias("w"))
 
 
 @query
@@ -617,7 +617,7 @@ def reparam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.nn import reparameterize
     from ..functions.uniform import hash_normal
     e = _emb(spark, sf_dir)
-    eps = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: hash_normal(42, F.col("vec_id"), i))
+    eps = F.transform(F.sequence(F.lit(0), F.size("mu") - 1), lambda i: hash_normal(42, F.col("vec_id"), i))
     z = reparameterize(F.col("mu"), F.col("lv"), eps)
     return _explode(e.select("vec_id", z.alias("z")), F.col("z"), keys=("vec_id",))
 
@@ -636,7 +636,7 @@ def kl_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted KL term as written (raw) and with the -1/2 factor."""
     from ..functions.nn import kl_row
     e = _emb(spark, sf_dir)
-    w = F.lit(1.0)
+    w = F.col("w")
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
                                   r6(F.avg(w * kl_row(F.col("mu"), F.col("lv"), "raw"))).alias("kl_raw"),
                                   r6(F.avg(w * kl_row(F.col("mu"), F.col("lv"), "kl"))).alias("kl"))

@@ -128,11 +128,23 @@ def angle_index(label: Column) -> Column:
 # ---------------------------------------------------------------- concatenate
 def concat_parts(parts: Sequence[DataFrame], spark=None) -> DataFrame:
     """Row-bind parts by name (T8, P18): the column set is that of the first
-    part, a part missing a column contributes NULLs, type clashes widen."""
+    part, a part missing a column contributes NULLs. Numbers widen; a column of
+    otherwise differing types becomes text (JSON for nested values)."""
     if not parts:
         if spark is None:
             raise ValueError("spark is needed to build an empty table")
         return spark.createDataFrame([], observation_schema())
     first = parts[0].columns
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return u.select(*first)
+    kinds = {c: [p.schema[c].dataType for p in parts if c in p.columns] for c in first}
+    as_text = {c for c, k in kinds.items()
+               if len({t.simpleString() for t in k}) > 1 and not all(isinstance(t, T.NumericType) for t in k)}
+
+    def cell(p: DataFrame, c: str) -> Column:
+        if c not in p.columns:
+            return F.lit(None).cast(T.StringType() if c in as_text else kinds[c][0]).alias(c)
+        v = F.col(f"`{c}`")
+        if c in as_text:
+            v = F.to_json(v) if isinstance(p.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else v.cast("string")
+        return v.alias(c)
+
+    return reduce(lambda a, b: a.unionByName(b), [p.select(*[cell(p, c) for c in first]) for p in parts])

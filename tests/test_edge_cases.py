@@ -254,3 +254,42 @@ def test_reads_index_column_layout(tmpdir_path, spark):
     from skychan.operators.quality import validate
     rep = validate(d.drop("_source_file", "obs_id")).first()
     assert rep["n_bad_code"] == 1
+
+
+def _csv_file(path, cols, rows):
+    import csv
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(cols)
+        w.writerows([[r[c] for c in cols] for r in rows])
+
+
+def test_folder_with_permuted_and_lacking_headers(tmpdir_path, spark):
+    """Files of one folder bind by name, a file without a column drops out, formats may be mixed,
+    and the stream makes the same keys as the batch reader wherever the files lie."""
+    import json
+    import os
+    import shutil
+    row = dict(ROW, rx_type="0", link_state="2", nlos_pl=json.dumps([150.5] * 20))
+    folder = f"{tmpdir_path}/in put"
+    os.mkdir(folder)
+    cols = list(row)
+    _csv_file(f"{folder}/a.csv", cols, [row])
+    _csv_file(f"{folder}/b.csv", cols[::-1], [row, dict(row, rx_type="1.0")])
+    _csv_file(f"{folder}/c.csv", [c for c in cols if c != "los_dly"], [row])
+    with pytest.warns(UserWarning, match="los_dly"):
+        d = sio.load_observations(spark, folder, fmt="csv")
+    got = sorted((r["rx_type"], r["link_state"], r["nlos_pl"] == [150.5] * 20) for r in d.collect())
+    assert got == [(0, 2, True), (0, 2, True), (1, 2, True)]
+    with pytest.raises(RuntimeError, match="los_dly"):
+        sio.load_observations(spark, folder, fmt="csv", strict=True)
+    one = f"{tmpdir_path}/one"
+    os.mkdir(one)
+    shutil.copy(f"{folder}/b.csv", f"{one}/b.csv")
+    keys = sorted(r["obs_id"] for r in d.collect() if r["_source_file"].endswith("b.csv"))
+    from skychan.streaming.ingest import ingest
+    s = ingest(spark, one, f"{tmpdir_path}/out", f"{tmpdir_path}/ck")
+    assert sorted(r["obs_id"] for r in s.collect()) == keys
+    sio.save_observations(d.drop("_source_file"), f"{tmpdir_path}/p.parquet")
+    both = sio.load_observations(spark, [f"{one}/b.csv", f"{tmpdir_path}/p.parquet"])
+    assert both.count() == 5 and both.filter("link_state = 2").count() == 5

@@ -132,16 +132,12 @@ def test_check_aligned(spark):
         check_aligned(a, b)
 
 
-def test_hot_key_rank_and_split(spark, monkeypatch):
+def test_hot_key_rank_and_split(spark):
     """A third of the rows share one key: the cell path ranks them in pieces,
     ranks stay dense and exact, and split sizes stay exact."""
     import hashlib
-    monkeypatch.setattr(sa, "HOT_MIN_ROWS", 100)
-    monkeypatch.setattr(sa, "HOT_FACTOR", 4)
     rows = [(i, float(i)) for i in range(2000)] + [(7, float(-j)) for j in range(1, 1001)]
     df = spark.createDataFrame(rows, "obs_id bigint, v double").repartition(5)
-    keyed = sa._keyed(df, "obs_id", 9)
-    assert sa._hot_buckets(sa._bucket_counts(keyed))
     r = sa.exact_rank(df, seed=9).collect()
     assert sorted(x["rank"] for x in r) == list(range(3000))
     # rows of other keys sit exactly where the (md5, id) order puts them
@@ -172,8 +168,6 @@ def test_hot_key_rank_and_split(spark, monkeypatch):
 def test_hot_identical_rows(spark, monkeypatch):
     """A third of the rows are identical copies: ranks stay dense and exact,
     the copies are emitted in bounded chunks."""
-    monkeypatch.setattr(sa, "HOT_MIN_ROWS", 100)
-    monkeypatch.setattr(sa, "HOT_FACTOR", 4)
     monkeypatch.setattr(sa, "CHUNK", 64)
     rows = [(i, float(i)) for i in range(2000)] + [(7, 0.5)] * 1000
     df = spark.createDataFrame(rows, "obs_id bigint, v double").repartition(5)
@@ -184,3 +178,62 @@ def test_hot_identical_rows(spark, monkeypatch):
     s = sa.exact_split(df, val_ratio=0.5, seed=9)
     got = {q["split"]: q["count"] for q in s.groupBy("split").count().collect()}
     assert got == {"train": 1500, "val": 1500}
+
+
+def test_null_keys_and_repeated_rows_split_and_rank(spark):
+    """NULL keys, repeated keys and repeated rows: nothing is lost, ranks are dense, parts are exact at any cut,
+    and the same under another partitioning."""
+    rows = [(i, float(i)) for i in range(50)] + [(None, float(j % 7)) for j in range(40)] + [(3, 0.5)] * 30
+    df = spark.createDataFrame(rows, "obs_id bigint, v double").repartition(3)
+    r = sa.exact_rank(df, seed=5).collect()
+    assert sorted(x["rank"] for x in r) == list(range(120))
+    assert sorted((x["obs_id"] is None, x["obs_id"] or 0, x["v"]) for x in r) == sorted((a is None, a or 0, b) for a, b in rows)
+    again = sa.exact_rank(df.repartition(7), seed=5).collect()
+    assert {(x["rank"], x["obs_id"], x["v"]) for x in r} == {(x["rank"], x["obs_id"], x["v"]) for x in again}
+    for val, test in ((0.5, 0.0), (0.3, 0.4), (0.05, 0.9), (0.9, 0.05)):
+        c1, c2 = sa.split_cuts(120, val, test)
+        s = sa.exact_split(df, val_ratio=val, test_ratio=test, seed=5)
+        got = {q["split"]: q["count"] for q in s.groupBy("split").count().collect()}
+        assert [got.get(k, 0) for k in ("train", "val", "test")] == [c1, c2 - c1, 120 - c2]
+        lab = {}
+        for x in r:
+            lab.setdefault((x["obs_id"], x["v"]), []).append("train" if x["rank"] < c1 else "val" if x["rank"] < c2 else "test")
+        here = {}
+        for x in s.collect():
+            here.setdefault((x["obs_id"], x["v"]), []).append(x["split"])
+        assert {k: sorted(v) for k, v in lab.items()} == {k: sorted(v) for k, v in here.items()}
+
+
+def test_check_aligned_counts_rows_per_key(spark):
+    from skychan.operators.quality import check_aligned
+    a = spark.createDataFrame([(1,)] * 2000 + [(None,), (2,)], "obs_id bigint")
+    b = spark.createDataFrame([(1,)] * 5 + [(None,), (3,)], "obs_id bigint")
+    r = check_aligned(a, b, raise_on_mismatch=False).first()
+    assert (r["only_a"], r["only_b"], r["n"]) == (1996, 1, 2003)
+
+
+def test_order_statistics_null_group_and_infinities(spark):
+    inf = float("inf")
+    vals = [-inf] * 30 + [inf] * 40 + [i / 7 for i in range(300)] + [-1.7e308, 1.7e308]
+    df = spark.createDataFrame([(g, v) for g in (None, "a") for v in vals], "g string, v double")
+    from pyspark.sql import functions as F
+    targets = {f"r{k}": F.lit(k) for k in (0, 29, 30, 31, 200, 330, 331, 332, 371)}
+    got = {x["g"]: x for x in me.order_statistics(df, ["g"], "v", targets, bins=8, max_candidates=10).collect()}
+    assert set(got) == {None, "a"}
+    for x in got.values():
+        for k in (0, 29, 30, 31, 200, 330, 331, 332, 371):
+            assert x[f"r{k}"] == sorted(vals)[k]
+    t = me.timing_stats(df.filter("abs(v) < 1000"), ["g"], "v").collect()
+    assert {x["g"]: x["count"] for x in t} == {None: 300, "a": 300}
+    runs = spark.createDataFrame([(None, 1, 10.0), (None, 2, 5.0), ("a", 1, None), ("a", 2, 0.0)], "g string, run int, t double")
+    tp = {(x["g"], x["run"]): (x["rows_per_s"], x["speedup"]) for x in me.throughput(runs, "g", "run", "t").collect()}
+    assert tp == {(None, 1): (100000.0, 1.0), (None, 2): (200000.0, 2.0), ("a", 1): (None, None), ("a", 2): (0.0, 0.0)}
+
+
+def test_concat_parts_missing_column_and_type_clash(spark):
+    from skychan.sources.decode import concat_parts
+    a = spark.createDataFrame([(1, 2, 3.5)], "k int, a int, b double")
+    b = spark.createDataFrame([("x", 4)], "k string, a bigint")
+    c = concat_parts([a, b])
+    assert c.columns == ["k", "a", "b"] and dict(c.dtypes)["k"] == "string" and dict(c.dtypes)["a"] == "bigint"
+    assert {tuple(x) for x in c.collect()} == {("1", 2, 3.5), ("x", 4, None)}
