@@ -31,7 +31,7 @@ def array_sum(arr: Column) -> Column:
 def head_sort(arr: Column, k: int, descending: bool = True) -> Column:
     """Sort the first ``k`` elements, keep the tail in place."""
     if not isinstance(k, int) or isinstance(k, bool) or k <= 0:
-        raise ValueError("`n_sort` must be a positive integer")
+        raise ValueError("k must be a whole number above 0")
     head = F.sort_array(F.slice(arr, 1, k), asc=not descending)
     tail = F.slice(arr, k + 1, F.greatest(F.size(arr), F.lit(1)))
     return F.concat(head, tail)

@@ -26,6 +26,12 @@ def _num(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def padded(arr: Column, n: int) -> Column:
+    """Exactly ``n`` slots: short or NULL arrays get NULLs, so blocks that follow keep their place."""
+    none = F.lit(None).cast("double")
+    return F.slice(F.concat(F.coalesce(arr, F.array().cast("array<double>")), F.array_repeat(none, n)), 1, n)
+
+
 def _elems(df: DataFrame, col: str, dim: int | None) -> int:
     if dim is None:
         dim = df.select(F.max(F.size(col))).first()[0] or 0
@@ -108,16 +114,10 @@ def min_max_transform(arr: Column, state: MinMaxState, inverse: bool = False) ->
     return affine(F.transform(arr, _num), state.data_min, state.data_range, inverse)
 
 
-MAX_CATEGORIES = 256      # codes are range-checked to 0-255 on decode
-
-
 def fit_one_hot(df: DataFrame, col: str, drop_last: bool = False) -> OneHotState:
-    """Learned categories: distinct values, sorted (F2). The column holds codes
-    (range-checked to 0-255 on decode), so the collected set is bounded."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"`{col}` has more than {MAX_CATEGORIES} distinct values; one-hot needs codes")
-    cats = [r[0] for r in rows]
+    """Learned categories: distinct values, sorted (F2). Their number is the width of every feature vector, so
+    it fits the driver whenever the vectors fit a row."""
+    cats = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
     return OneHotState(cats, drop_last and len(cats) > 1)
 
 
@@ -217,7 +217,7 @@ def relative_angles(nlos_ang: Column, inverse: bool = False) -> Column:
     aoa, aod = _los_terms()
 
     def trig(a):
-        r = [F.radians(a[i]) for i in range(4)]
+        r = [F.radians(at(a, i)) for i in range(4)]
         return F.struct(F.sin(r[1]).alias("st0"), F.cos(r[0]).alias("cp0"), F.sin(r[0]).alias("sp0"),
                         F.cos(r[1]).alias("ct0"), F.sin(r[3]).alias("st1"), F.cos(r[2]).alias("cp1"),
                         F.sin(r[2]).alias("sp1"), F.cos(r[3]).alias("ct1"))
@@ -241,11 +241,11 @@ def relative_angles(nlos_ang: Column, inverse: bool = False) -> Column:
 
 def angles_transform(df: DataFrame, nlos_ang: str = "nlos_ang", dvec: str = "dvec",
                      n_max_paths: int = DEFAULT_N_MAX_PATHS, out: str = "ang_x") -> DataFrame:
-    """Relative angles / 180 laid out as four blocks of n."""
+    """Relative angles / 180 laid out as four blocks of n, NULL where a path or angle is missing."""
     d = with_los_terms(df, dvec).withColumn(
         "_rel", relative_angles(F.slice(F.col(nlos_ang), 1, n_max_paths)))
     def block(f):
-        return F.transform(F.col("_rel"), lambda s: s[f] / F.lit(ANGLE_SCALE))
+        return padded(F.transform(F.col("_rel"), lambda s: s[f] / F.lit(ANGLE_SCALE)), n_max_paths)
     blocks = [block(f) for f in ("aoa_phi", "aoa_theta", "aod_phi", "aod_theta")]
     return d.withColumn(out, F.flatten(F.array(*blocks))).drop("_rel", *_TERMS)
 
@@ -312,6 +312,19 @@ class PathPreproc:
                 "conditions": self.conditions.to_dict(), "rx_encoder": self.rx_encoder.to_dict(),
                 "max_path_loss": self.max_path_loss, "n_max_paths": self.n_max_paths}
 
+    @classmethod
+    def from_dict(cls, d: dict) -> "PathPreproc":
+        states = {k: state_from_dict(d[k]) for k in ("path_loss", "conditions", "rx_encoder")}
+        return cls(**states, delay_scale=d["delay_scale"], max_path_loss=d["max_path_loss"], n_max_paths=d["n_max_paths"])
+
+    def save(self, spark, path: str) -> None:
+        """Write the whole unit as one JSON text."""
+        spark.createDataFrame([(json.dumps(self.to_dict()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "PathPreproc":
+        return cls.from_dict(json.loads(spark.read.text(path).first()[0]))
+
 
 def fit_path_preproc(df: DataFrame, max_path_loss: float = DEFAULT_MAX_PATH_LOSS,
                      n_max_paths: int = DEFAULT_N_MAX_PATHS, rx: str = "rx_type") -> PathPreproc:
@@ -375,13 +388,13 @@ def fit_path_preproc(df: DataFrame, max_path_loss: float = DEFAULT_MAX_PATH_LOSS
 
 
 def data_vector(df: DataFrame, pp: PathPreproc, out: str = "x", dtype: str = "float") -> DataFrame:
-    """``[path loss n | angles 4n | delays n]`` as float array.
+    """``[path loss n | angles 4n | delays n]`` as float array (F15, P8); missing paths are NULL slots.
     ``dtype='double'`` keeps full precision (exact inverse)."""
     n = pp.n_max_paths
     d = angles_transform(df, n_max_paths=n, out="_ang_x")
     pl = path_loss_transform(F.col("nlos_pl"), pp.path_loss, pp.max_path_loss, n)
     dl = delays_transform(F.slice(F.col("nlos_dly"), 1, n), F.col("dvec"), pp.delay_scale)
-    return d.withColumn(out, F.concat(pl, F.col("_ang_x"), dl).cast(f"array<{dtype}>")).drop("_ang_x")
+    return d.withColumn(out, F.concat(padded(pl, n), F.col("_ang_x"), padded(dl, n)).cast(f"array<{dtype}>")).drop("_ang_x")
 
 
 def data_vector_inverse(df: DataFrame, pp: PathPreproc, x: str = "x", sort: bool = True) -> DataFrame:
@@ -419,17 +432,13 @@ def head_sorted(df: DataFrame, col: str, k: int, descending: bool = True, out: s
 
 
 # ---------------------------------------------------------------- persistence
-def state_to_json(state) -> str:
-    return json.dumps(state.to_dict())
-
-
 _TYPES = {"standard_scaler": StandardState, "min_max_scaler": MinMaxState, "one_hot_encoder": OneHotState}
 
 
 def state_from_dict(d: dict):
     t = d.get("type")
     if t not in _TYPES:
-        raise ValueError(f"Unknown preprocessor type: {t!r}")
+        raise ValueError(f"no fitted state is called {t!r}")
     return _TYPES[t](**d["params"])
 
 

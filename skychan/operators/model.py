@@ -42,46 +42,52 @@ class LinkStateModel:
         self.scaler: fe.StandardState | None = None
         self.model: MultilayerPerceptronClassificationModel | None = None
         self.history: list[float] = []
+        self.n_left_out = 0
 
     @property
     def layers(self) -> list[int]:
         return [2 * len(self.config.rx_types), *self.config.n_unit_links, 3]
 
     # ------------------------------------------------------------ features
-    def _features(self, df: DataFrame, fit: bool) -> DataFrame:
+    def _raw_features(self, df: DataFrame, augment: bool) -> DataFrame:
         d = df.withColumn("_rx", normalize_rx(F.col("rx_type"), self.on_unknown_rx))
-        if (fit and self.augment in ("train", "all")) or (not fit and self.augment == "all"):
+        if augment:
             d = augment_los_zero(d, frac=self.config.add_zero_los_frac, seed=self.config.seed)
-        d = fe.link_features(d, rx="_rx", categories=self.config.rx_types, out="_f")
-        if fit:
-            self.scaler = fe.fit_standard(d, "_f", 2 * len(self.config.rx_types))
-        if self.scaler is None:
-            raise RuntimeError("link scaler not fitted")
+        return fe.link_features(d, rx="_rx", categories=self.config.rx_types, out="_f")
+
+    def _scaled(self, d: DataFrame) -> DataFrame:
+        """``features`` as a vector; ``_bad`` marks rows whose features hold a NULL (zeros stand in)."""
         x = fe.standard_transform(F.col("_f"), self.scaler)
-        return d.withColumn("features", array_to_vector(x)).withColumn(
-            "label", F.col("link_state").cast("double")).drop("_f", "_rx")
+        return d.withColumn("_bad", F.exists("_f", lambda v: v.isNull())).withColumn(
+            "features", array_to_vector(F.transform(x, lambda v: F.coalesce(v, F.lit(0.0)))))
 
     # ------------------------------------------------------------ fit / predict
     def fit(self, train: DataFrame) -> "LinkStateModel":
-        """M1: fit on the training part (the only part the scaler sees)."""
-        data = self._features(train, fit=True).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        """M1: fit on the training part (the only part the scaler sees). Rows whose features or label are
+        NULL take no part; ``n_left_out`` counts them. Only the four columns used are read."""
+        d = self._raw_features(train.select("obs_id", "dvec", "rx_type", "link_state"), self.augment in ("train", "all"))
+        whole = F.col("label").isNotNull() & ~F.exists("_f", lambda v: v.isNull())
+        raw = d.select("_f", F.col("link_state").cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            self.n_left_out = raw.filter(~whole).count()
+            used = raw.filter(whole)
+            self.scaler = fe.fit_standard(used, "_f", 2 * len(self.config.rx_types))
             mlp = MultilayerPerceptronClassifier(layers=self.layers, maxIter=self.max_iter,
                                                  blockSize=self.block_size, seed=self.config.seed)
-            self.model = mlp.fit(data)
+            self.model = mlp.fit(self._scaled(used).select("features", "label"))
             self.history = list(self.model.summary().objectiveHistory)
         finally:
-            data.unpersist()
+            raw.unpersist()
         return self
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
-        """M2: ``probability`` as an array<double>, plus ``prediction`` (M4)."""
-        if self.model is None:
+        """M2: ``probability`` as an array<double>, plus ``prediction`` (M4); both NULL where a feature is."""
+        if self.model is None or self.scaler is None:
             raise RuntimeError("model not fitted")
-        out = self.model.transform(self._features(df, fit=False))
-        p = vector_to_array(F.col("probability"))
-        return out.drop("features", "rawPrediction", "label").withColumn("probability", p).withColumn(
-            "prediction", argmax(F.col("probability")))
+        out = self.model.transform(self._scaled(self._raw_features(df, self.augment == "all")))
+        p = F.when(~F.col("_bad"), vector_to_array(F.col("probability")))
+        return out.withColumn("probability", p).withColumn("prediction", argmax(F.col("probability"))).drop(
+            "features", "rawPrediction", "_bad", "_f", "_rx")
 
     def sample_link_state(self, df: DataFrame, seed: int | None = None) -> DataFrame:
         """M5: draw a state from the predicted probabilities (inverse CDF,
@@ -108,7 +114,7 @@ class LinkStateModel:
         if meta.get("version") != MODEL_VERSION:
             import warnings
             warnings.warn(f"model version {meta.get('version')} differs from {MODEL_VERSION}")
-        cfg = meta["config"]
+        cfg = {k: v for k, v in meta["config"].items() if k in ChannelConfig.__dataclass_fields__}
         cfg = ChannelConfig(**{**cfg, "rx_types": tuple(cfg["rx_types"]), "n_unit_links": tuple(cfg["n_unit_links"])})
         m = cls(cfg, meta["max_iter"], meta["block_size"], meta["on_unknown_rx"], meta["augment"])
         m.scaler = fe.load_states(spark, f"{path}/states")["link_scaler"]
@@ -141,3 +147,16 @@ class ChannelModel:
         if self.path is None:
             raise RuntimeError("path transforms not fitted")
         return fe.train_frame(df, self.path, keep=keep)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.path is None:
+            raise RuntimeError("path transforms not fitted")
+        self.link.save(spark, f"{path}/link")
+        self.path.save(spark, f"{path}/path")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ChannelModel":
+        link = LinkStateModel.load(spark, f"{path}/link")
+        m = cls(link.config)
+        m.link, m.path = link, fe.PathPreproc.load(spark, f"{path}/path")
+        return m

@@ -722,7 +722,7 @@ SELECT o.o_orderkey AS obs_id, {R(dv[0])} AS x, {R(dv[1])} AS y, {R(dv[2])} AS z
        {R("pp.pl")} AS pl_mean, {R("pp.a0")} AS a0_mean, {R("pp.a1")} AS a1_mean, {R("pp.a2")} AS a2_mean,
        {R("pp.a3")} AS a3_mean, {R("pp.dly * 1e9")} AS dly_mean_ns
 FROM orders o JOIN pp ON pp.o_orderkey = o.o_orderkey
-""".replace("CAST(o_orderkey AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)")
+"""
 
 
 register("synth_obs", _synth_sql().replace("o.o_orderkey", "o_orderkey").replace(

@@ -1,4 +1,6 @@
 """Edge cases of FIXTURES.md section C, on small literal tables."""
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +295,39 @@ def test_folder_with_permuted_and_lacking_headers(tmpdir_path, spark):
     sio.save_observations(d.drop("_source_file"), f"{tmpdir_path}/p.parquet")
     both = sio.load_observations(spark, [f"{one}/b.csv", f"{tmpdir_path}/p.parquet"])
     assert both.count() == 5 and both.filter("link_state = 2").count() == 5
+
+
+def test_null_and_short_paths_keep_their_slots(spark):
+    """Short, NULL and partly NULL paths: vectors have 120 slots, blocks keep their place, inverses hold."""
+    from skychan.operators import features as fe
+    full = [[10.0, 80.0, -20.0, 100.0]] * 20
+    rows = [(1, [100.0, 50.0, 30.0], 0, 2, [90.0 + i for i in range(20)], full, [1e-6 + i * 1e-8 for i in range(20)]),
+            (2, [100.0, 50.0, 30.0], 1, 1, [99.0, 97.0], [full[0], full[0][:3]], [2e-6, None]),
+            (3, [10.0, 5.0, 3.0], 1, 1, None, None, None),
+            (4, None, 0, 1, [99.0], [None], [2e-6])]
+    df = spark.createDataFrame(rows, "obs_id bigint, dvec array<double>, rx_type int, link_state int, nlos_pl array<double>, nlos_ang array<array<double>>, nlos_dly array<double>")
+    pp = fe.fit_path_preproc(df)
+    path = f"{tempfile.mkdtemp(prefix='skychan-test-')}/pp"
+    pp.save(spark, path)
+    assert fe.PathPreproc.load(spark, path) == pp
+    d = fe.data_vector(df, pp, dtype="double")
+    x = {r["obs_id"]: r["x"] for r in d.collect()}
+    assert all(len(v) == 120 for v in x.values())
+    assert [i for i, v in enumerate(x[2]) if v is not None] == [0, 1, 20, 21, 40, 41, 60, 80, 100]
+    assert x[3] == [None] * 120 and x[4][100] is None and x[4][0] is not None
+    inv = {r["obs_id"]: r for r in fe.data_vector_inverse(d, pp, sort=False).collect()}
+    assert inv[2]["nlos_pl_hat"][2] is None
+    assert inv[2]["nlos_pl_hat"][:2] == pytest.approx([99.0, 97.0])
+    assert inv[2]["nlos_ang_hat"][0] == pytest.approx(full[0]) and inv[2]["nlos_ang_hat"][1][3] is None
+
+
+def test_model_with_null_features(spark):
+    from skychan.operators.model import LinkStateModel
+    rows = [(i, [float(i % 40) * 30, 5.0, 3.0], i % 2, 2 if i % 40 < 20 else 1) for i in range(200)]
+    df = spark.createDataFrame(rows + [(900, None, 0, 1), (901, [1.0, 2.0, 3.0], 0, None)],
+                               "obs_id bigint, dvec array<double>, rx_type int, link_state int")
+    m = LinkStateModel(max_iter=20, augment="none").fit(df)
+    assert m.n_left_out == 2
+    p = {r["obs_id"]: r for r in m.predict_proba(df).collect()}
+    assert len(p) == 202 and p[900]["prediction"] is None and p[900]["probability"] is None
+    assert p[901]["prediction"] is not None and sum(p[5]["probability"]) == pytest.approx(1.0)
