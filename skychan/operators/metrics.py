@@ -175,7 +175,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: M
     return both.groupBy(*g).pivot("_target", list(targets)).agg(F.first("_val"))
 
 
-def timing_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+def timing_stats(df: DataFrame, group: Sequence[str], value: str, max_candidates: int = 20000) -> DataFrame:
     """count, mean, median, min, max, sample stddev (0 if n <= 1), total, p95,
     p99 per group (E7). p95/p99 take the sorted element at ``int(q*n)`` (0-based)
     when n >= 20 / 100, else the maximum (P20)."""
@@ -194,7 +194,7 @@ def timing_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     agg = agg.withColumn("stddev_ms", F.when(F.col("count") > 1, F.col("stddev_ms")).otherwise(F.lit(0.0)))
     # the same aggregate seeds the order statistics (one scan fewer)
     stats = agg.select(*g, F.col("count").alias("_n"), F.col("min_ms").alias("_lo"), F.col("max_ms").alias("_hi"))
-    os_ = order_statistics(df, g, value, ranks, stats=stats)
+    os_ = order_statistics(df, g, value, ranks, max_candidates=max_candidates, stats=stats)
     out = join_null_safe(agg, os_, g)          # one row per group on both sides
     return out.select(*g, "count", "mean_ms", ((F.col("_med_lo") + F.col("_med_hi")) / 2).alias("median_ms"),
                       "min_ms", "max_ms", "stddev_ms", "total_ms", "p95_ms", "p99_ms")

@@ -230,6 +230,19 @@ register("split_three_way", f"""
 SELECT obs_id, split FROM sp
 """)
 
+_DUPS = """
+WITH r AS (SELECT l_orderkey AS obs_id, row_number() OVER (ORDER BY md5('11:' || CAST(l_orderkey AS VARCHAR)), l_orderkey) - 1 AS rnk,
+                  count(*) OVER () AS n FROM lineitem)
+"""
+register("split_dups", _DUPS + """
+SELECT obs_id, CAST(sum(CASE WHEN rnk < floor(n * (CAST(1 AS DOUBLE) - CAST(0.4 AS DOUBLE))) THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
+       CAST(sum(CASE WHEN rnk >= floor(n * (CAST(1 AS DOUBLE) - CAST(0.4 AS DOUBLE))) THEN 1 ELSE 0 END) AS BIGINT) AS n_val
+FROM r GROUP BY obs_id
+""", fixture=False)
+register("rank_dups", _DUPS + """
+SELECT obs_id, min(rnk) AS first_rank, max(rnk) AS last_rank, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY obs_id
+""", fixture=False)
+
 register("augment_los_zero", f"""
 , rk AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || {ID()}), obs_id) - 1 AS rnk FROM obs),
 nn AS (SELECT count(*) AS n, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) AS n_add FROM obs),
@@ -497,6 +510,9 @@ SELECT event_type, CAST(count(*) AS BIGINT) AS count, {R("avg(value)")} AS mean_
 FROM s GROUP BY event_type
 """, fixture=False)
 
+register("timing_nulls", SQL["timing_stats"].replace(
+    "FROM events", "FROM (SELECT CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type, value FROM events) AS ev"), fixture=False)
+
 register("throughput", f"""
 WITH b AS (SELECT event_type, arg_min(value, event_id) AS base FROM events GROUP BY event_type)
 SELECT e.event_type, e.event_id, {R("e.value")} AS time_ms,

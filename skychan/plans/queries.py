@@ -164,6 +164,23 @@ def split_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sa.exact_split(observations(spark, sf_dir).select("obs_id"), val_ratio=0.2, test_ratio=0.1, seed=7)
 
 
+@query
+def split_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 with repeated keys: rows of each order key in each part (60/40 split of all line items)."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("obs_id"), "l_partkey", "l_quantity")
+    s = sa.exact_split(li, val_ratio=0.4, seed=11)
+    return s.groupBy("obs_id").agg(*[F.sum((F.col("split") == p).cast("bigint")).alias(f"n_{p}") for p in ("train", "val")])
+
+
+@query
+def rank_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 with repeated keys: first and last rank and row count of each order key over all line items."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("obs_id"), "l_returnflag")
+    r = sa.exact_rank(li, seed=11)
+    return r.groupBy("obs_id").agg(F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
+                                   F.count(F.lit(1)).alias("n"))
+
+
 @query
 def augment_los_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10 % zero-distance LOS rows drawn with replacement and appended."""
@@ -427,6 +444,16 @@ def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_type", "count", *[r6(F.col(c)).alias(c) for c in r.columns[2:]])
 
 
+@query
+def timing_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E7 with a NULL group and few candidates, so that the narrowing loop runs."""
+    from ..operators.metrics import timing_stats as ts
+    e = read_table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 10 != 0, F.col("event_type")).alias("event_type"), "value")
+    r = ts(e, ["event_type"], "value", max_candidates=50)
+    return r.select("event_type", "count", *[r6(F.col(c)).alias(c) for c in r.columns[2:]])
+
+
 @query
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows/s and speed-up against the first run of each event type."""

@@ -28,7 +28,7 @@ def spark():
 def duck():
     import duckdb
     con = duckdb.connect()
-    for t in ("orders", "events", "embeddings", "documents", "pages", "labels", "benchmark", "conversations"):
+    for t in ("orders", "lineitem", "events", "embeddings", "documents", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con
 
