@@ -74,8 +74,12 @@ class LinkStateModel:
             self.scaler = fe.fit_standard(used, "_f", 2 * len(self.config.rx_types))
             mlp = MultilayerPerceptronClassifier(layers=self.layers, maxIter=self.max_iter,
                                                  blockSize=self.block_size, seed=self.config.seed)
-            self.model = mlp.fit(self._scaled(used).select("features", "label"))
-            self.history = list(self.model.summary().objectiveHistory)
+            data = self._scaled(used).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                self.model = mlp.fit(data)
+                self.history = list(self.model.summary().objectiveHistory)
+            finally:
+                data.unpersist()
         finally:
             raw.unpersist()
         return self
