@@ -25,7 +25,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "documents")).drop("_digest")
+    return linked(table(spark, sf_dir, "documents")).drop("_digest", "_component")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,7 +336,7 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
 
 
 def components(links: DataFrame, names: DataFrame | None, rounds: int | None = None) -> DataFrame:
-    """x, label: least name among the points reachable by links. ``names``: x, label (None: the points themselves). Labels spread along links and along themselves, so
+    """x, label: least name among the points reachable by links. ``names``: x, label (None: the points themselves); with it, also m, the least of those points, which is never null. Labels spread along links and along themselves, so
     chains take a logarithm of their length in rounds. After ``rounds`` equal labels still mean joined points, but joined points may have different ones."""
     both = written(links.select("x", "y").distinct().select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b"), "links")
     state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0")
@@ -354,7 +354,7 @@ def components(links: DataFrame, names: DataFrame | None, rounds: int | None = N
     if names is None:
         return state.select("x", F.col("m").alias("label"))
     named = state.join(names, "x")
-    return named.join(named.groupBy("m").agg(F.min("label").alias("least")), "m").select("x", F.col("least").alias("label"))
+    return named.join(named.groupBy("m").agg(F.min("label").alias("least")), "m").select("x", "m", F.col("least").alias("label"))
 
 
 def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray, leaf: int) -> DataFrame:
@@ -386,7 +386,8 @@ def open_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, num: int = NUM, den: int = DEN,
            often: int = OFTEN, most: int = FREQUENT, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_shingles, component_id and the text's _digest of every row. Points are linked if den * common >= num * union."""
+    """doc_id, n_shingles, component_id, the text's _digest and _component (least point of the component, null only without n-grams) of every row.
+    Points are linked if den * common >= num * union."""
     rows = points(docs, id_col, text_col, n)
     frequent, place = frequent_grams(docs, text_col, n, num, den, often, most)
     # regions of rare n-grams: small ones give pairs, rows of large ones come back
@@ -409,14 +410,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
             links = links.unionByName(more)
     names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
     found = components(links, names)
-    label = written(names.join(found.withColumnRenamed("label", "l"), "x", "left").select(F.col("x").alias("lx"), F.coalesce("l", "label").alias("label")), "labels")
+    label = written(names.join(found.withColumnRenamed("label", "l"), "x", "left").select(F.col("x").alias("lx"), F.coalesce("l", "label").alias("label"), F.coalesce("m", "x").alias("_component")), "labels")
     return (rows.join(label, (rows["x"] == label["lx"]) & (rows["n"] > 0), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), "_digest"))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), "_digest", "_component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (then text digest), and all without n-grams."""
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (null last, then text digest), and all without n-grams.
+    Components are told apart by their points: component_id is null for each whose rows all have a null doc_id."""
     found = linked(docs, id_col, text_col, **options)
-    stays = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_digest")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r._digest").alias("_digest"))
+    stays = found.filter("n_shingles > 0").groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_digest")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r._digest").alias("_digest"))
     blank = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), "_digest").distinct()
     return rows_of(docs, written(stays.unionByName(blank), "stays"), id_col, text_col)
