@@ -1,19 +1,22 @@
 """Operator 1: main text of web pages by suffix arrays over the pages of a host.
 
-A page is cut into blocks (html_blocks.py). What lies in the page's article is main text by its
-place, and may be repeated elsewhere, as copies of an article are. All other blocks, those of
-menus, adverts, footers and, on pages without an article element, everything, make up the page's
-token stream. The streams of a host's pages are concatenated and their suffixes sorted (a suffix
-array by prefix doubling); runs of at least MIN_RUN tokens that stand in two or more different
-pages are repeated. A block of which at least half lies in repeated runs is boilerplate; the
-rest, the unique runs, stay unless the page's structure names the block a menu, an advert, a form or
-the like.
-
-A large host is dealt to shards of a bounded number of tokens. Each shard sorts its own suffixes;
-of the runs that are alone in their shard the 64-bit hashes are compared between the host's shards,
-so a run repeated only across shards is found as well. The texts don't move: the parsed pages are
-a table in the shared folder, and only pages with blocks that structure doesn't settle meet the
-repeated runs again.
+A page is cut into blocks (html_blocks.py). All of them, those of the article too, make up the page's
+token stream; what can be main text are the blocks that structure doesn't name a menu, an advert, a form
+or the like and, where an article or main element has text, only those in it. The streams of a host's
+pages are concatenated and their suffixes sorted (a suffix array by prefix doubling). A run of at least
+MIN_RUN tokens is boilerplate if it stands in enough different pages of the host: three, or half the
+square root of their number if that is more, as ordinary phrases repeat by chance on a large host. Of
+what can be main text the stretches that such runs cover go, if they are MIN_RUN tokens long or a whole
+block; the unique runs of a block stay.
+
+Copies of an article are not templates: pages of a host whose texts cover each other to COPY at least are one
+page when runs are counted. Candidates share a band of a min-hash sketch; each is compared in full with
+the least page of its band, and pages joined by such pairs are one.
+
+A large host is dealt to shards of a bounded number of tokens. Each shard sorts its own suffixes. A run in
+as many pages as are needed has its share of them in one shard at least; those runs' hashes go to all
+shards of the host, which tell the pages and places they stand in, so the count is that of the whole host.
+Texts meet only the cuts of their page.
 
 Defined results. Null or empty html, or no main text: empty text, n_chars 0. Null url: one host of
 its own. Null page_id and repeated rows: rows like others; rows with the same stream count as one
@@ -32,17 +35,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skychan.llm.common import written
-from skychan.llm.html_blocks import DROP, MAIN, OPEN, blocks
+from skychan.llm.html_blocks import DROP, MAIN, blocks
+from skychan.llm.voronoi_join import components
 
 #: Tokens of a run that counts as long.
 MIN_RUN = 8
+#: Different pages that a boilerplate run stands in, at least.
+MIN_PAGES = 3
+#: Pages of a host whose texts cover each other to this share are one page.
+COPY = 0.8
 #: Tokens of a shard of a host.
 SHARD_TOKENS = 1_000_000
-PARSED = "part int, row long, page_id long, url string, host string, open boolean, kinds binary, texts array<string>, page long, n_stream long, stream binary, owner binary"
+#: Bands of a text's sketch, min-hashes of a band, tokens of what is hashed.
+BANDS, ROWS, GRAM = 16, 3, 3
+SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS).astype(np.uint64)
+PARSED = "page_id long, url string, host string, texts array<string>, page long, n_stream long, stream binary, sizes binary, bands array<long>"
 
 
 def _token(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    return xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
 
 
 def run_hashes(stream: np.ndarray, length: int) -> np.ndarray:
@@ -55,36 +66,106 @@ def run_hashes(stream: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """Keys of the bands of a text; two texts share each with the third power of the share of grams they have in common."""
+    if not len(tokens):
+        return []
+    grams = np.unique(run_hashes(tokens, GRAM))
+    least = np.array([((grams ^ k) * np.uint64(0xBF58476D1CE4E5B9)).min() for k in SEEDS]).reshape(BANDS, ROWS)
+    return [xxhash.xxh3_64_intdigest(row.tobytes()) >> 1 for row in least]
+
+
+def text_tokens(stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return stream[np.repeat(sizes > 0, np.abs(sizes))]
+
+
+def tokens_of(stream: bytes | pa.Buffer) -> np.ndarray:
+    return np.frombuffer(stream, "<u4").astype(np.uint64)
+
+
+def spread(hit: np.ndarray, length: int, min_run: int) -> np.ndarray:
+    """Whether each of ``length`` tokens lies in a run that begins where ``hit`` says."""
+    covered = np.zeros(length + min_run, bool)
+    for k in range(min_run):
+        covered[k:k + len(hit)] |= hit
+    return covered[:length]
+
+
+def covered_by(stream: np.ndarray, runs: np.ndarray, min_run: int) -> np.ndarray:
+    """Whether each token lies in one of the runs."""
+    return spread(np.isin(run_hashes(stream, min_run), runs), len(stream), min_run)
+
+
+def cuts_of(covered: np.ndarray, sizes: np.ndarray, min_run: int) -> bytes:
+    """The covered stretches of texts that are ``min_run`` long or a whole block: (block, from, to) in a row."""
+    cuts, block = [], -1
+    for size, a in zip(sizes.tolist(), np.r_[0, np.cumsum(np.abs(sizes))].tolist(), strict=False):
+        if size <= 0:
+            continue
+        block += 1
+        turns = np.flatnonzero(np.diff(np.r_[False, covered[a:a + size], False]))
+        for i, j in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+            if j - i >= min_run or j - i == size:
+                cuts += [block, i, j]
+    return np.array(cuts, "<i4").tobytes()
+
+
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages cut into blocks, as a table; see PARSED. ``texts`` holds what can be main text, ``owner`` the block of each token of the stream (-1: not in ``texts``)."""
+    """Pages cut into blocks, as a table; see PARSED. ``texts`` holds what can be main text, ``sizes`` the tokens of each block of the stream (negative: not in ``texts``)."""
 
     def parse(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row = TaskContext.get().partitionId(), 0
         for batch in it:
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
                 rows = []
                 for page_id, url, page, host in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    texts, kinds, stream, owner = [], bytearray(), [], []
+                    texts, stream, sizes = [], [], []
                     for text, kind in blocks(page or ""):
-                        if kind != DROP:
-                            texts.append(text)
-                            kinds.append(kind)
                         if kind != MAIN:
                             tokens = [_token(w) for w in text.split(" ")]
                             stream += tokens
-                            owner += [len(texts) - 1 if kind == OPEN else -1] * len(tokens)
-                    s = np.array(stream, "<u8").tobytes()
-                    rows.append((part, row, page_id, url, host, OPEN in kinds, bytes(kinds), texts, xxhash.xxh3_64_intdigest(s) >> 1, len(stream), s, np.array(owner, "<i4").tobytes()))
-                    row += 1
+                            sizes.append(-len(tokens) if kind == DROP else len(tokens))
+                        if kind != DROP:
+                            texts.append(text)
+                    s, n = np.array(stream, "<u4"), np.array(sizes, "<i4")
+                    rows.append((page_id, url, host, texts, xxhash.xxh3_64_intdigest(s.tobytes()) >> 1, len(stream), s.tobytes(), n.tobytes(), sketch(text_tokens(s.astype(np.uint64), n))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names)
 
     names = [c.split()[0] for c in PARSED.split(", ")]
-    kinds_of = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    kinds_of = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
     return written(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).mapInArrow(parse, PARSED), "pages")
 
 
+def copies(table: DataFrame, min_run: int, share: float) -> DataFrame | None:
+    """host, page, copy_of of pages that are copies of others, the same for all copies of one; None if there are none."""
+    bands = table.select("host", "page", F.posexplode("bands").alias("band", "key"))
+    least = bands.groupBy("host", "band", "key").agg(F.min("page").alias("other"), F.max("page").alias("last")).filter("other != last").drop("last")
+    pairs = written(bands.join(least, ["host", "band", "key"]).filter("page != other").select("host", "page", "other").distinct(), "copy-pairs")
+    if pairs.isEmpty():
+        return None
+    needed = pairs.select("host", "page").union(pairs.select("host", "other")).distinct()
+    streams = written(table.select("host", "page", "stream", "sizes").join(needed, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]), "copy-streams")
+    both = pairs.join(streams, ["host", "page"]).join(streams.select("host", F.col("page").alias("other"), F.col("stream").alias("stream2"), F.col("sizes").alias("sizes2")), ["host", "other"])
+
+    def compare(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = []
+            for stream, sizes, stream2, sizes2 in zip(*(batch.column(c).to_pylist() for c in ("stream", "sizes", "stream2", "sizes2")), strict=True):
+                a = text_tokens(tokens_of(stream), np.frombuffer(sizes, "<i4"))
+                b = text_tokens(tokens_of(stream2), np.frombuffer(sizes2, "<i4"))
+                keep.append(bool(min(covered_by(a, run_hashes(b, min_run), min_run).mean(), covered_by(b, run_hashes(a, min_run), min_run).mean()) >= share))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("host", "page", "other")], ["host", "page", "other"])
+
+    node = lambda c: F.xxhash64("host", c)
+    same = written(both.select("host", "page", "other", "stream", "sizes", "stream2", "sizes2").mapInArrow(compare, "host string, page long, other long"), "copy-links")
+    if same.isEmpty():
+        return None
+    label = components(same.select(node("page").alias("x"), node("other").alias("y")), None)
+    named = same.select("host", "page").union(same.select("host", "other")).distinct().withColumn("x", node("page"))
+    return written(named.join(label, "x").select("host", "page", F.col("label").alias("copy_of")), "copies")
+
+
 def repeated_in(streams: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the streams in a row, to the depth of ``length``: per position the run's place
     in the order of all runs (equal runs have equal places; -1: the stream ends within), and the stream of each position."""
@@ -109,86 +190,127 @@ def repeated_in(streams: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
     return np.where(is_run, rank, -1), page
 
 
-def repeated_runs(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """host, run: hashes of runs that stand in two or more different pages of the host."""
-    streams = table.filter("n_stream > 0").select("host", "page", "n_stream", "stream")
-    hosts = streams.groupBy("host").agg(F.ceil(F.sum("n_stream") / shard_tokens).cast("int").alias("shards"))
-    dealt = (streams.drop("n_stream").join(hosts, "host").withColumn("shard", F.pmod("page", "shards"))
-             .repartition("host", "shard").sortWithinPartitions("host", "shard", "page"))
+def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHARD_TOKENS, min_pages: int = MIN_PAGES, share: float = COPY) -> DataFrame:
+    """host, page, cuts: stretches of texts that boilerplate runs cover, as (block, from, to) in a row."""
+    streams = table.filter("n_stream > 0").select("host", "page", "n_stream", "stream", "sizes")
+    same = copies(table, min_run, share)
+    streams = streams.withColumn("copy_of", F.lit(None).cast("long")) if same is None else streams.join(same, ["host", "page"], "left")
+    streams = streams.withColumn("cluster", F.coalesce("copy_of", F.xxhash64("host", "page")))
+    hosts = streams.groupBy("host").agg(F.ceil(F.sum("n_stream") / shard_tokens).cast("int").alias("shards"),
+                                        F.greatest(F.lit(min_pages), F.ceil(F.sqrt(F.count_distinct("cluster")) / 2)).cast("int").alias("need"))
+    hosts = written(hosts, "hosts")
+    dealt = (streams.select("host", "page", "stream", "sizes", "cluster").join(hosts, "host")
+             .withColumn("shard", F.pmod("page", "shards").cast("int")))
 
     def sort_suffixes(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("host", "shard", "shards", "need", "page", "cluster", "sizes", "stream")
+
         def rows():
             for batch in it:
-                host, page, stream, shards, shard = (batch.column(c) for c in ("host", "page", "stream", "shards", "shard"))
-                for x in zip(host.to_pylist(), shard.to_pylist(), shards.to_pylist(), page.to_pylist(), stream, strict=True):
+                own = [batch.column(c) for c in columns]
+                for x in zip(*(c.to_pylist() for c in own[:-1]), own[-1], strict=True):
                     yield x
 
-        for (host, _, shards), group in groupby(rows(), key=lambda x: x[:3]):
-            pages, streams, last = [], [], None
-            for *_, page, stream in group:
-                if page != last:  # rows with the same stream are one page
+        for (host, _, shards, need), group in groupby(rows(), key=lambda x: x[:4]):
+            pages, clusters, sizes, streams = [], [], [], []
+            for *_, page, cluster, blocks_, stream in group:
+                if not pages or page != pages[-1]:  # rows with the same stream are one page
                     pages.append(page)
-                    streams.append(np.frombuffer(stream.as_buffer(), "<u8"))
-                    last = page
+                    clusters.append(cluster)
+                    sizes.append(np.frombuffer(blocks_, "<i4"))
+                    streams.append(tokens_of(stream.as_buffer()))
+            least = -(-need // shards)  # a run in `need` pages has so many in one shard
+            if len(set(clusters)) < least:
+                continue
             rank, of = repeated_in(streams, min_run)
+            own = np.array(clusters, np.int64)[of]
             at = np.flatnonzero(rank >= 0)
-            order = at[np.lexsort((of[at], rank[at]))]
-            first = np.r_[True, np.diff(rank[order]) != 0]
-            begin = np.flatnonzero(first)
-            ends = np.r_[begin[1:], len(order)] - 1
-            many = of[order[begin]] != of[order[ends]]
-            offsets = np.cumsum([0] + [len(s) for s in streams])
-            lead = order[begin]
-            wanted = many if shards == 1 else np.ones(len(lead), bool)
-            lead, many = lead[wanted], many[wanted]
-            hashes = np.array([run_hashes(streams[p][i - offsets[p]:i - offsets[p] + min_run], min_run)[0] for p, i in zip(of[lead], lead, strict=True)], np.uint64)
+            order = at[np.lexsort((own[at], rank[at]))]
+            run = np.r_[True, np.diff(rank[order]) != 0]
+            order, run = (v[run | np.r_[True, np.diff(own[order]) != 0]] for v in (order, run))  # a place for each run and cluster
+            begin = np.flatnonzero(run)
+            lead = order[begin[np.diff(np.r_[begin, len(order)]) >= least]]
+            edges = np.cumsum([0] + [len(x) for x in streams])
+            if shards == 1:
+                often = np.zeros(len(rank) + 1, bool)
+                often[rank[lead]] = True
+                hit = often[rank]  # the last place is that of -1
+                cut = [cuts_of(spread(hit[a:a + max(1, b - a - min_run + 1)], b - a, min_run), x, min_run) for a, b, x in zip(edges, edges[1:], sizes, strict=False)]
+                some = [i for i, c in enumerate(cut) if c]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(some), pa.string()), pa.nulls(len(some), pa.int64()), pa.array([pages[i] for i in some], pa.int64()), pa.array([cut[i] for i in some], pa.binary())], names)
+                continue
+            hashes = np.zeros(len(rank), np.uint64)
+            hashes[at] = np.concatenate([run_hashes(x, min_run) for x in streams])
             for i in range(0, len(lead), 100_000):
                 n = len(lead[i:i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array(hashes[i:i + n].view(np.int64)), pa.array(np.array(pages, np.int64)[of[lead[i:i + n]]]), pa.array(many[i:i + n])], ["host", "run", "page", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array(hashes[lead[i:i + n]].view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
 
-    found = dealt.mapInArrow(sort_suffixes, "host string, run long, page long, many boolean")
-    return (found.groupBy("host", "run").agg(F.max("many").alias("many"), F.min("page").alias("a"), F.max("page").alias("b"))
-            .filter(F.col("many") | (F.col("a") != F.col("b"))).select("host", "run"))
+    names = ["host", "run", "page", "cuts"]
+    found = written(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
+                    .mapInArrow(sort_suffixes, "host string, run long, page long, cuts binary"), "runs")
+    settled = found.filter("run IS NULL").select("host", "page", "cuts")
+    asked = found.filter("run IS NOT NULL").select("host", "run").distinct()
+    if asked.isEmpty():
+        return settled
+
+    def places(pages: pa.Table, runs: pa.Table) -> pa.Table:
+        """Of each page of a shard: where the runs that are asked for begin."""
+        long = runs.column("run").to_numpy().view(np.uint64)
+        out = {}
+        for host, page, cluster, stream, sizes in zip(*(pages.column(c).to_pylist() for c in ("host", "page", "cluster", "stream", "sizes")), strict=True):
+            if page not in out:
+                h = run_hashes(tokens_of(stream), min_run)
+                at = np.flatnonzero(np.isin(h, long))
+                out[page] = (host, page, cluster, sizes, at, h[at].view(np.int64))
+        rows = [r for r in out.values() if len(r[4])]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())))], ["host", "page", "cluster", "sizes", "at", "run"])
+
+    def cover(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for sizes, at in zip(*(batch.column(c).to_pylist() for c in ("sizes", "at")), strict=True):
+                sizes = np.frombuffer(sizes, "<i4")
+                hit = np.zeros(int(np.abs(sizes).sum()), bool)
+                hit[at] = True
+                out.append(cuts_of(spread(hit, len(hit), min_run), sizes, min_run))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(out, pa.binary())], ["host", "page", "cuts"])
+
+    # the runs of hosts of several shards: their places in all shards, then their pages
+    large = hosts.filter("shards > 1")
+    everywhere = asked.join(large, "host").select("host", "run", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    theirs = dealt.filter("shards > 1").select("host", "shard", "page", "cluster", "stream", "sizes")
+    hits = written(theirs.groupBy("host", "shard").cogroup(everywhere.groupBy("host", "shard"))
+                   .applyInArrow(places, "host string, page long, cluster long, sizes binary, at array<int>, run array<long>"), "run-places")
+    repeated = (hits.select("host", "cluster", F.explode(F.array_distinct("run")).alias("run")).groupBy("host", "run").agg(F.count_distinct("cluster").alias("n"))
+                .join(large, "host").filter("n >= need").select("host", "run"))
+    placed = (hits.select("host", "page", F.explode(F.arrays_zip("at", "run")).alias("p")).select("host", "page", F.col("p.at").alias("at"), F.col("p.run").alias("run"))
+              .join(written(repeated, "repeated-runs"), ["host", "run"]).groupBy("host", "page").agg(F.collect_list("at").alias("at"))
+              .join(hits.select("host", "page", "sizes"), ["host", "page"]).mapInArrow(cover, "host string, page long, cuts binary"))
+    return settled.unionByName(written(placed.filter(F.length("cuts") > 0), "cuts"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              min_run: int = MIN_RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """page_id, url, text, n_chars and n_boilerplate (blocks that repeated runs removed) of every page."""
+              min_run: int = MIN_RUN, shard_tokens: int = SHARD_TOKENS, min_pages: int = MIN_PAGES, share: float = COPY) -> DataFrame:
+    """page_id, url, text, n_chars and n_boilerplate (blocks that lost words to repeated runs) of every page."""
     table = parsed(pages, id_col, url_col, html_col)
-    repeated = written(repeated_runs(table, min_run, shard_tokens), "repeated-runs")
-
-    def runs_of(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for part, row, host, stream in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.unique(run_hashes(np.frombuffer(stream, "<u8"), min_run)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(h), pa.int32()), pa.array([row] * len(h), pa.int64()), pa.array([host] * len(h), pa.string()), pa.array(h)], ["r_part", "r_row", "host", "run"])
+    cuts = cut_pages(table, min_run, shard_tokens, min_pages, share)
 
-    def join(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out = []
-            for page_id, url, kinds, texts, stream, owner, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keep, gone = [True] * len(texts), 0
-                if runs:
-                    s, own = np.frombuffer(stream, "<u8"), np.frombuffer(owner, "<i4")
-                    hit = np.isin(run_hashes(s, min_run).view(np.int64), np.array(runs, np.int64))
-                    covered = np.zeros(len(s) + min_run, bool)
-                    for k in range(min_run):
-                        covered[k:k + len(hit)] |= hit
-                    for i, kind in enumerate(kinds):
-                        if kind == OPEN and 2 * covered[:len(s)][own == i].sum() >= (own == i).sum():
-                            keep[i], gone = False, gone + 1
-                text = "\n".join(t for t, k in zip(texts, keep, strict=True) if k)
-                out.append((page_id, url, text, len(text), gone))
+            for page_id, url, texts, gone in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "texts", "cuts")), strict=True):
+                spans = np.frombuffer(gone, "<i4").reshape(-1, 3).tolist()
+                words = {i: texts[i].split(" ") for i, _, _ in spans}
+                for i, a, b in reversed(spans):
+                    del words[i][a:b]
+                text = "\n".join(t for t in (" ".join(words[i]) if i in words else t for i, t in enumerate(texts)) if t)
+                out.append((page_id, url, text, len(text), len(words)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
                                                  ["page_id", "url", "text", "n_chars", "n_boilerplate"])
 
-    result = "page_id long, url string, text string, n_chars long, n_boilerplate long"
-    columns = ["page_id", "url", "kinds", "texts", "stream", "owner", "runs"]
-    # pages that structure settles need no repeated runs; the others get those of their stream
-    settled = table.filter(~F.col("open")).select("page_id", "url", F.array_join("texts", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long")).withColumn("n_boilerplate", F.lit(0).cast("long"))
-    unsettled = table.filter("open")
-    runs = (unsettled.select("part", "row", "host", "stream").mapInArrow(runs_of, "r_part int, r_row long, host string, run long")
-            .join(repeated, ["host", "run"]).groupBy("r_part", "r_row").agg(F.collect_set("run").alias("runs")))
-    rest = unsettled.join(runs, (F.col("part") == F.col("r_part")) & (F.col("row") == F.col("r_row")), "left").select(*columns).mapInArrow(join, result)
-    return settled.unionByName(rest)
+    # pages without cuts stay as they are
+    own = table.select("page_id", "url", "host", "page", "texts")
+    whole = (own.join(cuts, ["host", "page"], "left_anti").select("page_id", "url", F.array_join("texts", "\n").alias("text"))
+             .withColumn("n_chars", F.length("text").cast("long")).withColumn("n_boilerplate", F.lit(0).cast("long")))
+    return whole.unionByName(own.join(cuts, ["host", "page"]).select("page_id", "url", "texts", "cuts").mapInArrow(cut, "page_id long, url string, text string, n_chars long, n_boilerplate long"))
