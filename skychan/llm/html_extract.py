@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skychan.llm.common import written
-from skychan.llm.html_blocks import DROP, MAIN, blocks
+from skychan.llm.html_blocks import DROP, blocks
 from skychan.llm.voronoi_join import components
 
 #: Tokens of a run that counts as long.
@@ -121,10 +121,9 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 for page_id, url, page, host in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     texts, stream, sizes = [], [], []
                     for text, kind in blocks(page or ""):
-                        if kind != MAIN:
-                            tokens = [_token(w) for w in text.split(" ")]
-                            stream += tokens
-                            sizes.append(-len(tokens) if kind == DROP else len(tokens))
+                        tokens = [_token(w) for w in text.split(" ")]
+                        stream += tokens
+                        sizes.append(-len(tokens) if kind == DROP else len(tokens))
                         if kind != DROP:
                             texts.append(text)
                     s, n = np.array(stream, "<u4"), np.array(sizes, "<i4")

@@ -13,13 +13,21 @@ def texts(spark, pages, **options):
     return {r.page_id: r for r in main_text(df.repartition(3), **options).collect()}
 
 
+def test_notice_within_articles(spark):
+    share = words("share", 12)
+    pages = [f"<body><nav>Home</nav><article><h1>Title {i}</h1><p>{words(f'own{i}x', 30)}</p><p>{share}</p></article></body>" for i in range(5)]
+    for options in ({}, {"shard_tokens": 60}):
+        got = texts(spark, pages, **options)
+        assert all(got[i].text == f"Title {i}\n" + words(f"own{i}x", 30) and got[i].n_boilerplate == 1 for i in range(5))
+
+
 def test_copies_and_shared_passage(spark):
     article, passage, menu = words("a", 60).split(), words("quoted", 20), words("menu", 10)
     near = [" ".join(article[:9 * k + 5] + [f"edit{k}"] + article[9 * k + 6:]) for k in range(5)]
     quoting = [f"{words(f'left{i}x', 15)} {passage} {words(f'right{i}x', 15)}" for i in range(2)]
     bodies = [*near, *quoting, words("other", 40)]
     for options in ({}, {"shard_tokens": 60}):
-        for page in ("<body><div>{}</div><div>{}</div></body>",):
+        for page in ("<body><div>{}</div><div>{}</div></body>", "<body><article><div>{}</div><div>{}</div></article></body>"):
             got = texts(spark, [page.format(menu, b) for b in bodies], **options)
             assert [got[i].text for i in range(8)] == bodies
 
