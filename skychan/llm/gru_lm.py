@@ -12,9 +12,11 @@ order). A gated recurrent unit reads words; a softmax over classes, then a softm
 class's members, gives the next word's probability; within a tail class the probability is
 (c + 0.5) / (n + 0.5 (v + 1)) from the corpus counts of the class, with one place for words not seen.
 
-Training: truncated backpropagation in numpy on at most ``max_docs`` training documents, those with the
-smallest hashes (the bound on the sample); parallel streams of documents, windows of STEPS words, the
-state carried from window to window and reset where a document begins.
+Training: truncated backpropagation in numpy on all training documents, in EPOCHS times PARTS rounds. A round
+takes the documents of one part (by hash of doc_id): each task starts from the broadcast weights, learns from its own documents
+and gives its weights; Spark averages them by words learned from, so that only weights, of a fixed size, reach the driver.
+Within a task: parallel streams of documents, windows of STEPS words, the state carried from window to window and
+reset where a document begins. The order of the words comes from co-occurrence sums over all training documents.
 
 Scoring: a block meets its dictionary's counts and classes (both bounded by the block). Documents run
 side by side, sorted by length, window after window with the state carried, to the end of the longest,
@@ -26,6 +28,7 @@ table: no rows. Texts are read whole; a text longer than a block is a block.
 """
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skychan.llm.common import plain_texts, words_of, written
+from skychan.llm.common import batches_of, plain_texts, words_of, written
 
 BLOCK_BYTES = 16_000_000
 FREQUENT, MEMBERS, TAILS = 1024, 32, 8
 UNITS, STEPS, STREAMS = 16, 32, 64
-MAX_DOCS, EPOCHS, RATE = 800, 2, 0.01
+EPOCHS, PARTS, RATE = 2, 4, 0.01
+#: Pieces in which tables of numbers are summed.
+CHUNKS = 64
 PAIRS = 4096
 #: The end of a text, as a word.
 END = ""
@@ -98,11 +103,63 @@ def coded_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int)
     return written(d.mapInArrow(code, CODED), "coded-blocks")
 
 
-def word_order(counts: np.ndarray) -> np.ndarray:
-    """Words (rows of word by document counts) in an order in which near places are words of the same documents."""
-    a = np.log1p(counts)
-    a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-    value, vector = np.linalg.eigh(a @ a.T)
+def training_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """text and part (of PARTS) of the training documents."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return docs.filter(F.crc32(key) % 5 != 1).select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part"))
+
+
+def summed(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Sum of the vectors that tasks give in CHUNKS pieces (chunk, n, v), and of their n."""
+
+    def add(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in it:
+            for chunk, n, v in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n", "v")), strict=True):
+                own = total.setdefault(chunk, [0, 0.0])
+                own[0], own[1] = own[0] + n, own[1] + np.frombuffer(v, "<f8")
+        for chunk, (n, v) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["chunk", "n", "v"])
+
+    got = sorted(rows.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, n long, v binary").collect(), key=lambda r: r.chunk)  # a fixed size
+    return (np.concatenate([np.frombuffer(r.v, "<f8") for r in got]), got[0].n) if got else (np.empty(0), 0)
+
+
+def pieces(v: np.ndarray, n: int) -> pa.RecordBatch:
+    parts = np.array_split(v.astype("<f8"), CHUNKS)
+    return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([n] * CHUNKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n", "v"])
+
+
+def co_occurrence(texts: DataFrame, words: list[str]) -> np.ndarray:
+    """Words by words: sum over all documents of log(1 + count) of the one times that of the other."""
+    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # a fixed size
+    k = len(words)
+
+    def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((k, k)), 0
+        for batch, own in batches_of(it):
+            flat, off = words_of(own)
+            coded = pc.dictionary_encode(flat)
+            known = np.array([shared.value.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+            mine = known[coded.indices.to_numpy(zero_copy_only=False)]
+            n += batch.num_rows
+            for i in range(0, batch.num_rows, 256):
+                docs = min(256, batch.num_rows - i)
+                at = mine[off[i]:off[i + docs]]
+                of = np.repeat(np.arange(docs), np.diff(off[i:i + docs + 1]))
+                a = np.log1p(np.bincount((of * k + at)[at >= 0], minlength=docs * k).reshape(docs, k)).astype(np.float32)
+                total += a.T @ a
+        if n:
+            yield pieces(total.reshape(-1), n)
+
+    total, _ = summed(texts.select("text").mapInArrow(count, "chunk int, n long, v binary"))
+    return total.reshape(k, k) if len(total) else np.zeros((k, k))
+
+
+def word_order(together: np.ndarray) -> np.ndarray:
+    """Words (by their co-occurrence) in an order in which near places are words of the same documents."""
+    norm = np.maximum(np.sqrt(np.diag(together)), 1e-9)
+    value, vector = np.linalg.eigh(together / norm[:, None] / norm)
     x = vector[:, -8:] * np.sqrt(np.maximum(value[-8:], 0))
 
     def halve(ids: np.ndarray) -> list[int]:
@@ -115,7 +172,7 @@ def word_order(counts: np.ndarray) -> np.ndarray:
         half = -(-len(ids) // (2 * MEMBERS)) * MEMBERS
         return halve(ids[:half]) + halve(ids[half:])
 
-    return np.array(halve(np.arange(len(a))), np.int64)
+    return np.array(halve(np.arange(len(together))), np.int64)
 
 
 def letter_pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -202,65 +259,71 @@ class Model:
                 back[own] += d @ self.p["wm"][k].T
         return out, back
 
-    def train(self, texts: list[np.ndarray]) -> None:
-        """``texts``: numbers of the words of each, with the end."""
-        if not texts:
-            return
-        every = np.bincount(np.concatenate(texts), minlength=self.k + TAILS) + 0.5
+    def start(self, counts: np.ndarray) -> None:
+        """Biases from the counts of all numbers in training documents."""
+        every = counts + 0.5
         share = np.bincount(self.class_of(np.arange(self.k + TAILS)), every, self.classes)
         self.p["bc"] = np.log(share / share.sum()).astype(np.float32)
         flat = np.full(self.heads * MEMBERS, -1e9, np.float32)
         flat[:self.k] = np.log(every[:self.k] / share[self.class_of(np.arange(self.k))])
         self.p["bm"] = flat.reshape(self.heads, MEMBERS)
-        streams: list[list[np.ndarray]] = [[] for _ in range(min(STREAMS, len(texts)))]
+
+    def train(self, texts: list[np.ndarray], rate: float, state: dict) -> None:
+        """``texts``: numbers of the words of each, with the end. ``state``: what the optimiser keeps from call to call."""
+        if not texts:
+            return
+        # many documents: more streams, so that a window costs less a word
+        streams: list[list[np.ndarray]] = [[] for _ in range(min(max(STREAMS, len(texts) // 8), len(texts)))]
         sizes = [0] * len(streams)
         for t in sorted(texts, key=len, reverse=True):
             i = int(np.argmin(sizes))
             streams[i].append(t)
             sizes[i] += len(t)
-        long = max(sizes)
-        words = np.full((len(streams), long), -1)
-        first = np.zeros((len(streams), long), bool)
-        for i, s in enumerate(streams):
-            words[i, :sizes[i]] = np.concatenate(s)
-            first[i, np.cumsum([0] + [len(t) for t in s[:-1]])] = True
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        done = 0
-        for epoch in range(EPOCHS):
-            h = np.zeros((len(streams), UNITS), np.float32)
-            for a in range(0, long, STEPS):
-                w, new = words[:, a:a + STEPS], first[:, a:a + STEPS]
-                steps, states, kept = w.shape[1], [], []
-                for t in range(steps):
-                    h = np.where(new[:, t, None], 0, h)
-                    states.append(h)
-                    h, own = self.step(np.maximum(w[:, t], 0), h)
-                    kept.append(own)
-                real = (w >= 0).T
-                grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-                back = np.zeros((steps, len(streams), UNITS), np.float32)
-                _, back[real] = self.log_probs(np.stack(states)[real], w.T[real], grad)
-                dh = np.zeros((len(streams), UNITS), np.float32)
-                for t in range(steps - 1, -1, -1):
-                    z, r, m, n = kept[t]
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dz = dh * (states[t] - n) * z * (1 - z)
-                    dr = dn * m * r * (1 - r)
-                    dx = np.concatenate([dz, dr, dn], axis=1)
-                    dy = np.concatenate([dz, dr, dn * r], axis=1)
-                    np.add.at(grad["in"], np.maximum(w[:, t], 0), dx * real[t][:, None])
-                    grad["u"] += states[t].T @ dy
-                    dh = dh * z + dy @ self.p["u"].T + back[t]
-                    dh = np.where(new[:, t, None], 0, dh)
-                done += 1
-                rate = RATE * (1 - 0.8 * (epoch * long + a) / (EPOCHS * long))
-                for k, g in grad.items():
-                    g /= max(1, real.sum()) / 8
-                    np.clip(g, -1, 1, out=g)
-                    m1, m2 = moment[k]
-                    m1 += 0.1 * (g - m1)
-                    m2 += 0.01 * (g * g - m2)
-                    self.p[k] -= rate * (m1 / (1 - 0.9 ** done)) / (np.sqrt(m2 / (1 - 0.99 ** done)) + 1e-6)
+        streams = [streams[i] for i in np.argsort(-np.array(sizes), kind="stable")]
+        sizes = sorted(sizes, reverse=True)
+        flat = [np.concatenate(s) for s in streams]
+        begins = [np.zeros(n, bool) for n in sizes]
+        for b, s in zip(begins, streams, strict=True):
+            b[np.cumsum([0] + [len(t) for t in s[:-1]])] = True
+        moment = state.setdefault("moment", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()})
+        h = np.zeros((len(streams), UNITS), np.float32)
+        for a in range(0, sizes[0], STEPS):
+            active = int(np.searchsorted(-np.array(sizes), -a, side="left"))  # streams longer than a
+            steps, states, kept = min(STEPS, sizes[0] - a), [], []
+            w, new = np.full((active, steps), -1), np.zeros((active, steps), bool)
+            for i in range(active):
+                own = flat[i][a:a + steps]
+                w[i, :len(own)], new[i, :len(own)] = own, begins[i][a:a + steps]
+            h = h[:active]
+            for t in range(steps):
+                h = np.where(new[:, t, None], 0, h)
+                states.append(h)
+                h, own = self.step(np.maximum(w[:, t], 0), h)
+                kept.append(own)
+            real = (w >= 0).T
+            grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+            back = np.zeros((steps, active, UNITS), np.float32)
+            _, back[real] = self.log_probs(np.stack(states)[real], w.T[real], grad)
+            dh = np.zeros((active, UNITS), np.float32)
+            for t in range(steps - 1, -1, -1):
+                z, r, m, n = kept[t]
+                dn = dh * (1 - z) * (1 - n * n)
+                dz = dh * (states[t] - n) * z * (1 - z)
+                dr = dn * m * r * (1 - r)
+                dx = np.concatenate([dz, dr, dn], axis=1)
+                dy = np.concatenate([dz, dr, dn * r], axis=1)
+                np.add.at(grad["in"], np.maximum(w[:, t], 0), dx * real[t][:, None])
+                grad["u"] += states[t].T @ dy
+                dh = dh * z + dy @ self.p["u"].T + back[t]
+                dh = np.where(new[:, t, None], 0, dh)
+            done = state["done"] = state.get("done", 0) + 1
+            for k, g in grad.items():
+                g /= max(1, real.sum()) / 8
+                np.clip(g, -1, 1, out=g)
+                m1, m2 = moment[k]
+                m1 += 0.1 * (g - m1)
+                m2 += 0.01 * (g * g - m2)
+                self.p[k] -= rate * (m1 / (1 - 0.9 ** done)) / (np.sqrt(m2 / (1 - 0.99 ** done)) + 1e-6)
 
     def likelihoods(self, ids: np.ndarray, off: np.ndarray, number: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Natural log likelihood of each text. ``ids``: words of all texts in a row, by which ``number`` and ``inside``
@@ -294,43 +357,56 @@ class Model:
         return out
 
 
-def fit(words: list[str], texts: pa.Array) -> Model:
-    """``words``: the most frequent, with the end; ``texts``: the sample."""
-    flat, off = words_of(texts)
-    coded = pc.dictionary_encode(flat)
-    spelled = coded.dictionary.to_pylist()
-    number = {w: i for i, w in enumerate(words)}
-    known = np.array([number.get(w, -1) for w in spelled], np.int64)
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(texts)), np.diff(off))
-    mine = known[at] if len(at) else np.empty(0, np.int64)
-    table = np.zeros((len(words), max(1, len(texts))))
-    np.add.at(table, (mine[mine >= 0], doc[mine >= 0]), 1)
-    order = word_order(table)
-    words = [words[i] for i in order]
+def modelled(words: list[str], together: np.ndarray) -> Model:
+    """A model, not yet trained, of the most frequent words, with the end."""
+    words = [words[i] for i in word_order(together)]
     profile = np.full((PAIRS, TAILS), 0.1)
     for k in range(TAILS):
         own = pa.array([w for w in words[k * len(words) // TAILS:(k + 1) * len(words) // TAILS] if w], pa.large_string())
         if len(own):
             profile[:, k] += np.bincount(letter_pairs(own)[0], minlength=PAIRS)
-    model = Model(words, np.log(profile / profile.sum(axis=0)).astype(np.float32))
-    numbers = model.numbers(coded.dictionary)
-    end = model.number.get(END, model.k)
-    model.train([np.append(numbers[at[a:b]] if b > a else np.empty(0, np.int64), end).astype(np.int64) for a, b in zip(off, off[1:], strict=False)])
-    return model
-
-
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, frequent: int = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return Model(words, np.log(profile / profile.sum(axis=0)).astype(np.float32))
+
+
+def trained(model: Model, texts: DataFrame) -> int:
+    """Train the model on all texts, round by round; gives the words learned from, with the ends, of all rounds."""
+    seen = 0
+    for turn in range(EPOCHS * PARTS):
+        shared = texts.sparkSession.sparkContext.broadcast(model)  # a fixed size
+        rate = RATE * (1 - 0.8 * turn / (EPOCHS * PARTS))
+
+        def learn(it: Iterable[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            m, state, n = copy.deepcopy(shared.value), {}, 0
+            end = m.number.get(END, m.k)
+            for _, own in batches_of(it, limit=BLOCK_BYTES):
+                flat, off = words_of(own)
+                coded = pc.dictionary_encode(flat)
+                number = m.numbers(coded.dictionary)
+                at = number[coded.indices.to_numpy(zero_copy_only=False)] if len(number) else np.empty(0, np.int64)
+                m.train([np.append(at[a:b], end) for a, b in zip(off, off[1:], strict=False)], rate, state)
+                n += len(at) + len(own)
+            if n:
+                yield pieces(np.concatenate([v.reshape(-1).astype(np.float64) * n for v in m.p.values()]), n)
+
+        total, n = summed(texts.filter(F.col("part") == turn % PARTS).select("text").mapInArrow(learn, "chunk int, n long, v binary"))
+        shared.destroy()
+        if n:
+            seen += n
+            edges = np.cumsum([v.size for v in model.p.values()])[:-1]
+            model.p = {k: v.reshape(old.shape).astype(np.float32) for (k, old), v in zip(model.p.items(), np.split(total / n, edges), strict=True)}
+    return seen
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     table = coded_blocks(docs, id_col, text_col, block_bytes)
     words = table.filter("idx IS NOT NULL").select("block", "idx", "word", "c")
     counts = written(words.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     tokens, types = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = [r.word for r in counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(frequent).collect()]
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    sample = (docs.filter(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 != 1)
-              .select(F.col(text_col).alias("text"), order.alias("h"), F.xxhash64(text_col).alias("g")).orderBy("h", "g").limit(max_docs).collect())
-    model = fit(top if END in top or not top else [*top[:frequent - 1], END], pa.array([r.text or "" for r in sample], pa.large_string()))
+    own = training_texts(docs, id_col, text_col)
+    top = top if END in top or not top else [*top[:frequent - 1], END]
+    model = modelled(top, co_occurrence(own, top))
 
     def number(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -338,8 +414,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(model.numbers(spelled).astype(np.int32))], ["word", "c", "number"])
 
     numbered = written(counts.mapInArrow(number, "word string, c long, number int"), "word-numbers")
-    for r in numbered.filter((F.col("number") >= model.k) & (F.col("c") > 0)).groupBy("number").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row a tail class
-        model.tail_n[r.number - model.k], model.tail_v[r.number - model.k] = r.n, r.v
+    every = np.zeros(model.k + TAILS)
+    for r in numbered.filter("c > 0").groupBy("number").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row a modelled word and tail class
+        every[r.number] = r.n
+        if r.number >= model.k:
+            model.tail_n[r.number - model.k], model.tail_v[r.number - model.k] = r.n, r.v
+    if tokens:
+        model.start(every)
+        trained(model, own)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
     dictionary = words.select("block", "idx", "word").join(numbered, "word").select("block", "idx", "c", "number")
     texts = table.filter("idx IS NULL").select(F.col("block").alias("t_block"), "doc_id", "held_out", "ids")
