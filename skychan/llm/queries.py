@@ -16,8 +16,13 @@ from skychan.llm.html_extract import main_text
 from skychan.llm.mph_index import indexed_ids
 from skychan.llm.ri_classifier import quality
 from skychan.llm.segment_topk import top_k
-
+from skychan.llm.spelling import variants
+from skychan.llm.url_cascade import judged
 from skychan.llm.voronoi_join import linked
+from skychan.llm.whitening import whitened
+
+#: Rules of op13: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +66,21 @@ def op10_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed_ids(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html, op2_jaccard, op3_packing, op4_topk, op5_lm, op6_quality, op7_secrets, op8_mixing, op9_exact_dedup, op10_id_index)}
+    f.__name__: f for f in (op1_html, op2_jaccard, op3_packing, op4_topk, op5_lm, op6_quality, op7_secrets, op8_mixing, op9_exact_dedup, op10_id_index,
+                               op11_spelling, op12_whitening, op13_urls)}
 
 SQL: dict[str, str] = {
     "op2_jaccard": r"""
@@ -121,4 +139,13 @@ SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
                CAST(size * (whole + CASE WHEN b.b.pos = pos AND size > 0 THEN CAST(sign(rest) AS INT) ELSE 0 END) AS BIGINT) AS taken
         FROM e LEFT JOIN b ON e.source IS NOT DISTINCT FROM b.source""",
+    "op13_urls": r"""
+        WITH p AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, s, v))
+        SELECT page_id, host, path, (SELECT max_by(h || s, length(h || s)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS rule,
+               coalesce((SELECT max_by(v, length(h || s)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)), 'allow') AS verdict
+        FROM p""",
 }
