@@ -45,28 +45,23 @@ def logvar_floor(t: Column, min_variance: float) -> Column:
     return F.transform(t, lambda x: F.log(F.lit(min_variance) + softplus(x)))
 
 
+# The functions of several arrays pair them with ``zip_with``: an index into an array expression inside a lambda would
+# evaluate the whole expression again for each element.
 def reparameterize(mu: Column, logvar: Column, eps: Column) -> Column:
     """``mu + eps * exp(logvar / 2)`` elementwise; ``eps`` an array of normals (M8)."""
-    return F.transform(mu, lambda m, i: m + at(eps, i) * F.exp(at(logvar, i) * 0.5))
+    return F.zip_with(mu, F.zip_with(eps, logvar, lambda e, lv: e * F.exp(lv * 0.5)), lambda m, d: m + d)
 
 
 def gaussian_nll_row(x: Column, mu: Column, logvar: Column) -> Column:
     """Per-row ``1/2 * sum(exp(-lv) (x - mu)^2 + lv)``, lv clipped (M9)."""
-    terms = F.transform(x, lambda xi, i: _nll_term(xi, at(mu, i), at(logvar, i)))
-    return F.lit(0.5) * array_sum(terms)
-
-
-def _nll_term(x, mu, lv):
-    lv = clip(lv, -LOGVAR_CLIP, LOGVAR_CLIP)
-    d = x - mu
-    return F.exp(-lv) * d * d + lv
+    clipped = F.transform(logvar, lambda lv: clip(lv, -LOGVAR_CLIP, LOGVAR_CLIP))
+    return F.lit(0.5) * array_sum(F.zip_with(F.zip_with(x, mu, lambda a, b: a - b), clipped, lambda d, lv: F.exp(-lv) * d * d + lv))
 
 
 def kl_row(mu: Column, logvar: Column, form: str = "raw") -> Column:
     """Per-row ``sum(1 + lv - mu^2 - exp(lv))`` (M10). ``form='kl'`` applies the
     missing -1/2 factor, giving the usual KL divergence (P19)."""
-    terms = F.transform(mu, lambda m, i: _kl_term(m, at(logvar, i)))
-    s = array_sum(terms)
+    s = array_sum(F.zip_with(mu, logvar, _kl_term))
     if form == "raw":
         return s
     if form == "kl":

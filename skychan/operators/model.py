@@ -19,9 +19,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nn import argmax, inverse_cdf_draw
+from ..functions.nn import argmax, inverse_cdf_draw, sparse_cross_entropy_row
 from ..functions.uniform import hash_uniform
 from ..schema import ChannelConfig
+from ..session import work_path
 from ..sources.decode import normalize_rx
 from . import features as fe
 from .sampling import augment_los_zero
@@ -42,6 +43,8 @@ class LinkStateModel:
         self.scaler: fe.StandardState | None = None
         self.model: MultilayerPerceptronClassificationModel | None = None
         self.history: list[float] = []
+        self.epochs: dict[str, list[float]] = {}     # metrics after each epoch, see fit_epochs
+        self.n_train = self.n_val = 0
         self.n_left_out = 0
 
     @property
@@ -84,6 +87,80 @@ class LinkStateModel:
             raw.unpersist()
         return self
 
+    def fit_epochs(self, train: DataFrame, val: DataFrame, epochs: int = 50, batch_size: int | None = None, learning_rate: float = 0.03,
+                   solver: str = "l-bfgs", steps: int = 2, keep_best: bool = True) -> "LinkStateModel":
+        """M1 with the metrics of every epoch (E6): an epoch takes the weights through all batches of the training part in turn, then
+        loss and accuracy of both parts are taken with the weights it ended at (``epochs``: loss, accuracy, val_loss, val_accuracy).
+
+        Rows are dealt by hash to ``ceil(rows / batch_size)`` batches (all rows in one without a size), the same in each epoch, and stored by
+        batch, so a step reads its own rows only. In a batch Spark sums the gradients of all its rows ``steps`` times:
+        by L-BFGS, or with ``solver="gd"`` by descent at ``learning_rate``. A step is a job, so choose batches of at least some
+        100,000 rows on a cluster. ``keep_best``: the model ends with the weights of the epoch of the highest validation accuracy
+        (the first of equal ones). Rows whose features or label are NULL take no part; neither do validation rows of that kind."""
+        spark = train.sparkSession
+        used, self.n_left_out = self._complete(self._raw_features(self._columns(train), self.augment in ("train", "all")), "epochs-train")
+        held, _ = self._complete(self._raw_features(self._columns(val), self.augment == "all"), "epochs-val")
+        self.scaler = fe.fit_standard(used, "_f", 2 * len(self.config.rx_types))
+        self.n_train, self.n_val = used.count(), held.count()
+        if not self.n_train:
+            raise ValueError("no training row has all features and a label")
+        batches = 1 if batch_size is None else max(1, -(-self.n_train // batch_size))
+        path = work_path(spark, "epochs")
+        dealt = F.pmod(F.xxhash64(F.lit(self.config.seed), "_key"), F.lit(batches)).cast("int")
+        table = self._scaled(used).select(F.col("_f").alias("raw"), F.transform(vector_to_array("features"), lambda v: v).alias("x"), "label", dealt.alias("batch"))
+        # a row whose batch is its own partition's: one shuffle, one folder a batch
+        (table.repartition("batch") if batches > 1 else table).write.partitionBy("batch").parquet(path)
+        rows = spark.read.parquet(path)
+        each = [rows.filter(F.col("batch") == b).select(array_to_vector("x").alias("features"), "label") for b in sorted(r[0] for r in rows.select("batch").distinct().collect())]
+        both = (rows.select(F.lit("").alias("part"), array_to_vector("x").alias("features"), "label")
+                .unionByName(self._scaled(held).select(F.lit("val_").alias("part"), "features", "label"))).persist(StorageLevel.MEMORY_AND_DISK)
+        self.epochs = {m: [] for m in ("loss", "accuracy", "val_loss", "val_accuracy")}
+        self.history, best, weights = [], None, None
+        try:
+            for _ in range(epochs):
+                for batch in each:
+                    mlp = MultilayerPerceptronClassifier(layers=self.layers, maxIter=steps, blockSize=self.block_size, seed=self.config.seed,
+                                                         solver=solver, stepSize=learning_rate)
+                    if weights is not None:
+                        mlp = mlp.setInitialWeights(weights)
+                    self.model = mlp.fit(batch)
+                    weights = self.model.weights
+                found = self._metrics(both)
+                for m, values in self.epochs.items():
+                    values.append(found.get(m))
+                score = found.get("val_accuracy", found["accuracy"])
+                if best is None or score > best[0]:
+                    best = (score, self.model)
+        finally:
+            both.unpersist()
+        self.history = list(self.epochs["loss"])
+        if keep_best and best is not None:
+            self.model = best[1]
+        return self
+
+    @staticmethod
+    def _columns(df: DataFrame) -> DataFrame:
+        return df.select("obs_id", "dvec", "rx_type", "link_state")
+
+    def _complete(self, d: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Stored features and labels of the rows that have all of them, and how many have not."""
+        whole = F.col("label").isNotNull() & ~F.exists("_f", lambda v: v.isNull())
+        path = work_path(d.sparkSession, name)
+        (d.select(F.coalesce(F.col("obs_id").cast("string"), F.lit("")).alias("_key"), "_f", F.col("link_state").cast("double").alias("label"))
+         .withColumn("_whole", F.coalesce(whole, F.lit(False))).write.parquet(path))
+        rows = d.sparkSession.read.parquet(path)
+        return rows.filter("_whole").drop("_whole"), rows.filter("NOT _whole").count()
+
+    def _metrics(self, both: DataFrame) -> dict[str, float]:
+        """Mean cross-entropy and accuracy of each part under the present weights: one aggregate."""
+        p = self.model.transform(both).select("part", "label", vector_to_array("probability").alias("p"))
+        loss = sparse_cross_entropy_row(F.col("p"), F.col("label").cast("int"))
+        right = (argmax(F.col("p")) == F.col("label")).cast("double")
+        out = {}
+        for r in p.groupBy("part").agg(F.avg(loss).alias("loss"), F.avg(right).alias("accuracy")).collect():  # two rows
+            out[f"{r.part}loss"], out[f"{r.part}accuracy"] = r.loss, r.accuracy
+        return out
+
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """M2: ``probability`` as an array<double>, plus ``prediction`` (M4); both NULL where a feature is."""
         if self.model is None or self.scaler is None:
@@ -109,7 +186,7 @@ class LinkStateModel:
         fe.save_states(spark, {"link_scaler": self.scaler}, f"{path}/states")
         cfg = asdict(self.config)
         meta = {"version": MODEL_VERSION, "config": cfg, "history": self.history, "max_iter": self.max_iter,
-                "block_size": self.block_size, "on_unknown_rx": self.on_unknown_rx, "augment": self.augment}
+                "block_size": self.block_size, "on_unknown_rx": self.on_unknown_rx, "augment": self.augment, "epochs": self.epochs}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
@@ -124,10 +201,13 @@ class LinkStateModel:
         m.scaler = fe.load_states(spark, f"{path}/states")["link_scaler"]
         m.model = MultilayerPerceptronClassificationModel.load(f"{path}/mlp")
         m.history = meta.get("history", [])
+        m.epochs = meta.get("epochs", {})
         return m
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
         """Training history as one row of arrays (the saved JSON layout)."""
+        if self.epochs:
+            return spark.createDataFrame([tuple(self.epochs.values())], ", ".join(f"{m} array<double>" for m in self.epochs))
         return spark.createDataFrame([(self.history,)], "loss array<double>")
 
 

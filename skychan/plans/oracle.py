@@ -539,6 +539,16 @@ FROM obs o JOIN pa ON pa.obs_id = o.obs_id
 """
 register("decode_roundtrip", _ROUNDTRIP)
 register("ingest_stream", _ROUNDTRIP)
+register("ingest_mixed", _ROUNDTRIP)
+register("ingest_rejects", """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 50 AS m FROM orders),
+bad AS (
+    SELECT * FROM (VALUES ('dvec', 'not array<float>', [1, 2, 4, 5, 6]), ('rx_type', 'not int', [10, 11]), ('los_pl', 'not float', [14]),
+                          ('nlos_ang', 'not array<array<float>>', [16]), ('nlos_pl', 'not array<float>', [20])) AS t("column", reason, ms))
+SELECT reason, "column", count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM o JOIN bad ON list_contains(ms, m) GROUP BY ALL
+UNION ALL SELECT 'another number of cells than the header', NULL, count(*), NULL FROM o WHERE m = 30 HAVING count(*) > 0
+UNION ALL SELECT 'lacks los_dly', NULL, 1, NULL
+UNION ALL SELECT 'kept', NULL, count(*), CAST(sum(k) AS BIGINT) FROM o WHERE m <> 30""", fixture=False)
 
 
 def _sq(v: str) -> str:
@@ -762,3 +772,22 @@ SELECT event_type, {R("avg(value)")} AS avg_ms, {R("min(value)")} AS min_ms, {R(
        CAST(count(value) AS BIGINT) AS runs
 FROM events GROUP BY event_type
 """, fixture=False)
+
+
+# ---------------------------------------------------------------- classifier: what SQL can tell of it
+_VALIDATION = f"""
+, {split_ctes("obs", 0.2, 0.0, 42)},
+v AS (SELECT obs.* FROM obs JOIN sp USING (obs_id) WHERE sp.split = 'val'),
+t AS (SELECT obs.* FROM obs JOIN sp USING (obs_id) WHERE sp.split = 'train')"""
+register("mlp_link_state", f"""{_VALIDATION}
+SELECT link_state AS label, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_proper, true AS better_than_majority FROM v GROUP BY link_state
+""")
+register("model_reload", f"{_VALIDATION} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_equal FROM v")
+register("channel_pipeline", f"""{_VALIDATION}
+SELECT CASE link_state WHEN 0 THEN 'No-Link' WHEN 1 THEN 'NLOS' ELSE 'LOS' END AS class, true AS in_range, CAST(count(*) AS BIGINT) AS support FROM v GROUP BY link_state
+UNION ALL SELECT 'path_input_rows', true, CAST(count(*) AS BIGINT) FROM v WHERE link_state <> 0
+""")
+register("history", f"""{_VALIDATION}
+SELECT CAST(e.range AS BIGINT) AS epoch, (SELECT CAST(count(*) + floor(count(*) * 0.1) AS BIGINT) FROM t) AS n_train,
+       (SELECT CAST(count(*) AS BIGINT) FROM v) AS n_val, true AS in_range, true AS best_is_first_highest, true AS loss_fell
+FROM range(1, 9) e""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -531,6 +531,41 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip_out(ingest(spark, src, out, ck, max_files_per_trigger=2))
 
 
+@query
+def ingest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of CSV files with three headers (declared order; reversed; an extra column in front) and one that lacks a
+    column, ingested by a stream that groups each micro-batch's files by header; equals the batch decode."""
+    from ..session import work_path
+    from ..streaming.mixed import ingest_mixed as ingest
+    obs = observations(spark, sf_dir).select(*CANON)
+    src = work_path(spark, "mixed-src")
+    of = lambda i: obs.filter(F.col("obs_id") % 3 == i)
+    sio.save_observations(of(0).repartition(2), src, fmt="csv")
+    sio.save_observations(of(1).repartition(2), src, fmt="csv", mode="append", columns=list(reversed(CANON)))
+    sio.save_observations(of(2).withColumn("note", F.lit("x, y")).repartition(2), src, fmt="csv", mode="append", columns=["note", *CANON])
+    sio.save_observations(of(0), src, fmt="csv", mode="append", columns=[c for c in CANON if c != "los_dly"])
+    good, _ = ingest(spark, src, *(work_path(spark, f"mixed-{n}") for n in ("out", "rejects", "ckpt")), max_files_per_trigger=3)
+    return _roundtrip_out(good)
+
+
+@query
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with undecodable cells, truncated records and a missing column, ingested with a quarantine: rejects by reason and
+    column with the sum of their keys, and the rows kept."""
+    from ..session import work_path
+    from ..streaming.mixed import ingest_mixed as ingest
+    raw = corrupted_cells(spark, sf_dir)
+    src = work_path(spark, "rejects-src")
+    line = F.to_csv(F.struct(*CANON), {"escape": '"', "nullValue": ""})
+    cut = F.when(F.col("obs_id").cast("bigint") % 50 == 30, F.substring_index(line, '"', 1)).otherwise(line)
+    whole = raw.select(cut.alias(",".join(CANON)))  # a column whose name is the header line
+    whole.write.option("header", True).option("quote", "").option("escape", "").option("delimiter", "\u0001").csv(src)
+    sio.save_observations(observations(spark, sf_dir).filter("obs_id % 50 = 0").coalesce(1), src, fmt="csv", mode="append", columns=[c for c in CANON if c != "los_dly"])
+    good, bad = ingest(spark, src, *(work_path(spark, f"rejects-{n}") for n in ("out", "bad", "ckpt")))
+    kept = good.agg(F.lit("kept").alias("reason"), F.lit(None).cast("string").alias("column"), F.count("*").alias("n"), F.sum("obs_id").alias("ids"))
+    return bad.groupBy("reason", "column").agg(F.count("*").alias("n"), F.sum("obs_id").alias("ids")).unionByName(kept)
+
+
 @query
 def decode_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per declared column, NULL cells, rejected cells (present,
@@ -706,21 +741,28 @@ def synth_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("obs_id", *[r6(c).alias(n) for n, c in cols])
 
 
-# ---------------------------------------------------------------- classifier (rows-only checks)
+# ---------------------------------------------------------------- classifier: what another engine can check of it
 def _fitted(spark: SparkSession, sf_dir: str, max_iter: int = 50):
     from ..operators.model import LinkStateModel
     obs = observations(spark, sf_dir)
     train, val = sa.split_frames(obs, val_ratio=0.2, seed=42)
-    return LinkStateModel(max_iter=max_iter).fit(train), val
+    return LinkStateModel(max_iter=max_iter).fit(train), train, val
 
 
 @query
 def mlp_link_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1 M2 M4 (+R3 R5 F3-F5): fit the MLP on the train part, predict the
-    validation part; counts per (label, prediction)."""
-    m, val = _fitted(spark, sf_dir)
+    """M1 M2 M4 (+R3 R5 F3-F5): fit the MLP on the train part, predict the validation part. Per label: rows, rows whose
+    probabilities are proper (three, in 0 to 1, summing to 1, the prediction their first highest), and whether the
+    accuracy is above the share of the most frequent label."""
+    m, _, val = _fitted(spark, sf_dir)
     p = m.predict_proba(val)
-    return p.groupBy(F.col("link_state").alias("label"), "prediction").agg(F.count(F.lit(1)).alias("n"))
+    prob = F.col("probability")
+    proper = ((F.size(prob) == 3) & F.forall(prob, lambda v: (v >= 0) & (v <= 1)) & (F.abs(array_sum(prob) - 1) < 1e-9)
+              & (F.element_at(prob, F.col("prediction") + 1) == F.array_max(prob)))
+    per = p.groupBy(F.col("link_state").alias("label")).agg(F.count("*").alias("n"), F.sum(proper.cast("bigint")).alias("n_proper"),
+                                                            F.sum((F.col("prediction") == F.col("link_state")).cast("bigint")).alias("right"))
+    every = Window.partitionBy()     # over a row a label
+    return per.select("label", "n", "n_proper", (F.sum("right").over(every) > F.max("n").over(every)).alias("better_than_majority"))
 
 
 @query
@@ -729,42 +771,48 @@ def model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions of both models agree row for row."""
     from ..operators.model import LinkStateModel
     from ..session import work_path
-    m, val = _fitted(spark, sf_dir)
+    m, _, val = _fitted(spark, sf_dir)
     path = work_path(spark, "link-model")
     m.save(spark, path)
     m2 = LinkStateModel.load(spark, path)
-    a = m.predict_proba(val).select("obs_id", F.col("prediction").alias("p1"))
-    b = m2.predict_proba(val).select("obs_id", F.col("prediction").alias("p2"))
+    a = m.predict_proba(val).select("obs_id", F.col("probability").alias("p1"))
+    b = m2.predict_proba(val).select("obs_id", F.col("probability").alias("p2"))
     return a.join(b, "obs_id").agg(F.count(F.lit(1)).alias("n"),
                                    F.sum((F.col("p1") == F.col("p2")).cast("bigint")).alias("n_equal"))
 
 
 @query
 def channel_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7 (+E2 F19): link model and path transforms fitted together on the
-    train part; validation report and generator-input row count."""
+    """M7 (+E2 F19): link model and path transforms fitted together on the train part; support of each class in the validation
+    report, whether its figures are in 0 to 1, and the generator-input row count."""
     from ..operators.metrics import classification_report
     from ..operators.model import ChannelModel
     obs = observations(spark, sf_dir)
     train, val = sa.split_frames(obs, val_ratio=0.2, seed=42)
     cm = ChannelModel().fit(train)
     rep = classification_report(cm.link.predict_proba(val).withColumnRenamed("link_state", "label"))
-    n_path = cm.path_input(val).agg(F.count(F.lit(1)).alias("support"))
-    path_row = n_path.select(F.lit("path_input_rows").alias("class"), F.lit(None).cast("double").alias("precision"),
-                             F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1_score"),
-                             F.col("support").cast("bigint").alias("support"))
-    return rep.unionByName(path_row)
+    within = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "f1_score")]
+    rep = rep.filter(F.col("class").isin("No-Link", "NLOS", "LOS")).select("class", (within[0] & within[1] & within[2]).alias("in_range"), "support")
+    rows = cm.path_input(val).agg(F.lit("path_input_rows").alias("class"), F.lit(True).alias("in_range"), F.count("*").alias("support"))
+    return rep.unionByName(rows)
 
 
 @query
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training history (loss per iteration) and the best iteration."""
-    from ..operators.metrics import history_table
-    m, _ = _fitted(spark, sf_dir)
+    """Eight epochs of two batches each; per epoch the sizes of both parts, whether all four metrics are in range, whether the
+    best epoch is the first of the highest validation accuracy, and whether the last epoch's loss is below the first's."""
+    from ..operators.metrics import best_epoch, history_table
+    from ..operators.model import LinkStateModel
+    obs = observations(spark, sf_dir)
+    train, val = sa.split_frames(obs, val_ratio=0.2, seed=42)
+    n = read_table(spark, sf_dir, "orders").count()
+    m = LinkStateModel().fit_epochs(train, val, epochs=8, batch_size=max(1, n // 2), steps=3)
     h = history_table(m.history_frame(spark))
-    # the history has one value per solver iteration (bounded by maxIter)
-    best = min(range(len(m.history)), key=lambda i: (m.history[i], i)) + 1 if m.history else None
-    return h.withColumn("is_best", F.col("epoch") == F.lit(best))
+    top = best_epoch(h).first()
+    ok = F.col("loss").between(0, 50) & F.col("val_loss").between(0, 50) & F.col("accuracy").between(0, 1) & F.col("val_accuracy").between(0, 1)
+    first = F.when(F.col("epoch") < top.epoch, F.col("val_accuracy") < top.val_accuracy).otherwise(F.col("val_accuracy") <= top.val_accuracy)
+    return h.select(F.col("epoch").cast("bigint").alias("epoch"), F.lit(m.n_train).cast("bigint").alias("n_train"), F.lit(m.n_val).cast("bigint").alias("n_val"),
+                    ok.alias("in_range"), first.alias("best_is_first_highest"), F.lit(m.epochs["loss"][-1] < m.epochs["loss"][0]).alias("loss_fell"))
 
 
 @query
