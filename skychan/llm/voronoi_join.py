@@ -16,9 +16,10 @@ what is left behind it, can reach the needed overlap; their distances are comput
 
 Points whose windows reach frequent n-grams hold all their rare ones in the window. Linked points among them
 share a rare one (and meet above) or link by frequent n-grams alone. For these only the ordered
-list of frequent n-grams is kept, and points of equal list and size are one. Such regions, and large
-ones of rare n-grams with whole sets, are joined recursively: in each round points of a region become
-pivots, the members' distances to them are taken, members within r link to the pivot, and the pivot goes. A
+list of frequent n-grams is kept, and points of equal list and size are one. Such regions, whatever their size, and those
+of rare n-grams with more than a few points, with whole sets, are joined recursively: in each round points of a region become
+pivots (one in the first round), the members' distances to them are taken, members within r link to the pivot only, and the pivot goes. So a group
+of near copies gives about as many links as it has points, not as many as it has pairs. A
 pair is looked at only if it is not joined by links already, if what follows the region's n-gram in both lists can reach the needed
 overlap (true in the region of the first n-gram that they share), and, by the triangle inequality, if the
 members' distances to each former lead pivot differ by r at most. (Rare n-grams count as different there,
@@ -44,13 +45,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skychan.llm.common import batches_of, plain_texts, repeat_ranges, rows_of, text_digest, words_of, written
+from skychan.llm.common import batches_of, erase, plain_texts, repeat_ranges, rows_of, text_digest, words_of, written
 
 WORDS, NUM, DEN = 5, 75, 100
 #: An n-gram in the windows of so many points is frequent; the FREQUENT most frequent go last in the order (any order is exact).
 OFTEN, FREQUENT = 16, 200_000
-#: Regions up to this size are joined directly.
-LEAF = 256
+#: Regions of rare n-grams of up to so many points are joined directly: at most 496 pairs.
+FEW = 32
+#: A region's members meet its pivots in pieces of about so many.
+PIECE = 512
 #: A pivot's set goes to so many tasks.
 SALT = 16
 #: Pivots of a large region: so many times more in each round.
@@ -189,7 +192,7 @@ def whole_sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("x", "text").mapInArrow(emit, "x long, n long, s array<bigint>")
 
 
-def join_regions(rows: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
+def join_regions(rows: DataFrame, num: int, den: int, few: int) -> DataFrame:
     """Small regions joined: pairs (x, y) whose sizes and places allow a link. Rows of larger regions come back with y null. Regions that only one point is in go."""
     names = ["g", "x", "y", "nx", "ny", "px", "py"]
 
@@ -198,12 +201,12 @@ def join_regions(rows: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         size = np.diff(np.r_[first, len(g)])
         of = np.repeat(size, size)
-        large = np.flatnonzero(of > leaf)
+        large = np.flatnonzero(of > few)
         if len(large):
             k = len(large)
             none = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(g[large]), pa.array(x[large]), none, pa.array(n[large]), none, pa.array(pos[large]), none], names)
-        i = np.flatnonzero((of > 1) & (of <= leaf))
+        i = np.flatnonzero((of > 1) & (of <= few))
         step = 1
         while len(i):
             j = i + step
@@ -297,67 +300,99 @@ def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
             .select("x", "p", "common", (F.col("n") + F.col("pn") - F.col("common")).alias("union")))
 
 
-def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, leaf: int, name: str) -> list[DataFrame]:
+def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> list[DataFrame]:
     """Links of regions of any size, round by round: see the module's text. ``work``: g, x, n, size, pos; ``sets``: x, n, s; ``links``: those
     known before. Points that links join already need no distance, and a region whose points are all joined is done."""
     r = 1 - num / den
     rest = ["g", "x", "n", "size", "pos", "rings"]
     work = work.withColumn("rings", F.array().cast("array<double>"))
-    found, turn = [], 0
+    found, turn, before = [], 0, []
     while True:
-        joined = components(links, None, rounds=2)  # two join the points around a pivot; it only saves distances
+        joined = joined_points(links)  # it only saves distances
         own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select(*rest, F.coalesce("label", "x").alias("label"))
         groups = own.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).filter("a != b").select("g", "members")
         work = written(own.join(groups, "g"), f"{name}-{turn}-open")
+        erase(joined, *before)
         if work.isEmpty():
             return found
         turn += 1
         h = F.xxhash64("x", F.lit(turn))
         part = F.pmod(h, F.lit(min(GROWTH ** (turn - 1), 4096)))
-        # points of small components first: those of a large one then meet few others; all points of a small region are pivots
+        # points of small components first: those of a large one then meet few others
         size = work.groupBy("g", "label").agg(F.count("*").alias("k"))
-        of_large = (work.filter(F.col("members") > leaf).join(size, ["g", "label"]).groupBy("g", part.alias("b"))
-                    .agg(F.min(F.struct("k", h.alias("h"), "x")).alias("p")).select("g", F.col("p.x").alias("x"), (F.col("b") == 0).alias("lead")))
-        pivots = written(work.filter(F.col("members") <= leaf).select("g", "x", F.lit(False).alias("lead")).unionByName(of_large).join(work, ["g", "x"])
-                         .select("g", "lead", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "rings", "label"))), f"{name}-{turn}-pivots")
-        # of two pivots of a small region one asks; what follows the first shared n-gram must suffice; rings of width r around former pivots
-        fits = (((F.col("members") > leaf) | (F.col("px") < F.col("x"))) & (F.col("label") != F.col("plabel"))
+        chosen = (work.join(size, ["g", "label"]).groupBy("g", part.alias("b"))
+                  .agg(F.min(F.struct("k", h.alias("h"), "x")).alias("p")).select("g", F.col("p.x").alias("x"), (F.col("b") == 0).alias("lead")))
+        marked = written(work.join(chosen, ["g", "x"], "left"), f"{name}-{turn}-marked")
+        pivots = marked.filter("lead IS NOT NULL").select("g", "lead", "members", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "rings", "label")))
+        # of two pivots one asks; what follows the first shared n-gram must suffice; rings of width r around former pivots
+        fits = ((F.col("lead").isNull() | (F.col("px") < F.col("x"))) & (F.col("label") != F.col("plabel"))
                 & (F.least(F.col("size") - F.col("pos"), F.col("psize") - F.col("ppos")) * (num + den) >= (F.col("n") + F.col("pn")) * num)
                 & ~F.exists(F.zip_with("rings", "prings", lambda a, b: F.coalesce(F.abs(a - b) > r + 1e-9, F.lit(False))), lambda v: v))
-        met = work.join(pivots, "g").filter(fits).select("g", "x", F.col("px").alias("p"), "lead")
-        known = written(overlaps(met.select("x", "p").distinct(), sets), f"{name}-{turn}-overlaps")
-        more = known.filter(F.col("common") * den >= F.col("union") * num).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct()
+        # a region's rows are dealt out in pieces, each of which meets all its pivots
+        pieces = F.ceil(F.col("members") / PIECE)
+        dealt = marked.withColumn("piece", F.pmod(F.xxhash64("x"), pieces))
+        copies = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("members", "lead")
+        met = dealt.join(copies, ["g", "piece"]).filter(fits).select("x", F.col("px").alias("p")).distinct()
+        known = written(overlaps(met, sets), f"{name}-{turn}-overlaps")
+        more = written(known.filter(F.col("common") * den >= F.col("union") * num).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct(), f"{name}-{turn}-links")
         found.append(more)
         links = links.unionByName(more)
-        left = work.filter(F.col("members") > leaf).join(pivots.select("g", F.col("px").alias("x")), ["g", "x"], "left_anti")
+        left = marked.filter("lead IS NULL")
         first = pivots.filter("lead").select("g", F.col("px").alias("p"))
         ring = known.select("x", "p", (1 - F.col("common") / F.col("union")).alias("d"))
+        done = work
         work = written(left.join(first, "g", "left").join(ring, ["x", "p"], "left").withColumn("rings", F.concat("rings", F.array("d"))).select(*rest), f"{name}-{turn}")
+        erase(done, marked, known)
+        before = [work]
 
 
-def components(links: DataFrame, names: DataFrame | None, rounds: int | None = None) -> DataFrame:
-    """x, label: least name among the points reachable by links. ``names``: x, label (None: the points themselves); with it, also m, the least of those points, which is never null. Labels spread along links and along themselves, so
-    chains take a logarithm of their length in rounds. After ``rounds`` equal labels still mean joined points, but joined points may have different ones."""
-    both = written(links.select("x", "y").distinct().select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b"), "links")
+def both_ways(links: DataFrame) -> DataFrame:
+    """a, b of each link in both directions."""
+    each = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    return written(links.select("x", "y").distinct().select(each.alias("e")).select("e.a", "e.b"), "links")
+
+
+def spread(both: DataFrame, state: DataFrame) -> DataFrame:
+    """Labels (x, m, was) after a step along links."""
+    heard = both.join(state.select(F.col("x").alias("b"), "m"), "b").groupBy(F.col("a").alias("x")).agg(F.min("m").alias("o"))
+    return state.join(heard, "x").select("x", F.least("m", "o").alias("m"), F.col("m").alias("was"))
+
+
+def jumped(new: DataFrame) -> DataFrame:
+    """Labels after a step along labels."""
+    return new.join(new.select(F.col("x").alias("m"), F.col("m").alias("j")), "m", "left").select("x", F.least("m", "j").alias("m"), "was")
+
+
+def joined_points(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """x, label after a few rounds, in one job: equal labels mean joined points, but joined points may have different ones."""
+    both = both_ways(links)
+    state = both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x"))
+    for _ in range(rounds):
+        state = jumped(spread(both, state)).select("x", "m")
+    out = written(state.select("x", F.col("m").alias("label")), "joined")
+    erase(both)
+    return out
+
+
+def components(links: DataFrame, names: DataFrame) -> DataFrame:
+    """x, m, label: the least point reachable by links (never null), and the least name among those points. ``names``: x, label. Labels spread along
+    links and along themselves, so chains take a logarithm of their length in rounds."""
+    both = both_ways(links)
     state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0")
     turn = 0
     while True:
         turn += 1
-        heard = both.join(state.withColumnRenamed("x", "b"), "b").groupBy(F.col("a").alias("x")).agg(F.min("m").alias("o"))
-        new = state.join(heard, "x").select("x", F.least("m", "o").alias("m"), F.col("m").alias("was"))
-        new = written(new, f"heard-{turn}")
-        jump = new.select(F.col("x").alias("m"), F.col("m").alias("j"))
-        state = written(new.join(jump, "m", "left").select("x", F.least("m", "j").alias("m"), "was"), f"label-{turn}")
-        if turn == rounds or state.filter("m != was").isEmpty():
+        new = written(spread(both, state), f"heard-{turn}")
+        old, state = state, written(jumped(new), f"label-{turn}")
+        erase(old, new)
+        if state.filter("m != was").isEmpty():
+            erase(both)
             break
-        state = state.select("x", "m")
-    if names is None:
-        return state.select("x", F.col("m").alias("label"))
-    named = state.join(names, "x")
+    named = state.select("x", "m").join(names, "x")
     return named.join(named.groupBy("m").agg(F.min("label").alias("least")), "m").select("x", "m", F.col("least").alias("label"))
 
 
-def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray, leaf: int) -> DataFrame:
+def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
     """``links`` and those between points whose frequent n-grams alone make a link (others have a rare one in common).
 
     Points of equal n and equal frequent n-grams are a class; one of them stands for all. A class is tight if its members link to one another."""
@@ -367,7 +402,7 @@ def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num:
     of = sets.select("key", F.col("x").alias("rep"), tight.alias("tight"))
     others = written(hot.select("key", "x").distinct().join(of, "key").filter("x != rep").select("rep", "x", "tight"), "members")
     links = links.unionByName(others.filter("tight").select(F.col("rep").alias("x"), F.col("x").alias("y")))
-    more = join_cells(cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, leaf, "frequent")
+    more = join_cells(cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, "frequent")
     for found in more:
         # members of a class that isn't tight link to the other class's point, too
         both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -378,26 +413,28 @@ def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num:
 
 def open_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs that ``links`` don't join already."""
-    label = components(links, None, rounds=2)
+    label = joined_points(links)
     for side in ("x", "y"):
         pairs = pairs.join(label.select(F.col("x").alias("m"), F.col("label").alias(f"l{side}")), F.col(side) == F.col("m"), "left").drop("m")
     return pairs.filter("lx IS NULL OR ly IS NULL OR lx != ly").select("x", "y")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, num: int = NUM, den: int = DEN,
-           often: int = OFTEN, most: int = FREQUENT, leaf: int = LEAF) -> DataFrame:
+           often: int = OFTEN, most: int = FREQUENT, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id, the text's _digest and _component (least point of the component, null only without n-grams) of every row.
     Points are linked if den * common >= num * union."""
     rows = points(docs, id_col, text_col, n)
     frequent, place = frequent_grams(docs, text_col, n, num, den, often, most)
     # regions of rare n-grams: small ones give pairs, rows of large ones come back
-    met = written(join_regions(windows(docs, text_col, n, num, den, frequent), num, den, leaf), "met")
+    met = written(join_regions(windows(docs, text_col, n, num, den, frequent), num, den, few), "met")
     large = written(met.filter("y IS NULL").select("g", "x", F.col("nx").alias("n")), "large")
     pairs = written(candidates(met.filter("y IS NOT NULL"), large, num, den), "candidates")
+    erase(met)
     links = docs.sparkSession.createDataFrame([], "x long, y long")
     if len(frequent):
-        links = join_frequent(docs, links, text_col, n, num, den, frequent, place, leaf)
-        pairs = written(open_pairs(pairs, links), "open-pairs")
+        links = join_frequent(docs, links, text_col, n, num, den, frequent, place)
+        all_, pairs = pairs, written(open_pairs(pairs, links), "open-pairs")
+        erase(all_)
     # the texts of the points that need distances, by one row of each
     needed = pairs.select("x").union(pairs.select("y")).union(large.select("x")).distinct()
     first = rows.join(needed, "x", "left_semi").groupBy("x").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_digest")).alias("r")).select("x", F.col("r.doc_id").alias("_id"), F.col("r._digest").alias("_digest"))
@@ -406,7 +443,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     if not large.isEmpty():
         work = large.distinct().select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"))
         sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets")
-        for more in join_cells(work, sets, links, num, den, leaf, "rare"):
+        for more in join_cells(work, sets, links, num, den, "rare"):
             links = links.unionByName(more)
     names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
     found = components(links, names)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skychan.llm import common
+from skychan.llm import common, voronoi_join
 from skychan.llm.crf_secrets import base_spans, secrets
 from skychan.llm.curriculum import positions, taken
 from skychan.llm.drr_pack import packed
@@ -81,7 +81,7 @@ def brute_components(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"often": 2, "leaf": 2}])
+@pytest.mark.parametrize("options", [{}, {"often": 2, "few": 2}])
 def test_jaccard(spark, docs, empty, options):
     near = [(100 + i, " ".join(BASE[:-(i % 4) or None] + [f"w{i}"] * (i % 3)), "en", "a", 0, 0, "", "", 0, 0) for i in range(24)]
     table = docs.union(spark.createDataFrame(near, SCHEMA))
@@ -93,6 +93,19 @@ def test_jaccard(spark, docs, empty, options):
         assert linked(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies", [20, 200, 400])
+def test_jaccard_links_in_proportion(spark, monkeypatch, copies):
+    """A group of near copies of any size gives a few links a point, and is one component."""
+    common.ship(spark)
+    rows = [(i, " ".join(BASE * 3 + [f"own{i}"]), "en", "a", 0, 0, "", "", 0, 0) for i in range(copies)] + [(1000 + i, " ".join(f"{w}{i}" for w in BASE), "en", "a", 0, 0, "", "", 0, 0) for i in range(30)]
+    seen = []
+    plain = voronoi_join.components
+    monkeypatch.setattr(voronoi_join, "components", lambda links, names: (seen.append(links.distinct().count()), plain(links, names))[1])
+    got = {r.doc_id: r.component_id for r in linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == 0 for i in range(copies)) and all(got[1000 + i] == 1000 + i for i in range(30))
+    assert copies - 1 <= seen[0] <= (3 * copies if copies > voronoi_join.FEW else copies * (copies - 1) // 2)
+
+
 def test_tokens_and_index(docs, empty):
     t = Tokenizer.from_file(vocabulary_path())
     ids, off = WordEncoder(vocabulary_path()).encode(pa.array([x or "" for x in TEXTS], pa.large_string()))
