@@ -93,18 +93,6 @@ def point_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def points(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Table of doc_id, _digest, x (point), n (n-grams) of every row."""
-
-    def digest(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches_of(it):
-            sets = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_digest"), pa.array([point_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "_digest", "x", "n"])
-
-    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("text"))
-                   .mapInArrow(digest, "doc_id long, _digest string, x long, n long"), "points")
-
-
 def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, often: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the most points, ``most`` at most, by hash, and the place of each in the order of all (most frequent last).
     Counted over all documents: those in windows, and those behind that a slice of the table has twice (windows get longer
@@ -160,25 +148,27 @@ def windows(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent
     return docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "g long, x long, n int, pos int")
 
 
-def frequent_sets(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
-    """Points whose windows reach frequent n-grams: x, n, s (places of all their frequent n-grams, in order), key (digest of n and s).
-    All rare n-grams of such a point are in its window."""
+def points(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
+    """Table of doc_id, _digest, x (point), n (n-grams) of every row. Of points whose windows reach frequent n-grams, too: s (places of all their
+    frequent n-grams, in order; all their rare ones are in the window), key (digest of n and s)."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, place))  # a fixed size at most
 
-    def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, order = shared.value
-        for _, texts in batches_of(it):
-            out = []
+        for batch, texts in batches_of(it):
+            x, size, own, key = [], [], [], []
             for s in shingle_sets(texts, n):
                 rare, at = split_set(s, last)
-                if len(s) and len(rare) < window_length(len(s), num, den):
-                    own = np.sort(order[at])
-                    out.append((point_of(s), len(s), own, xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(s)) - (1 << 63)))
-            if out:
-                x, size, own, key = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.list_(pa.int32())), pa.array(key, pa.int64())], ["x", "n", "s", "key"])
+                hot = np.sort(order[at]) if len(s) and len(rare) < window_length(len(s), num, den) else None
+                x.append(point_of(s))
+                size.append(len(s))
+                own.append(hot)
+                key.append(None if hot is None else xxhash.xxh3_64_intdigest(hot.tobytes(), seed=len(s)) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_digest"), pa.array(x, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.list_(pa.int32())), pa.array(key, pa.int64())],
+                                             ["doc_id", "_digest", "x", "n", "s", "key"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "x long, n long, s array<int>, key long")
+    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("text"))
+                   .mapInArrow(digest, "doc_id long, _digest string, x long, n long, s array<int>, key long"), "points")
 
 
 def whole_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -283,11 +273,11 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
 
 def cells(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions of sets by the n-grams of their windows: g, x, n, size (of s), pos (place of g in s)."""
+    """Regions of sets by the n-grams of their windows: g, x, n, size (of s), pos (place of g in s), window."""
     wide = F.col("size") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    return (sets.withColumn("size", F.size("s")).filter(wide > 0)
-            .select("x", "n", "size", F.posexplode(F.slice("s", F.lit(1), wide)).alias("pos", "g"))
-            .select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos"))
+    return (sets.withColumn("size", F.size("s")).filter(wide > 0).withColumn("window", F.slice("s", F.lit(1), wide))
+            .select("x", "n", "size", "window", F.posexplode("window").alias("pos", "g"))
+            .select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos", "window"))
 
 
 def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
@@ -301,10 +291,10 @@ def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> list[DataFrame]:
-    """Links of regions of any size, round by round: see the module's text. ``work``: g, x, n, size, pos; ``sets``: x, n, s; ``links``: those
+    """Links of regions of any size, round by round: see the module's text. ``work``: g, x, n, size, pos, window (null: unknown); ``sets``: x, n, s; ``links``: those
     known before. Points that links join already need no distance, and a region whose points are all joined is done."""
     r = 1 - num / den
-    rest = ["g", "x", "n", "size", "pos", "rings"]
+    rest = ["g", "x", "n", "size", "pos", "window", "rings"]
     work = work.withColumn("rings", F.array().cast("array<double>"))
     found, turn, before = [], 0, []
     while True:
@@ -323,9 +313,10 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
         chosen = (work.join(size, ["g", "label"]).groupBy("g", part.alias("b"))
                   .agg(F.min(F.struct("k", h.alias("h"), "x")).alias("p")).select("g", F.col("p.x").alias("x"), (F.col("b") == 0).alias("lead")))
         marked = written(work.join(chosen, ["g", "x"], "left"), f"{name}-{turn}-marked")
-        pivots = marked.filter("lead IS NOT NULL").select("g", "lead", "members", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "rings", "label")))
-        # of two pivots one asks; what follows the first shared n-gram must suffice; rings of width r around former pivots
-        fits = ((F.col("lead").isNull() | (F.col("px") < F.col("x"))) & (F.col("label") != F.col("plabel"))
+        pivots = marked.filter("lead IS NOT NULL").select("g", "lead", "members", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "window", "rings", "label")))
+        # of two pivots one asks; a pair meets in the region of the first n-gram that their windows share, only; what follows must suffice; rings of width r around former pivots
+        first_shared = F.coalesce(F.get(F.array_intersect("window", "pwindow"), F.lit(0)).cast("long") == F.col("g"), F.lit(True))
+        fits = ((F.col("lead").isNull() | (F.col("px") < F.col("x"))) & (F.col("label") != F.col("plabel")) & first_shared
                 & (F.least(F.col("size") - F.col("pos"), F.col("psize") - F.col("ppos")) * (num + den) >= (F.col("n") + F.col("pn")) * num)
                 & ~F.exists(F.zip_with("rings", "prings", lambda a, b: F.coalesce(F.abs(a - b) > r + 1e-9, F.lit(False))), lambda v: v))
         # a region's rows are dealt out in pieces, each of which meets all its pivots
@@ -392,11 +383,10 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
     return named.join(named.groupBy("m").agg(F.min("label").alias("least")), "m").select("x", "m", F.col("least").alias("label"))
 
 
-def join_frequent(docs: DataFrame, links: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
+def join_frequent(hot: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     """``links`` and those between points whose frequent n-grams alone make a link (others have a rare one in common).
 
     Points of equal n and equal frequent n-grams are a class; one of them stands for all. A class is tight if its members link to one another."""
-    hot = written(frequent_sets(docs, text_col, n, num, den, frequent, place), "hot")
     sets = written(hot.groupBy("key").agg(F.min("x").alias("x"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")
     tight = F.size("s") * (num + den) >= 2 * F.col("n") * num
     of = sets.select("key", F.col("x").alias("rep"), tight.alias("tight"))
@@ -423,8 +413,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
            often: int = OFTEN, most: int = FREQUENT, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id, the text's _digest and _component (least point of the component, null only without n-grams) of every row.
     Points are linked if den * common >= num * union."""
-    rows = points(docs, id_col, text_col, n)
     frequent, place = frequent_grams(docs, text_col, n, num, den, often, most)
+    rows = points(docs, id_col, text_col, n, num, den, frequent, place)
     # regions of rare n-grams: small ones give pairs, rows of large ones come back
     met = written(join_regions(windows(docs, text_col, n, num, den, frequent), num, den, few), "met")
     large = written(met.filter("y IS NULL").select("g", "x", F.col("nx").alias("n")), "large")
@@ -432,7 +422,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     erase(met)
     links = docs.sparkSession.createDataFrame([], "x long, y long")
     if len(frequent):
-        links = join_frequent(docs, links, text_col, n, num, den, frequent, place)
+        links = join_frequent(rows.filter("key IS NOT NULL").select("x", "n", "s", "key"), links, num, den)
         all_, pairs = pairs, written(open_pairs(pairs, links), "open-pairs")
         erase(all_)
     # the texts of the points that need distances, by one row of each
@@ -441,7 +431,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     texts = written(rows_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), written(first, "first"), "doc_id", "text").select("x", "text"), "texts")
     links = links.unionByName(written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links"))
     if not large.isEmpty():
-        work = large.distinct().select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"))
+        work = large.distinct().select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"), F.lit(None).cast("array<int>").alias("window"))
         sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets")
         for more in join_cells(work, sets, links, num, den, "rare"):
             links = links.unionByName(more)
