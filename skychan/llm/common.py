@@ -67,22 +67,38 @@ def text_digest(text: Column) -> Column:
     return F.coalesce(F.md5(text), F.lit("null"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, in whatever case."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def rows_of(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``decisions`` names by (``_id``, ``_digest``), with its other columns added.
 
     ``decisions`` may name a row several times (copies come out several times). Rows of ``docs``
-    that repeat one (id, text) count as one row here: only those are made distinct first, and only
-    if there are any, so a table without repeated rows is shuffled once.
+    that repeat one (id, text) count as one row here, of which the one with the least hash of all its columns stays: only those are
+    made distinct first, and only if there are any, so a table without repeated rows is shuffled once.
     """
-    d = docs.withColumn("_digest", text_digest(F.col(text_col)))
+    digest, whole = fresh(docs, "_row_digest", "_row_whole")
+    columns = docs.columns
+    d = docs.withColumn(digest, text_digest(F.col(text_col)))
     keys = docs.select(F.col(id_col).alias("_i"), text_digest(F.col(text_col)).alias("_g"))
     again = keys.groupBy("_i", "_g").count().filter("count > 1").select("_i", "_g")
     if not again.isEmpty():
-        cond = d[id_col].eqNullSafe(again["_i"]) & (d["_digest"] == again["_g"])
-        d = d.join(again, cond, "left_anti").unionByName(d.join(again, cond, "left_semi").dropDuplicates([id_col, "_digest"]))
+        cond = d[id_col].eqNullSafe(again["_i"]) & (d[digest] == again["_g"])
+        other = [F.col(f"`{c}`") for c in columns if c != text_col]
+        one = (d.join(again, cond, "left_semi").groupBy(F.col(id_col).alias("_i"), F.col(digest).alias("_g"))
+               .agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in d.columns)), F.xxhash64(F.to_json(F.struct(*other)))).alias(whole)).select(f"{whole}.*"))
+        d = d.join(again, cond, "left_anti").unionByName(one)
     e = decisions.withColumnsRenamed({"_id": "_e_id", "_digest": "_e_digest"})
-    return (d.join(e, d[id_col].eqNullSafe(e["_e_id"]) & (d["_digest"] == e["_e_digest"]))
-            .drop("_digest", "_e_id", "_e_digest"))
+    return (d.join(e, d[id_col].eqNullSafe(e["_e_id"]) & (d[digest] == e["_e_digest"]))
+            .select(*(d[f"`{c}`"] for c in columns), *(e[c] for c in e.columns if c not in ("_e_id", "_e_digest"))))
 
 
 def plain_texts(col: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -55,7 +55,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,21 +124,27 @@ SQL: dict[str, str] = {
         l AS (
             SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
             FROM s WINDOW f AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        t AS (SELECT source, source_size, least(3.0 * source_size, max(level) OVER () * w) AS target FROM l),
+        t AS (SELECT source, source_size, w, least(3.0 * source_size, max(level) OVER () * w) AS target FROM l),
         q AS (
-            SELECT d.*, t.source_size, t.target,
+            SELECT d.*, t.source_size, t.target, t.w,
                    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        c AS (
-            SELECT *, CAST(pos + size / 2.0 < target AS INT) + CAST(pos + size / 2.0 + source_size < target AS INT)
-                      + CAST(pos + size / 2.0 + 2 * source_size < target AS INT) AS whole FROM q),
-        e AS (SELECT *, target - sum(size * whole) OVER (PARTITION BY source) AS rest FROM c),
+        h AS (  -- share of the source's whole demand at the middle word of each copy
+            SELECT *, [CASE WHEN target > 0 THEN (pos + size / 2::DOUBLE + j * source_size) / target ELSE 1.0 END::DOUBLE FOR j IN [0, 1, 2]] AS shares FROM q),
+        c AS (  -- when the integral of the schedule, lines from a0 over 1 to a2, reaches it
+            SELECT *, list_transform(list_filter(shares, lambda s: s < 1), lambda s: CASE
+                WHEN s * 1.0 <= (a0 + 1) / 4 THEN 2 * s / (a0 + sqrt(greatest(0, a0 * a0 + 4 * (1 - a0) * s)))
+                ELSE 0.5 + 2 * (s - (a0 + 1) / 4) / (1 + sqrt(greatest(0, 1 + 4 * (a2 - 1) * (s - (a0 + 1) / 4)))) END) AS times
+            FROM (SELECT *, CASE w WHEN 5 THEN 0.8 WHEN 2 THEN 1.0 ELSE 1.2 END::DOUBLE AS a0, CASE w WHEN 5 THEN 1.2 WHEN 2 THEN 1.0 ELSE 0.8 END::DOUBLE AS a2 FROM h)),
+        k AS (SELECT *, len(times) AS whole FROM c),
+        e AS (SELECT *, target - sum(size * whole) OVER (PARTITION BY source) AS rest FROM k),
         b AS (
             SELECT source, min({'off': abs(size - abs(rest)), 'pos': pos}) AS b FROM e
-            WHERE size > 0 AND size < 2 * abs(rest) AND CASE WHEN rest > 0 THEN whole < 3 ELSE whole > 0 END GROUP BY source)
-        SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-               CAST(size * (whole + CASE WHEN b.b.pos = pos AND size > 0 THEN CAST(sign(rest) AS INT) ELSE 0 END) AS BIGINT) AS taken
-        FROM e LEFT JOIN b ON e.source IS NOT DISTINCT FROM b.source""",
+            WHERE size > 0 AND size < 2 * abs(rest) AND CASE WHEN rest > 0 THEN whole < 3 ELSE whole > 0 END GROUP BY source),
+        f AS (SELECT e.*, CASE WHEN b.b.pos = pos AND size > 0 THEN CAST(sign(rest) AS INT) ELSE 0 END AS turn FROM e LEFT JOIN b ON e.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size * (whole + turn) AS BIGINT) AS taken,
+               round(CASE WHEN whole + turn = 0 THEN NULL WHEN whole = 0 THEN 1.0 ELSE times[1] END, 6)::DOUBLE AS position
+        FROM f""",
     "op13_urls": r"""
         WITH p AS (
             SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

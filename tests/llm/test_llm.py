@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from skychan.llm import common, voronoi_join
 from skychan.llm.crf_secrets import base_spans, secrets
-from skychan.llm.curriculum import positions, taken
+from skychan.llm.curriculum import SCHEDULES, placed, positions, taken, training_rows
 from skychan.llm.drr_pack import packed
 from skychan.llm.exact_dedup import exact_groups, keep_first
 from skychan.llm.gru_lm import scored
@@ -151,9 +151,34 @@ def test_mixing(docs, empty):
     assert abs(sum({r.source: r.target for r in rows}.values()) - total) < 1e-6 * total
     assert sorted(map(str, rows)) == sorted(map(str, taken(docs.repartition(5)).collect()))
     assert positions(docs).filter("position < 0 OR position > 1 OR position IS NULL").count() == 0
+    # by brute force: at a copy's position the integral of its source's schedule is its place in the queue, as a share of the target
+    where = {(p.part, p.row, p.copy): p for p in positions(docs).collect()}
+    places = placed(docs).collect()
+    kind = {s: i % 3 for i, s in enumerate(sorted({p.source for p in places}, key=lambda x: (x is None, x or "")))}
+    at = {}
+    for p in sorted(places, key=lambda p: (p.part, p.row)):
+        before = at.get(p.source, 0)
+        at[p.source] = before + p.size
+        for j, t in enumerate(p.times):
+            grid = np.linspace(0, t, 20001)
+            area = lambda x, s=SCHEDULES[kind[p.source]]: np.trapezoid(np.interp(x, np.linspace(0, 1, len(s)), s), x)
+            share = (before + p.size / 2 + j * p.source_size) / p.target
+            assert t == 1.0 or abs(area(grid) / area(np.linspace(0, 1, 20001)) - share) < 1e-6
+            assert where[p.part, p.row, j].position == t
+    order = [p.position for p in positions(docs).collect()]
+    assert order == sorted(order) and len(order) == sum(len(p.times) for p in places)
     assert taken(empty).count() == 0
 
 
+def test_callers_columns_stay(spark):
+    """Columns named like working ones stay, and of rows that repeat an id and text the same one stays whatever the partitions."""
+    common.ship(spark)
+    rows = [(i // 2, f"text of {i // 2} is here now", f"s{i % 2}", f"d{i}", float(i), f"p{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _digest string, _position double, _row_digest string")
+    got = [sorted(map(str, training_rows(df.repartition(n)).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and training_rows(df).columns == df.columns and training_rows(df).filter("_position IS NULL").count() == 0
+
+
 def test_search(spark):
     g = np.random.default_rng(0)
     x = g.normal(size=(300, 16)).astype("f4")
