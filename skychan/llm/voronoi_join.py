@@ -50,14 +50,14 @@ from skychan.llm.common import batches_of, erase, plain_texts, repeat_ranges, ro
 WORDS, NUM, DEN = 5, 75, 100
 #: An n-gram in the windows of so many points is frequent; the FREQUENT most frequent go last in the order (any order is exact).
 OFTEN, FREQUENT = 16, 200_000
-#: Regions of rare n-grams of up to so many points are joined directly: at most 496 pairs.
-FEW = 32
+#: Regions of rare n-grams of up to so many points are joined directly: at most 28 pairs.
+FEW = 8
 #: A region's members meet its pivots in pieces of about so many.
 PIECE = 512
 #: A pivot's set goes to so many tasks.
 SALT = 16
 #: Pivots of a large region: so many times more in each round.
-GROWTH = 8
+GROWTH = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -99,7 +99,7 @@ def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, o
     as frequent ones go last). Any choice gives an exact join."""
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches_of(it, limit=16_000_000):
+        for _, texts in batches_of(it, limit=6_000_000):
             sets = {point_of(s): s for s in shingle_sets(texts, n) if len(s)}
             if sets:
                 near = [s[:window_length(len(s), num, den)] for s in sets.values()]
@@ -290,13 +290,13 @@ def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
             .select("x", "p", "common", (F.col("n") + F.col("pn") - F.col("common")).alias("union")))
 
 
-def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> list[DataFrame]:
-    """Links of regions of any size, round by round: see the module's text. ``work``: g, x, n, size, pos, window (null: unknown); ``sets``: x, n, s; ``links``: those
+def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """``links`` and those of regions of any size, round by round: see the module's text. ``work``: g, x, n, size, pos, window (null: unknown); ``sets``: x, n, s; ``links``: those
     known before. Points that links join already need no distance, and a region whose points are all joined is done."""
     r = 1 - num / den
     rest = ["g", "x", "n", "size", "pos", "window", "rings"]
     work = work.withColumn("rings", F.array().cast("array<double>"))
-    found, turn, before = [], 0, []
+    turn, before = 0, []
     while True:
         joined = joined_points(links)  # it only saves distances
         own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select(*rest, F.coalesce("label", "x").alias("label"))
@@ -304,7 +304,7 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
         work = written(own.join(groups, "g"), f"{name}-{turn}-open")
         erase(joined, *before)
         if work.isEmpty():
-            return found
+            return links
         turn += 1
         h = F.xxhash64("x", F.lit(turn))
         part = F.pmod(h, F.lit(min(GROWTH ** (turn - 1), 4096)))
@@ -325,9 +325,10 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
         copies = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("members", "lead")
         met = dealt.join(copies, ["g", "piece"]).filter(fits).select("x", F.col("px").alias("p")).distinct()
         known = written(overlaps(met, sets), f"{name}-{turn}-overlaps")
-        more = written(known.filter(F.col("common") * den >= F.col("union") * num).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct(), f"{name}-{turn}-links")
-        found.append(more)
-        links = links.unionByName(more)
+        more = known.filter(F.col("common") * den >= F.col("union") * num).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y"))
+        given, links = links, written(links.unionByName(more.distinct()), f"{name}-{turn}-links")  # one table: each round has the same plans
+        if turn > 1:
+            erase(given)
         left = marked.filter("lead IS NULL")
         first = pivots.filter("lead").select("g", F.col("px").alias("p"))
         ring = known.select("x", "p", (1 - F.col("common") / F.col("union")).alias("d"))
@@ -340,7 +341,7 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
 def both_ways(links: DataFrame) -> DataFrame:
     """a, b of each link in both directions."""
     each = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
-    return written(links.select("x", "y").distinct().select(each.alias("e")).select("e.a", "e.b"), "links")
+    return links.select("x", "y").distinct().select(each.alias("e")).select("e.a", "e.b")
 
 
 def spread(both: DataFrame, state: DataFrame) -> DataFrame:
@@ -360,15 +361,13 @@ def joined_points(links: DataFrame, rounds: int = 2) -> DataFrame:
     state = both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x"))
     for _ in range(rounds):
         state = jumped(spread(both, state)).select("x", "m")
-    out = written(state.select("x", F.col("m").alias("label")), "joined")
-    erase(both)
-    return out
+    return written(state.select("x", F.col("m").alias("label")), "joined")
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
     """x, m, label: the least point reachable by links (never null), and the least name among those points. ``names``: x, label. Labels spread along
     links and along themselves, so chains take a logarithm of their length in rounds."""
-    both = both_ways(links)
+    both = written(both_ways(links), "links")
     state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0")
     turn = 0
     while True:
@@ -392,13 +391,11 @@ def join_frequent(hot: DataFrame, links: DataFrame, num: int, den: int) -> DataF
     of = sets.select("key", F.col("x").alias("rep"), tight.alias("tight"))
     others = written(hot.select("key", "x").distinct().join(of, "key").filter("x != rep").select("rep", "x", "tight"), "members")
     links = links.unionByName(others.filter("tight").select(F.col("rep").alias("x"), F.col("x").alias("y")))
-    more = join_cells(cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, "frequent")
-    for found in more:
-        # members of a class that isn't tight link to the other class's point, too
-        both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        loose = others.filter("NOT tight").select(F.col("rep").alias("x"), F.col("x").alias("member")).join(both, "x").select(F.col("member").alias("x"), "y")
-        links = links.unionByName(found).unionByName(loose)
-    return written(links, "frequent-links")
+    found = join_cells(cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, "frequent")
+    # members of a class that isn't tight link to what the class's point links to, too
+    both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    loose = others.filter("NOT tight").select(F.col("rep").alias("x"), F.col("x").alias("member")).join(both, "x").select(F.col("member").alias("x"), "y")
+    return written(found.unionByName(loose), "frequent-links")
 
 
 def open_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -433,8 +430,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     if not large.isEmpty():
         work = large.distinct().select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"), F.lit(None).cast("array<int>").alias("window"))
         sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets")
-        for more in join_cells(work, sets, links, num, den, "rare"):
-            links = links.unionByName(more)
+        links = join_cells(work, sets, links, num, den, "rare")
     names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
     found = components(links, names)
     label = written(names.join(found.withColumnRenamed("label", "l"), "x", "left").select(F.col("x").alias("lx"), F.coalesce("l", "label").alias("label"), F.coalesce("m", "x").alias("_component")), "labels")
