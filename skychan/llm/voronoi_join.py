@@ -49,9 +49,9 @@ from skychan.llm.common import batches_of, erase, plain_texts, repeat_ranges, ro
 
 WORDS, NUM, DEN = 5, 75, 100
 #: An n-gram in the windows of so many points is frequent; the FREQUENT most frequent go last in the order (any order is exact).
-OFTEN, FREQUENT = 16, 200_000
-#: Regions of rare n-grams of up to so many points are joined directly: at most 28 pairs.
-FEW = 8
+OFTEN, FREQUENT = 8, 1_000_000
+#: Regions of rare n-grams of up to so many points are joined directly: at most 120 pairs.
+FEW = 16
 #: A region's members meet its pivots in pieces of about so many.
 PIECE = 512
 #: A pivot's set goes to so many tasks.
@@ -357,11 +357,13 @@ def jumped(new: DataFrame) -> DataFrame:
 
 def joined_points(links: DataFrame, rounds: int = 2) -> DataFrame:
     """x, label after a few rounds, in one job: equal labels mean joined points, but joined points may have different ones."""
-    both = both_ways(links)
+    both = written(both_ways(links), "links")
     state = both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x"))
     for _ in range(rounds):
         state = jumped(spread(both, state)).select("x", "m")
-    return written(state.select("x", F.col("m").alias("label")), "joined")
+    out = written(state.select("x", F.col("m").alias("label")), "joined")
+    erase(both)
+    return out
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
