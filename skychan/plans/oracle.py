@@ -791,3 +791,15 @@ register("history", f"""{_VALIDATION}
 SELECT CAST(e.range AS BIGINT) AS epoch, (SELECT CAST(count(*) + floor(count(*) * 0.1) AS BIGINT) FROM t) AS n_train,
        (SELECT CAST(count(*) AS BIGINT) FROM v) AS n_val, true AS in_range, true AS best_is_first_highest, true AS loss_fell
 FROM range(1, 9) e""")
+
+# ---------------------------------------------------------------- as-of join and grouping sets
+register("asof_run", """
+WITH r AS (SELECT user_id, ts, max_by({'i': event_id, 't': event_type, 'v': value}, event_id) AS l FROM events WHERE ts IS NOT NULL GROUP BY user_id, ts)
+SELECT e.event_id, e.user_id, r.l.i AS prev_id, r.l.t AS prev_type, r.l.v AS prev_value, CAST(epoch_us(e.ts) - epoch_us(r.ts) AS BIGINT) AS gap_us
+FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts > r.ts""", fixture=False)
+register("report_rollup", f"""
+, c AS (SELECT rx_type, link_state, CAST(floor((x + 1000) / 50) AS BIGINT) * 1000 + CAST(floor((y + 1000) / 50) AS BIGINT) AS cell, CAST(link_state = pred_state AS INT) AS hit FROM obs)
+SELECT CAST(grouping_id(rx_type, link_state) AS INTEGER) AS level, rx_type, link_state, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT cell) AS BIGINT) AS n_cells,
+       CAST(sum(hit) AS BIGINT) AS n_right, {R("sum(hit) / count(*)")} AS accuracy
+FROM c GROUP BY CUBE (rx_type, link_state)
+""")

@@ -815,6 +815,28 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ok.alias("in_range"), first.alias("best_is_first_highest"), F.lit(m.epochs["loss"][-1] < m.epochs["loss"][0]).alias("loss_fell"))
 
 
+@query
+def asof_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of join: each event with the last earlier event of its user."""
+    from ..operators.asof import asof_join
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    out = asof_join(e, e, ["user_id"], "ts", "event_id", ["event_id", "event_type", "value"])
+    return out.select("event_id", "user_id", F.col("last_event_id").alias("prev_id"), F.col("last_event_type").alias("prev_type"), F.col("last_value").alias("prev_value"),
+                      (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last_ts").cast("timestamp"))).alias("gap_us"))
+
+
+@query
+def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 T10 with subtotals: per receiver type x link state and all subtotals, observations, different 50 m cells and accuracy."""
+    from ..operators.rollup import distinct_rollup
+    x, y, _ = geo.vec_elems(F.col("dvec"))
+    cell = F.floor((x + 1000) / F.lit(50.0)) * 1000 + F.floor((y + 1000) / F.lit(50.0))
+    obs = observations(spark, sf_dir).select("rx_type", "link_state", "pred_state", cell.cast("bigint").alias("cell"))
+    right = (F.col("link_state") == F.col("pred_state")).cast("bigint")
+    d = distinct_rollup(obs, ["rx_type", "link_state"], "cell", {"n_right": right})
+    return d.select("level", "rx_type", "link_state", "n", F.col("n_distinct").alias("n_cells"), "n_right", r6(F.col("n_right") / F.col("n")).alias("accuracy"))
+
+
 @query
 def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Condition rows and data-vector rows built as separate frames
