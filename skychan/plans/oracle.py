@@ -803,3 +803,27 @@ SELECT CAST(grouping_id(rx_type, link_state) AS INTEGER) AS level, rx_type, link
        CAST(sum(hit) AS BIGINT) AS n_right, {R("sum(hit) / count(*)")} AS accuracy
 FROM c GROUP BY CUBE (rx_type, link_state)
 """)
+
+# ---------------------------------------------------------------- event time: what a watermark lets through, file by file
+_FILES = """
+WITH f AS (SELECT *, least(floor(floor((epoch_us(ts) - 1704067200000000) / 86400000000.0) / 5) + CASE event_id % 50 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END, 5) AS part
+           FROM events WHERE ts IS NOT NULL)"""
+# a batch drops what was closed by the watermark of the batch before it, which had seen the files before that one
+register("timing_stream", f"""{_FILES},
+seen AS (SELECT p.range AS part, epoch_ms((SELECT max(ts) FROM f WHERE f.part <= p.range - 2)) - 43200000 AS mark FROM range(6) p(range)),
+w AS (SELECT f.*, epoch_us(date_trunc('day', ts)) AS start_us, epoch_ms(date_trunc('day', ts)) + 86400000 <= seen.mark AS late FROM f JOIN seen USING (part)),
+g AS (SELECT event_type, start_us, count(*) FILTER (WHERE late IS NOT true) AS n_rows, count(*) FILTER (WHERE late) AS n_late FROM w GROUP BY ALL),
+s AS (SELECT event_type, start_us, count(value) AS c, avg(value) AS mean, min(value) AS lo, max(value) AS hi, CASE WHEN count(value) > 1 THEN stddev_samp(value) WHEN count(value) = 1 THEN 0 END AS sd,
+             sum(value) AS total FROM w WHERE late IS NOT true GROUP BY ALL)
+SELECT g.event_type, g.start_us, CAST(n_rows AS BIGINT) AS n_rows, CAST(c AS BIGINT) AS count, CAST(n_late AS BIGINT) AS n_late, {R("mean")} AS mean_ms, {R("lo")} AS min_ms, {R("hi")} AS max_ms,
+       {R("CAST(sd AS DOUBLE)")} AS stddev_ms, {R("total")} AS total_ms, {R("n_rows / CAST(86400 AS DOUBLE)")} AS rows_per_s
+FROM g JOIN s ON g.event_type IS NOT DISTINCT FROM s.event_type AND g.start_us = s.start_us
+WHERE g.start_us // 1000 + 86400000 <= (SELECT epoch_ms(max(ts)) - 43200000 FROM f)
+""", fixture=False)
+register("sessions_stream", f"""
+WITH b AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS first FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nr FROM b),
+s AS (SELECT user_id, nr, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n, sum(value) AS total FROM n GROUP BY ALL)
+SELECT user_id, start_us, CAST(end_us AS BIGINT) AS end_us, CAST(n AS BIGINT) AS n_rows, {R("total")} AS total_ms
+FROM s WHERE end_us <= (SELECT epoch_ms(max(ts)) - 1296000000 FROM events) * 1000
+""", fixture=False)

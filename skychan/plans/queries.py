@@ -855,3 +855,42 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.metrics import run_summary as rs
     r = rs(read_table(spark, sf_dir, "events"), "event_type", "value")
     return r.select("event_type", *[r6(F.col(c)).alias(c) for c in ("avg_ms", "min_ms", "max_ms")], "runs")
+
+
+# ---------------------------------------------------------------- event time
+def _event_files(spark: SparkSession, sf_dir: str):
+    """``events`` as six folders' worth of files that arrive five days apart; two rows of 50 arrive one or two files late."""
+    from pyspark.sql.types import StructType
+
+    from ..session import work_path
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    e = read_table(spark, sf_dir, "events").select("event_id", F.timestamp_micros(us).alias("at"), "user_id", "event_type", "value", us.alias("_us"))
+    day = F.floor((F.col("_us") - 1704067200000000) / F.lit(86400000000))
+    late = F.when(F.col("event_id") % 50 == 0, 2).when(F.col("event_id") % 50 == 1, 1).otherwise(0)
+    e = e.withColumn("_part", F.least(F.floor(day / 5) + late, F.lit(5)))
+    src = work_path(spark, "event-files")
+    schema = StructType.fromDDL("event_id long, at timestamp, user_id long, event_type string, value double")
+    for i in range(6):  # one after the other: the stream takes files by age
+        e.where(F.coalesce(F.col("_part"), F.lit(0)) == i).select(*schema.names).coalesce(1).write.mode("append").parquet(src)
+    return src, schema
+
+
+@query
+def timing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E7 E8 on a stream: statistics of ``events.value`` per event type and closed day, with the rows that came too late."""
+    from ..session import work_path
+    from ..streaming.windows import windowed_timings
+    src, schema = _event_files(spark, sf_dir)
+    r, _ = windowed_timings(spark, src, schema, "at", "value", ["event_type"], "1 day", "12 hours", work_path(spark, "windows"), max_files_per_trigger=1)
+    return r.select("event_type", F.unix_micros("start").alias("start_us"), "n_rows", "count", "n_late",
+                    *[r6(F.col(c)).alias(c) for c in ("mean_ms", "min_ms", "max_ms", "stddev_ms", "total_ms", "rows_per_s")])
+
+
+@query
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 on a stream: the closed sessions of each user (gap of six hours), rows out of order within the watermark's delay."""
+    from ..session import work_path
+    from ..streaming.windows import sessions
+    src, schema = _event_files(spark, sf_dir)
+    r = sessions(spark, src, schema, "at", "value", ["user_id"], "6 hours", "15 days", work_path(spark, "sessions"), max_files_per_trigger=1)
+    return r.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_rows", r6(F.col("total_ms")).alias("total_ms"))
