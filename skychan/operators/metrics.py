@@ -242,3 +242,23 @@ def best_epoch(hist: DataFrame, metric: str = "val_accuracy", mode: str = "max")
     """The epoch with the best metric (first on ties): a top-1 report."""
     o = F.col(metric).desc() if mode == "max" else F.col(metric).asc()
     return hist.orderBy(o, F.col("epoch").asc()).limit(1)
+
+
+# ---------------------------------------------------------------- E1, E2 over an open class set
+def confusion_cells(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+    """Occupied cells (label, prediction, n) of the confusion matrix for whatever classes the two columns hold; NULL is a class.
+    One aggregate with partial results, so a cell with a third of all rows costs no more than others. Empty table: no rows."""
+    return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def open_report(cells: DataFrame) -> DataFrame:
+    """Per class that is a label or a prediction: ``tp``, ``support``, ``predicted``, precision, recall, F1 (0/0 -> 0). The supports sum to
+    the rows. Needs a row a cell only, so the data isn't read once more for each class."""
+    hit = F.col("label").eqNullSafe(F.col("prediction"))
+    zero = F.lit(0).cast("bigint")
+    sides = cells.select(F.inline(F.array(
+        F.struct(F.col("label").alias("class"), F.when(hit, F.col("n")).otherwise(zero).alias("tp"), F.col("n").alias("support"), zero.alias("predicted")),
+        F.struct(F.col("prediction").alias("class"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("predicted")))))
+    s = sides.groupBy("class").agg(*(F.sum(c).alias(c) for c in ("tp", "support", "predicted")))
+    return s.select("class", "tp", "support", "predicted", _ratio(F.col("tp"), F.col("predicted")).alias("precision"), _ratio(F.col("tp"), F.col("support")).alias("recall"),
+                    _ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1_score"))

@@ -827,3 +827,23 @@ s AS (SELECT user_id, nr, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 216
 SELECT user_id, start_us, CAST(end_us AS BIGINT) AS end_us, CAST(n AS BIGINT) AS n_rows, {R("total")} AS total_ms
 FROM s WHERE end_us <= (SELECT epoch_ms(max(ts)) - 1296000000 FROM events) * 1000
 """, fixture=False)
+
+# ---------------------------------------------------------------- open class sets
+_OPEN = """
+, o AS (SELECT CAST(CASE WHEN obs_id % 97 <> 0 THEN CASE WHEN obs_id % 89 = 0 THEN 7 ELSE link_state END END AS INTEGER) AS label,
+               CAST(CASE WHEN obs_id % 83 <> 0 THEN CASE WHEN obs_id % 79 = 0 THEN 9 ELSE pred_state END END AS INTEGER) AS prediction FROM obs)"""
+register("confusion_open", f"{_OPEN} SELECT label, prediction, CAST(count(*) AS BIGINT) AS n FROM o GROUP BY ALL")
+register("report_open", f"""{_OPEN},
+c AS (SELECT label AS class FROM o UNION SELECT prediction FROM o),
+s AS (SELECT class, (SELECT count(*) FROM o WHERE label IS NOT DISTINCT FROM class AND prediction IS NOT DISTINCT FROM class) AS tp,
+             (SELECT count(*) FROM o WHERE label IS NOT DISTINCT FROM class) AS support, (SELECT count(*) FROM o WHERE prediction IS NOT DISTINCT FROM class) AS predicted FROM c)
+SELECT class, CAST(tp AS BIGINT) AS tp, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted,
+       {R("CASE WHEN predicted = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / predicted END")} AS precision, {R("CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / support END")} AS recall,
+       {R("CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * CAST(tp AS DOUBLE) / (support + predicted) END")} AS f1_score
+FROM s
+""")
+register("onehot_dictionary", """
+WITH r AS (SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_orderkey % 50 <> 0 THEN CASE WHEN l_orderkey % 3 = 1 THEN 1 ELSE l_partkey END END AS BIGINT) AS part FROM lineitem),
+d AS (SELECT part AS category, row_number() OVER (ORDER BY part NULLS LAST) - 1 AS code, count(*) OVER () - 1 AS size FROM (SELECT DISTINCT part FROM r))
+SELECT l_orderkey, l_linenumber, part, CAST(size AS BIGINT) AS size, CAST(CASE WHEN code < size THEN code END AS BIGINT) AS index, CASE WHEN code < size THEN CAST(1 AS DOUBLE) END AS value
+FROM r JOIN d ON part IS NOT DISTINCT FROM category""", fixture=False)

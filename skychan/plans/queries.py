@@ -894,3 +894,38 @@ def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, schema = _event_files(spark, sf_dir)
     r = sessions(spark, src, schema, "at", "value", ["user_id"], "6 hours", "15 days", work_path(spark, "sessions"), max_files_per_trigger=1)
     return r.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_rows", r6(F.col("total_ms")).alias("total_ms"))
+
+
+# ---------------------------------------------------------------- open class sets
+def _open_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and predictions with classes outside 0-2 and NULLs."""
+    i = F.col("obs_id")
+    return observations(spark, sf_dir).select(
+        F.when(i % 97 != 0, F.when(i % 89 == 0, 7).otherwise(F.col("link_state"))).alias("label"),
+        F.when(i % 83 != 0, F.when(i % 79 == 0, 9).otherwise(F.col("pred_state"))).alias("prediction"))
+
+
+@query
+def confusion_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 for whatever classes are there, NULL included: the occupied cells."""
+    from ..operators.metrics import confusion_cells
+    return confusion_cells(_open_classes(spark, sf_dir))
+
+
+@query
+def report_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 for whatever classes are there, NULL included."""
+    from ..operators.metrics import confusion_cells, open_report
+    r = open_report(confusion_cells(_open_classes(spark, sf_dir)))
+    return r.select("class", "tp", "support", "predicted", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1_score")])
+
+
+@query
+def onehot_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 T7 by a dictionary table: sparse one-hot vectors of part keys, of which one holds a third of all rows and some are NULL."""
+    from ..operators.dictionary import fit_dictionary, one_hot_sparse
+    key = F.when(F.col("l_orderkey") % 50 != 0, F.when(F.col("l_orderkey") % 3 == 1, 1).otherwise(F.col("l_partkey")))
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", key.alias("part"))
+    r = one_hot_sparse(rows, "part", fit_dictionary(rows, "part"), drop_last=True)
+    return r.select("l_orderkey", "l_linenumber", "part", F.col("one_hot.size").alias("size"), F.get("one_hot.indices", F.lit(0)).alias("index"),
+                    F.get("one_hot.values", F.lit(0)).alias("value"))
