@@ -4,8 +4,9 @@ Base spans are the matches of three patterns (the contract's). The field adds sp
 runs of the characters that secrets are written in, are tagged begin, inside or outside. Its features
 are the token's shape, its neighbours (words that announce a secret, an equals sign or colon between) and
 figures of the whole file. It is trained in numpy by gradient of the log-likelihood, on
-windows of tokens around base spans (at most ``max_windows``) and around tokens with digits that
-aren't secrets (twice as many); in half of the windows the announcing neighbours are
+windows of tokens around base spans (at most ``max_windows``) and around other places (twice as many),
+chosen by hash among all places of all texts. Tokens that look like secrets but that no pattern
+announces count as unlabelled, not as outside. In half of the windows the announcing neighbours are
 masked, so that it learns what secrets look like by themselves. Decoding is by Viterbi.
 
 A tagged stretch of tokens is on the best path only if it scores more than leaving it untagged. The most
@@ -20,8 +21,10 @@ characters of secrets: no spans. Added spans never overlap base ones.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ KINDS = ("assign", "access", "hex", "crf")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+=*")
 ANNOUNCE = re.compile(r"(?:passw|passwd|pwd|secret|token|api_?key|auth|bearer|credential|private|access)", re.I | re.A)
 DIGIT_WORD = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+DIGITS, WORD, WORD_END = re.compile(r"[0-9]+"), re.compile(r"[^\x20\x09-\x0D]*"), re.compile(r"[^\x20\x09-\x0D]*\Z")
 #: Shape features: a pattern each.
 SHAPES = (r".{8,}", r".{12,}", r".{16,}", r".{24,}", r".{32,}", r"[0-9]", r"[a-z]", r"[A-Z]", r"^[0-9]+=*$", r"^[0-9a-f]+$", r"^[A-Z0-9]+$",
           r"^[A-Za-z]+=*$", r"(?:[A-Za-z][0-9]|[0-9][A-Za-z]).*(?:[A-Za-z][0-9]|[0-9][A-Za-z])", r"(?:(?:[A-Za-z][0-9]+[A-Za-z]).*){3}", r"\.", r"[/+_]", r"-", r"^AKIA", r"=$")
@@ -49,6 +53,8 @@ N_FEATURES = 1 + len(SHAPES) + 6
 MAX_WINDOWS, HALF = 800, 6
 #: The field's tags need this much more score a span than no tag; shorter tokens are never added.
 MARGIN, LEAST = 3.0, 12
+#: Share of the known secrets that may look less like one than a token taken for unlabelled.
+SPIES = 0.1
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -180,40 +186,73 @@ class Field:
         return y
 
 
+def digit_words(text: str) -> Iterator[tuple[int, int]]:
+    """Where the words with digits are, each once."""
+    end = 0
+    for m in DIGITS.finditer(text):
+        if m.start() >= end:
+            start = m.start() - len(WORD_END.search(text[max(0, m.start() - 200):m.start()])[0])
+            end = WORD.match(text, m.end()).end()
+            yield start, end
+
+
+class Smallest:
+    """The ``limit`` different smallest keys with what was made for them."""
+
+    def __init__(self, limit: int):
+        self.limit, self.heap, self.made = limit, [], {}
+
+    def wants(self, key: int) -> bool:
+        return key not in self.made and (len(self.heap) < self.limit or key < -self.heap[0])
+
+    def add(self, key: int, value: tuple) -> None:
+        self.made[key] = value
+        heapq.heappush(self.heap, -key)
+        if len(self.heap) > self.limit:
+            del self.made[-heapq.heappop(self.heap)]
+
+
 def training_windows(docs: DataFrame, text_col: str, max_windows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows around base spans and around other tokens with digits: those with the smallest hashes; 3 * max_windows at most reach the driver."""
+    """Windows around base spans and around other places (words with digits, and the middle of each text), among all places of all
+    texts: those whose words have the smallest hashes; 3 * max_windows at most reach the driver. Places with equal words around count once, so
+    copies don't crowd out others, and the choice doesn't depend on how rows are partitioned."""
     length, reach = 2 * HALF + 1, 400
-    every = max(1, docs.count() // (2 * max_windows))  # of the texts, one in so many gives windows without a secret
+
+    def window(text: str, spans: list, figures: tuple[float, float], a: int, b: int, secret: bool, key: int) -> tuple[bytes, bytes] | None:
+        tokens, x = sequence(text, figures, max(0, a - reach), min(len(text), b + reach))
+        tokens, x = tokens[1:-1], x[1:-1]  # the outer ones may be cut off
+        y = tags_of(tokens, spans, text)
+        i = next((k for k, m in enumerate(tokens) if m.end() > a and (not secret or y[k] == 1)), -1)
+        if i < 0:
+            return None
+        lo = max(0, i - HALF)
+        own, tags = x[lo:lo + length].copy(), y[lo:lo + length].copy()
+        if key & 2:
+            own[:, -6:-3], own[:, -2] = 0, 0
+        if tags[0] == 2:
+            tags[0] = 1
+        return own.astype("<f4").tobytes(), tags.astype("<i1").tobytes()
 
     def cut(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {True: Smallest(max_windows), False: Smallest(2 * max_windows)}
         for batch, texts in batches_of(it):
-            rows = []
             for text in texts.to_pylist():
-                spans = base_spans(text)
-                places = [(a, b, True) for _, a, b in spans[:8]]
-                if xxhash.xxh64_intdigest(text) % every == 0:
-                    places += [(m.start(), m.end(), False) for m in list(DIGIT_WORD.finditer(text))[:8]] + [(len(text) // 2, len(text) // 2, False)]
-                figures = file_figures(text) if places else (0.0, 0.0)
+                spans, figures = base_spans(text), None
+                places = chain(((a, b, True) for _, a, b in spans), ((a, b, False) for a, b in digit_words(text)), ((len(text) // 2, len(text) // 2, False),))
                 for a, b, secret in places:
-                    tokens, x = sequence(text, figures, max(0, a - reach), min(len(text), b + reach))
-                    tokens, x = tokens[1:-1], x[1:-1]  # the outer ones may be cut off
-                    y = tags_of(tokens, spans, text)
-                    i = next((k for k, m in enumerate(tokens) if m.end() > a and (not secret or y[k] == 1)), -1)
-                    if i < 0:
-                        continue
-                    lo = max(0, i - HALF)
-                    own, tags = x[lo:lo + length].copy(), y[lo:lo + length].copy()
-                    key = xxhash.xxh64_intdigest(text[tokens[lo].start():tokens[min(len(tokens), lo + length) - 1].end()]) >> 1
-                    if key & 2:
-                        own[:, -6:-3], own[:, -2] = 0, 0
-                    if tags[0] == 2:
-                        tags[0] = 1
-                    rows.append((key, secret, own.astype("<f4").tobytes(), tags.astype("<i1").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["key", "secret", "x", "y"])
+                    key = xxhash.xxh64_intdigest(text[max(0, a - 40):b + 40]) >> 1
+                    if kept[secret].wants(key):
+                        figures = figures or file_figures(text)
+                        made = window(text, spans, figures, a, b, secret, key)
+                        if made is not None:
+                            kept[secret].add(key, made)
+        rows = [(key, secret, *made) for secret, best in kept.items() for key, made in sorted(best.made.items())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["key", "secret", "x", "y"])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(cut, "key long, secret boolean, x binary, y binary")
-    # a ranked limit a kind: each task keeps its smallest, then the smallest of all are kept
+    # a key's windows differ only by what stands farther away: the least one stays
+    found = found.groupBy("secret", "key").agg(F.min(F.struct("x", "y")).alias("v")).select("secret", "key", "v.x", "v.y")
     rank = F.row_number().over(Window.partitionBy("secret").orderBy("key", "x"))
     rows = found.withColumn("rank", rank).filter(F.col("rank") <= 2 * max_windows).filter(~F.col("secret") | (F.col("rank") <= max_windows)).orderBy("secret", "rank").collect()
     x, y, real = np.zeros((len(rows), length, N_FEATURES)), np.zeros((len(rows), length), np.int64), np.zeros((len(rows), length), bool)
@@ -223,6 +262,21 @@ def training_windows(docs: DataFrame, text_col: str, max_windows: int) -> tuple[
     return x, y, real
 
 
+def trained(x: np.ndarray, y: np.ndarray, real: np.ndarray) -> Field | None:
+    """The patterns say which tokens are secrets, not which are none: tokens that look like the secrets without being announced are unlabelled.
+    A first field shows them, by the score of their shapes alone: they reach what all but SPIES of the known secrets
+    reach. Windows that hold one teach nothing about what is outside, and a second field learns from the others."""
+    if not (y > 0).any():
+        return None
+    first = Field.train(x, y, real)
+    shape = x[..., :1 + len(SHAPES)] @ first.w[:1 + len(SHAPES), 1]
+    least = np.quantile(shape[real & (y == 1)], SPIES)
+    alike = (real & (y == 0) & (shape >= least)).any(axis=1)
+    if not alike.any() or not (y[~alike] > 0).any():
+        return first
+    return Field.train(x[~alike], y[~alike], real[~alike])
+
+
 def added_spans(text: str, field: Field, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     tokens, x = sequence(text, file_figures(text))
     y = field.decode(x)
@@ -244,7 +298,7 @@ def added_spans(text: str, field: Field, spans: list[tuple[str, int, int]]) -> l
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """A row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf."""
     x, y, real = training_windows(docs, text_col, max_windows)
-    field = Field.train(x, y, real) if (y > 0).any() else None
+    field = trained(x, y, real)
 
     def scan(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches_of(it):
