@@ -13,10 +13,12 @@ Copies of an article are not templates: pages of a host whose texts cover each o
 page when runs are counted. Candidates share a band of a min-hash sketch; each is compared in full with
 the least page of its band, and pages joined by such pairs are one.
 
-A large host is dealt to shards of a bounded number of tokens. Each shard sorts its own suffixes. A run in
-as many pages as are needed has its share of them in one shard at least; those runs' hashes go to all
-shards of the host, which tell the pages and places they stand in, so the count is that of the whole host.
-Texts meet only the cuts of their page.
+A large host is dealt to shards of a bounded number of tokens. Each shard sorts its own suffixes and adds the
+pages of each of its runs to a count sketch of SLOTS places by run hash; the shards' sketches are summed. A run whose
+place stays below the needed number can't be repeated often enough. Of the others every shard tells
+the pages and places they stand in, and these are counted exactly, by run, over the whole host: the sketch only saves moving
+the rest. What moves is proportional to the tokens of a host: a bit a slot to each shard, and each run's places once
+(where a host is so large that its sketch is full, all of them). Texts meet only the cuts of their page.
 
 Defined results. Null or empty html, or no main text: empty text, n_chars 0. Null url: one host of
 its own. Null page_id and repeated rows: rows like others; rows with the same stream count as one
@@ -24,6 +26,7 @@ page. Long pages are read whole. Empty table: no rows. White space is what Unico
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -48,12 +51,18 @@ COPY = 0.8
 SHARD_TOKENS = 1_000_000
 #: Bands of a text's sketch, min-hashes of a band, tokens of what is hashed.
 BANDS, ROWS, GRAM = 16, 3, 3
+#: Places of a host's sketch, and how many of them are a row.
+SLOTS, CELLS = 1 << 21, 1 << 16
 SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS).astype(np.uint64)
 PARSED = "page_id long, url string, host string, texts array<string>, page long, n_stream long, stream binary, sizes binary, bands array<long>"
 
 
-def _token(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
+class Tokens(dict):
+    """Token of each word, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = token = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
+        return token
 
 
 def run_hashes(stream: np.ndarray, length: int) -> np.ndarray:
@@ -71,8 +80,14 @@ def sketch(tokens: np.ndarray) -> list[int]:
     if not len(tokens):
         return []
     grams = np.unique(run_hashes(tokens, GRAM))
-    least = np.array([((grams ^ k) * np.uint64(0xBF58476D1CE4E5B9)).min() for k in SEEDS]).reshape(BANDS, ROWS)
-    return [xxhash.xxh3_64_intdigest(row.tobytes()) >> 1 for row in least]
+    least = np.full(len(SEEDS), np.iinfo(np.uint64).max)
+    for i in range(0, len(grams), 2048):
+        np.minimum(least, ((grams[i:i + 2048] ^ SEEDS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1), out=least)
+    return [xxhash.xxh3_64_intdigest(row.tobytes()) >> 1 for row in least.reshape(BANDS, ROWS)]
+
+
+def slots_of(runs: np.ndarray) -> np.ndarray:
+    return (runs & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def text_tokens(stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -117,11 +132,11 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         for batch in it:
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
-                rows = []
+                rows, tokens_by = [], Tokens()
                 for page_id, url, page, host in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     texts, stream, sizes = [], [], []
                     for text, kind in blocks(page or ""):
-                        tokens = [_token(w) for w in text.split(" ")]
+                        tokens = [tokens_by[w] for w in text.split(" ")]
                         stream += tokens
                         sizes.append(-len(tokens) if kind == DROP else len(tokens))
                         if kind != DROP:
@@ -160,7 +175,7 @@ def copies(table: DataFrame, min_run: int, share: float) -> DataFrame | None:
     same = written(both.select("host", "page", "other", "stream", "sizes", "stream2", "sizes2").mapInArrow(compare, "host string, page long, other long"), "copy-links")
     if same.isEmpty():
         return None
-    label = components(same.select(node("page").alias("x"), node("other").alias("y")), None)
+    label = components(same.select(node("page").alias("x"), node("other").alias("y")))
     named = same.select("host", "page").union(same.select("host", "other")).distinct().withColumn("x", node("page"))
     return written(named.join(label, "x").select("host", "page", F.col("label").alias("copy_of")), "copies")
 
@@ -179,16 +194,36 @@ def repeated_in(streams: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
         # the order by `depth` tokens and the order of what follows give the order by `depth + step`
         there = np.arange(len(text)) + step
         after = np.where(left > step, rank[np.minimum(there, len(text) - 1)] + 1, 0)
-        order = np.lexsort((after, rank))
-        new = np.r_[0, np.cumsum((np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0))]
-        rank = np.empty_like(rank)
-        rank[order] = new
+        rank = np.unique(rank * (len(text) + 1) + after, return_inverse=True)[1]
         depth += step
     whole = np.repeat(sizes, sizes)
     is_run = (left >= length) | ((whole < length) & (left == whole))
     return np.where(is_run, rank, -1), page
 
 
+def added(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sum of the counts of the rows of each key; rows of a key stream through one task, a row at a time."""
+
+    def add(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in it for r in zip(*(batch.column(c).to_pylist() for c in (*keys, "counts")), strict=True))
+        for key, group in groupby(rows, key=lambda r: r[:-1]):
+            total = np.zeros(CELLS, np.uint32)
+            for *_, counts in group:
+                own = np.frombuffer(counts, "<u4")
+                total = np.where(total > ~own, ~np.uint32(0), total + own)  # full, not over
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.string() if isinstance(k, str) else pa.int32()) for k in key] + [pa.array([total.tobytes()], pa.binary())], [*keys, "counts"])
+
+    kinds = ", ".join(f"{k} {'string' if k == 'host' else 'int'}" for k in keys)
+    return sketches.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, f"{kinds}, counts binary")
+
+
+def enough(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row of a host's sketch: a bit a place, whether its count reaches what the host needs."""
+    for batch in it:
+        bits = [np.packbits(np.frombuffer(c, "<u4") >= need).tobytes() for c, need in zip(batch.column("counts").to_pylist(), batch.column("need").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shards"), batch.column("chunk"), pa.array(bits, pa.binary())], ["host", "shards", "chunk", "often"])
+
+
 def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHARD_TOKENS, min_pages: int = MIN_PAGES, share: float = COPY) -> DataFrame:
     """host, page, cuts: stretches of texts that boilerplate runs cover, as (block, from, to) in a row."""
     streams = table.filter("n_stream > 0").select("host", "page", "n_stream", "stream", "sizes")
@@ -210,7 +245,7 @@ def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHAR
                 for x in zip(*(c.to_pylist() for c in own[:-1]), own[-1], strict=True):
                     yield x
 
-        for (host, _, shards, need), group in groupby(rows(), key=lambda x: x[:4]):
+        for (host, shard, shards, need), group in groupby(rows(), key=lambda x: x[:4]):
             pages, clusters, sizes, streams = [], [], [], []
             for *_, page, cluster, blocks_, stream in group:
                 if not pages or page != pages[-1]:  # rows with the same stream are one page
@@ -218,48 +253,53 @@ def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHAR
                     clusters.append(cluster)
                     sizes.append(np.frombuffer(blocks_, "<i4"))
                     streams.append(tokens_of(stream.as_buffer()))
-            least = -(-need // shards)  # a run in `need` pages has so many in one shard
-            if len(set(clusters)) < least:
+            if shards == 1 and len(set(clusters)) < need:
                 continue
             rank, of = repeated_in(streams, min_run)
-            own = np.array(clusters, np.int64)[of]
+            kinds, number = np.unique(np.array(clusters, np.int64), return_inverse=True)
             at = np.flatnonzero(rank >= 0)
-            order = at[np.lexsort((own[at], rank[at]))]
-            run = np.r_[True, np.diff(rank[order]) != 0]
-            order, run = (v[run | np.r_[True, np.diff(own[order]) != 0]] for v in (order, run))  # a place for each run and cluster
-            begin = np.flatnonzero(run)
-            lead = order[begin[np.diff(np.r_[begin, len(order)]) >= least]]
-            edges = np.cumsum([0] + [len(x) for x in streams])
+            place = rank[at] * len(kinds) + number[of[at]]
+            by = np.argsort(place)
+            order = at[by[np.r_[True, np.diff(place[by]) != 0]]]  # a place for each run and cluster
             if shards == 1:
+                begin = np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0])
+                lead = order[begin[np.diff(np.r_[begin, len(order)]) >= need]]
+                edges = np.cumsum([0] + [len(x) for x in streams])
                 often = np.zeros(len(rank) + 1, bool)
                 often[rank[lead]] = True
                 hit = often[rank]  # the last place is that of -1
                 cut = [cuts_of(spread(hit[a:a + max(1, b - a - min_run + 1)], b - a, min_run), x, min_run) for a, b, x in zip(edges, edges[1:], sizes, strict=False)]
                 some = [i for i, c in enumerate(cut) if c]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(some), pa.string()), pa.nulls(len(some), pa.int64()), pa.array([pages[i] for i in some], pa.int64()), pa.array([cut[i] for i in some], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(some), pa.string()), pa.array([pages[i] for i in some], pa.int64()), pa.array([cut[i] for i in some], pa.binary()),
+                                                  *(pa.nulls(len(some), t) for t in (pa.int32(), pa.int32(), pa.binary()))], names)
                 continue
             hashes = np.zeros(len(rank), np.uint64)
             hashes[at] = np.concatenate([run_hashes(x, min_run) for x in streams])
-            for i in range(0, len(lead), 100_000):
-                n = len(lead[i:i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array(hashes[lead[i:i + n]].view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+            counts = np.bincount(slots_of(hashes[order]), minlength=SLOTS).astype("<u4").reshape(-1, CELLS)
+            for chunk in np.flatnonzero(counts.any(axis=1)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([chunk], pa.int32()),
+                                                  pa.array([shard % (math.isqrt(shards) + 1)], pa.int32()), pa.array([counts[chunk].tobytes()], pa.binary())], names)
 
-    names = ["host", "run", "page", "cuts"]
+    names = ["host", "page", "cuts", "chunk", "salt", "counts"]
     found = written(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
-                    .mapInArrow(sort_suffixes, "host string, run long, page long, cuts binary"), "runs")
-    settled = found.filter("run IS NULL").select("host", "page", "cuts")
-    asked = found.filter("run IS NOT NULL").select("host", "run").distinct()
-    if asked.isEmpty():
+                    .mapInArrow(sort_suffixes, "host string, page long, cuts binary, chunk int, salt int, counts binary"), "runs")
+    settled = found.filter("chunk IS NULL").select("host", "page", "cuts")
+    large = hosts.filter("shards > 1")
+    if large.isEmpty():
         return settled
+    sketches = found.filter("chunk IS NOT NULL").select("host", "chunk", "salt", "counts")
+    asked = written(added(added(sketches, "host", "chunk", "salt"), "host", "chunk").join(large, "host").mapInArrow(enough, "host string, shards int, chunk int, often binary"), "asked")
 
-    def places(pages: pa.Table, runs: pa.Table) -> pa.Table:
+    def places(pages: pa.Table, slots: pa.Table) -> pa.Table:
         """Of each page of a shard: where the runs that are asked for begin."""
-        long = runs.column("run").to_numpy().view(np.uint64)
-        out = {}
+        often = np.zeros((SLOTS // CELLS, CELLS), bool)
+        for chunk, bits in zip(slots.column("chunk").to_pylist(), slots.column("often").to_pylist(), strict=True):
+            often[chunk] = np.unpackbits(np.frombuffer(bits, np.uint8))
+        often, out = often.reshape(-1), {}
         for host, page, cluster, stream, sizes in zip(*(pages.column(c).to_pylist() for c in ("host", "page", "cluster", "stream", "sizes")), strict=True):
             if page not in out:
                 h = run_hashes(tokens_of(stream), min_run)
-                at = np.flatnonzero(np.isin(h, long))
+                at = np.flatnonzero(often[slots_of(h)])
                 out[page] = (host, page, cluster, sizes, at, h[at].view(np.int64))
         rows = [r for r in out.values() if len(r[4])]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())))], ["host", "page", "cluster", "sizes", "at", "run"])
@@ -275,8 +315,7 @@ def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHAR
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(out, pa.binary())], ["host", "page", "cuts"])
 
     # the runs of hosts of several shards: their places in all shards, then their pages
-    large = hosts.filter("shards > 1")
-    everywhere = asked.join(large, "host").select("host", "run", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    everywhere = asked.select("host", "chunk", "often", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     theirs = dealt.filter("shards > 1").select("host", "shard", "page", "cluster", "stream", "sizes")
     hits = written(theirs.groupBy("host", "shard").cogroup(everywhere.groupBy("host", "shard"))
                    .applyInArrow(places, "host string, page long, cluster long, sizes binary, at array<int>, run array<long>"), "run-places")

@@ -366,8 +366,8 @@ def joined_points(links: DataFrame, rounds: int = 2) -> DataFrame:
     return out
 
 
-def components(links: DataFrame, names: DataFrame) -> DataFrame:
-    """x, m, label: the least point reachable by links (never null), and the least name among those points. ``names``: x, label. Labels spread along
+def components(links: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """x, m, label: the least point reachable by links (never null), and the least name among those points (``names``: x, label), without names ``m`` again. Labels spread along
     links and along themselves, so chains take a logarithm of their length in rounds."""
     both = written(both_ways(links), "links")
     state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0")
@@ -380,6 +380,8 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
         if state.filter("m != was").isEmpty():
             erase(both)
             break
+    if names is None:
+        return state.select("x", "m", F.col("m").alias("label"))
     named = state.select("x", "m").join(names, "x")
     return named.join(named.groupBy("m").agg(F.min("label").alias("least")), "m").select("x", "m", F.col("least").alias("label"))
 

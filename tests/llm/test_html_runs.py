@@ -1,4 +1,8 @@
 """Repeated runs on pages with an article; copies of an article and shared passages of a host."""
+import math
+import random
+from itertools import groupby
+
 from skychan.llm import common
 from skychan.llm.html_extract import main_text
 
@@ -36,3 +40,62 @@ def test_unique_part_of_a_block_stays(spark):
     notice = words("notice", 12)
     got = texts(spark, [f"<body><p>{notice} {words(f'own{i}x', 5)}</p><p>{words(f'more{i}x', 30)}</p></body>" for i in range(4)])
     assert all(got[i].text == words(f"own{i}x", 5) + "\n" + words(f"more{i}x", 30) for i in range(4))
+
+
+def runs_by_hand(streams, length, need):
+    """Of each page the tokens that lie in a run standing in at least ``need`` pages."""
+    places = {}
+    for i, s in enumerate(streams):
+        for j in range(max(1, len(s) - length + 1)):
+            places.setdefault(tuple(s[j:j + length]), set()).add(i)
+    out = []
+    for s in streams:
+        covered = [False] * len(s)
+        for j in range(max(1, len(s) - length + 1)):
+            if len(places[tuple(s[j:j + length])]) >= need:
+                covered[j:j + length] = [True] * len(s[j:j + length])
+        out.append(covered)
+    return out
+
+
+def test_repeated_runs_by_brute_force(spark):
+    """Random pages of one host that quote common lines: what stays, in one shard and in many, is what counting all runs leaves."""
+    r = random.Random(3)
+    common_lines = [words(f"line{i}x", r.choice((9, 12, 25))).split() for i in range(6)]
+    pages = []
+    for i in range(60):
+        lines = [words(f"own{i}y{k}z", r.randint(3, 40)).split() for k in range(4)]
+        for line in r.sample(common_lines, r.randint(0, 2)):
+            k = r.randrange(len(lines))
+            lines[k] = lines[k][:5] + line + lines[k][5:]
+        pages.append(lines)
+    need = max(3, math.ceil(math.sqrt(len(pages)) / 2))
+    covered = runs_by_hand([[w for line in p for w in line] for p in pages], 8, need)
+    expect = []
+    for p, own in zip(pages, covered):
+        at, text = 0, []
+        for line in p:
+            mine = own[at:at + len(line)]
+            at += len(line)
+            kept, j = [], 0
+            for gone, run in groupby(mine):
+                n = len(list(run))
+                if not gone or (n < 8 and n < len(line)):
+                    kept += line[j:j + n]
+                j += n
+            text.append(" ".join(kept))
+        expect.append("\n".join(t for t in text if t))
+    assert any(any(c) for c in covered)
+    html = ["<body>" + "".join(f"<p>{' '.join(line)}</p>" for line in p) + "</body>" for p in pages]
+    for shard_tokens in (1_000_000, 700):
+        got = texts(spark, html, shard_tokens=shard_tokens, share=2.0)
+        assert [got[i].text for i in range(len(pages))] == expect
+
+
+def test_very_long_page(spark):
+    """A page of 200,000 words is read whole, also when it is longer than a shard."""
+    notice, long = words("notice", 12), words("long", 200_000)
+    pages = [f"<body><p>{long}</p><p>{notice}</p></body>", *(f"<body><p>{words(f'own{i}x', 30)}</p><p>{notice}</p></body>" for i in range(4))]
+    for options in ({}, {"shard_tokens": 5000}):
+        got = texts(spark, pages, **options)
+        assert got[0].text == long and got[0].n_chars == len(long) and got[3].text == words("own2x", 30)
