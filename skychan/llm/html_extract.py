@@ -32,12 +32,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skychan.llm.common import written
+from skychan.llm.common import batches_of, written
 from skychan.llm.html_blocks import DROP, blocks
 from skychan.llm.voronoi_join import components
 
@@ -57,12 +58,12 @@ SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS).astype(np.ui
 PARSED = "page_id long, url string, host string, texts array<string>, page long, n_stream long, stream binary, sizes binary, bands array<long>"
 
 
-class Tokens(dict):
-    """Token of each word, worked out once."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = token = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
-        return token
+def tokens_by_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the words of all blocks in a row, and where those of each begin (one more than blocks). Each distinct word is hashed once."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    words = pc.dictionary_encode(parts.flatten())
+    token = np.fromiter((xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF for w in words.dictionary.to_pylist()), np.uint32, len(words.dictionary))
+    return token[words.indices.to_numpy(zero_copy_only=False)].astype("<u4"), parts.offsets.to_numpy(zero_copy_only=False)
 
 
 def run_hashes(stream: np.ndarray, length: int) -> np.ndarray:
@@ -129,20 +130,18 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """Pages cut into blocks, as a table; see PARSED. ``texts`` holds what can be main text, ``sizes`` the tokens of each block of the stream (negative: not in ``texts``)."""
 
     def parse(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch, html in batches_of(it, "html"):
             for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                rows, tokens_by = [], Tokens()
-                for page_id, url, page, host in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    texts, stream, sizes = [], [], []
-                    for text, kind in blocks(page or ""):
-                        tokens = [tokens_by[w] for w in text.split(" ")]
-                        stream += tokens
-                        sizes.append(-len(tokens) if kind == DROP else len(tokens))
-                        if kind != DROP:
-                            texts.append(text)
-                    s, n = np.array(stream, "<u4"), np.array(sizes, "<i4")
-                    rows.append((page_id, url, host, texts, xxhash.xxh3_64_intdigest(s.tobytes()) >> 1, len(stream), s.tobytes(), n.tobytes(), sketch(text_tokens(s.astype(np.uint64), n))))
+                cut = [blocks(page) for page in html.slice(start, 256).to_pylist()]
+                tokens, off = tokens_by_block([text for page in cut for text, _ in page])
+                some, rows, at = batch.slice(start, 256), [], 0
+                for page_id, url, host, page in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "host")), cut, strict=True):
+                    s = tokens[off[at]:off[at + len(page)]]
+                    n = np.diff(off[at:at + len(page) + 1]).astype("<i4")
+                    n[[kind == DROP for _, kind in page]] *= -1
+                    at += len(page)
+                    texts = [text for text, kind in page if kind != DROP]
+                    rows.append((page_id, url, host, texts, xxhash.xxh3_64_intdigest(s.tobytes()) >> 1, len(s), s.tobytes(), n.tobytes(), sketch(text_tokens(s.astype(np.uint64), n))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names)
 
     names = [c.split()[0] for c in PARSED.split(", ")]
@@ -201,6 +200,11 @@ def repeated_in(streams: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
     return np.where(is_run, rank, -1), page
 
 
+def cells_of(counts: bytes) -> np.ndarray:
+    """A row of a sketch, compressed as most of its counts are small."""
+    return np.frombuffer(pa.decompress(counts, 4 * CELLS, "zstd"), "<u4")
+
+
 def added(sketches: DataFrame, *keys: str) -> DataFrame:
     """Sum of the counts of the rows of each key; rows of a key stream through one task, a row at a time."""
 
@@ -209,9 +213,9 @@ def added(sketches: DataFrame, *keys: str) -> DataFrame:
         for key, group in groupby(rows, key=lambda r: r[:-1]):
             total = np.zeros(CELLS, np.uint32)
             for *_, counts in group:
-                own = np.frombuffer(counts, "<u4")
+                own = cells_of(counts)
                 total = np.where(total > ~own, ~np.uint32(0), total + own)  # full, not over
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.string() if isinstance(k, str) else pa.int32()) for k in key] + [pa.array([total.tobytes()], pa.binary())], [*keys, "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.string() if isinstance(k, str) else pa.int32()) for k in key] + [pa.array([pa.compress(total, "zstd", asbytes=True)], pa.binary())], [*keys, "counts"])
 
     kinds = ", ".join(f"{k} {'string' if k == 'host' else 'int'}" for k in keys)
     return sketches.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, f"{kinds}, counts binary")
@@ -220,7 +224,7 @@ def added(sketches: DataFrame, *keys: str) -> DataFrame:
 def enough(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row of a host's sketch: a bit a place, whether its count reaches what the host needs."""
     for batch in it:
-        bits = [np.packbits(np.frombuffer(c, "<u4") >= need).tobytes() for c, need in zip(batch.column("counts").to_pylist(), batch.column("need").to_pylist(), strict=True)]
+        bits = [np.packbits(cells_of(c) >= need).tobytes() for c, need in zip(batch.column("counts").to_pylist(), batch.column("need").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shards"), batch.column("chunk"), pa.array(bits, pa.binary())], ["host", "shards", "chunk", "often"])
 
 
@@ -278,7 +282,7 @@ def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHAR
             counts = np.bincount(slots_of(hashes[order]), minlength=SLOTS).astype("<u4").reshape(-1, CELLS)
             for chunk in np.flatnonzero(counts.any(axis=1)).tolist():
                 yield pa.RecordBatch.from_arrays([pa.array([host]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([chunk], pa.int32()),
-                                                  pa.array([shard % (math.isqrt(shards) + 1)], pa.int32()), pa.array([counts[chunk].tobytes()], pa.binary())], names)
+                                                  pa.array([shard % (math.isqrt(shards) + 1)], pa.int32()), pa.array([pa.compress(counts[chunk], "zstd", asbytes=True)], pa.binary())], names)
 
     names = ["host", "page", "cuts", "chunk", "salt", "counts"]
     found = written(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
