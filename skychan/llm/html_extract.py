@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skychan.llm.common import batches_of, written
+from skychan.llm.common import batches_of, erase, written
 from skychan.llm.html_blocks import DROP, blocks
 from skychan.llm.voronoi_join import components
 
@@ -287,12 +287,14 @@ def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHAR
     names = ["host", "page", "cuts", "chunk", "salt", "counts"]
     found = written(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
                     .mapInArrow(sort_suffixes, "host string, page long, cuts binary, chunk int, salt int, counts binary"), "runs")
-    settled = found.filter("chunk IS NULL").select("host", "page", "cuts")
+    settled = written(found.filter("chunk IS NULL").select("host", "page", "cuts"), "settled")
     large = hosts.filter("shards > 1")
     if large.isEmpty():
+        erase(found)
         return settled
     sketches = found.filter("chunk IS NOT NULL").select("host", "chunk", "salt", "counts")
     asked = written(added(added(sketches, "host", "chunk", "salt"), "host", "chunk").join(large, "host").mapInArrow(enough, "host string, shards int, chunk int, often binary"), "asked")
+    erase(found)
 
     def places(pages: pa.Table, slots: pa.Table) -> pa.Table:
         """Of each page of a shard: where the runs that are asked for begin."""
@@ -339,20 +341,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def cut(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
-            for page_id, url, texts, gone in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "texts", "cuts")), strict=True):
-                spans = np.frombuffer(gone, "<i4").reshape(-1, 3).tolist()
-                words = {i: texts[i].split(" ") for i, _, _ in spans}
-                for i, a, b in reversed(spans):
-                    del words[i][a:b]
-                text = "\n".join(t for t in (" ".join(words[i]) if i in words else t for i, t in enumerate(texts)) if t)
-                out.append((page_id, url, text, len(text), len(words)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
-                                                 ["page_id", "url", "text", "n_chars", "n_boilerplate"])
-
-    # pages without cuts stay as they are
-    own = table.select("page_id", "url", "host", "page", "texts")
-    whole = (own.join(cuts, ["host", "page"], "left_anti").select("page_id", "url", F.array_join("texts", "\n").alias("text"))
-             .withColumn("n_chars", F.length("text").cast("long")).withColumn("n_boilerplate", F.lit(0).cast("long")))
-    return whole.unionByName(own.join(cuts, ["host", "page"]).select("page_id", "url", "texts", "cuts").mapInArrow(cut, "page_id long, url string, text string, n_chars long, n_boilerplate long"))
+            text = pc.binary_join(batch.column("texts"), "\n")  # pages without cuts stay as they are
+            count = np.zeros(batch.num_rows, np.int64)
+            at = np.flatnonzero(batch.column("cuts").is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                some, shorter = batch.take(pa.array(at)), []
+                for i, texts, gone in zip(at.tolist(), some.column("texts").to_pylist(), some.column("cuts").to_pylist(), strict=True):
+                    spans = np.frombuffer(gone, "<i4").reshape(-1, 3).tolist()
+                    words = {j: texts[j].split(" ") for j, _, _ in spans}
+                    for j, a, b in reversed(spans):
+                        del words[j][a:b]
+                    shorter.append("\n".join(t for t in (" ".join(words[j]) if j in words else t for j, t in enumerate(texts)) if t))
+                    count[i] = len(words)
+                text = pc.replace_with_mask(text, batch.column("cuts").is_valid(), pa.array(shorter, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text, pc.utf8_length(text).cast(pa.int64()), pa.array(count)],
+                                             ["page_id", "url", "text", "n_chars", "n_boilerplate"])
+
+    own = table.select("page_id", "url", "host", "page", "texts").join(cuts, ["host", "page"], "left")
+    return own.select("page_id", "url", "texts", "cuts").mapInArrow(cut, "page_id long, url string, text string, n_chars long, n_boilerplate long")
