@@ -52,6 +52,10 @@ N_FEATURES = 1 + len(SHAPES) + 6
 MAX_WINDOWS, HALF = 800, 6
 #: The field's tags need this much more score a span than no tag; shorter tokens are never added.
 MARGIN, LEAST = 3.0, 12
+#: Characters of the texts, and places in them, that wait before their windows are made.
+WAITING_CHARS, WAITING_PLACES = 16_000_000, 100_000
+#: Each byte as h if it is a hex digit, else as a blank: a run of them is found faster than by the pattern.
+HEX_BYTES = bytes(ord("h") if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 #: Share of the known secrets that may look less like one than a token taken for unlabelled.
 SPIES = 0.1
 
@@ -64,7 +68,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-    out += [("hex", *m.span()) for m in HEX.finditer(text)]
+    if b"h" * 24 in text.encode("utf-8", "replace").translate(HEX_BYTES):
+        out += [("hex", *m.span()) for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -234,17 +239,31 @@ def training_windows(docs: DataFrame, text_col: str, max_windows: int) -> tuple[
 
     def cut(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = {True: Smallest(max_windows), False: Smallest(2 * max_windows)}
-        for batch, texts in batches_of(it):
+        waiting, size = [], 0
+
+        def settle() -> None:
+            """Windows are made from the smallest hash on, so that few are made that smaller ones push out again."""
+            nonlocal size
+            for key, secret, a, b, text, spans in sorted(waiting, key=lambda w: w[0]):
+                if kept[secret].wants(key):
+                    made = window(text, spans, file_figures(text), a, b, secret, key)
+                    if made is not None:
+                        kept[secret].add(key, made)
+            waiting.clear()
+            size = 0
+
+        for _, texts in batches_of(it):
             for text in texts.to_pylist():
-                spans, figures = base_spans(text), None
+                spans, before = base_spans(text), len(waiting)
                 places = chain(((a, b, True) for _, a, b in spans), ((a, b, False) for a, b in digit_words(text)), ((len(text) // 2, len(text) // 2, False),))
                 for a, b, secret in places:
                     key = xxhash.xxh64_intdigest(text[max(0, a - 40):b + 40]) >> 1
                     if kept[secret].wants(key):
-                        figures = figures or file_figures(text)
-                        made = window(text, spans, figures, a, b, secret, key)
-                        if made is not None:
-                            kept[secret].add(key, made)
+                        waiting.append((key, secret, a, b, text, spans))
+                size += len(text) if len(waiting) > before else 0
+                if size > WAITING_CHARS or len(waiting) > WAITING_PLACES:
+                    settle()
+        settle()
         rows = [(key, secret, *made) for secret, best in kept.items() for key, made in sorted(best.made.items())]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["key", "secret", "x", "y"])
