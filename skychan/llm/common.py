@@ -5,9 +5,6 @@ caller, whatever they are called, can't clash with working columns.
 """
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skychan.session import work_path
+from skychan.session import ship, work_path
 
 #: Characters between words, as in the contracts of the queries.
 SPACE = r"\x20\x09-\x0D"
@@ -24,21 +21,6 @@ SPACE = r"\x20\x09-\x0D"
 SLICE_BYTES = 2_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package: the functions that run there import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_skychan_shipped", None) != os.getpid():
-        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        made = os.path.join(tempfile.mkdtemp(prefix="skychan-package-"), "skychan-package.zip")
-        with zipfile.ZipFile(made, "w") as z:
-            for folder, _, files in os.walk(os.path.join(top, "skychan")):
-                for f in files:
-                    if f.endswith(".py"):
-                        z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), top))
-        sc.addPyFile(made)
-        sc._skychan_shipped = os.getpid()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
