@@ -28,6 +28,7 @@ from . import features as fe
 from .sampling import augment_los_zero
 
 MODEL_VERSION = "1"
+PIECE_ROWS = 50_000
 
 
 class LinkStateModel:
@@ -107,9 +108,12 @@ class LinkStateModel:
         batches = 1 if batch_size is None else max(1, -(-self.n_train // batch_size))
         path = work_path(spark, "epochs")
         dealt = F.pmod(F.xxhash64(F.lit(self.config.seed), "_key"), F.lit(batches)).cast("int")
-        table = self._scaled(used).select(F.col("_f").alias("raw"), F.transform(vector_to_array("features"), lambda v: v).alias("x"), "label", dealt.alias("batch"))
-        # a row whose batch is its own partition's: one shuffle, one folder a batch
-        (table.repartition("batch") if batches > 1 else table).write.partitionBy("batch").parquet(path)
+        # a batch is a folder of files of about PIECE_ROWS rows each, so that many tasks write it and many read it in every step
+        pieces = -(-self.n_train // (batches * PIECE_ROWS))
+        piece = F.pmod(F.xxhash64(F.lit(self.config.seed + 1), "_key"), F.lit(pieces))
+        table = self._scaled(used).select(F.col("_f").alias("raw"), F.transform(vector_to_array("features"), lambda v: v).alias("x"), "label",
+                                          dealt.alias("batch"), piece.alias("piece"))
+        table.repartition(batches * pieces, "batch", "piece").drop("piece").write.partitionBy("batch").parquet(path)
         rows = spark.read.parquet(path)
         each = [rows.filter(F.col("batch") == b).select(array_to_vector("x").alias("features"), "label") for b in sorted(r[0] for r in rows.select("batch").distinct().collect())]
         both = (rows.select(F.lit("").alias("part"), array_to_vector("x").alias("features"), "label")

@@ -60,3 +60,15 @@ def test_a_batch_of_the_mixed_stream_is_not_held_in_memory(spark, monkeypatch, t
     good, bad = ingest_mixed(spark, tmpdir_path + "/in", *(tmpdir_path + x for x in ("/o", "/r", "/c")))
     assert good.count() == 200 and bad.count() > 0
     assert made(spark, "batch-") == before       # the stored rows of a batch go with it
+
+
+def test_batches_of_an_epoch_are_cut_into_files(spark, monkeypatch):
+    from skychan.operators import model
+    from skychan.operators.sampling import split_frames
+    monkeypatch.setattr(model, "PIECE_ROWS", 100)
+    train, val = split_frames(fixture.observations(spark, SF_SMALL), val_ratio=0.2, seed=42)
+    before = made(spark, "epochs-")
+    m = model.LinkStateModel().fit_epochs(train, val, epochs=1, batch_size=10_000, steps=1)
+    (path,) = (p for p in made(spark, "epochs-") - before if not p.split("/")[-1].startswith(("epochs-train", "epochs-val")))
+    sizes = [r[0] for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count("*")).collect()]
+    assert len(sizes) >= m.n_train // 300
