@@ -56,8 +56,10 @@ FEW = 16
 PIECE = 512
 #: A pivot's set goes to so many tasks.
 SALT = 16
-#: Pivots of a large region: so many times more in each round.
-GROWTH = 16
+#: Pivots of a large region: so many times more in each round, up to so many.
+GROWTH, MOST_PIVOTS = 16, 4096
+#: Bits of a set's parities.
+BITS = 1024
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -93,6 +95,12 @@ def point_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """BITS bits, each the parity of how many members of a set fall there: two sets differ in at least as many members as bits."""
+    at = (s.astype(np.uint64) * _M1) >> np.uint64(64 - BITS.bit_length() + 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view("<i8")
+
+
 def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, often: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the most points, ``most`` at most, by hash, and the place of each in the order of all (most frequent last).
     Counted over all documents: those in windows, and those behind that a slice of the table has twice (windows get longer
@@ -150,36 +158,37 @@ def windows(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent
 
 def points(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
     """Table of doc_id, _digest, x (point), n (n-grams) of every row. Of points whose windows reach frequent n-grams, too: s (places of all their
-    frequent n-grams, in order; all their rare ones are in the window), key (digest of n and s)."""
+    frequent n-grams, in order; all their rare ones are in the window), sig (parities of s), key (digest of n and s)."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, place))  # a fixed size at most
 
     def digest(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, order = shared.value
         for batch, texts in batches_of(it):
-            x, size, own, key = [], [], [], []
+            x, size, own, sig, key = [], [], [], [], []
             for s in shingle_sets(texts, n):
                 rare, at = split_set(s, last)
                 hot = np.sort(order[at]) if len(s) and len(rare) < window_length(len(s), num, den) else None
                 x.append(point_of(s))
                 size.append(len(s))
                 own.append(hot)
+                sig.append(None if hot is None else parities(hot))
                 key.append(None if hot is None else xxhash.xxh3_64_intdigest(hot.tobytes(), seed=len(s)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_digest"), pa.array(x, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.list_(pa.int32())), pa.array(key, pa.int64())],
-                                             ["doc_id", "_digest", "x", "n", "s", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_digest"), pa.array(x, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.list_(pa.int32())), pa.array(sig, pa.list_(pa.int64())), pa.array(key, pa.int64())],
+                                             ["doc_id", "_digest", "x", "n", "s", "sig", "key"])
 
     return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("text"))
-                   .mapInArrow(digest, "doc_id long, _digest string, x long, n long, s array<int>, key long"), "points")
+                   .mapInArrow(digest, "doc_id long, _digest string, x long, n long, s array<int>, sig array<bigint>, key long"), "points")
 
 
 def whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """x, n, s (all n-gram hashes) of points given by x, text."""
+    """x, n, s (all n-gram hashes), sig (their parities) of points given by x, text."""
 
     def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in batches_of(it):
             sets = shingle_sets(part, n)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["x", "n", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["x", "n", "s", "sig"])
 
-    return texts.select("x", "text").mapInArrow(emit, "x long, n long, s array<bigint>")
+    return texts.select("x", "text").mapInArrow(emit, "x long, n long, s array<bigint>, sig array<bigint>")
 
 
 def join_regions(rows: DataFrame, num: int, den: int, few: int) -> DataFrame:
@@ -273,11 +282,11 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
 
 def cells(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions of sets by the n-grams of their windows: g, x, n, size (of s), pos (place of g in s), window."""
+    """Regions of sets by the n-grams of their windows: g, x, n, size (of s), pos (place of g in s), window, sig."""
     wide = F.col("size") - F.ceil(F.col("n") * num / den).cast("int") + 1
     return (sets.withColumn("size", F.size("s")).filter(wide > 0).withColumn("window", F.slice("s", F.lit(1), wide))
-            .select("x", "n", "size", "window", F.posexplode("window").alias("pos", "g"))
-            .select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos", "window"))
+            .select("x", "n", "size", "window", "sig", F.posexplode("window").alias("pos", "g"))
+            .select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos", "window", "sig"))
 
 
 def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
@@ -291,14 +300,17 @@ def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """``links`` and those of regions of any size, round by round: see the module's text. ``work``: g, x, n, size, pos, window (null: unknown); ``sets``: x, n, s; ``links``: those
-    known before. Points that links join already need no distance, and a region whose points are all joined is done."""
+    """As many links as points that connect what ``links`` and those of regions of any size connect, round by round: see the module's text. ``work``: g, x, n, size, pos, window (null: unknown), sig;
+    ``sets``: x, n, s; ``links``: those known before. Points that links join already need no distance, and a region whose points are all joined is done."""
     r = 1 - num / den
-    rest = ["g", "x", "n", "size", "pos", "window", "rings"]
+    rest = ["g", "x", "n", "size", "pos", "window", "sig", "rings"]
     work = work.withColumn("rings", F.array().cast("array<double>"))
     turn, before = 0, []
     while True:
-        joined = joined_points(links)  # it only saves distances
+        given = links
+        joined, links = joined_points(links)  # it only saves distances
+        if turn:
+            erase(given)
         own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select(*rest, F.coalesce("label", "x").alias("label"))
         groups = own.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).filter("a != b").select("g", "members")
         work = written(own.join(groups, "g"), f"{name}-{turn}-open")
@@ -307,17 +319,21 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
             return links
         turn += 1
         h = F.xxhash64("x", F.lit(turn))
-        part = F.pmod(h, F.lit(min(GROWTH ** (turn - 1), 4096)))
+        most = min(GROWTH ** (turn - 1), MOST_PIVOTS)
+        part = F.when(F.col("members") > most, F.pmod(h, F.lit(most))).otherwise(h)  # where all can be pivots, the region is done in this round
         # points of small components first: those of a large one then meet few others
         size = work.groupBy("g", "label").agg(F.count("*").alias("k"))
         chosen = (work.join(size, ["g", "label"]).groupBy("g", part.alias("b"))
                   .agg(F.min(F.struct("k", h.alias("h"), "x")).alias("p")).select("g", F.col("p.x").alias("x"), (F.col("b") == 0).alias("lead")))
         marked = written(work.join(chosen, ["g", "x"], "left"), f"{name}-{turn}-marked")
-        pivots = marked.filter("lead IS NOT NULL").select("g", "lead", "members", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "window", "rings", "label")))
-        # of two pivots one asks; a pair meets in the region of the first n-gram that their windows share, only; what follows must suffice; rings of width r around former pivots
+        pivots = marked.filter("lead IS NOT NULL").select("g", "lead", "members", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "window", "sig", "rings", "label")))
+        # of two pivots one asks; a pair meets in the region of the first n-gram that their windows share, only; what follows must suffice, and what the parities
+        # leave to be shared; rings of width r around former pivots
         first_shared = F.coalesce(F.get(F.array_intersect("window", "pwindow"), F.lit(0)).cast("long") == F.col("g"), F.lit(True))
-        fits = ((F.col("lead").isNull() | (F.col("px") < F.col("x"))) & (F.col("label") != F.col("plabel")) & first_shared
+        differ = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("psig")[i])) for i in range(BITS // 64)), F.lit(0))
+        fits = ((F.col("lead").isNull() | (F.col("px") < F.col("x"))) & (F.col("label") != F.col("plabel"))
                 & (F.least(F.col("size") - F.col("pos"), F.col("psize") - F.col("ppos")) * (num + den) >= (F.col("n") + F.col("pn")) * num)
+                & ((F.col("size") + F.col("psize") - differ) * (num + den) >= (F.col("n") + F.col("pn")) * 2 * num) & first_shared
                 & ~F.exists(F.zip_with("rings", "prings", lambda a, b: F.coalesce(F.abs(a - b) > r + 1e-9, F.lit(False))), lambda v: v))
         # a region's rows are dealt out in pieces, each of which meets all its pivots
         pieces = F.ceil(F.col("members") / PIECE)
@@ -327,8 +343,7 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
         known = written(overlaps(met, sets), f"{name}-{turn}-overlaps")
         more = known.filter(F.col("common") * den >= F.col("union") * num).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y"))
         given, links = links, written(links.unionByName(more.distinct()), f"{name}-{turn}-links")  # one table: each round has the same plans
-        if turn > 1:
-            erase(given)
+        erase(given)
         left = marked.filter("lead IS NULL")
         first = pivots.filter("lead").select("g", F.col("px").alias("p"))
         ring = known.select("x", "p", (1 - F.col("common") / F.col("union")).alias("d"))
@@ -355,15 +370,18 @@ def jumped(new: DataFrame) -> DataFrame:
     return new.join(new.select(F.col("x").alias("m"), F.col("m").alias("j")), "m", "left").select("x", F.least("m", "j").alias("m"), "was")
 
 
-def joined_points(links: DataFrame, rounds: int = 2) -> DataFrame:
-    """x, label after a few rounds, in one job: equal labels mean joined points, but joined points may have different ones."""
+def joined_points(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """x, label after two rounds: equal labels mean joined points, but joined points may have different ones. And x, y: each point's link to its label and the links
+    between different labels, which join what ``links`` join with about as many rows as points."""
     both = written(both_ways(links), "links")
-    state = both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x"))
-    for _ in range(rounds):
-        state = jumped(spread(both, state)).select("x", "m")
-    out = written(state.select("x", F.col("m").alias("label")), "joined")
-    erase(both)
-    return out
+    near = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("o")).select("x", F.least("x", "o").alias("m"), F.col("x").alias("was"))
+    state = written(jumped(near).select("x", "m"), "near")
+    label = written(jumped(spread(both, state)).select("x", F.col("m").alias("label")), "joined")
+    of = lambda c: label.select(F.col("x").alias(c), F.col("label").alias(f"l{c}"))
+    across = both.filter("a < b").join(of("a"), "a").join(of("b"), "b").filter("la != lb").select(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
+    fewer = written(label.filter("label != x").select(F.col("label").alias("x"), F.col("x").alias("y")).unionByName(across).distinct(), "fewer-links")
+    erase(both, state)
+    return label, fewer
 
 
 def components(links: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -387,16 +405,16 @@ def components(links: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 
 def join_frequent(hot: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """``links`` and those between points whose frequent n-grams alone make a link (others have a rare one in common).
+    """Links that connect what ``links`` and those between points whose frequent n-grams alone make a link (others have a rare one in common) connect.
 
     Points of equal n and equal frequent n-grams are a class; one of them stands for all. A class is tight if its members link to one another."""
-    sets = written(hot.groupBy("key").agg(F.min("x").alias("x"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")
+    sets = written(hot.groupBy("key").agg(F.min("x").alias("x"), *(F.first(c).alias(c) for c in ("n", "s", "sig"))), "classes")
     tight = F.size("s") * (num + den) >= 2 * F.col("n") * num
     of = sets.select("key", F.col("x").alias("rep"), tight.alias("tight"))
     others = written(hot.select("key", "x").distinct().join(of, "key").filter("x != rep").select("rep", "x", "tight"), "members")
     links = links.unionByName(others.filter("tight").select(F.col("rep").alias("x"), F.col("x").alias("y")))
     found = join_cells(cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, "frequent")
-    # members of a class that isn't tight link to what the class's point links to, too
+    # members of a class that isn't tight link to what the class's point links to, too, so they are in its component if it has a link
     both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
     loose = others.filter("NOT tight").select(F.col("rep").alias("x"), F.col("x").alias("member")).join(both, "x").select(F.col("member").alias("x"), "y")
     return written(found.unionByName(loose), "frequent-links")
@@ -404,7 +422,7 @@ def join_frequent(hot: DataFrame, links: DataFrame, num: int, den: int) -> DataF
 
 def open_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs that ``links`` don't join already."""
-    label = joined_points(links)
+    label, _ = joined_points(links)
     for side in ("x", "y"):
         pairs = pairs.join(label.select(F.col("x").alias("m"), F.col("label").alias(f"l{side}")), F.col(side) == F.col("m"), "left").drop("m")
     return pairs.filter("lx IS NULL OR ly IS NULL OR lx != ly").select("x", "y")
@@ -423,7 +441,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     erase(met)
     links = docs.sparkSession.createDataFrame([], "x long, y long")
     if len(frequent):
-        links = join_frequent(rows.filter("key IS NOT NULL").select("x", "n", "s", "key"), links, num, den)
+        links = join_frequent(rows.filter("key IS NOT NULL").select("x", "n", "s", "sig", "key"), links, num, den)
         all_, pairs = pairs, written(open_pairs(pairs, links), "open-pairs")
         erase(all_)
     # the texts of the points that need distances, by one row of each
@@ -432,8 +450,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     texts = written(rows_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), written(first, "first"), "doc_id", "text").select("x", "text"), "texts")
     links = links.unionByName(written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links"))
     if not large.isEmpty():
-        work = large.distinct().select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"), F.lit(None).cast("array<int>").alias("window"))
         sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets")
+        work = (large.distinct().join(sets.select("x", "sig"), "x")
+                .select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"), F.lit(None).cast("array<int>").alias("window"), "sig"))
         links = join_cells(work, sets, links, num, den, "rare")
     names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
     found = components(links, names)
