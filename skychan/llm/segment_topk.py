@@ -61,17 +61,29 @@ def meet(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: in
             floor = np.maximum(floor, score.min(axis=1))
             exact += score.size
             alive &= bound >= floor[:, None]
+    some = np.flatnonzero(alive.any(axis=1))
+    left = np.flatnonzero(alive[some].any(axis=0))
+    if not len(left):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), exact
+    alive = alive[np.ix_(some, left)]
+    exact += int(alive.sum())
+    # all products and sums of them are whole numbers below 2^53: one product of matrices of floats gives them exactly
+    if float(np.abs(qf).max()) * float(np.abs(vf).max()) * q.shape[1] < 2 ** 53:
+        scores, none = qf[some] @ vf[left].T, -np.inf
+    else:
+        scores, none = q[some] @ v[left].T, np.iinfo(np.int64).min
+    scores[~alive] = none
+    if len(left) > k:
+        alive &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]  # the best k, and what ties with the last
     qi, vi = np.nonzero(alive)
-    score = np.empty(len(qi), np.int64)
-    for i in range(0, len(qi), 1 << 18):
-        a, b = qi[i:i + (1 << 18)], vi[i:i + (1 << 18)]
-        score[i:i + (1 << 18)] = np.einsum("ij,ij->i", q[a], v[b])
+    score = scores[qi, vi].astype(np.int64)
+    qi, vi = some[qi], left[vi]
     order = np.lexsort((v_id[vi], -score, qi))
     qi, vi, score = qi[order], vi[order], score[order]
-    first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.empty(0, int)
+    first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
     rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
     keep = rank < k
-    return qi[keep], vi[keep], score[keep], exact + len(order)
+    return qi[keep], vi[keep], score[keep], exact
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
