@@ -225,38 +225,50 @@ class Model:
     def log_probs(self, h: np.ndarray, number: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of class and member probability of each word after state ``h``; with ``grad``: adds the gradients, gives that of ``h``."""
         c = self.class_of(number)
-        logits = h @ self.p["wc"] + self.p["bc"]
+        logits = h @ self.p["wc"]
+        logits += self.p["bc"]
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1, keepdims=True)
         rows = np.arange(len(c))
-        out = logits[rows, c] - np.log(s[:, 0])
+        out = logits[rows, c]
+        e = np.exp(logits, out=logits)
+        s = e.sum(axis=1, keepdims=True)
+        out -= np.log(s[:, 0])
         back = None
         if grad is not None:
-            d = e / s
-            d[rows, c] -= 1
-            grad["wc"] += h.T @ d
-            grad["bc"] += d.sum(axis=0)
-            back = d @ self.p["wc"].T
+            e /= s
+            e[rows, c] -= 1
+            grad["wc"] += h.T @ e
+            grad["bc"] += e.sum(axis=0)
+            back = e @ self.p["wc"].T
+        # words by class, so that each class's are a slice
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(self.heads + 1))
+        order = order[:edges[-1]]
+        sorted_h, member = h[order], number[order] % MEMBERS
+        log_p = np.empty(len(order), out.dtype)
+        sorted_back = None if grad is None else np.empty_like(sorted_h)
         for k in range(self.heads):
-            own = order[edges[k]:edges[k + 1]]
-            if not len(own):
+            own = slice(edges[k], edges[k + 1])
+            n = edges[k + 1] - edges[k]
+            if not n:
                 continue
-            a = h[own] @ self.p["wm"][k] + self.p["bm"][k]
+            x, j, i = sorted_h[own], member[own], np.arange(n)
+            a = x @ self.p["wm"][k]
+            a += self.p["bm"][k]
             a -= a.max(axis=1, keepdims=True)
-            e = np.exp(a)
+            picked = a[i, j]
+            e = np.exp(a, out=a)
             s = e.sum(axis=1, keepdims=True)
-            member = number[own] - k * MEMBERS
-            i = np.arange(len(own))
-            out[own] += a[i, member] - np.log(s[:, 0])
+            log_p[own] = picked - np.log(s[:, 0])
             if grad is not None:
-                d = e / s
-                d[i, member] -= 1
-                grad["wm"][k] += h[own].T @ d
-                grad["bm"][k] += d.sum(axis=0)
-                back[own] += d @ self.p["wm"][k].T
+                e /= s
+                e[i, j] -= 1
+                grad["wm"][k] += x.T @ e
+                grad["bm"][k] += e.sum(axis=0)
+                np.matmul(e, self.p["wm"][k].T, out=sorted_back[own])
+        out[order] += log_p
+        if grad is not None:
+            back[order] += sorted_back
         return out, back
 
     def start(self, counts: np.ndarray) -> None:
@@ -304,18 +316,31 @@ class Model:
             grad = {k: np.zeros_like(v) for k, v in self.p.items()}
             back = np.zeros((steps, active, UNITS), np.float32)
             _, back[real] = self.log_probs(np.stack(states)[real], w.T[real], grad)
+            # gradients of all steps' inputs and products, summed by word and over steps at once
+            dx = np.empty((steps, active, 3 * UNITS), np.float32)
+            dy = np.empty_like(dx)
+            back_u = np.ascontiguousarray(self.p["u"].T)
             dh = np.zeros((active, UNITS), np.float32)
             for t in range(steps - 1, -1, -1):
                 z, r, m, n = kept[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (states[t] - n) * z * (1 - z)
-                dr = dn * m * r * (1 - r)
-                dx = np.concatenate([dz, dr, dn], axis=1)
-                dy = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(grad["in"], np.maximum(w[:, t], 0), dx * real[t][:, None])
-                grad["u"] += states[t].T @ dy
-                dh = dh * z + dy @ self.p["u"].T + back[t]
-                dh = np.where(new[:, t, None], 0, dh)
+                x, y = dx[t], dy[t]
+                own = dh * (1 - z)
+                x[:, :UNITS] = own * z * (states[t] - n)
+                own *= 1 - n * n
+                x[:, 2 * UNITS:] = own
+                x[:, UNITS:2 * UNITS] = own * m * r * (1 - r)
+                y[:] = x
+                y[:, 2 * UNITS:] *= r
+                dh *= z
+                dh += y @ back_u
+                dh += back[t]
+                dh[new[:, t]] = 0
+            grad["u"] += np.concatenate(states).T @ dy.reshape(-1, 3 * UNITS)
+            word = w.T[real]
+            by = np.argsort(word, kind="stable")
+            word = word[by]
+            begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            grad["in"][word[begin]] = np.add.reduceat(dx[real][by], begin, axis=0)
             done = state["done"] = state.get("done", 0) + 1
             for k, g in grad.items():
                 g /= max(1, real.sum()) / 8
