@@ -60,6 +60,8 @@ SALT = 16
 GROWTH, MOST_PIVOTS = 16, 4096
 #: Bits of a set's parities.
 BITS = 1024
+#: Regions of rare n-grams that a point's rows name: the first so many of all it is in.
+FIRSTS = 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -289,6 +291,14 @@ def cells(sets: DataFrame, num: int, den: int) -> DataFrame:
             .select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos", "window", "sig"))
 
 
+def rare_cells(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of ``large`` for ``join_cells``, with the first regions of each point in one order of all (``window``): of two points that share one of those,
+    the first that they share is the first of all that they share, so they meet there only; others meet in each region that they share."""
+    firsts = large.groupBy("x").agg(F.slice(F.array_sort(F.collect_set("g")), 1, FIRSTS).alias("window"))
+    return (large.distinct().join(sets.select("x", "sig").join(firsts, "x"), "x")
+            .select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"), "window", "sig"))
+
+
 def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
     """x, p, common, union of pairs of a point x and a pivot p. A pivot's set is dealt out SALT times: it meets many points."""
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int")
@@ -300,7 +310,7 @@ def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """As many links as points that connect what ``links`` and those of regions of any size connect, round by round: see the module's text. ``work``: g, x, n, size, pos, window (null: unknown), sig;
+    """As many links as points that connect what ``links`` and those of regions of any size connect, round by round: see the module's text. ``work``: g, x, n, size, pos, window (regions that x is in, the first ones in one order of all), sig;
     ``sets``: x, n, s; ``links``: those known before. Points that links join already need no distance, and a region whose points are all joined is done."""
     r = 1 - num / den
     rest = ["g", "x", "n", "size", "pos", "window", "sig", "rings"]
@@ -451,9 +461,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     links = links.unionByName(written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links"))
     if not large.isEmpty():
         sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets")
-        work = (large.distinct().join(sets.select("x", "sig"), "x")
-                .select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"), F.lit(None).cast("array<int>").alias("window"), "sig"))
-        links = join_cells(work, sets, links, num, den, "rare")
+        links = join_cells(rare_cells(large, sets), sets, links, num, den, "rare")
     names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
     found = components(links, names)
     label = written(names.join(found.withColumnRenamed("label", "l"), "x", "left").select(F.col("x").alias("lx"), F.coalesce("l", "label").alias("label"), F.coalesce("m", "x").alias("_component")), "labels")

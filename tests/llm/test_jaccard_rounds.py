@@ -41,3 +41,28 @@ def test_unlike_points_of_a_region_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(voronoi_join, "overlaps", watched)
     got = linked(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.filter(F.col("component_id") != F.col("doc_id")).isEmpty() and len(seen) and sum(seen) < 400
+
+
+def test_near_copies_meet_in_one_region(spark, monkeypatch):
+    """Near copies share many regions of rare n-grams: a pair is one row, not one for each region that both are in."""
+    common.ship(spark)
+    g = np.random.default_rng(4)
+    rows = []
+    for k in range(60):
+        words = [f"w{j}" for j in range(300)]
+        for j in g.choice(300, 2, replace=False):
+            words[j] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    frame = type(spark.range(0))
+    seen, plain = [], frame.distinct
+
+    def watched(self):
+        out = plain(self)
+        if self.columns == ["x", "p"]:
+            seen.append((self.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(frame, "distinct", watched)
+    got = linked(spark.createDataFrame([*rows, (60, "other words " * 9)], "doc_id long, text string"), often=1_000_000, few=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 for k in range(60)} | {60: 60}
+    assert seen and sum(a for a, _ in seen) <= 2 * sum(b for _, b in seen)
