@@ -17,6 +17,8 @@ from skychan.session import ship, work_path
 
 #: Characters between words, as in the contracts of the queries.
 SPACE = r"\x20\x09-\x0D"
+#: The setting that drops a query's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Texts are handled in slices of about this many bytes, so that the memory of a task is bounded.
 SLICE_BYTES = 2_000_000
 
@@ -26,11 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared work folder: cuts the lineage, survives a lost executor."""
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared work folder: cuts the lineage, survives a lost executor. ``tidy``: its shuffle files go once it is there."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    held = spark.conf.get(SHUFFLE_CLEANUP, None)
+    if tidy:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(SHUFFLE_CLEANUP) if held is None else spark.conf.set(SHUFFLE_CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -18,7 +18,8 @@ pages of each of its runs to a count sketch of SLOTS places by run hash; the sha
 place stays below the needed number can't be repeated often enough. Of the others every shard tells
 the pages and places they stand in, and these are counted exactly, by run, over the whole host: the sketch only saves moving
 the rest. What moves is proportional to the tokens of a host: a bit a slot to each shard, and each run's places once
-(where a host is so large that its sketch is full, all of them). Texts meet only the cuts of their page.
+(where a host is so large that its sketch is full, all of them). Texts meet only the cuts of their page. Shards are dealt in TURNS
+turns, and shuffle files go once a table is written, so that a part of the streams is on disk at a time.
 
 Defined results. Null or empty html, or no main text: empty text, n_chars 0. Null url: one host of
 its own. Null page_id and repeated rows: rows like others; rows with the same stream count as one
@@ -28,17 +29,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import partial, reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skychan.llm.common import batches_of, erase, written
+from skychan.llm import common
+from skychan.llm.common import batches_of, erase
 from skychan.llm.html_blocks import DROP, blocks
 from skychan.llm.voronoi_join import components
 
@@ -50,19 +53,28 @@ MIN_PAGES = 3
 COPY = 0.8
 #: Tokens of a shard of a host.
 SHARD_TOKENS = 1_000_000
+#: Turns in which shards are dealt, so that a part of the streams is on disk at a time.
+TURNS = 2
+#: Places of the bitmap of pages that may be copies.
+MARKS = 1 << 23
 #: Bands of a text's sketch, min-hashes of a band, tokens of what is hashed.
 BANDS, ROWS, GRAM = 16, 3, 3
 #: Places of a host's sketch, and how many of them are a row.
 SLOTS, CELLS = 1 << 21, 1 << 16
+written = partial(common.written, tidy=True)
 SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS).astype(np.uint64)
-PARSED = "page_id long, url string, host string, texts array<string>, page long, n_stream long, stream binary, sizes binary, bands array<long>"
+PARSED = "page_id long, url string, host string, texts array<string>, page long, n_stream long, sizes binary, bands array<long>"
 
 
-def tokens_by_block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def tokens_by_block(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the words of all blocks in a row, and where those of each begin (one more than blocks). Each distinct word is hashed once."""
-    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    parts = pc.split_pattern(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), " ")
     words = pc.dictionary_encode(parts.flatten())
-    token = np.fromiter((xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF for w in words.dictionary.to_pylist()), np.uint32, len(words.dictionary))
+    count = len(words.dictionary)
+    edges = np.frombuffer(words.dictionary.buffers()[1], np.int64)[words.dictionary.offset:][:count + 1].tolist()
+    spelled = words.dictionary.buffers()[2]
+    spelled = b"" if spelled is None else spelled.to_pybytes()
+    token = np.fromiter((xxhash.xxh3_64_intdigest(spelled[i:j]) & 0xFFFFFFFF for i, j in zip(edges, edges[1:], strict=False)), np.uint32, count)
     return token[words.indices.to_numpy(zero_copy_only=False)].astype("<u4"), parts.offsets.to_numpy(zero_copy_only=False)
 
 
@@ -127,7 +139,8 @@ def cuts_of(covered: np.ndarray, sizes: np.ndarray, min_run: int) -> bytes:
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages cut into blocks, as a table; see PARSED. ``texts`` holds what can be main text, ``sizes`` the tokens of each block of the stream (negative: not in ``texts``)."""
+    """Pages cut into blocks, as a table; see PARSED. ``texts`` holds all blocks, ``sizes`` the tokens of each (negative: it can't be main text). The stream is made from them
+    where it is needed: kept beside them, it takes as much disk again."""
 
     def parse(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, html in batches_of(it, "html"):
@@ -140,16 +153,42 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     n = np.diff(off[at:at + len(page) + 1]).astype("<i4")
                     n[[kind == DROP for _, kind in page]] *= -1
                     at += len(page)
-                    texts = [text for text, kind in page if kind != DROP]
-                    rows.append((page_id, url, host, texts, xxhash.xxh3_64_intdigest(s.tobytes()) >> 1, len(s), s.tobytes(), n.tobytes(), sketch(text_tokens(s.astype(np.uint64), n))))
+                    texts = [text for text, _ in page]
+                    rows.append((page_id, url, host, texts, xxhash.xxh3_64_intdigest(s.tobytes()) >> 1, len(s), n.tobytes(), sketch(text_tokens(s.astype(np.uint64), n))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names)
 
     names = [c.split()[0] for c in PARSED.split(", ")]
-    kinds_of = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    kinds_of = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
     return written(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).mapInArrow(parse, PARSED), "pages")
 
 
+def streamed(pages: DataFrame, columns: str, marks: Broadcast | None = None) -> DataFrame:
+    """``columns`` of ``pages`` and stream, made from ``texts``; with ``marks``: of the rows whose place there is set, or more."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if marks is not None:
+                bits = np.unpackbits(np.frombuffer(marks.value, np.uint8)).astype(bool)
+                batch = batch.filter(pa.array(bits[batch.column("mark").to_numpy(zero_copy_only=False)]))
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                tokens, off = tokens_by_block(some.column("texts").flatten())
+                ends = np.r_[0, np.cumsum(pc.list_value_length(some.column("texts")).to_numpy(zero_copy_only=False))]
+                stream = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer((off[ends] * 4).astype(np.int32).tobytes()), pa.py_buffer(tokens.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), stream], [*names, "stream"])
+
+    return pages.select(*names, "texts", *(["mark"] if marks is not None else [])).mapInArrow(emit, f"{columns}, stream binary")
+
+
+def main_blocks(texts: pa.ListArray, sizes: pa.Array) -> pa.ListArray:
+    """Of the blocks of each page those that can be main text."""
+    real = np.frombuffer(b"".join(sizes.to_pylist()), "<i4") > 0
+    ends = np.r_[0, np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(real)][ends].astype(np.int32)), texts.flatten().filter(pa.array(real)))
+
+
 def copies(table: DataFrame, min_run: int, share: float) -> DataFrame | None:
     """host, page, copy_of of pages that are copies of others, the same for all copies of one; None if there are none."""
     bands = table.select("host", "page", F.posexplode("bands").alias("band", "key"))
@@ -158,7 +197,12 @@ def copies(table: DataFrame, min_run: int, share: float) -> DataFrame | None:
     if pairs.isEmpty():
         return None
     needed = pairs.select("host", "page").union(pairs.select("host", "other")).distinct()
-    streams = written(table.select("host", "page", "stream", "sizes").join(needed, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]), "copy-streams")
+    # rows of pages whose place isn't marked don't move
+    mark = F.pmod(F.xxhash64("host", "page"), F.lit(MARKS)).cast("int")
+    bits = np.zeros(MARKS, bool)
+    bits[needed.select(mark.alias("mark")).distinct().toPandas()["mark"].to_numpy(np.int64)] = True  # MARKS rows at most
+    marks = table.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())  # a fixed size
+    streams = written(streamed(table.withColumn("mark", mark), "host string, page long, sizes binary", marks).join(needed, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]), "copy-streams")
     both = pairs.join(streams, ["host", "page"]).join(streams.select("host", F.col("page").alias("other"), F.col("stream").alias("stream2"), F.col("sizes").alias("sizes2")), ["host", "other"])
 
     def compare(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +274,16 @@ def enough(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHARD_TOKENS, min_pages: int = MIN_PAGES, share: float = COPY) -> DataFrame:
     """host, page, cuts: stretches of texts that boilerplate runs cover, as (block, from, to) in a row."""
-    streams = table.filter("n_stream > 0").select("host", "page", "n_stream", "stream", "sizes")
+    streams = table.filter("n_stream > 0").select("host", "page", "n_stream", "texts", "sizes")
     same = copies(table, min_run, share)
     streams = streams.withColumn("copy_of", F.lit(None).cast("long")) if same is None else streams.join(same, ["host", "page"], "left")
     streams = streams.withColumn("cluster", F.coalesce("copy_of", F.xxhash64("host", "page")))
     hosts = streams.groupBy("host").agg(F.ceil(F.sum("n_stream") / shard_tokens).cast("int").alias("shards"),
                                         F.greatest(F.lit(min_pages), F.ceil(F.sqrt(F.count_distinct("cluster")) / 2)).cast("int").alias("need"))
     hosts = written(hosts, "hosts")
-    dealt = (streams.select("host", "page", "stream", "sizes", "cluster").join(hosts, "host")
+    dealt = (streams.select("host", "page", "texts", "sizes", "cluster").join(hosts, "host")
              .withColumn("shard", F.pmod("page", "shards").cast("int")))
+    own_turn = F.pmod(F.xxhash64("host", "shard"), F.lit(TURNS))
 
     def sort_suffixes(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ("host", "shard", "shards", "need", "page", "cluster", "sizes", "stream")
@@ -285,16 +330,17 @@ def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHAR
                                                   pa.array([shard % (math.isqrt(shards) + 1)], pa.int32()), pa.array([pa.compress(counts[chunk], "zstd", asbytes=True)], pa.binary())], names)
 
     names = ["host", "page", "cuts", "chunk", "salt", "counts"]
-    found = written(dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
-                    .mapInArrow(sort_suffixes, "host string, page long, cuts binary, chunk int, salt int, counts binary"), "runs")
+    parts = [written(streamed(dealt.filter(own_turn == k), "host string, shard int, shards int, need int, page long, cluster long, sizes binary").repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
+                     .mapInArrow(sort_suffixes, "host string, page long, cuts binary, chunk int, salt int, counts binary"), f"runs-{k}") for k in range(TURNS)]
+    found = reduce(DataFrame.unionByName, parts)
     settled = written(found.filter("chunk IS NULL").select("host", "page", "cuts"), "settled")
     large = hosts.filter("shards > 1")
     if large.isEmpty():
-        erase(found)
+        erase(*parts)
         return settled
     sketches = found.filter("chunk IS NOT NULL").select("host", "chunk", "salt", "counts")
     asked = written(added(added(sketches, "host", "chunk", "salt"), "host", "chunk").join(large, "host").mapInArrow(enough, "host string, shards int, chunk int, often binary"), "asked")
-    erase(found)
+    erase(*parts)
 
     def places(pages: pa.Table, slots: pa.Table) -> pa.Table:
         """Of each page of a shard: where the runs that are asked for begin."""
@@ -322,9 +368,10 @@ def cut_pages(table: DataFrame, min_run: int = MIN_RUN, shard_tokens: int = SHAR
 
     # the runs of hosts of several shards: their places in all shards, then their pages
     everywhere = asked.select("host", "chunk", "often", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    theirs = dealt.filter("shards > 1").select("host", "shard", "page", "cluster", "stream", "sizes")
-    hits = written(theirs.groupBy("host", "shard").cogroup(everywhere.groupBy("host", "shard"))
-                   .applyInArrow(places, "host string, page long, cluster long, sizes binary, at array<int>, run array<long>"), "run-places")
+    parts = [written(streamed(dealt.filter(own_turn == k).filter("shards > 1"), "host string, shard int, page long, cluster long, sizes binary").groupBy("host", "shard")
+                     .cogroup(everywhere.filter(own_turn == k).groupBy("host", "shard"))
+                     .applyInArrow(places, "host string, page long, cluster long, sizes binary, at array<int>, run array<long>"), f"run-places-{k}") for k in range(TURNS)]
+    hits = reduce(DataFrame.unionByName, parts)
     repeated = (hits.select("host", "cluster", F.explode(F.array_distinct("run")).alias("run")).groupBy("host", "run").agg(F.count_distinct("cluster").alias("n"))
                 .join(large, "host").filter("n >= need").select("host", "run"))
     placed = (hits.select("host", "page", F.explode(F.arrays_zip("at", "run")).alias("p")).select("host", "page", F.col("p.at").alias("at"), F.col("p.run").alias("run"))
@@ -341,12 +388,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def cut(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            text = pc.binary_join(batch.column("texts"), "\n")  # pages without cuts stay as they are
+            main = main_blocks(batch.column("texts"), batch.column("sizes"))
+            text = pc.binary_join(main, "\n")  # pages without cuts stay as they are
             count = np.zeros(batch.num_rows, np.int64)
             at = np.flatnonzero(batch.column("cuts").is_valid().to_numpy(zero_copy_only=False))
             if len(at):
-                some, shorter = batch.take(pa.array(at)), []
-                for i, texts, gone in zip(at.tolist(), some.column("texts").to_pylist(), some.column("cuts").to_pylist(), strict=True):
+                shorter = []
+                for i, texts, gone in zip(at.tolist(), main.take(pa.array(at)).to_pylist(), batch.column("cuts").take(pa.array(at)).to_pylist(), strict=True):
                     spans = np.frombuffer(gone, "<i4").reshape(-1, 3).tolist()
                     words = {j: texts[j].split(" ") for j, _, _ in spans}
                     for j, a, b in reversed(spans):
@@ -357,5 +405,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text, pc.utf8_length(text).cast(pa.int64()), pa.array(count)],
                                              ["page_id", "url", "text", "n_chars", "n_boilerplate"])
 
-    own = table.select("page_id", "url", "host", "page", "texts").join(cuts, ["host", "page"], "left")
-    return own.select("page_id", "url", "texts", "cuts").mapInArrow(cut, "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    own = table.select("page_id", "url", "host", "page", "texts", "sizes").join(cuts, ["host", "page"], "left")
+    return own.select("page_id", "url", "texts", "sizes", "cuts").mapInArrow(cut, "page_id long, url string, text string, n_chars long, n_boilerplate long")

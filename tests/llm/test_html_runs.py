@@ -2,8 +2,13 @@
 import math
 import random
 from itertools import groupby
+from pathlib import Path
 
-from skychan.llm import common
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from skychan.llm import common, html_extract
 from skychan.llm.html_extract import main_text
 
 
@@ -99,3 +104,29 @@ def test_very_long_page(spark):
     for options in ({}, {"shard_tokens": 5000}):
         got = texts(spark, pages, **options)
         assert got[0].text == long and got[0].n_chars == len(long) and got[3].text == words("own2x", 30)
+
+
+def test_pages_are_stored_once(spark, tmp_path):
+    """The table of parsed pages holds the texts, not their tokens beside them; the streams made from them are those that were counted."""
+    common.ship(spark)
+    r = random.Random(5)
+    texts = [[" ".join(f"w{r.randrange(1 << 20)}é" for _ in range(120)) for _ in range(4)] for _ in range(200)] + [[]]
+    html = ["<body><nav>Menu here</nav>" + "".join(f"<p>{t}</p>" for t in page) + "</body>" if page else None for page in texts]
+    df = spark.createDataFrame([(i, "http://h.org/x", p) for i, p in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    table = html_extract.parsed(df)
+    df.select(F.expr("replace(replace(html, '<p>'), '</p>')").alias("t")).coalesce(1).write.option("compression", "zstd").parquet(f"{tmp_path}/plain")
+    size = lambda path: sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+    assert size(table._written_to.removeprefix("file:")) < 1.4 * size(f"{tmp_path}/plain")
+    for row in html_extract.streamed(table, "page_id long, page long, n_stream long, sizes binary").collect():
+        assert xxhash.xxh3_64_intdigest(bytes(row.stream)) >> 1 == row.page and len(row.stream) == 4 * row.n_stream
+        assert np.abs(np.frombuffer(row.sizes, "<i4")).sum() == row.n_stream
+
+
+def test_shuffle_files_go_with_the_table(spark):
+    """A table that is written leaves no shuffle files behind, and the session's own setting stays."""
+    held = spark.conf.get(common.SHUFFLE_CLEANUP, None)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = html_extract.written(spark.range(1000).repartition(7, "id"), "shuffled")
+    assert out.count() == 1000 and spark.conf.get(common.SHUFFLE_CLEANUP, None) == held
+    assert tracker.shuffleStatuses().size() <= before + 1  # that of the count
