@@ -54,39 +54,91 @@ OFTEN, FREQUENT = 8, 1_000_000
 FEW = 16
 #: A region's members meet its pivots in pieces of about so many.
 PIECE = 512
-#: A pivot's set goes to so many tasks.
-SALT = 16
+#: A copy of a pivot's set meets about so many points.
+MEETS = 256
 #: Pivots of a large region: so many times more in each round, up to so many.
 GROWTH, MOST_PIVOTS = 16, 4096
 #: Bits of a set's parities.
 BITS = 1024
 #: Regions of rare n-grams that a point's rows name: the first so many of all it is in.
 FIRSTS = 8
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Slots that n-grams fall into by their first bits; a slot tells if a frequent one may be there.
+SLOT_BITS = 24
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_EVEN, _TRUE = np.uint64(0xFFFFFFFFFFFFFFFE), np.array([True])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, A-Z in lower case, and where the words of each text begin (one more than texts)."""
+    _, offsets, data = texts.buffers()
+    o = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[o[0]:o[-1]]
+    o = o - o[0]
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[:len(raw)] = raw | (((raw - np.uint8(0x41)) < 26).view(np.uint8) << np.uint8(5))  # A-Z
+    solid = (raw != 0x20) & ((raw - np.uint8(0x09)) > 4)
+    begin, last = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    full = np.flatnonzero(o[1:] > o[:-1])  # a text's ends are ends of words
+    begin[o[full]] = solid[o[full]]
+    last[o[full + 1] - 1] = solid[o[full + 1] - 1]
+    start = np.flatnonzero(begin)
+    length = np.flatnonzero(last) + 1 - start
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))  # the 8 bytes from each on
+    h = length.astype(np.uint64) * _M2
+
+    def mix(h: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        h = (h ^ (eight[at] & _FIRST[np.minimum(left, 8)])) * _M1
+        h ^= h >> np.uint64(32)
+        h *= _M2
+        h ^= h >> np.uint64(29)
+        return h
+
+    if len(start):
+        h = mix(h, start, length)
+        for k in range(8, LONG_WORD, 8):
+            more = np.flatnonzero(length > k)
+            if not len(more):
+                break
+            h[more] = mix(h[more], start[more] + k, length[more] - k)
+        for i in np.flatnonzero(length > LONG_WORD):
+            h[i] = xxhash.xxh3_64_intdigest(low[start[i]:start[i] + length[i]])
+    return h, np.searchsorted(start, o)
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of each text."""
-    words, off = words_of(texts)
-    if not len(words):
-        return [np.empty(0, np.uint64)] * len(texts)
-    coded = pc.dictionary_encode(words)
-    each = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    w = each[coded.indices.to_numpy(zero_copy_only=False)]
-
-    def mixed(length: int, at: np.ndarray) -> np.ndarray:
-        h = np.full(len(at), length, np.uint64)
-        for k in range(length):
-            h = (h ^ w[at + k]) * _M1
-            h ^= h >> np.uint64(32)
-        h = (h ^ (h >> np.uint64(29))) * _M2
-        return h ^ (h >> np.uint64(32))
-
-    size = np.diff(off)
-    full = np.maximum(size - n + 1, 0)
-    flat = mixed(n, repeat_ranges(off[:-1], full))
-    ends = np.concatenate([[0], np.cumsum(full)])
-    return [np.unique(flat[ends[i]:ends[i + 1]]) if full[i] else mixed(int(size[i]), off[i:i + 1]) if size[i] else np.empty(0, np.uint64) for i in range(len(size))]
+    """Sorted distinct n-gram hashes (even numbers) of each text."""
+    w, off = word_hashes(texts)
+
+    def mixed(length: int, w: np.ndarray) -> np.ndarray:
+        """Of each ``length`` words in a row."""
+        count = len(w) - length + 1
+        h = w[:count] + np.uint64(length)
+        for k in range(1, length):
+            h *= _M1
+            h += w[k:count + k]
+        h ^= h >> np.uint64(32)
+        h *= _M2
+        h ^= h >> np.uint64(29)
+        h *= _M1
+        h ^= h >> np.uint64(32)
+        h &= _EVEN
+        return h
+
+    flat = mixed(n, w) if len(w) >= n else w[:0]  # of a text's last words on: not used
+    out = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        if b - a < n:
+            out.append(mixed(b - a, w[a:b]) if b > a else w[:0])
+            continue
+        s = np.sort(flat[a:b - n + 1])
+        new = s[1:] != s[:-1]
+        out.append(s if new.all() else s[np.concatenate([_TRUE, new])])
+    return out
 
 
 def window_length(n: int, num: int, den: int) -> int:
@@ -112,25 +164,42 @@ def frequent_grams(docs: DataFrame, text_col: str, n: int, num: int, den: int, o
         for _, texts in batches_of(it, limit=6_000_000):
             sets = {point_of(s): s for s in shingle_sets(texts, n) if len(s)}
             if sets:
-                near = [s[:window_length(len(s), num, den)] for s in sets.values()]
-                g, c = np.unique(np.concatenate([*sets.values()]), return_counts=True)
-                some = (c > 1) | np.isin(g, np.concatenate(near))
-                yield pa.RecordBatch.from_arrays([pa.array(g[some].view(np.int64)), pa.array(c[some].astype(np.int64))], ["g", "c"])
-
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= often)
+                size = np.fromiter(map(len, sets.values()), np.int64, len(sets))
+                behind = window_length(size, num, den)
+                g = np.concatenate([*sets.values()])
+                g[repeat_ranges(np.cumsum(size) - size + behind, size - behind)] |= ~_EVEN  # those behind windows come after equal ones in them
+                g.sort()
+                near = (g & ~_EVEN) == 0
+                g &= _EVEN
+                first = np.flatnonzero(np.concatenate([_TRUE, g[1:] != g[:-1]]))
+                c = np.diff(first, append=len(g))
+                some = (c > 1) | near[first]
+                yield pa.RecordBatch.from_arrays([pa.array(g[first[some]].view(np.int64)), pa.array(c[some].astype(np.int64))], ["g", "c"])
+
+    counts = written(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= often), "counts", tidy=True)
     rows = counts.orderBy(F.desc("c"), "g").limit(most).select("g").toPandas()  # most rows at most
     g = rows["g"].to_numpy(np.int64).view(np.uint64)
     by_hash = np.argsort(g)
     return g[by_hash], (len(g) - 1 - by_hash).astype(np.int32)
 
 
-def split_set(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rare n-grams of a set, and the indices in ``frequent`` of the others."""
-    if not len(frequent):
-        return s, np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    often = frequent[at] == s
-    return s[~often], at[often]
+def slots(frequent: np.ndarray) -> np.ndarray:
+    """Which slots hold a frequent n-gram."""
+    out = np.zeros(1 << SLOT_BITS, bool)
+    out[frequent >> np.uint64(64 - SLOT_BITS)] = True
+    return out
+
+
+def split_set(s: np.ndarray, frequent: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rare n-grams of a set, and the indices in ``frequent`` of the others. ``slot``: those of ``frequent``."""
+    maybe = np.flatnonzero(slot[s >> np.uint64(64 - SLOT_BITS)])
+    if not len(maybe):
+        return s, maybe
+    at = np.minimum(np.searchsorted(frequent, s[maybe]), len(frequent) - 1)
+    often = frequent[at] == s[maybe]
+    rare = np.ones(len(s), bool)
+    rare[maybe[often]] = False
+    return s[rare], at[often]
 
 
 def windows(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -139,6 +208,8 @@ def windows(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent
 
     def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        last = shared.value
+        slot = slots(last)
         for _, texts in batches_of(it):
             g, x, size = [], [], []
             for s in shingle_sets(texts, n):
@@ -146,7 +217,7 @@ def windows(docs: DataFrame, text_col: str, n: int, num: int, den: int, frequent
                 if not len(s) or p in done:
                     continue
                 done.add(p)
-                g.append(split_set(s, shared.value)[0][:window_length(len(s), num, den)])
+                g.append(split_set(s, last, slot)[0][:window_length(len(s), num, den)])
                 x.append(p)
                 size.append(len(s))
             if g:
@@ -165,10 +236,11 @@ def points(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
 
     def digest(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, order = shared.value
+        slot = slots(last)
         for batch, texts in batches_of(it):
             x, size, own, sig, key = [], [], [], [], []
             for s in shingle_sets(texts, n):
-                rare, at = split_set(s, last)
+                rare, at = split_set(s, last, slot)
                 hot = np.sort(order[at]) if len(s) and len(rare) < window_length(len(s), num, den) else None
                 x.append(point_of(s))
                 size.append(len(s))
@@ -179,7 +251,7 @@ def points(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
                                              ["doc_id", "_digest", "x", "n", "s", "sig", "key"])
 
     return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("text"))
-                   .mapInArrow(digest, "doc_id long, _digest string, x long, n long, s array<int>, sig array<bigint>, key long"), "points")
+                   .mapInArrow(digest, "doc_id long, _digest string, x long, n long, s array<int>, sig array<bigint>, key long"), "points", tidy=True)
 
 
 def whole_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -250,7 +322,7 @@ def candidates(pairs: DataFrame, large: DataFrame, num: int, den: int) -> DataFr
     """x, y of pairs that can reach the needed overlap: what they share up to the last shared n-gram, what can follow it (all frequent ones do), and what large regions, which list no pairs, may hide."""
     p = pairs.groupBy("x", "y").agg(F.count_distinct("g").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), *(F.first(c).alias(c) for c in ("nx", "ny")))
     if not large.isEmpty():
-        more = written(large.groupBy("x").agg(F.count_distinct("g").alias("k")), "large-counts")
+        more = written(large.groupBy("x").agg(F.count_distinct("g").alias("k")), "large-counts", tidy=True)
         for side in ("x", "y"):
             p = p.join(more.select(F.col("x").alias("m"), F.col("k").alias(f"k{side}")), F.col(side) == F.col("m"), "left").drop("m")
     else:
@@ -283,60 +355,59 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return both.mapInArrow(compare, "x long, y long, common long, union long")
 
 
-def cells(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions of sets by the n-grams of their windows: g, x, n, size (of s), pos (place of g in s), window, sig."""
+def cells(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Regions of sets by the n-grams of their windows: g, x, n, size (of s), pos (place of g in s). And x, window, sig."""
     wide = F.col("size") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    return (sets.withColumn("size", F.size("s")).filter(wide > 0).withColumn("window", F.slice("s", F.lit(1), wide))
-            .select("x", "n", "size", "window", "sig", F.posexplode("window").alias("pos", "g"))
-            .select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos", "window", "sig"))
+    own = sets.withColumn("size", F.size("s")).filter(wide > 0).withColumn("window", F.slice("s", F.lit(1), wide))
+    rows = own.select("x", "n", "size", F.posexplode("window").alias("pos", "g"))
+    return rows.select(F.col("g").cast("long").alias("g"), "x", "n", "size", "pos"), own.select("x", "window", "sig")
 
 
-def rare_cells(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of ``large`` for ``join_cells``, with the first regions of each point in one order of all (``window``): of two points that share one of those,
+def rare_cells(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``large`` for ``join_cells``; and x, sig, the first regions of each point in one order of all (``window``): of two points that share one of those,
     the first that they share is the first of all that they share, so they meet there only; others meet in each region that they share."""
     firsts = large.groupBy("x").agg(F.slice(F.array_sort(F.collect_set("g")), 1, FIRSTS).alias("window"))
-    return (large.distinct().join(sets.select("x", "sig").join(firsts, "x"), "x")
-            .select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos"), "window", "sig"))
+    return large.distinct().select("g", "x", "n", F.col("n").alias("size"), F.lit(0).alias("pos")), sets.select("x", "sig").join(firsts, "x")
 
 
 def overlaps(asked: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, p, common, union of pairs of a point x and a pivot p. A pivot's set is dealt out SALT times: it meets many points."""
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int")
-    few = asked.select("p").distinct()
-    of_pivots = few.join(sets, F.col("p") == F.col("x")).select("p", F.col("n").alias("pn"), F.col("s").alias("ps"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    return (asked.join(sets, "x").withColumn("salt", salt("x")).join(of_pivots, ["p", "salt"])
+    """x, p, common, union of pairs of a point x and a pivot p. The set of a pivot that meets many points is dealt out in as many copies as it needs."""
+    copies = F.ceil(F.col("k") / MEETS)
+    few = asked.groupBy("p").agg(F.count("*").alias("k"))
+    of_pivots = few.join(sets, F.col("p") == F.col("x")).select("p", F.col("n").alias("pn"), F.col("s").alias("ps"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("salt"))
+    dealt = asked.join(few, "p").select("x", "p", F.pmod(F.xxhash64("x"), copies).alias("salt"))
+    return (dealt.join(sets, "x").join(of_pivots, ["p", "salt"])
             .select("x", "p", "n", "pn", F.size(F.array_intersect("s", "ps")).cast("long").alias("common"))
             .select("x", "p", "common", (F.col("n") + F.col("pn") - F.col("common")).alias("union")))
 
 
-def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """As many links as points that connect what ``links`` and those of regions of any size connect, round by round: see the module's text. ``work``: g, x, n, size, pos, window (regions that x is in, the first ones in one order of all), sig;
-    ``sets``: x, n, s; ``links``: those known before. Points that links join already need no distance, and a region whose points are all joined is done."""
+def join_cells(work: DataFrame, signs: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """As many links as points that connect what ``links`` and those of regions of any size connect, round by round: see the module's text. ``work``: g, x, n, size, pos;
+    ``signs``: x, window (regions that x is in, the first ones in one order of all), sig; ``sets``: x, n, s; ``links``: those known before. Points that links join already need no distance,
+    and a region whose points are all joined is done. Rows of ``work`` get the wide columns of ``signs`` only where they meet pivots."""
     r = 1 - num / den
-    rest = ["g", "x", "n", "size", "pos", "window", "sig", "rings"]
+    rest = ["g", "x", "n", "size", "pos", "rings"]
+    signs = written(signs, f"{name}-signs", tidy=True)
     work = work.withColumn("rings", F.array().cast("array<double>"))
     turn, before = 0, []
     while True:
-        given = links
-        joined, links = joined_points(links)  # it only saves distances
-        if turn:
-            erase(given)
+        joined, links = joined_points(links)  # it only saves distances; links are one table again, so each round has the same plans
         own = work.join(joined.withColumnRenamed("x", "j"), F.col("x") == F.col("j"), "left").select(*rest, F.coalesce("label", "x").alias("label"))
         groups = own.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).filter("a != b").select("g", "members")
-        work = written(own.join(groups, "g"), f"{name}-{turn}-open")
+        work = written(own.join(groups, "g"), f"{name}-{turn}-open", tidy=True)
         erase(joined, *before)
         if work.isEmpty():
             return links
         turn += 1
-        h = F.xxhash64("x", F.lit(turn))
+        h = F.xxhash64("x", F.lit(f"{turn}"))  # a text: the same code in each round
         most = min(GROWTH ** (turn - 1), MOST_PIVOTS)
         part = F.when(F.col("members") > most, F.pmod(h, F.lit(most))).otherwise(h)  # where all can be pivots, the region is done in this round
         # points of small components first: those of a large one then meet few others
         size = work.groupBy("g", "label").agg(F.count("*").alias("k"))
         chosen = (work.join(size, ["g", "label"]).groupBy("g", part.alias("b"))
                   .agg(F.min(F.struct("k", h.alias("h"), "x")).alias("p")).select("g", F.col("p.x").alias("x"), (F.col("b") == 0).alias("lead")))
-        marked = written(work.join(chosen, ["g", "x"], "left"), f"{name}-{turn}-marked")
-        pivots = marked.filter("lead IS NOT NULL").select("g", "lead", "members", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "window", "sig", "rings", "label")))
+        marked = written(work.join(chosen, ["g", "x"], "left"), f"{name}-{turn}-marked", tidy=True)
+        pivots = marked.filter("lead IS NOT NULL").join(signs, "x").select("g", "members", *(F.col(c).alias(f"p{c}") for c in ("x", "n", "size", "pos", "window", "sig", "rings", "label")))
         # of two pivots one asks; a pair meets in the region of the first n-gram that their windows share, only; what follows must suffice, and what the parities
         # leave to be shared; rings of width r around former pivots
         first_shared = F.coalesce(F.get(F.array_intersect("window", "pwindow"), F.lit(0)).cast("long") == F.col("g"), F.lit(True))
@@ -347,26 +418,25 @@ def join_cells(work: DataFrame, sets: DataFrame, links: DataFrame, num: int, den
                 & ~F.exists(F.zip_with("rings", "prings", lambda a, b: F.coalesce(F.abs(a - b) > r + 1e-9, F.lit(False))), lambda v: v))
         # a region's rows are dealt out in pieces, each of which meets all its pivots
         pieces = F.ceil(F.col("members") / PIECE)
-        dealt = marked.withColumn("piece", F.pmod(F.xxhash64("x"), pieces))
-        copies = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("members", "lead")
+        dealt = marked.join(signs, "x").withColumn("piece", F.pmod(F.xxhash64("x"), pieces))
+        copies = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("members")
         met = dealt.join(copies, ["g", "piece"]).filter(fits).select("x", F.col("px").alias("p")).distinct()
-        known = written(overlaps(met, sets), f"{name}-{turn}-overlaps")
+        known = written(overlaps(met, sets), f"{name}-{turn}-overlaps", tidy=True)
         more = known.filter(F.col("common") * den >= F.col("union") * num).select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y"))
-        given, links = links, written(links.unionByName(more.distinct()), f"{name}-{turn}-links")  # one table: each round has the same plans
-        erase(given)
+        given, links = links, links.unionByName(more)
         left = marked.filter("lead IS NULL")
-        first = pivots.filter("lead").select("g", F.col("px").alias("p"))
+        first = marked.filter("lead").select("g", F.col("x").alias("p"))
         ring = known.select("x", "p", (1 - F.col("common") / F.col("union")).alias("d"))
         done = work
-        work = written(left.join(first, "g", "left").join(ring, ["x", "p"], "left").withColumn("rings", F.concat("rings", F.array("d"))).select(*rest), f"{name}-{turn}")
-        erase(done, marked, known)
-        before = [work]
+        work = written(left.join(first, "g", "left").join(ring, ["x", "p"], "left").withColumn("rings", F.concat("rings", F.array("d"))).select(*rest), f"{name}-{turn}", tidy=True)
+        erase(done, marked)
+        before = [work, known, given]
 
 
 def both_ways(links: DataFrame) -> DataFrame:
     """a, b of each link in both directions."""
     each = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
-    return links.select("x", "y").distinct().select(each.alias("e")).select("e.a", "e.b")
+    return links.select(each.alias("e")).select("e.a", "e.b")
 
 
 def spread(both: DataFrame, state: DataFrame) -> DataFrame:
@@ -383,30 +453,29 @@ def jumped(new: DataFrame) -> DataFrame:
 def joined_points(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """x, label after two rounds: equal labels mean joined points, but joined points may have different ones. And x, y: each point's link to its label and the links
     between different labels, which join what ``links`` join with about as many rows as points."""
-    both = written(both_ways(links), "links")
+    both = both_ways(links)
     near = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("o")).select("x", F.least("x", "o").alias("m"), F.col("x").alias("was"))
-    state = written(jumped(near).select("x", "m"), "near")
-    label = written(jumped(spread(both, state)).select("x", F.col("m").alias("label")), "joined")
+    state = written(jumped(near).select("x", "m"), "near", tidy=True)
+    label = written(jumped(spread(both, state)).select("x", F.col("m").alias("label")), "joined", tidy=True)
     of = lambda c: label.select(F.col("x").alias(c), F.col("label").alias(f"l{c}"))
-    across = both.filter("a < b").join(of("a"), "a").join(of("b"), "b").filter("la != lb").select(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
-    fewer = written(label.filter("label != x").select(F.col("label").alias("x"), F.col("x").alias("y")).unionByName(across).distinct(), "fewer-links")
-    erase(both, state)
+    across = links.select(F.col("x").alias("a"), F.col("y").alias("b")).join(of("a"), "a").join(of("b"), "b").filter("la != lb").select(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
+    fewer = written(label.filter("label != x").select(F.col("label").alias("x"), F.col("x").alias("y")).unionByName(across).distinct(), "fewer-links", tidy=True)
+    erase(state)
     return label, fewer
 
 
 def components(links: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """x, m, label: the least point reachable by links (never null), and the least name among those points (``names``: x, label), without names ``m`` again. Labels spread along
     links and along themselves, so chains take a logarithm of their length in rounds."""
-    both = written(both_ways(links), "links")
-    state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0")
+    both = both_ways(links)
+    state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0", tidy=True)
     turn = 0
     while True:
         turn += 1
-        new = written(spread(both, state), f"heard-{turn}")
-        old, state = state, written(jumped(new), f"label-{turn}")
+        new = written(spread(both, state), f"heard-{turn}", tidy=True)
+        old, state = state, written(jumped(new), f"label-{turn}", tidy=True)
         erase(old, new)
         if state.filter("m != was").isEmpty():
-            erase(both)
             break
     if names is None:
         return state.select("x", "m", F.col("m").alias("label"))
@@ -418,16 +487,16 @@ def join_frequent(hot: DataFrame, links: DataFrame, num: int, den: int) -> DataF
     """Links that connect what ``links`` and those between points whose frequent n-grams alone make a link (others have a rare one in common) connect.
 
     Points of equal n and equal frequent n-grams are a class; one of them stands for all. A class is tight if its members link to one another."""
-    sets = written(hot.groupBy("key").agg(F.min("x").alias("x"), *(F.first(c).alias(c) for c in ("n", "s", "sig"))), "classes")
+    sets = written(hot.groupBy("key").agg(F.min("x").alias("x"), *(F.first(c).alias(c) for c in ("n", "s", "sig"))), "classes", tidy=True)
     tight = F.size("s") * (num + den) >= 2 * F.col("n") * num
     of = sets.select("key", F.col("x").alias("rep"), tight.alias("tight"))
-    others = written(hot.select("key", "x").distinct().join(of, "key").filter("x != rep").select("rep", "x", "tight"), "members")
+    others = written(hot.select("key", "x").distinct().join(of, "key").filter("x != rep").select("rep", "x", "tight"), "members", tidy=True)
     links = links.unionByName(others.filter("tight").select(F.col("rep").alias("x"), F.col("x").alias("y")))
-    found = join_cells(cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, "frequent")
+    found = join_cells(*cells(sets, num, den), sets.select("x", "n", "s"), links, num, den, "frequent")
     # members of a class that isn't tight link to what the class's point links to, too, so they are in its component if it has a link
     both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
     loose = others.filter("NOT tight").select(F.col("rep").alias("x"), F.col("x").alias("member")).join(both, "x").select(F.col("member").alias("x"), "y")
-    return written(found.unionByName(loose), "frequent-links")
+    return written(found.unionByName(loose), "frequent-links", tidy=True)
 
 
 def open_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -445,26 +514,26 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     frequent, place = frequent_grams(docs, text_col, n, num, den, often, most)
     rows = points(docs, id_col, text_col, n, num, den, frequent, place)
     # regions of rare n-grams: small ones give pairs, rows of large ones come back
-    met = written(join_regions(windows(docs, text_col, n, num, den, frequent), num, den, few), "met")
-    large = written(met.filter("y IS NULL").select("g", "x", F.col("nx").alias("n")), "large")
-    pairs = written(candidates(met.filter("y IS NOT NULL"), large, num, den), "candidates")
+    met = written(join_regions(windows(docs, text_col, n, num, den, frequent), num, den, few), "met", tidy=True)
+    large = written(met.filter("y IS NULL").select("g", "x", F.col("nx").alias("n")), "large", tidy=True)
+    pairs = written(candidates(met.filter("y IS NOT NULL"), large, num, den), "candidates", tidy=True)
     erase(met)
     links = docs.sparkSession.createDataFrame([], "x long, y long")
     if len(frequent):
         links = join_frequent(rows.filter("key IS NOT NULL").select("x", "n", "s", "sig", "key"), links, num, den)
-        all_, pairs = pairs, written(open_pairs(pairs, links), "open-pairs")
+        all_, pairs = pairs, written(open_pairs(pairs, links), "open-pairs", tidy=True)
         erase(all_)
     # the texts of the points that need distances, by one row of each
     needed = pairs.select("x").union(pairs.select("y")).union(large.select("x")).distinct()
     first = rows.join(needed, "x", "left_semi").groupBy("x").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_digest")).alias("r")).select("x", F.col("r.doc_id").alias("_id"), F.col("r._digest").alias("_digest"))
-    texts = written(rows_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), written(first, "first"), "doc_id", "text").select("x", "text"), "texts")
-    links = links.unionByName(written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links"))
+    texts = written(rows_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), written(first, "first", tidy=True), "doc_id", "text").select("x", "text"), "texts", tidy=True)
+    links = links.unionByName(written(distances(pairs, texts, n).filter(F.col("common") * den >= F.col("union") * num).select("x", "y"), "pair-links", tidy=True))
     if not large.isEmpty():
-        sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets")
-        links = join_cells(rare_cells(large, sets), sets, links, num, den, "rare")
-    names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names")
+        sets = written(whole_sets(texts.join(large.select("x").distinct(), "x", "left_semi"), n), "whole-sets", tidy=True)
+        links = join_cells(*rare_cells(large, sets), sets, links, num, den, "rare")
+    names = written(rows.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("label")), "names", tidy=True)
     found = components(links, names)
-    label = written(names.join(found.withColumnRenamed("label", "l"), "x", "left").select(F.col("x").alias("lx"), F.coalesce("l", "label").alias("label"), F.coalesce("m", "x").alias("_component")), "labels")
+    label = written(names.join(found.withColumnRenamed("label", "l"), "x", "left").select(F.col("x").alias("lx"), F.coalesce("l", "label").alias("label"), F.coalesce("m", "x").alias("_component")), "labels", tidy=True)
     return (rows.join(label, (rows["x"] == label["lx"]) & (rows["n"] > 0), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), "_digest", "_component"))
 
@@ -475,4 +544,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = linked(docs, id_col, text_col, **options)
     stays = found.filter("n_shingles > 0").groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_digest")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r._digest").alias("_digest"))
     blank = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), "_digest").distinct()
-    return rows_of(docs, written(stays.unionByName(blank), "stays"), id_col, text_col)
+    return rows_of(docs, written(stays.unionByName(blank), "stays", tidy=True), id_col, text_col)
