@@ -435,8 +435,7 @@ def join_cells(work: DataFrame, signs: DataFrame, sets: DataFrame, links: DataFr
 
 def both_ways(links: DataFrame) -> DataFrame:
     """a, b of each link in both directions."""
-    each = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
-    return links.select(each.alias("e")).select("e.a", "e.b")
+    return links.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(links.select(F.col("y").alias("a"), F.col("x").alias("b")))
 
 
 def spread(both: DataFrame, state: DataFrame) -> DataFrame:
@@ -467,7 +466,7 @@ def joined_points(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(links: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """x, m, label: the least point reachable by links (never null), and the least name among those points (``names``: x, label), without names ``m`` again. Labels spread along
     links and along themselves, so chains take a logarithm of their length in rounds."""
-    both = both_ways(links)
+    both = written(both_ways(links).distinct(), "links", tidy=True)
     state = written(both.select(F.col("a").alias("x")).distinct().withColumn("m", F.col("x")), "label-0", tidy=True)
     turn = 0
     while True:
@@ -476,6 +475,7 @@ def components(links: DataFrame, names: DataFrame | None = None) -> DataFrame:
         old, state = state, written(jumped(new), f"label-{turn}", tidy=True)
         erase(old, new)
         if state.filter("m != was").isEmpty():
+            erase(both)
             break
     if names is None:
         return state.select("x", "m", F.col("m").alias("label"))

@@ -130,3 +130,13 @@ def test_a_pivot_is_copied_as_often_as_needed(spark):
         voronoi_join.F.sequence = plain
     few = spark.createDataFrame([(1,), (256,), (599,)], "k long")
     assert [r[0] for r in few.select(copied[0] + 1).collect()] == [1, 1, 3]
+
+
+def test_links_are_turned_once_for_components(spark, monkeypatch):
+    """Turning links both ways explodes no rows, and the turns of components read them from a table."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(0, 1)], "x long, y long")
+    both = voronoi_join.both_ways(links)
+    assert both.count() == 62 and "Generate" not in both._jdf.queryExecution().toString()
+    made, plain = [], voronoi_join.both_ways
+    monkeypatch.setattr(voronoi_join, "both_ways", lambda links: made.append(1) or plain(links))
+    assert {r.label for r in components(links).collect()} == {0} and len(made) == 1
