@@ -6,12 +6,14 @@ what is left of the means). Summed over segments this bounds the score from abov
 statistics bound a distance from below; with shorter segments the bound gets closer. The bound
 itself is an inner product of (sqrt(n) a, sqrt(n) s), so a block of bounds is one matrix product.
 
-Queries and candidates are packed into blocks of a fixed number of vectors, one row a block, with the
-vectors and their statistics. Each block of queries meets each block of candidates in one row.
-There: bounds at the coarsest resolution; the exact scores of the best k by bound set a floor for
+Queries and candidates are packed into blocks of a fixed number of vectors, one row a block, in the narrowest
+integers that hold them. Groups of blocks of queries and of candidates are the sides of a grid; a cell of the grid is the work
+of a task, which holds its queries, meets them with one block of candidates after the other and keeps the best k of each query.
+In a meeting: bounds at the coarsest resolution; the exact scores of the best k by bound set a floor for
 each query; candidates whose bound is below the floor go, at this resolution and then at each
-finer one; the survivors' exact scores are computed. Each meeting leaves k rows a query at most,
-and a ranked limit, first in each map task, leaves k.
+finer one; the survivors' exact scores are computed. Each cell leaves k rows a query at most,
+and a ranked limit, first in each map task, leaves k. Blocks go to their cells by one shuffle and never through the driver; a
+side is copied once for each group of the other.
 
 Defined results. Vectors null, empty, or with null or non-finite components take no part, nor do rows
 with null vec_id. Candidates need the query's number of components. vec_id names a row: rows that share the query's
@@ -31,6 +33,8 @@ from skychan.llm.common import written
 
 K, SCALE = 5, 256
 QUERY_BLOCK, BLOCK = 512, 2048
+#: Blocks of queries and of candidates in a cell, about.
+CELL_QUERIES, CELL = 32, 8
 #: Segments at each resolution, coarse to fine.
 RESOLUTIONS = (1, 4, 16)
 
@@ -86,6 +90,23 @@ def meet(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: in
     return qi[keep], vi[keep], score[keep], exact
 
 
+class Best:
+    """The best k candidates so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k = ids, q, k
+        self.found = [np.empty(0, np.int64) for _ in range(3)]  # query row, candidate's id, score
+
+    def meet(self, v_id: np.ndarray, v: np.ndarray, resolutions: tuple[int, ...]) -> None:
+        qi, vi, score, _ = meet(self.q.astype(np.int64), self.ids, v, v_id, self.k, resolutions)
+        row, vec_id, score = (np.concatenate(x) for x in zip(self.found, (qi, v_id[vi], score), strict=True))
+        order = np.lexsort((vec_id, -score, row))
+        row, vec_id, score = row[order], vec_id[order], score[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < self.k if len(row) else []
+        self.found = [row[keep], vec_id[keep], score[keep]]
+
+
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """vec_id, dim, q (little-endian 64-bit integers) of the vectors that take part."""
 
@@ -103,15 +124,23 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
     return part.mapInArrow(pack, "vec_id long, dim int, q binary")
 
 
-def blocks(vectors: DataFrame, size: int, parts: int) -> DataFrame:
-    """A row a block: dim, block, ids, vectors. Made task by task from whole partitions, so no group is unbounded."""
+def narrowest(x: np.ndarray) -> np.ndarray:
+    low, high = x.min(), x.max()
+    return x.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def blocks(vectors: DataFrame, size: int, parts: int, groups: int) -> DataFrame:
+    """A row a block: dim, ids, width (bytes of a component), q (vectors), group. Made task by task from whole partitions, so no group is
+    unbounded; blocks are dealt to groups in turn."""
 
     def fill(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[bytes]]] = {}
 
         def row(dim: int) -> pa.RecordBatch:
             ids, q = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(q)], pa.binary())], ["dim", "ids", "q"])
+            x = narrowest(np.frombuffer(b"".join(q), "<i8"))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([x.itemsize], pa.int32()),
+                                               pa.array([x.tobytes()], pa.binary())], ["dim", "ids", "width", "q"])
 
         for batch in it:
             for vec_id, dim, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -123,7 +152,9 @@ def blocks(vectors: DataFrame, size: int, parts: int) -> DataFrame:
         for dim in list(held):
             yield row(dim)
 
-    return vectors.repartition(parts, F.xxhash64("vec_id", "q")).mapInArrow(fill, "dim int, ids binary, q binary")
+    made = vectors.repartition(parts, F.xxhash64("vec_id", "q")).mapInArrow(fill, "dim int, ids binary, width int, q binary")
+    nth = F.spark_partition_id() + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # partition, and place in it
+    return made.withColumn("group", F.pmod(nth, F.lit(groups)).cast("int"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE,
@@ -132,22 +163,41 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     v = written(quantised(vectors, id_col, vec_col, scale), "vectors")
     n = v.count()
     n_queries = v.filter(is_query).count()
-    # both numbers of blocks follow the data; a block of queries goes to each group of candidate blocks once
-    groups = max(1, -(-n // block))
-    q = written(blocks(v.filter(is_query), query_block, max(1, -(-n_queries // query_block))), "query-blocks")
-    c = written(blocks(v, block, groups).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), "blocks")
-    q = q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("q").alias("q_q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q_group"))
-    met = c.join(q, (c["group"] == q["q_group"]) & (c["dim"] == q["q_dim"])).select("dim", "ids", "q", "q_ids", "q_q")
+    # all numbers of blocks, groups and cells follow the data, so the work of a cell stays the same
+    q_parts, parts = max(1, -(-n_queries // query_block)), max(1, -(-n // block))
+    q_groups, groups = -(-q_parts // CELL_QUERIES), -(-parts // CELL)
+    q = written(blocks(v.filter(is_query), query_block, q_parts, q_groups), "query-blocks")
+    c = written(blocks(v, block, parts, groups), "blocks")
+    q = q.withColumn("side", F.lit(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("cell", F.col("group") * groups + F.col("other"))
+    c = c.withColumn("side", F.lit(1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1)))).withColumn("cell", F.col("other") * groups + F.col("group"))
 
     def best(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, queries = None, []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for x in queries:
+                qi, vec_id, score = x.found
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids[qi]), pa.array(vec_id), pa.array(score)], ["query_id", "vec_id", "score"])
+
         for batch in it:
             for i in range(batch.num_rows):
-                dim, ids, q, q_ids, q_q = (c[i] for c in batch.columns)
-                as_rows = lambda s, d=dim.as_py(): np.frombuffer(s.as_buffer(), "<i8").reshape(-1, d)
-                v_id, own = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(q_ids.as_buffer(), "<i8")
-                qi, vi, score, _ = meet(as_rows(q_q), own, as_rows(q), v_id, k, resolutions)
-                yield pa.RecordBatch.from_arrays([pa.array(own[qi]), pa.array(v_id[vi]), pa.array(score)], ["query_id", "vec_id", "score"])
-
+                cell, dim, side, ids, width, packed = (col[i] for col in batch.columns)
+                here = (cell.as_py(), dim.as_py())
+                if here != at:
+                    yield from rows()
+                    at, queries = here, []
+                ids = np.frombuffer(ids.as_buffer(), "<i8")
+                x = np.frombuffer(packed.as_buffer(), f"<i{width.as_py()}").reshape(-1, here[1])
+                if side.as_py() == 0:
+                    queries.append(Best(ids.copy(), x.copy(), k))
+                    continue
+                x = x.astype(np.int64)
+                for some in queries:
+                    some.meet(ids, x, resolutions)
+        yield from rows()
+
+    columns = ["cell", "dim", "side", "ids", "width", "q"]
+    met = q.select(columns).unionByName(c.select(columns)).repartitionById(q_groups * groups, F.col("cell")).sortWithinPartitions("cell", "dim", "side")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = met.repartition(max(1, groups * max(1, -(-n_queries // query_block)) // 4), F.xxhash64("ids", "q_ids")).mapInArrow(best, "query_id long, vec_id long, score long")
+    found = met.mapInArrow(best, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
