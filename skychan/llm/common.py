@@ -13,12 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skychan.session import ship, work_path
+from skychan.session import SHUFFLE_CLEANUP, ship, work_path
 
 #: Characters between words, as in the contracts of the queries.
 SPACE = r"\x20\x09-\x0D"
-#: The setting that drops a query's shuffle files at its end.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Texts are handled in slices of about this many bytes, so that the memory of a task is bounded.
 SLICE_BYTES = 2_000_000
 
