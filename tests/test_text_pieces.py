@@ -27,7 +27,7 @@ def same_rows(a, b):
 
 
 @pytest.mark.parametrize("query, prefix, copies", [
-    ("ingest_mixed", "mixed-src", 4 / 3),
+    ("ingest_mixed", "mixed-src", 4 / 3), ("load_union", "parts", 3),
 ])
 def test_text_of_a_piece_at_a_time(spark, monkeypatch, query, prefix, copies):
     n = fixture.read_table(spark, SF_SMALL, "orders").count()
