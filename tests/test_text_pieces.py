@@ -28,6 +28,7 @@ def same_rows(a, b):
 
 @pytest.mark.parametrize("query, prefix, copies", [
     ("ingest_mixed", "mixed-src", 4 / 3), ("load_union", "parts", 3), ("ingest_rejects", "rejects-src", 1), ("ingest_stream", "stream-src", 1),
+    ("decode_roundtrip", "observations-", 1),
 ])
 def test_text_of_a_piece_at_a_time(spark, monkeypatch, query, prefix, copies):
     n = fixture.read_table(spark, SF_SMALL, "orders").count()
